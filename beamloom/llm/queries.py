@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
+from .tokens import tokenizer_spec
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return tokenizer_spec(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +43,7 @@ FROM hashed
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
