@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
+from .secrets import scan_secrets
 from .tokens import tokenizer_spec
 
 
@@ -19,6 +20,10 @@ def vocabulary() -> str:
     return tokenizer_spec(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
@@ -43,6 +48,7 @@ FROM hashed
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secret_scan": op2_secret_scan,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
     }
