@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .mixing import mix_plan
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .secrets import scan_secrets
@@ -33,6 +34,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_temperature_mixing": op10_temperature_mixing,
     }
 
 
