@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix_plan
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quality import classify
 from .secrets import scan_secrets
 from .token_files import write_token_files
 from .tokens import tokenizer_spec
@@ -31,6 +32,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, similarity=(85, 100))
 
 
+def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=1).digests()
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": op2_secret_scan,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_quality_discriminant": op5_quality_discriminant,
         "op6_huffman_token_files": op6_huffman_token_files,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,

@@ -19,7 +19,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BYTE = _random(256)
 BYTE[ord("A") : ord("Z") + 1] = BYTE[ord("a") : ord("z") + 1]
-BYTE[SPACE] = 0
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PLACE = _random(64) | np.uint64(1)
 #: Texts are hashed about this many bytes at a time, so temporary arrays stay small and in cache.
@@ -45,38 +46,39 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def _words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, begins: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of texts that lie one after the other in data, and each word's first byte."""
-    space = SPACE[data]
-    first = ~space
-    first[1:] &= space[:-1]
+    gap = space[data]
+    first = ~gap
+    first[1:] &= gap[:-1]
     inner = begins[(begins > 0) & (begins < len(data))]
-    first[inner] = ~space[inner]
+    first[inner] = ~gap[inner]
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.empty(0, np.uint64), starts
     at = np.arange(starts[0], len(data), dtype=np.int64)
     at -= np.repeat(starts, np.diff(starts, append=len(data)))
-    body = data[starts[0] :]
-    at[SPACE[body]] = 0
-    table = powers(int(at.max()) + 1)
-    sums = np.add.reduceat(BYTE[body] * table[at], starts - starts[0])
+    body, gap = data[starts[0] :], gap[starts[0] :]
+    at[gap] = 0
+    values = BYTE[body] * powers(int(at.max()) + 1)[at]
+    values[gap] = 0
+    sums = np.add.reduceat(values, starts - starts[0])
     return mixed(sums + np.uint64(1)), starts
 
 
-def _cut(data: np.ndarray, at: int, end: int) -> int:
+def _cut(data: np.ndarray, at: int, end: int, space: np.ndarray) -> int:
     """A place after `at`, near at + STEP, where no word is cut."""
     to = at + STEP
     while to < end:
-        near = np.flatnonzero(SPACE[data[to : to + 4096]])
+        near = np.flatnonzero(space[data[to : to + 4096]])
         if len(near):
             return to + int(near[0])
         to += 4096
     return end
 
 
-def word_hashes(column: pa.Array) -> Iterator[np.ndarray]:
-    """The word hashes of each text of a string column without nulls, in order."""
+def word_hashes(column: pa.Array, space: np.ndarray = SPACE) -> Iterator[np.ndarray]:
+    """The word hashes of each text of a string column without nulls, in order. space: the bytes between words."""
     if not len(column):
         return
     column = column.cast(pa.large_string())
@@ -88,15 +90,15 @@ def word_hashes(column: pa.Array) -> Iterator[np.ndarray]:
         if bounds[i + 1] - bounds[i] > 2 * STEP:  # a very long text, in steps of its own
             parts, at = [], int(bounds[i])
             while at < bounds[i + 1]:
-                to = _cut(data, at, int(bounds[i + 1]))
-                parts.append(_words(data[at:to], np.zeros(1, np.int64))[0])
+                to = _cut(data, at, int(bounds[i + 1]), space)
+                parts.append(_words(data[at:to], np.zeros(1, np.int64), space)[0])
                 at = to
             yield np.concatenate(parts)
             i += 1
             continue
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + 2 * STEP, side="right")) - 1)
         begins = bounds[i : j + 1] - bounds[i]
-        hashes, starts = _words(data[bounds[i] : bounds[j]], begins[:-1])
+        hashes, starts = _words(data[bounds[i] : bounds[j]], begins[:-1], space)
         cuts = np.searchsorted(starts, begins)
         for k in range(j - i):
             yield hashes[cuts[k] : cuts[k + 1]]
