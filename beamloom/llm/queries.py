@@ -16,6 +16,7 @@ from .quality import classify
 from .secrets import scan_secrets
 from .token_files import write_token_files
 from .tokens import tokenizer_spec
+from .toxicity import score_toxicity
 
 
 def vocabulary() -> str:
@@ -28,6 +29,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, similarity=(85, 100))
 
@@ -69,6 +74,7 @@ FROM hashed
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": op2_secret_scan,
+        "op3_ordinal_toxicity": op3_ordinal_toxicity,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_quality_discriminant": op5_quality_discriminant,
         "op6_huffman_token_files": op6_huffman_token_files,
