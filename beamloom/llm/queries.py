@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_plan
 from .near_dedup import near_duplicates
+from .neighbours import nearest
 from .packing import pack_documents
 from .quality import classify
 from .secrets import scan_secrets
@@ -25,6 +26,27 @@ def vocabulary() -> str:
     return tokenizer_spec(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+OP1_SQL = """
+WITH usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -73,6 +95,7 @@ FROM hashed
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_block_matrix_neighbours": op1_block_matrix_neighbours,
         "op2_secret_scan": op2_secret_scan,
         "op3_ordinal_toxicity": op3_ordinal_toxicity,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
@@ -86,5 +109,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_block_matrix_neighbours": OP1_SQL,
         "op9_exact_dedup": OP9_SQL,
     }
