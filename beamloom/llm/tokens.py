@@ -11,6 +11,8 @@ Defined results: a null text is empty; ids are kept as little-endian unsigned 32
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,13 @@ def tokenizer_spec(path: str) -> str:
         return f.read()
 
 
+def as_ids(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write printable Latin-1 bytes as themselves and number the others from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -43,52 +52,70 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Pieces(dict):
-    """Lower-case word -> ids."""
+class _Kept(dict):
+    """A bounded cache of two generations: when the young one is full it becomes the old one, whose entries return on use."""
 
-    def __init__(self, model, limit: int):
-        self.model, self.limit, self.letters = model, limit, _byte_letters()
+    def __init__(self, limit: int):
+        self.limit, self.old = limit, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.found(key)
+            if len(key) > 48:
+                return value
         if len(self) >= self.limit:
+            self.old = self.copy()
             self.clear()
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        ids = np.array([t.id for t in tokens], ID).tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        self[key] = value
+        return value
 
 
-class Encoder(dict):
-    """White-space-free chunk -> ids. At most `limit` chunks are kept."""
+class _Pieces(_Kept):
+    """Lower-case word -> ids."""
+
+    def __init__(self, model, limit: int):
+        super().__init__(limit)
+        self.model, self.letters = model, _byte_letters()
 
-    def __init__(self, spec: str, limit: int = 700_000):
+    def found(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        elif not word.isalnum():
+            word = word.translate(self.letters)
+        return as_ids([t.id for t in self.model.tokenize(word)])
+
+
+class Encoder(_Kept):
+    """White-space-free chunk -> ids. About twice `limit` chunks are kept at most, and twice two thirds of it words."""
+
+    def __init__(self, spec: str, limit: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__(limit)
         self.whole = Tokenizer.from_str(spec)
-        self.limit = limit
         known = json.loads(spec)
         cut = [x.get("pattern", {}).get("Regex") for x in (known.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         steps = [x["type"] for x in (known.get("normalizer") or {}).get("normalizers", [])]
         self.by_chunk = WORD_PATTERN in cut and steps == ["NFC", "Replace", "Lowercase"]
         self.special = [t["content"] for t in known.get("added_tokens", [])]
         self.words = regex.compile(WORD_PATTERN)
-        self.pieces = _Pieces(self.whole.model, limit)
+        self.piece = _Pieces(self.whole.model, max(1, limit * 2 // 3)).__getitem__
 
     def _encoded(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, ID).tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        if (chunk.isascii() or max(chunk) < PLAIN_END) and not any(s in chunk for s in self.special):
-            ids = b"".join(map(self.pieces.__getitem__, self.words.findall(chunk.lower())))
-        else:
-            ids = self._encoded(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+        return as_ids(self.whole.encode(text, add_special_tokens=False).ids)
+
+    def found(self, chunk: str) -> bytes:
+        if chunk.isascii() or max(chunk) < PLAIN_END:
+            low = chunk.lower()
+            if low.isalpha():
+                return self.piece(low)
+            if low[-1] in ".," and low[:-1].isalpha():
+                return self.piece(low[:-1]) + self.piece(low[-1])
+            if not any(s in chunk for s in self.special):
+                return b"".join(map(self.piece, self.words.findall(low)))
+        return self._encoded(chunk)
 
     def encode(self, text: str) -> bytes:
         if not self.by_chunk or any(c in text for c in NOT_SPACE) or any(s in text and (" " in s or s != s.strip()) for s in self.special):
