@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, remembered for release()."""
+    """A fresh path below the shared folder, remembered by table_paths()."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
@@ -46,17 +46,25 @@ def written(df: DataFrame, name: str, codec: str = "zstd", **options: str) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far. Only for callers that have already saved every result which reads them."""
+def table_paths(spark: SparkSession) -> list[str]:
+    """Paths that new_path() gave in this application."""
+    return list(_tables.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables. Only for callers that have already saved every result which reads them."""
     jvm = spark.sparkContext._jvm
-    for path in _tables.pop(spark.sparkContext.applicationId, []):
+    known = _tables.get(spark.sparkContext.applicationId, [])
+    for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in known:
+            known.remove(path)
 
 
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Session settings (underscores stand for nothing: pass full keys with ``**{...}``) for eager work inside the block."""
+    """Session settings for eager work inside the block."""
     before = {k: spark.conf.get(k, None) for k in values}
     for k, v in values.items():
         spark.conf.set(k, v)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_plan
@@ -67,6 +68,30 @@ def op6_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=1).digests()
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], conversations.schema)
+    return chat.digests(chat.write_formatted(chat.canonical_turns(conversations.unionByName(extra))))
+
+
+OP7_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), escaped AS (
+  SELECT *, length(regexp_replace(replace(role || text, '\', '\\'), '<\|turn\|>|<\|text\|>|<\|/turn\|>|</?s>|\[/?INST\]|<</?SYS>>', '\0x', 'g')) AS size
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size + length('<|turn|><|text|><|/turn|>')) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
@@ -101,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_quality_discriminant": op5_quality_discriminant,
         "op6_huffman_token_files": op6_huffman_token_files,
+        "op7_chat_format": op7_chat_format,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_temperature_mixing": op10_temperature_mixing,
@@ -110,5 +136,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_block_matrix_neighbours": OP1_SQL,
+        "op7_chat_format": OP7_SQL,
         "op9_exact_dedup": OP9_SQL,
     }

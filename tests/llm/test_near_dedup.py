@@ -1,5 +1,4 @@
 import random
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -7,33 +6,7 @@ import pyarrow as pa
 from beamloom.llm import near_dedup
 from beamloom.llm.components import components
 from beamloom.llm.shingles import shingle_sets, word_hashes
-
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def plain_sets(text, k):
-    words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    if not words:
-        return frozenset()
-    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
-
-
-def brute(rows, k, num, den):
-    """doc_id -> (n_shingles, component_id) by comparing all pairs."""
-    sets = [(i, plain_sets(t, k)) for i, t in rows]
-    parent = {i: i for i, _ in rows}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for p, (a, x) in enumerate(sets):
-        for b, y in sets[p + 1 :]:
-            if x and y and min(len(x), len(y)) * den >= num * max(len(x), len(y)) and den * len(x & y) >= num * len(x | y):
-                ra, rb = sorted((root(a), root(b)))
-                parent[rb] = ra
-    return {i: (len(s), root(i)) for i, s in sets}
+from tests_llm_support import WORDS, brute_components, plain_sets
 
 
 def planted(seed, count=260):
@@ -65,7 +38,7 @@ def test_against_all_pairs(spark, monkeypatch):
         rows = planted(seed)
         docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, n int").repartition(3)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, k, (num, den)).collect()}
-        assert got == brute(rows, k, num, den)
+        assert got == brute_components(rows, k, num, den)
 
 
 def test_odd_rows(spark):
