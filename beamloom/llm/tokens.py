@@ -30,6 +30,8 @@ NOT_SPACE = "\x1c\x1d\x1e\x1f"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Below this character, text is in normal form C and the libraries agree on letters and their lower case.
 PLAIN_END = "ɐ"
+#: Documents whose texts and ids are Python objects at one time.
+ROWS = 500
 
 
 def tokenizer_spec(path: str) -> str:
@@ -89,7 +91,7 @@ class _Pieces(_Kept):
 class Encoder(_Kept):
     """White-space-free chunk -> ids. About twice `limit` chunks are kept at most, and twice two thirds of it words."""
 
-    def __init__(self, spec: str, limit: int = 300_000):
+    def __init__(self, spec: str, limit: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -139,7 +141,9 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], spec: str, end_id: int) -
     """Batches of (doc_id, text) to (ids of documents, their token ids followed by end_id)."""
     encode, end = encoder(spec).encode, np.array([end_id], ID).tobytes()
     for batch in batches:
-        yield batch.column(0).to_pylist(), [encode(t) + end for t in batch.column(1).to_pylist()]
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            yield some.column(0).to_pylist(), [encode(t) + end for t in some.column(1).to_pylist()]
 
 
 def token_rows(docs: DataFrame, spec: str, end_id: int, work, schema: str) -> DataFrame:
