@@ -32,8 +32,9 @@ def time_axis(times: DataFrame, key: str, time: str, strict: bool = False) -> Da
 def fill_gaps(axis: DataFrame, values: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """(key, it_logical, value, present) on the dense axis, 0 where the file has a gap."""
     dense = axis.groupBy(key).agg(F.max("it_logical").alias("last")).select(key, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("it_logical"))
-    placed = values.join(axis.select(key, F.col("time").alias("_t"), "it_logical"), [values[key] == axis[key], values[time].cast("double") == F.col("_t")])
-    placed = placed.select(values[key], "it_logical", value).groupBy(key, "it_logical").agg(F.sum(value).alias(value))
+    places = axis.select(F.col(key).alias("_key"), F.col("time").alias("_time"), "it_logical")
+    timed = values.select(F.col(key).alias("_k"), F.col(time).cast("double").alias("_t"), F.col(value).alias("_v"))
+    placed = timed.join(places, (F.col("_k") == F.col("_key")) & (F.col("_t") == F.col("_time"))).groupBy(F.col("_k").alias(key), "it_logical").agg(F.sum("_v").alias(value))
     joined = dense.join(placed, [key, "it_logical"], "left")
     return joined.select(key, "it_logical", F.coalesce(value, F.lit(0.0)).alias(value), F.col(value).isNotNull().alias("present"))
 
