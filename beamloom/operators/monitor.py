@@ -34,8 +34,8 @@ def rate_differences(snapshots: DataFrame) -> DataFrame:
 def rates_in_range(rates: DataFrame, start_us: int, end_us: int, period_us: int) -> DataFrame:
     """(sender, n, period_us) over the periods that start in [start, end]."""
     inside = rates.filter((F.col("start_us") >= start_us) & (F.col("start_us") <= end_us))
-    periods = inside.select("start_us").distinct().agg((F.count(F.lit(1)) * period_us).alias("period_us"))
-    return inside.groupBy("sender").agg(F.sum("n").alias("n")).join(F.broadcast(periods))
+    periods = inside.select("start_us").distinct().count()
+    return inside.groupBy("sender").agg(F.sum("n").alias("n")).withColumn("period_us", F.lit(periods * period_us).cast("long"))
 
 
 def asof(probes: DataFrame, history: DataFrame, at: str, key: str, value: str) -> DataFrame:

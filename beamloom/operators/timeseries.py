@@ -81,15 +81,15 @@ def frequency_axis(spark, nfreq: int, f0_mhz: float, f1_mhz: float) -> DataFrame
 
 def check_frequencies(axis: DataFrame) -> DataFrame:
     """One row: (nfreq, lo_mhz, hi_mhz, increasing, even); the upper end is one channel beyond the last."""
-    ends = axis.agg(F.count(F.lit(1)).alias("nfreq"), F.min_by("freq_hz", "ifreq").alias("first"), F.max_by("freq_hz", "ifreq").alias("last"))
-    step = (F.col("last") - F.col("first")) / (F.col("nfreq") - 1)
-    gap = F.abs(F.col("freq_hz") - F.col("first") - F.col("ifreq") * step) / F.abs(F.col("last") - F.col("first"))
-    worst = axis.join(F.broadcast(ends)).groupBy("nfreq", "first", "last").agg(F.max(gap).alias("gap"))
-    far = F.col("last") + step
-    return worst.select(
-        "nfreq", (F.least("first", far) / 1e6).alias("lo_mhz"), (F.greatest("first", far) / 1e6).alias("hi_mhz"), (F.col("last") > F.col("first")).alias("increasing"),
-        ((F.col("nfreq") >= 2) & (F.col("gap") <= 1e-6)).alias("even"),
-    )
+    n, first, last = axis.agg(F.count(F.lit(1)), F.min_by("freq_hz", "ifreq"), F.max_by("freq_hz", "ifreq")).first()
+    first, last = first or 0.0, last or 0.0
+    step = (last - first) / max(1, n - 1)
+    gap = F.abs(F.col("freq_hz") - F.lit(first) - F.col("ifreq") * F.lit(step))
+    ends = (first, last + step)
+    even = F.lit(n >= 2 and first != last) & (F.col("gap") <= 1e-6 * abs(last - first))
+    return axis.agg(F.max(gap).alias("gap")).select(
+        F.lit(n).cast("long").alias("nfreq"), F.lit(min(ends) / 1e6).alias("lo_mhz"), F.lit(max(ends) / 1e6).alias("hi_mhz"), F.lit(last > first).alias("increasing"), F.coalesce(even, F.lit(False)).alias("even")
+    )
 
 
 def check_polarisations(axis: DataFrame) -> DataFrame:
