@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settings, whole_text, written
+from .common import SMALL_BATCHES, settings, whole_text, written
 from .components import components
 from .exact_dedup import PRUNE
 from .shingles import _random, mixed, shingle_sets
@@ -85,7 +85,8 @@ def candidates(classes: DataFrame, least: int) -> DataFrame:
     """(node, n, sig, prefix) of representatives that can reach `least` matches; prefix: its rarest shared tokens, in order."""
     token = F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     postings = classes.select("node", F.posexplode("sig").alias("coordinate", "value")).select("node", token.alias("token"))
-    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
+    # counts are written, so that Spark can split the join's large partitions: a token may be in a third of all rows
+    counts = written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "tokens")
     shared = postings.join(counts, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("tokens"))
     shared = shared.filter(F.size("tokens") >= least)
     prefix = F.slice(F.col("tokens.token"), F.lit(1), F.size("tokens") - least + 1)
@@ -97,7 +98,8 @@ def blocked(found: DataFrame) -> DataFrame:
     posted = found.select("node", "n", "sig", "prefix", F.posexplode("prefix").alias("place", "token"))
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).filter("rows > 1")
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.least(F.ceil(F.col("total") / BLOCK_SHINGLES), F.col("rows")))
-    posted = posted.join(lists.select("token", blocks.cast("int").alias("blocks")), "token")
+    lists = written(lists.select("token", blocks.cast("int").alias("blocks")), "lists")
+    posted = posted.join(lists, "token")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
     posted = posted.withColumn("own", own).withColumn("at", F.explode(pairs))
@@ -257,7 +259,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     similar = Similar(num, den, match_threshold(COORDINATES, num / den))
     k = shingle_words
 
-    signed = written(signatures(docs, k), "signatures")
+    with settings(spark, **SMALL_BATCHES):
+        signed = written(signatures(docs, k), "signatures")
     first = F.min(F.struct("doc_id", "n_shingles", "sig"))
     classes = signed.filter("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(first.alias("first"))
     classes = written(classes.select("cls", F.col("first.doc_id").alias("node"), F.col("first.n_shingles").alias("n"), F.col("first.sig").alias("sig")), "classes")
@@ -295,7 +298,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
 
     together = open_rows.join(texts, "node").select(*KEY, "own", "node", "n", "sig", "earlier", "text")
     edges = together.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(links, "a long, b long")
-    labels = components(written(edges, "links"))
+    with settings(spark, **SMALL_BATCHES):
+        edges = written(edges, "links")
+    labels = components(edges)
 
     nodes = classes.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     result = signed.select("doc_id", "n_shingles", "cls").join(nodes, "cls", "left")
