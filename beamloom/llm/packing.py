@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import SMALL_BATCHES, settings, written
 from .tokens import ID, token_rows
 
 
@@ -140,5 +140,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, spec: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    placed = place(written(cut_pieces(docs, spec, capacity, end_id), "pieces"), capacity)
+    with settings(docs.sparkSession, **SMALL_BATCHES):
+        pieces = written(cut_pieces(docs, spec, capacity, end_id), "pieces")
+    placed = place(pieces, capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, whole_text, written
+from .common import SMALL_BATCHES, fold_bucket, settings, whole_text, written
 from .shingles import word_hashes
 
 # Byte classes.
@@ -141,7 +141,8 @@ def training_rows(labels: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text)."""
-    features = written(document_statistics(docs), "features")
+    with settings(docs.sparkSession, **SMALL_BATCHES):
+        features = written(document_statistics(docs), "features")
     model = fit(features, training_rows(labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs without those that the classifier rejects. Texts stay where they are: they are scored again, not joined."""
-    model = fit(written(document_statistics(docs), "features"), training_rows(labels))
+    with settings(docs.sparkSession, **SMALL_BATCHES):
+        features = written(document_statistics(docs), "features")
+    model = fit(features, training_rows(labels))
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

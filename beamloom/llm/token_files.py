@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import SMALL_BATCHES, new_path, settings, written
 from .tokens import ID, token_rows
 
 MAGIC, HEAD = b"HTB1", struct.Struct("<4sIIQ")
@@ -219,7 +219,8 @@ def write_token_files(docs: DataFrame, spec: str, end_id: int, path: str | None
     vocabulary = max(tokenizers.Tokenizer.from_str(spec).get_vocab_size(), end_id + 1)
     wide = 2 if vocabulary <= 1 << 16 else 4
     kind = f"<u{wide}"
-    tokens = written(token_rows(docs, spec, end_id, tokenised, "doc_id long, n_tokens long, ids binary"), "ids")
+    with settings(spark, **SMALL_BATCHES):
+        tokens = written(token_rows(docs, spec, end_id, tokenised, "doc_id long, n_tokens long, ids binary"), "ids")
 
     def counted(batches) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocabulary, np.int64)
@@ -272,5 +273,6 @@ def write_token_files(docs: DataFrame, spec: str, end_id: int, path: str | None
 
     sent = tokens.mapInArrow(coded, "file long, doc_id long, n_tokens long, code binary, marks binary")
     ordered = sent.repartition(files, "file").sortWithinPartitions("file", "doc_id", "n_tokens", "code")
-    ordered.mapInArrow(blocked, "file long, block long, first long, tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    with settings(spark, **SMALL_BATCHES):
+        ordered.mapInArrow(blocked, "file long, block long, first long, tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
     return TokenFiles(spark, path)
