@@ -99,7 +99,7 @@ def chunk_time(fpga: str | Column, frame0_nano: str | Column, legacy_counts_per_
 def compressed_bound(n: str | Column, block: int = 8192) -> Column:
     """The most bytes that n bytes take in bitshuffle-LZ4 blocks: LZ4's bound and a length for each block, and a raw rest."""
     n = _col(n).cast("long")
-    lz4 = lambda k: k + F.expr("0L") + F.floor(k / 255) + 16 if isinstance(k, Column) else k + k // 255 + 16
+    lz4 = lambda k: k + F.floor(k / 255) + 16 if isinstance(k, Column) else k + k // 255 + 16
     whole, rest = F.floor(n / block), n % block
     last = rest - rest % 8
     return whole * (lz4(block) + 4) + F.when(last > 0, lz4(last) + 4).otherwise(0) + rest % 8
@@ -115,6 +115,11 @@ def usec_between(a: str | Column, b: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", _col(a), _col(b))
 
 
+def find_channel(channels: str | Column, channel: str | Column) -> Column:
+    """Place of a channel in a packet's list, from 0; -1 where it isn't in it."""
+    return F.array_position(_col(channels), _col(channel)) - 1
+
+
 def product(values: str | Column) -> Column:
     return F.aggregate(_col(values), F.lit(1.0), lambda acc, x: acc * x)
 

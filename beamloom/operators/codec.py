@@ -48,10 +48,14 @@ def is_masked(byte: str | Column = "byte") -> Column:
     return (F.col(byte) if isinstance(byte, str) else byte).isin(0, 255)
 
 
-def decode(encoded: DataFrame, prescale: float = 1.0) -> DataFrame:
-    """decoded = scale * byte + offset, times prescale; decoded_weight 0 where masked. Masked samples keep their value."""
+def decode(encoded: DataFrame, prescale: float = 1.0, keep: str | None = None) -> DataFrame:
+    """decoded = scale * byte + offset, times prescale; decoded_weight 0 where masked. Masked samples keep their value.
+
+    keep (an extension): a boolean column of an interference mask; samples where it is false get weight 0, too.
+    """
     value = (F.col("scale") * F.col("byte") + F.col("offset")) * F.lit(prescale)
-    return encoded.withColumn("decoded", value).withColumn("decoded_weight", F.when(is_masked(), 0.0).otherwise(1.0))
+    masked = is_masked() if keep is None else is_masked() | ~F.col(keep)
+    return encoded.withColumn("decoded", value).withColumn("decoded_weight", F.when(masked, 0.0).otherwise(1.0))
 
 
 def decode_subset(encoded: DataFrame, t0: int, nt: int, total: int | None = None) -> DataFrame:
