@@ -89,9 +89,9 @@ class _Pieces(_Kept):
 
 
 class Encoder(_Kept):
-    """White-space-free chunk -> ids. About twice `limit` chunks are kept at most, and twice two thirds of it words."""
+    """White-space-free chunk -> ids. At most twice `limit` chunks and as many words are kept."""
 
-    def __init__(self, spec: str, limit: int = 250_000):
+    def __init__(self, spec: str, limit: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -103,7 +103,7 @@ class Encoder(_Kept):
         self.by_chunk = WORD_PATTERN in cut and steps == ["NFC", "Replace", "Lowercase"]
         self.special = [t["content"] for t in known.get("added_tokens", [])]
         self.words = regex.compile(WORD_PATTERN)
-        self.piece = _Pieces(self.whole.model, max(1, limit * 2 // 3)).__getitem__
+        self.piece = _Pieces(self.whole.model, limit).__getitem__
 
     def _encoded(self, text: str) -> bytes:
         return as_ids(self.whole.encode(text, add_special_tokens=False).ids)
