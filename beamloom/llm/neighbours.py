@@ -77,7 +77,7 @@ class Tile:
     def __init__(self, dim: int, ids: bytes, vectors: bytes):
         self.ids = np.frombuffer(ids, np.int64)
         self.vectors = np.frombuffer(vectors, np.float64).reshape(-1, dim)
-        top = np.abs(self.vectors).max(axis=1)
+        top = np.abs(self.vectors).max(axis=1, initial=0)
         self.scale = np.maximum(top / 127, np.finfo(float).tiny)
         rounded = np.rint(self.vectors / self.scale[:, None])
         self.codes = rounded.astype(np.int8)
@@ -92,7 +92,9 @@ class Tile:
         product = (self.codes.astype(kind) @ other.codes.astype(kind).T).astype(np.float64)
         square = self.square[:, None] + other.square - 2 * product * self.scale[:, None] * other.scale
         slack = 1e-9 * (self.square[:, None] + other.square)  # rounding of this very sum
-        return np.sqrt(np.maximum(square - slack, 0)) - (self.error[:, None] + other.error) * (1 + 1e-9)
+        with np.errstate(invalid="ignore", over="ignore"):
+            low = np.sqrt(np.maximum(square - slack, 0)) - (self.error[:, None] + other.error) * (1 + 1e-9)
+        return np.where(np.isnan(low), -np.inf, low)  # components so large that squares overflow: no bound
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,7 +130,7 @@ class Heaps:
             self._offer(rows[part], columns[part], low, other)
 
     def _offer(self, rows: np.ndarray, columns: np.ndarray, low: np.ndarray, other: Tile) -> None:
-        real = np.isfinite(low[rows, columns])
+        real = low[rows, columns] < np.inf
         rows, columns = rows[real], columns[real]
         distances = exact(self.tile.vectors[rows], other.vectors[columns])
         hopeful = distances <= self.limit[rows]

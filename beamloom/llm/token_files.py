@@ -36,6 +36,8 @@ LONGEST = 16
 CHECKPOINT = 512
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 24
+#: Beyond so many files, files grow instead; their cuts are a list in the plan.
+MOST_FILES = 4000
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -236,7 +238,7 @@ def write_token_files(docs: DataFrame, spec: str, end_id: int, path: str | None
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
 
-    files = max(1, round(int(counts.sum()) / FILE_TOKENS))
+    files = min(MOST_FILES, max(1, round(int(counts.sum()) / FILE_TOKENS)))
     steps = [i / files for i in range(1, files)]
     cuts = np.array(tokens.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, steps)), F.lit(20 * files))).first()[0] or [] if steps else [], np.int64)
 

@@ -49,6 +49,15 @@ def test_bounds_hold():
     assert (a.lower(b) <= true).all() and (a.lower(b) > true - 2 * (a.error[:, None] + b.error) - 1e-9).all()
 
 
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** (160 if i % 3 else -300)).tolist(), 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = neighbours.nearest(df, F.col("id") == 0, k=50).collect()
+    want = sorted((distance(rows[0][1], v), i) for i, v, _ in rows if i)
+    assert [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
 def test_few_rows_and_repeats(spark):
     rows = spark.createDataFrame([(0, [1.0, 1.0], 0), (0, [3.0, 1.0], 0), (5, [1.0, 2.0], 0), (5, [1.0, 4.0], 0)], SCHEMA)
     got = [tuple(r) for r in neighbours.nearest(rows, F.col("id") % 10 == 0).collect()]
