@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 8192
+# The title and the order of the items of chunk files.
 TITLE = "assembled_chunk in msgpack format"
 FIELDS = (
     "title", "version", "compression", "data_size", "beam_id", "nupfreq", "nt_per_packet", "counts_per_sample", "nt_coarse", "nscales", "ndata",
