@@ -57,7 +57,7 @@ def route(requests: DataFrame, devices: Sequence[str]) -> DataFrame:
 
 def stream_to_files(chunks: DataFrame, beams: DataFrame) -> DataFrame:
     """Write requests for every chunk of the listed beams(beam_id, pattern, priority, need_rfi_mask); others have none."""
-    return chunks.join(F.broadcast(beams), "beam_id")
+    return chunks.join(beams, "beam_id")
 
 
 def unknown_beams(beams: DataFrame, known: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def bounds(packets: DataFrame, fpga: str = "fpga") -> DataFrame:
 
 def stream_totals(chunks: DataFrame, beams: DataFrame, nbytes: Column) -> DataFrame:
     """(chunks, bytes) of the beams that stream to files."""
-    return chunks.join(F.broadcast(beams), "beam_id", "left_semi").agg(F.count(F.lit(1)).alias("streaming_chunks"), F.coalesce(F.sum(nbytes), F.lit(0)).alias("streaming_bytes"))
+    return chunks.join(beams, "beam_id", "left_semi").agg(F.count(F.lit(1)).alias("streaming_chunks"), F.coalesce(F.sum(nbytes), F.lit(0)).alias("streaming_bytes"))
 
 
 def gbps(nbytes: Column, us: Column) -> Column:

@@ -11,18 +11,35 @@ def _assert(holds: Column, message: str) -> Column:
     return F.when(holds, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
 
 
-def time_axis(times: DataFrame, key: str, time: str, strict: bool = False) -> DataFrame:
+def time_axis(times: DataFrame, key: str, time: str, strict: bool = False, blocks: int = 64) -> DataFrame:
     """(key, it_file, time, dt, nstep, it_logical) of the distinct times of each series.
 
     dt is the least step; each step is rounded to whole dt, their running sum is the index without gaps. strict: steps
     that are beyond 1e6 dt or a hundredth of dt off, and indices beyond 1e8, are errors.
+
+    Series are cut into blocks of equal time spans, so one long series is many tasks: windows run within blocks, and
+    what a block needs from those before it comes from a table with a row a block.
     """
-    df = times.select(key, F.col(time).cast("double").alias("time")).distinct()
-    order = Window.partitionBy(key).orderBy("time")
-    df = df.withColumn("it_file", F.row_number().over(order) - 1).withColumn("step", F.col("time") - F.lag("time").over(order))
-    df = df.withColumn("dt", F.min("step").over(Window.partitionBy(key)))
-    df = df.withColumn("nstep", F.coalesce(F.floor(F.col("step") / F.col("dt") + 0.5), F.lit(0)).cast("long"))
-    df = df.withColumn("it_logical", F.sum("nstep").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    axis = times.select(F.col(key), F.col(time).cast("double").alias("time"))
+    spans = axis.groupBy(key).agg(F.min("time").alias("_lo"), F.max("time").alias("_hi"))
+    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / blocks).otherwise(1.0)
+    block = F.least(F.lit(blocks - 1), F.floor((F.col("time") - F.col("_lo")) / width)).cast("int")
+    # one exchange serves the distinct, the windows, the sums and one side of the joins below
+    df = axis.join(spans, key).select(key, block.alias("block"), "time").repartition(key, "block").distinct()
+    inside = Window.partitionBy(key, "block").orderBy("time")
+    earlier = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    ends = df.groupBy(key, "block").agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("last"))
+    ends = ends.select(key, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.max("last").over(earlier).alias("t_before"))
+    df = df.withColumn("local", F.row_number().over(inside) - 1).withColumn("previous", F.lag("time").over(inside)).join(ends, [key, "block"])
+    df = df.select(key, "block", "time", (F.col("n_before") + F.col("local")).cast("int").alias("it_file"), (F.col("time") - F.coalesce("previous", "t_before")).alias("step"))
+    least = df.groupBy(key).agg(F.min("step").alias("dt"))
+    df = df.join(least, key).withColumn("nstep", F.coalesce(F.floor(F.col("step") / F.col("dt") + 0.5), F.lit(0)).cast("long"))
+
+    sums = df.groupBy(key, "block").agg(F.sum("nstep").alias("s"))
+    sums = sums.select(key, "block", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s_before"))
+    running = F.sum("nstep").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("running", running).join(sums, [key, "block"]).withColumn("it_logical", F.col("s_before") + F.col("running"))
     if strict:
         fits = (F.col("dt") > 0) & (F.col("nstep") <= 1_000_000) & (F.abs(F.col("step") - F.col("nstep") * F.col("dt")) <= 0.01 * F.col("dt"))
         df = df.filter(_assert(F.coalesce(fits, F.lit(True)), "uneven time axis")).filter(_assert(F.col("it_logical") <= 100_000_000, "time axis too long"))
