@@ -374,7 +374,7 @@ def q51_beam_snapshot_request(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q52_dense_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.dense_chunks(telemetry(spark, sf_dir).filter("event_id % 40 = 0").select("beam_id", "ichunk"))
+    return assembly.dense_chunks(telemetry(spark, sf_dir).select("beam_id", "ichunk"))
 
 
 def q53_sender_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
