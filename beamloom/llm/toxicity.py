@@ -4,9 +4,10 @@ P(grade <= k) = logistic(threshold_k - w . x): one weight vector shared by all o
 (runs of letters, A-Z as a-z, by 64-bit hash) with the logarithm of one plus their counts. The labels say
 toxic or not; grades of severity are derived from them: documents labelled 0 have grade 0, those labelled 1 have grade
 1 to GRADES by thirds of their number of indicative words, which are words whose smoothed log odds over training
-documents exceed a limit. Near copies count as one training document: of those with the same label and the same
-smallest word hash, one is read, else the words of a text that was copied often would pass for indicative. The expected severity is the sum over k of P(grade > k); a document is toxic where
-P(grade > 0) is at least 1/2.
+documents exceed a limit. Near copies count as one training document, else the words of a text that was copied often
+would pass for indicative: labelled documents are linked by their shingle sets as in near_dedup (COPIES; texts without
+words are copies of each other), and one document of each component and label is read. The expected severity is the sum
+over k of P(grade > k); a document is toxic where P(grade > 0) is at least 1/2.
 
 Training reads at most MAX_ROWS labelled documents (a documented bound; smallest hash of the id first); only their ids
 are broadcast, and only VOCABULARY words, chosen by an aggregate over all their words, reach the driver. Scoring covers
@@ -25,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import SMALL_BATCHES, settings, whole_text, written
+from .near_dedup import near_duplicates
 from .shingles import NOT_LETTER, word_hashes
 
 MAX_ROWS = 20_000
 VOCABULARY = 2048
 GRADES = 3
 LEAST_DOCS = 4
+#: Near copies: words in a shingle, similarity of the sets.
+COPIES = (3, (85, 100))
 #: Words whose log odds are at least so many standard errors from zero may enter the vocabulary.
 LEAST_Z = 3.0
 INDICATIVE = 2.0
@@ -107,6 +111,15 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return params[:features], params[features] + np.concatenate([[0.0], np.cumsum(np.exp(params[features + 1 :]))])
 
 
+def without_copies(labelled: DataFrame) -> DataFrame:
+    """One row of each component of near copies and label of labelled(row, toxic, text); equal rows may share a row number."""
+    linked = near_duplicates(labelled.select(F.col("row").alias("doc_id"), "text"), *COPIES)
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))  # null: no words
+    groups = linked.groupBy(F.col("doc_id").alias("row")).agg(F.min(group).alias("group"))
+    kept = labelled.select("row", "toxic").join(groups, "row").groupBy("group", "toxic").agg(F.min("row").alias("row")).select("row", "toxic")
+    return labelled.dropDuplicates(["row", "toxic"]).join(kept, ["row", "toxic"], "left_semi")
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, vocabulary: int = VOCABULARY) -> OrdinalModel | None:
     """An ordinal model of labels(doc_id, toxic); None where a class has no labelled document."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -118,13 +131,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, vocabula
             found, counts, _ = zip(*_bags(batch.column(1))) if batch.num_rows else ((), (), ())
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64))) for x in (found, counts)]
-            sketch = pa.array([int(f.min()) if len(f) else 0 for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, sketch], names=["toxic", "words", "counts", "sketch"])
-
-    # the sample's ids are at most max_rows
-    labelled = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(bags, "toxic int, words array<long>, counts array<long>, sketch long")
-    bag = labelled.groupBy("sketch", "toxic").agg(F.min(F.struct("words", "counts")).alias("bag")).select("toxic", "bag.words", "bag.counts")
-    bag = written(bag, "bags")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["toxic", "words", "counts"])
+
+    # the sample's ids are at most max_rows; a text is one row under each of its labels
+    labelled = texts.join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("row"), "toxic", "text")
+    with settings(docs.sparkSession, **SMALL_BATCHES):
+        labelled = written(labelled, "labelled")
+        single = without_copies(labelled)
+        bag = written(single.select("toxic", "text").mapInArrow(bags, "toxic int, words array<long>, counts array<long>"), "bags")
     docs_of = {r["toxic"]: r["n"] for r in bag.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(docs_of) < 2:
         return None

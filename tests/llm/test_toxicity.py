@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from beamloom.llm import toxicity
 
@@ -51,3 +52,18 @@ def test_gradient_reaches_the_likelihoods_maximum():
     grades = np.digitize(2 * x + rng.logistic(size=3000), [-1.0, 0.5, 2.0])
     w, theta = toxicity.fit_ordinal(np.arange(3000), np.zeros(3000, int), x, grades, 1, decay=0.0, steps=800)
     assert abs(w[0] - 2) < 0.25 and np.allclose(theta, [-1, 0.5, 2], atol=0.25)
+
+
+def test_only_near_copies_count_as_one(spark, monkeypatch):
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcdefghijklm") for _ in range(7)) for _ in range(4000)]
+    smallest = names[int(np.argmin([w[0].view(np.int64) for w in toxicity.word_hashes(pa.array(names), toxicity.NOT_LETTER)]))]
+    texts = [" ".join([smallest, *rng.sample(names, 60)]) for _ in range(60)]  # unrelated but for one word
+    texts += [texts[0], texts[1] + " " + names[0], texts[2].upper(), "", "  ", "12 34"]  # three copies, two without words, numbers only
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 or i >= 60)) for i in range(len(texts))], "doc_id long, toxic int")
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda rows, columns, values, grades, features: fitted.append(len(grades)) or (np.zeros(features), np.zeros(max(grades))))
+    toxicity.train(docs, labels)
+    # a clean text and its toxic copy both stay: ids 0 and 60, 2 and 62; 1 and 61 are one; 63 and 64 are one
+    assert fitted == [60 + 2 + 0 + 1 + 1]
