@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SMALL_BATCHES, settings, whole_text, written
@@ -36,7 +36,7 @@ GRADES = 3
 LEAST_DOCS = 4
 #: Near copies: words in a shingle, similarity of the sets.
 COPIES = (3, (85, 100))
-#: Words whose log odds are at least so many standard errors from zero may enter the vocabulary.
+#: Words whose root_g() is at least so large may enter the vocabulary.
 LEAST_Z = 3.0
 INDICATIVE = 2.0
 
@@ -111,6 +111,18 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return params[:features], params[features] + np.concatenate([[0.0], np.cumsum(np.exp(params[features + 1 :]))])
 
 
+def root_g(ones: Column, docs: Column, toxic: int, clean: int) -> Column:
+    """Square root of the likelihood ratio statistic of a word in `ones` of the toxic and `docs` of all documents.
+
+    About a standard normal's size where word and label are independent. It grows with the square root of the number of
+    documents, whichever class is small: a word that one class never has is not held down by that class's size.
+    """
+    n = float(toxic + clean)
+    cells = [(ones, docs, toxic), (docs - ones, docs, clean), (toxic - ones, n - docs, toxic), (clean - docs + ones, n - docs, clean)]
+    parts = [F.when(x > 0, x * F.log(x * n / (row * float(column)))).otherwise(0.0) for x, row, column in cells]
+    return F.sqrt(F.greatest(2 * sum(parts[1:], parts[0]), F.lit(0.0)))
+
+
 def without_copies(labelled: DataFrame) -> DataFrame:
     """One row of each component of near copies and label of labelled(row, toxic, text); equal rows may share a row number."""
     linked = near_duplicates(labelled.select(F.col("row").alias("doc_id"), "text"), *COPIES)
@@ -144,8 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, vocabula
         return None
     odds = F.log((F.col("ones") + 0.5) / (docs_of[1] + 1.0)) - F.log((F.col("docs") - F.col("ones") + 0.5) / (docs_of[0] + 1.0))
     counted = bag.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("ones"), F.count(F.lit(1)).alias("docs"))
-    z = F.abs("odds") / F.sqrt(1 / (F.col("ones") + 0.5) + 1 / (F.col("docs") - F.col("ones") + 0.5))
-    counted = counted.filter(F.col("docs") >= LEAST_DOCS).withColumn("odds", odds).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
+    counted = counted.filter(F.col("docs") >= LEAST_DOCS).withColumn("odds", odds).withColumn("z", root_g(F.col("ones"), F.col("docs"), docs_of[1], docs_of[0])).filter(F.col("z") >= LEAST_Z)
     chosen = counted.orderBy(F.desc("z"), "word").limit(vocabulary).select("word", "odds").toPandas()
     words = Vocabulary(chosen["word"].to_numpy(np.int64), chosen["odds"].to_numpy(float))
 

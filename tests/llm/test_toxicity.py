@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from beamloom.llm import toxicity
 
@@ -67,3 +68,19 @@ def test_only_near_copies_count_as_one(spark, monkeypatch):
     toxicity.train(docs, labels)
     # a clean text and its toxic copy both stay: ids 0 and 60, 2 and 62; 1 and 61 are one; 63 and 64 are one
     assert fitted == [60 + 2 + 0 + 1 + 1]
+
+
+def test_words_that_one_class_never_has_enter_the_vocabulary(spark):
+    """However few documents the other class has."""
+    rng = random.Random(7)
+    names = ["".join(rng.choice("etaoin") for _ in range(6)) for _ in range(3000)]
+    texts = [" ".join([*rng.sample(names, 40), *(["vexnik"] * 2 if i < 5 else [])]) for i in range(87)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 11)) for i in range(87)], "doc_id long, toxic int")
+    word = next(toxicity.word_hashes(pa.array(["vexnik"]), toxicity.NOT_LETTER)).view(np.int64)[0]
+    assert word in toxicity.train(docs, labels).vocabulary.hashes
+    one = lambda ones, docs, toxic, clean: spark.range(1).select(toxicity.root_g(F.lit(ones), F.lit(docs), toxic, clean)).first()[0]
+    assert one(320, 320, 2000, 200) > toxicity.LEAST_Z and one(320, 352, 2000, 200) < 1e-6
+    table = np.array([[5, 7], [6, 69]])
+    expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0) / table.sum()
+    assert abs(one(5, 12, 11, 76) - np.sqrt(2 * (table * np.log(table / expected)).sum())) < 1e-9
