@@ -221,7 +221,7 @@ def q31_rate_range_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q32_rate_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = rates(spark, sf_dir).filter("start_us div 3600000000 % 5 = 0").groupBy("start_us").agg(F.sum("n").alias("n"))
+    history = rates(spark, sf_dir).groupBy("start_us").agg(F.sum("n").alias("n"))
     return monitor.asof(telemetry(spark, sf_dir).select(F.col("us").alias("probe_us")), history, "probe_us", "start_us", "n")
 
 
