@@ -32,8 +32,13 @@ def rate_differences(snapshots: DataFrame) -> DataFrame:
 
 
 def rates_in_range(rates: DataFrame, start_us: int, end_us: int, period_us: int) -> DataFrame:
-    """(sender, n, period_us) over the periods that start in [start, end]."""
-    inside = rates.filter((F.col("start_us") >= start_us) & (F.col("start_us") <= end_us))
+    """(sender, n, period_us) over the periods from the last that starts at or before `start_us` to the last that starts
+    at or before `end_us`. Nothing where the start precedes all periods; start 0: the newest period only."""
+    if start_us == 0:
+        inside = newest(rates, "start_us")
+    else:
+        first = rates.filter(F.col("start_us") <= start_us).agg(F.max("start_us")).first()[0]
+        inside = rates.filter(F.col("start_us").between(first, end_us) if first is not None else F.lit(False))
     periods = inside.select("start_us").distinct().count()
     return inside.groupBy("sender").agg(F.sum("n").alias("n")).withColumn("period_us", F.lit(periods * period_us).cast("long"))
 

@@ -87,6 +87,16 @@ def test_asof_and_history(spark):
     assert monitor.target_gbps(8496, 1024, 4, 16 * 384) == pytest.approx(1.10625)
 
 
+def test_range_begins_with_the_period_that_contains_its_start(spark):
+    rates = spark.createDataFrame([(10, "a", 1), (20, "a", 2), (20, "b", 4), (40, "b", 8), (50, "a", 16)], "start_us long, sender string, n long")
+    got = lambda start, end: {(r.sender, r.n, r.period_us) for r in monitor.rates_in_range(rates, start, end, 10).collect()}
+    assert got(25, 45) == {("a", 2, 20), ("b", 12, 20)}
+    assert got(35, 39) == {("a", 2, 10), ("b", 4, 10)}  # the last entry before a gap
+    assert got(20, 40) == {("a", 2, 20), ("b", 12, 20)}
+    assert got(9, 45) == set()
+    assert got(0, 15) == {("a", 16, 10)}
+
+
 def test_archive_rules(spark):
     requests = spark.createDataFrame(
         [(1, 0, 7, "/a/x", 1, True, False), (2, 0, 7, "/a/x", 3, False, False), (3, 0, 7, "/a/y", 2, False, False), (4, 0, 8, "/q/z", 3, False, False)],
