@@ -15,8 +15,9 @@ their permutation key into buckets of about BUCKET_ROWS rows; buckets' sums are
 bucket table, and rows only within their bucket.
 
 Defined results: a null text is empty, a null source is a source of its own; documents without words cost no tokens
-and go with their neighbours; repeated rows are separate documents; a source without tokens has one pass over its rows;
-an empty table gives an empty result.
+and go with their neighbours; very long texts are counted whole; ties of a permutation go by id; repeated rows are
+separate documents; a source without tokens has one pass over its rows; extra columns are kept by mix() and ignored by
+mix_plan(); an empty table gives an empty result.
 """
 
 from __future__ import annotations

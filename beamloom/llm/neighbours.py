@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import settings, written
 
 BLOCK_ROWS = 2048
 #: Rows of the query groups and of the candidate groups that meet in a cell, about.
@@ -186,6 +186,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
         yield from found()
 
     grid = dealt.unionByName(met).repartition(down * across, "r", "c").sortWithinPartitions("r", "c", "side")
-    partial = grid.mapInArrow(run, "query_id long, vec_id long, score double")
+    with settings(vectors.sparkSession, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):  # a row is a block of vectors
+        partial = written(grid.mapInArrow(run, "query_id long, vec_id long, score double"), "nearest")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,7 +8,8 @@ determinants, log priors), divided by a temperature since statistics aren't inde
 
 Defined results: a null text is empty; the empty text has statistics of zero and a score like any other; labels that
 are null or not 0 or 1 are ignored; where a class has no labelled row, every score is that of the other class (1/2
-without labels); repeated rows are scored each; extra columns are ignored.
+without labels); very long texts are measured whole; a score of exactly the threshold is predicted 1; repeated rows are
+scored each; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, fold_bucket, settings, whole_text, written
+from .common import SMALL_BATCHES, fold_bucket, lean, returned, scratch, settings, sliced, whole_text, written
+from .filters import bounded, maybe_in
 from .shingles import word_hashes
 
 # Byte classes.
@@ -75,7 +76,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             offsets = pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["doc_id", "features"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, features array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(lean(run), "doc_id long, features array<double>")
 
 
 class Discriminant:
@@ -155,13 +156,23 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without those that the classifier rejects. Texts stay where they are: they are scored again, not joined."""
-    with settings(docs.sparkSession, **SMALL_BATCHES):
-        features = written(document_statistics(docs), "features")
-    model = fit(features, training_rows(labels))
+    """docs without those that the classifier rejects. Texts stay where they are: they are scored again, not joined.
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(statistics_of(pa.array(text, pa.string()))))
+    The columns of docs stay, whatever their names; null, empty and very long texts, repeated rows and empty tables are as
+    in classify().
+    """
+    spark = docs.sparkSession
+    with scratch(spark), settings(spark, **SMALL_BATCHES):
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        table, words = bounded(training_rows(labels).select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id")
+        labelled = maybe_in(rows, rows["doc_id"], table, words)  # and a few others, which fit() drops
+        model = fit(written(document_statistics(labelled), "features"), training_rows(labels))
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        parts = sliced(pa.RecordBatch.from_arrays([text], names=["text"]), 0)
+        scores = np.concatenate([model.score(statistics_of(p.column(0))) for p in parts])
+        returned()
+        return pa.array(scores)
 
     return docs.filter(score(whole_text()) >= threshold)

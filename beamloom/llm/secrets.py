@@ -10,7 +10,9 @@ Kinds, in listed order: assign (a named value), access (access key ids), hex (lo
 characters are a checksum of the rest: github and npm (base-62 CRC-32 of the random part). A token with a wrong
 checksum gives no span.
 
-Defined results: a null text is empty; repeated rows and ids give a row each; extra columns are ignored.
+Defined results: a null or empty text has no spans; a very long text is scanned whole; of matches of one kind that overlap
+the leftmost counts; repeated rows and ids give a row each; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import whole_text
+from .common import lean, whole_text
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = 3
@@ -145,4 +147,4 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[p.split()[0] for p in SCHEMA.split(", ")])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs["text"]).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs["text"]).alias("text")).mapInArrow(lean(run), SCHEMA)

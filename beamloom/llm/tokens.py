@@ -1,16 +1,18 @@
 """Whole texts to token ids with the tokenizers library, on the executors.
 
 The library's own encoder spends most of its time on normalising whole texts. A text is therefore cut at white space,
-where this family of vocabularies always cuts too, and each distinct chunk is encoded once by the library's model and
-kept in a bounded cache of the Python worker. Chunks outside the plain Latin range, and chunks which might hold a
-special token, go through the library's whole encoder. Vocabularies that do not drop white space always use the latter.
+where this family of vocabularies always cuts too, and each distinct word is encoded once by the library's model and
+kept in the Python worker's cache, which is bounded in bytes. Chunks outside the plain Latin range, and chunks which
+might hold a special token, go through the library's whole encoder. Vocabularies that do not drop white space always use
+the latter.
 
-Defined results: a null text is empty; ids are kept as little-endian unsigned 32-bit integers.
+Defined results: a null text is empty; very long texts are encoded whole; ids are little-endian unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -21,7 +23,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import returned, sliced, whole_text
 
 ID = np.dtype("<u4")
 #: Python's split() cuts at these characters, the vocabularies' patterns don't.
@@ -30,8 +32,11 @@ NOT_SPACE = "\x1c\x1d\x1e\x1f"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Below this character, text is in normal form C and the libraries agree on letters and their lower case.
 PLAIN_END = "ɐ"
-#: Documents whose texts and ids are Python objects at one time.
-ROWS = 500
+BEYOND = re.compile(f"[{PLAIN_END}-\U0010ffff]").search
+#: A generation of the cache takes about so many bytes; ENTRY_BYTES are those of an entry beside its key's and value's.
+CACHE_BYTES, ENTRY_BYTES = 40_000_000, 180
+#: Longer words aren't kept.
+LONGEST_KEPT = 48
 
 
 def tokenizer_spec(path: str) -> str:
@@ -58,40 +63,22 @@ class _Kept(dict):
     """A bounded cache of two generations: when the young one is full it becomes the old one, whose entries return on use."""
 
     def __init__(self, limit: int):
-        self.limit, self.old = limit, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.found(key)
-            if len(key) > 48:
-                return value
-        if len(self) >= self.limit:
+        self.limit, self.room, self.old = limit, limit, {}
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        self.room -= len(key) + len(value) + ENTRY_BYTES
+        if self.room < 0:
             self.old = self.copy()
             self.clear()
+            self.room = self.limit
         self[key] = value
         return value
 
 
-class _Pieces(_Kept):
-    """Lower-case word -> ids."""
-
-    def __init__(self, model, limit: int):
-        super().__init__(limit)
-        self.model, self.letters = model, _byte_letters()
-
-    def found(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        elif not word.isalnum():
-            word = word.translate(self.letters)
-        return as_ids([t.id for t in self.model.tokenize(word)])
-
-
 class Encoder(_Kept):
-    """White-space-free chunk -> ids. At most twice `limit` chunks and as many words are kept."""
+    """White-space-free chunk -> ids; lower-case words without their stops are kept, in about twice `limit` bytes."""
 
-    def __init__(self, spec: str, limit: int = 300_000):
+    def __init__(self, spec: str, limit: int = CACHE_BYTES):
         import regex
         from tokenizers import Tokenizer
 
@@ -103,26 +90,44 @@ class Encoder(_Kept):
         self.by_chunk = WORD_PATTERN in cut and steps == ["NFC", "Replace", "Lowercase"]
         self.special = [t["content"] for t in known.get("added_tokens", [])]
         self.words = regex.compile(WORD_PATTERN)
-        self.piece = _Pieces(self.whole.model, limit).__getitem__
+        self.tokenize, self.letters = self.whole.model.tokenize, _byte_letters()
 
     def _encoded(self, text: str) -> bytes:
         return as_ids(self.whole.encode(text, add_special_tokens=False).ids)
 
-    def found(self, chunk: str) -> bytes:
-        if chunk.isascii() or max(chunk) < PLAIN_END:
-            low = chunk.lower()
-            if low.isalpha():
-                return self.piece(low)
-            if low[-1] in ".," and low[:-1].isalpha():
-                return self.piece(low[:-1]) + self.piece(low[-1])
-            if not any(s in chunk for s in self.special):
-                return b"".join(map(self.piece, self.words.findall(low)))
-        return self._encoded(chunk)
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        elif not word.isalnum():
+            word = word.translate(self.letters)
+        return as_ids([t.id for t in self.tokenize(word)])
+
+    def __missing__(self, chunk: str) -> bytes:
+        """Ids of a plain lower-case chunk."""
+        value = self.old.get(chunk)
+        if value is not None:
+            return self.keep(chunk, value)
+        if chunk.isalpha():
+            value = self._word(chunk)
+        elif chunk[-1] in ".," and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self[chunk[-1]]
+        elif len(cut := self.words.findall(chunk)) == 1:
+            value = self._word(chunk)
+        else:
+            return b"".join(map(self.__getitem__, cut))
+        return value if len(chunk) > LONGEST_KEPT else self.keep(chunk, value)
 
     def encode(self, text: str) -> bytes:
         if not self.by_chunk or any(c in text for c in NOT_SPACE) or any(s in text and (" " in s or s != s.strip()) for s in self.special):
             return self._encoded(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if (text.isascii() or not BEYOND(text)) and not any(s in text for s in self.special):
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(map(self._chunk, text.split()))
+
+    def _chunk(self, chunk: str) -> bytes:
+        if (chunk.isascii() or not BEYOND(chunk)) and not any(s in chunk for s in self.special):
+            return self[chunk.lower()]
+        return self._encoded(chunk)
 
 
 _encoders: dict[int, Encoder] = {}
@@ -141,9 +146,9 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], spec: str, end_id: int) -
     """Batches of (doc_id, text) to (ids of documents, their token ids followed by end_id)."""
     encode, end = encoder(spec).encode, np.array([end_id], ID).tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            some = batch.slice(at, ROWS)
+        for some in sliced(batch, 1):
             yield some.column(0).to_pylist(), [encode(t) + end for t in some.column(1).to_pylist()]
+    returned()
 
 
 def token_rows(docs: DataFrame, spec: str, end_id: int, work, schema: str) -> DataFrame:

@@ -14,7 +14,9 @@ are broadcast, and only VOCABULARY words, chosen by an aggregate over all their
 every document's whole text.
 
 Defined results: a null text is empty and scores the bias; labels that are null or not 0 or 1 are ignored; without
-labels of both classes all severities are 0; repeated rows are scored each; extra columns are ignored.
+labels of both classes all severities are 0; very long texts are scored whole; of words that indicate equally the smaller
+hash enters the vocabulary; repeated rows are scored each, and count in training once a distinct text; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, settings, whole_text, written
+from .common import SMALL_BATCHES, lean, scratch, settings, whole_text, written
 from .near_dedup import near_duplicates
 from .shingles import NOT_LETTER, word_hashes
 
@@ -147,10 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, vocabula
 
     # the sample's ids are at most max_rows; a text is one row under each of its labels
     labelled = texts.join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("row"), "toxic", "text")
-    with settings(docs.sparkSession, **SMALL_BATCHES):
+    with settings(docs.sparkSession, **SMALL_BATCHES), scratch(docs.sparkSession) as keep:
         labelled = written(labelled, "labelled")
         single = without_copies(labelled)
-        bag = written(single.select("toxic", "text").mapInArrow(bags, "toxic int, words array<long>, counts array<long>"), "bags")
+        bag = written(single.select("toxic", "text").mapInArrow(lean(bags), "toxic int, words array<long>, counts array<long>"), "bags")
+        keep.append(bag)
     docs_of = {r["toxic"]: r["n"] for r in bag.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(docs_of) < 2:
         return None
@@ -195,4 +198,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "severity", "grade", "probability", "toxic"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, severity double, grade int, probability double, toxic boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, severity double, grade int, probability double, toxic boolean")

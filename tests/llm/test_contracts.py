@@ -1,16 +1,20 @@
 """The registered queries on the smallest tables: columns, types, every row, and brute force where SQL has no form."""
 
+import collections
+import hashlib
 import re
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from beamloom.llm import queries
-from tests_llm_support import brute_components
+from beamloom.llm import quality, queries, toxicity
+from beamloom.llm.shingles import word_hashes
+from tests_llm_support import brute_components, plain_secrets
 from tools.compare import plain
 
 SF = "/root/testdata/sf0.001"
@@ -61,6 +65,59 @@ def test_one_row_a_document(spark, texts, name):
     assert sorted(r.doc_id for r in run(spark, name)) == sorted(texts)
 
 
+def test_secrets(spark, texts):
+    """Against plain expressions over whole strings, digest and counts included."""
+    rows = {r.doc_id: r for r in run(spark, "op2_secret_scan")}
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in rows.values()) > 5
+    for i, t in texts.items():
+        base, r = plain_secrets(t or ""), rows[i]
+        counts = [sum(s[0] == k for s in base) for k in ("assign", "access", "hex")]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [r.n_assign, r.n_access, r.n_hex] == counts and r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if s.split(":")[0] in ("assign", "access", "hex")] == (joined.split(",") if joined else [])
+
+
+def test_quality_scores(spark, texts):
+    """The registered scores are those of class moments and densities worked out by whole matrices."""
+    marks = dict(duckdb.sql(f"SELECT doc_id, quality FROM read_parquet('{SF}/labels.parquet') WHERE quality IN (0, 1)").fetchall())
+    ids = sorted(texts)
+    x = dict(zip(ids, quality.statistics_of(pa.array([texts[i] or "" for i in ids]))))
+    train = [i for i in marks if zlib.crc32(str(i).encode()) % 5]
+    own = [np.array([x[i] for i in train if marks[i] == c]) for c in (0, 1)]
+    pooled = sum(len(v) * np.cov(v.T, bias=True) for v in own) / len(train)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-8))
+    parts = []
+    for v in own:
+        shrunk = (0.9 * np.cov(v.T, bias=True) + 0.1 * pooled) / np.outer(scale, scale) + 0.05 * np.eye(len(scale))
+        parts.append((v.mean(axis=0), np.linalg.inv(shrunk), np.log(len(v) / len(train)) - np.linalg.slogdet(shrunk)[1] / 2))
+    for r in run(spark, "op5_quality_discriminant"):
+        logs = [p[2] - 0.5 * ((x[r.doc_id] - p[0]) / scale) @ p[1] @ ((x[r.doc_id] - p[0]) / scale) for p in parts]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / 2, -500, 500))), abs=1e-6)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+
+
+def test_statistics_of_a_text():
+    """The first statistics, counted plainly."""
+    text = "Ab cd! cd\n\nXy, 12 é\n"
+    got = dict(zip(quality.NAMES, quality.statistics_of(pa.array([text]))[0]))
+    words = text.split()
+    want = {"chars": np.log1p(len(text)), "upper": np.sqrt(2 / 9), "lower": np.sqrt(6 / len(text)), "digit": np.sqrt(2 / len(text)), "line_ends": np.sqrt(3 / len(text)),
+            "exclaims": np.sqrt(1 / len(text)), "word_length": np.log1p(sum(map(len, words)) / len(words)), "distinct_lines": 1.0}
+    assert {k: pytest.approx(got[k]) for k in want} == want
+
+
+def test_toxicity_scores(spark, texts):
+    """The registered severities are those of the model's weights over bags of words counted plainly."""
+    model = toxicity.train(queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels"))
+    place = {int(h): k for k, h in enumerate(model.vocabulary.hashes)}
+    code = lambda w: int(next(word_hashes(pa.array([w]), toxicity.NOT_LETTER)).view(np.int64)[0])
+    for r in run(spark, "op3_ordinal_toxicity"):
+        counts = collections.Counter(re.findall(r"[a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in texts[r.doc_id] or "")))
+        linear = sum(model.weights[place[h]] * np.log1p(n) for w, n in counts.items() if (h := code(w)) in place)
+        assert r.severity == pytest.approx((1 / (1 + np.exp(-(linear - model.thresholds)))).sum(), abs=1e-9)
+
+
 def test_near_duplicates(spark, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, "op4_minhash_near_dedup")}
     assert got == brute_components(list(texts.items()), 3, 85, 100)

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from beamloom.llm import packing
+from beamloom.llm import packing, tokens
 from beamloom.llm.tokens import Encoder, tokenizer_spec
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,19 @@ def test_plan_is_best_fit_decreasing(seed):
     assert (bins, sorted(room)) == plain_best_fit(lengths, capacity)
 
 
+def test_random_texts_encode_as_by_the_library():
+    rng = random.Random(11)
+    whole, mine = Tokenizer.from_file(PATH), tokens.Encoder(tokenizer_spec(PATH), limit=50_000)
+    alphabets = ["abcdefghij", "ABCxyz", "0123456789", " \t\n\x0b\x0c\r", ".,;:!?'\"()-_/\\", "éüßñÅŒÿİıſ", "日本ΣσςДд", "\u0301\u200d\ufeff\xa0\x85\x1c\x1f", "🙂👍🏽", "’“”…", "ſƀɏɐ"]
+    for k in range(12_000):
+        some = "".join(rng.sample(alphabets, rng.randint(1, 4))) + " " * rng.randint(0, 6)
+        text = "".join(rng.choice(some) for _ in range(rng.randint(0, 40)))
+        if k % 50 == 0:
+            text += rng.choice(["<|endoftext|>", "don't I'll we've 'S 'LL", "[CLS]", "</s>"]) + text
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    assert sum(len(k) + len(v) + tokens.ENTRY_BYTES for k, v in mine.items()) <= 50_000
+
+
 def test_chunks_encode_as_the_whole_text():
     whole, mine = Tokenizer.from_file(PATH), Encoder(tokenizer_spec(PATH), limit=5)
     for text in [*ODD, " ".join(ODD)]:

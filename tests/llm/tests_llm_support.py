@@ -36,3 +36,14 @@ def brute_components(rows, k, num, den):
                 ra, rb = sorted((root(a), root(b)))
                 parent[rb] = ra
     return {i: (len(s), root(i)) for i, s in sets}
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+
+
+def plain_secrets(text):
+    """Spans of the base kinds, by start and kind."""
+    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
