@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,16 +14,19 @@ def components(edges: DataFrame) -> DataFrame:
     A round takes the smallest label among a node's neighbours (pre-aggregated before the shuffle), then the label of
     the label's node. Rounds grow with the logarithm of the longest path of labels, not with the number of nodes.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = written(both, "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("low"))
-        step = written(step, "labels")
-        roots = step.select(F.col("node").alias("low"), F.col("low").alias("root"))
-        jumped = step.join(roots, "low").select("node", F.least("low", "root").alias("new"), (F.col("component") != F.least("low", "root")).alias("moved"))
-        jumped = written(jumped, "labels")
-        labels = jumped.select("node", F.col("new").alias("component"))
-        if jumped.filter("moved").isEmpty():
-            return labels
+    spark = edges.sparkSession
+    with scratch(spark) as keep:
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+        both = written(both, "edges")
+        labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")), "labels")
+        while True:
+            near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
+            step = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("low"))
+            step = written(step, "labels")
+            roots = step.select(F.col("node").alias("low"), F.col("low").alias("root"))
+            jumped = step.join(roots, "low").select("node", F.least("low", "root").alias("new"), (F.col("component") != F.least("low", "root")).alias("moved"))
+            jumped = written(jumped, "labels")
+            labels = jumped.select("node", F.col("new").alias("component"))
+            if jumped.filter("moved").isEmpty():
+                keep.append(labels)
+                return labels

@@ -8,14 +8,17 @@
 3. Prefix: two representatives that agree in T of K tokens share one among their K - T + 1 rarest, in a common order of
    rarity, so only those are posted, and very common passages are mostly not. A pair is handled only under its first
    common token; its other collisions are skipped.
-4. Posting lists are dealt in blocks of bounded size, (token, block i, block j); a list that holds a third of all rows
-   becomes many tasks. A task counts collisions between two blocks with vectorised comparisons and keeps the pairs
-   that reach T; it emits which representatives still matter, never the pairs.
+4. Posting lists are dealt in blocks of bounded size, in the order of set sizes, and only pairs of blocks whose sizes
+   can reach the similarity become groups (token, block i, block j); a list that holds a third of all rows is many
+   tasks. A task counts collisions between two blocks with vectorised comparisons and keeps the pairs that reach T; it
+   emits which representatives still matter, never the pairs.
 5. Their texts join in, pairs are confirmed on the full sets (64-bit hashes; no sampling), and each block emits a
    spanning forest of its links. Connected components follow. No partner or candidate cap anywhere.
 
 Defined results: a null or blank text has an empty set and links with nothing; a null id links with nothing, its
-component is null and it is kept; rows that repeat an id are one node; extra columns are ignored.
+component is null and it is kept; rows that repeat an id are one node, so they share one component and are all kept or
+none; very long texts are hashed in steps and compared whole; a component is named by its smallest id, whatever the
+order of rows; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, settings, whole_text, written
+from .common import SMALL_BATCHES, lean, returned, scratch, settings, whole_text, written
 from .components import components
-from .exact_dedup import PRUNE
+from .filters import bounded, maybe_in, without
 from .shingles import _random, mixed, shingle_sets
 
 COORDINATES = 32
@@ -64,7 +67,8 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, sig): cls is a digest of the shingle set, null where that is empty."""
+    """(doc_id, tag, n_shingles, cls, sig): tag is a hash of the raw text; cls a digest of the shingle set, null where
+    that is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,35 +79,53 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 sigs.append(signature(hashes))
             values = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1) * COORDINATES, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), lists], names=["doc_id", "n_shingles", "cls", "sig"])
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "n_shingles", "cls", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig array<int>")
+    return texts_of(docs).mapInArrow(lean(run), "doc_id long, tag long, n_shingles long, cls binary, sig array<int>")
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    text = whole_text()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
 
 
 def candidates(classes: DataFrame, least: int) -> DataFrame:
-    """(node, n, sig, prefix) of representatives that can reach `least` matches; prefix: its rarest shared tokens, in order."""
+    """(node, tag, n, sig, prefix) of representatives that can reach `least` matches; prefix: its rarest shared tokens, in order."""
     token = F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    postings = classes.select("node", F.posexplode("sig").alias("coordinate", "value")).select("node", token.alias("token"))
+    postings = classes.select("node", "tag", F.posexplode("sig").alias("coordinate", "value")).select("node", "tag", token.alias("token"))
     # counts are written, so that Spark can split the join's large partitions: a token may be in a third of all rows
     counts = written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "tokens")
-    shared = postings.join(counts, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("tokens"))
+    shared = postings.join(counts, "token").groupBy("node", "tag").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("tokens"))
     shared = shared.filter(F.size("tokens") >= least)
     prefix = F.slice(F.col("tokens.token"), F.lit(1), F.size("tokens") - least + 1)
-    return classes.join(shared, "node").select("node", "n", "sig", prefix.alias("prefix"))
-
-
-def blocked(found: DataFrame) -> DataFrame:
-    """Candidates under each of their prefix tokens, dealt to pairs (i, j), i <= j, of blocks of the token's list."""
-    posted = found.select("node", "n", "sig", "prefix", F.posexplode("prefix").alias("place", "token"))
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).filter("rows > 1")
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.least(F.ceil(F.col("total") / BLOCK_SHINGLES), F.col("rows")))
-    lists = written(lists.select("token", blocks.cast("int").alias("blocks")), "lists")
-    posted = posted.join(lists, "token")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
+    return classes.join(shared, ["node", "tag"]).select("node", "tag", "n", "sig", prefix.alias("prefix"))
+
+
+def blocked(found: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidates under each of their prefix tokens, dealt to pairs (i, j), i <= j, of blocks of the token's list.
+
+    Blocks follow set sizes, from a histogram of the list's sizes. A row goes to the pairs of its block with those of the
+    sizes that it can be linked to, in steps of a millionth of a logarithm; linked rows always meet.
+    """
+    posted = found.select("node", "tag", "n", "sig", "prefix", F.posexplode("prefix").alias("place", "token"))
+    weight = F.greatest(F.lit(1.0), F.col("n") * float(BLOCK_ROWS / BLOCK_SHINGLES))
+    sizes = posted.groupBy("token", "n").agg(F.count(F.lit(1)).alias("rows")).withColumn("weight", F.col("rows") * weight)
+    by_size = Window.partitionBy("token").orderBy("log")
+    reach = int(1e6 * math.log(den / num)) + 2
+    sizes = sizes.withColumn("log", (F.log(F.col("n").cast("double")) * 1e6).cast("long"))
+    sizes = sizes.withColumn("list", F.sum("rows").over(Window.partitionBy("token"))).filter("list > 1")
+    upto = F.sum("weight").over(by_size.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sizes.withColumn("first", F.floor((upto - F.col("weight")) / BLOCK_ROWS + 1e-9).cast("int"))
+    sizes = sizes.withColumn("last", F.greatest(F.col("first"), (F.ceil(upto / BLOCK_ROWS - 1e-9) - 1).cast("int")))
+    near = by_size.rangeBetween(-reach, reach)
+    sizes = sizes.withColumn("low", F.min("first").over(near)).withColumn("high", F.max("last").over(near))
+    sizes = written(sizes.select("token", "n", "first", "last", "low", "high"), "lists")
+    posted = posted.join(sizes, ["token", "n"])
+    own = (F.col("first") + F.pmod(F.xxhash64("node", "tag"), F.col("last") - F.col("first") + 1)).cast("int")
+    pairs = F.transform(F.sequence("low", "high"), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
     posted = posted.withColumn("own", own).withColumn("at", F.explode(pairs))
-    return posted.select("token", "at.i", "at.j", "own", "node", "n", "sig", F.slice("prefix", 1, F.col("place")).alias("earlier"))
+    return posted.select("token", "at.i", "at.j", "own", "node", "tag", "n", "sig", F.slice("prefix", 1, F.col("place")).alias("earlier"))
 
 
 KEY = ("token", "i", "j")
@@ -252,18 +274,9 @@ def _forest(node: np.ndarray, left: np.ndarray, right: np.ndarray, links) -> lis
     return kept
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
+def _links(docs: DataFrame, classes: DataFrame, k: int, similar: Similar) -> DataFrame:
+    """Written edges (a, b) between representatives of classes(node, tag, n, sig) that are similar enough, or a chain of such."""
     spark = docs.sparkSession
-    num, den = similarity
-    similar = Similar(num, den, match_threshold(COORDINATES, num / den))
-    k = shingle_words
-
-    with settings(spark, **SMALL_BATCHES):
-        signed = written(signatures(docs, k), "signatures")
-    first = F.min(F.struct("doc_id", "n_shingles", "sig"))
-    classes = signed.filter("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(first.alias("first"))
-    classes = written(classes.select("cls", F.col("first.doc_id").alias("node"), F.col("first.n_shingles").alias("n"), F.col("first.sig").alias("sig")), "classes")
     found = written(candidates(classes, similar.least), "candidates")
 
     def needed(batches):
@@ -273,14 +286,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
             if len(rows):
                 yield from group.table.take(rows).combine_chunks().to_batches()
 
-    kinds = "token long, i int, j int, own int, node long, n long, sig array<int>, earlier array<long>"
-    open_rows = written(blocked(found).repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(needed, kinds), "open")
+    kinds = "token long, i int, j int, own int, node long, tag long, n long, sig array<int>, earlier array<long>"
+    groups = blocked(found, similar.num, similar.den).repartition(*KEY).sortWithinPartitions(*KEY)
+    open_rows = written(groups.mapInArrow(needed, kinds), "open")
 
-    with settings(spark, **PRUNE):
-        wanted = open_rows.filter("n > 0").select(F.col("node").alias("doc_id")).distinct()
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-        texts = rows.join(wanted, "doc_id", "left_semi")
-        texts = written(texts.withColumnRenamed("doc_id", "node"), "texts")
+    wanted = written(open_rows.select("node", "tag").distinct(), "wanted")
+    table, words = bounded(wanted.select(F.struct("node", "tag").alias("key")), "key")
+    rows = texts_of(docs).withColumnRenamed("doc_id", "node")
+    texts = maybe_in(rows, F.struct(rows["node"], rows["tag"]), table, words).join(wanted, ["node", "tag"], "left_semi")
+    texts = written(texts.dropDuplicates(["node", "tag"]), "texts")
 
     def links(batches):
         for group in _groups(batches):
@@ -295,14 +309,57 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
             edges = _forest(node, left[pairs[:, 0]], right[pairs[:, 1]], lambda a, b: dense or similar.linked(sets[a], sets[b]))
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], names=["a", "b"])
+        returned()
 
-    together = open_rows.join(texts, "node").select(*KEY, "own", "node", "n", "sig", "earlier", "text")
+    together = open_rows.join(texts, ["node", "tag"]).select(*KEY, "own", "node", "n", "sig", "earlier", "text")
     edges = together.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(links, "a long, b long")
     with settings(spark, **SMALL_BATCHES):
-        edges = written(edges, "links")
-    labels = components(edges)
+        return written(edges, "links")
+
+
+def _grouped(docs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """(doc_id, n_shingles, component) for every row of docs."""
+    spark = docs.sparkSession
+    num, den = similarity
+    with scratch(spark) as keep:
+        with settings(spark, **SMALL_BATCHES):
+            signed = written(signatures(docs, k), "signatures")
+        first = F.min(F.struct("doc_id", "tag", "n_shingles", "sig"))
+        classes = signed.filter("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(first.alias("first"))
+        classes = written(classes.select("cls", F.col("first.doc_id").alias("node"), "first.tag", F.col("first.n_shingles").alias("n"), "first.sig"), "classes")
+        edges = _links(docs, classes.drop("cls"), k, Similar(num, den, match_threshold(COORDINATES, num / den)))
+
+        # rows that repeat an id are one node: the representatives of their classes are linked
+        ids = signed.filter("doc_id IS NOT NULL").select("doc_id", "cls")
+        digest = F.coalesce("cls", F.lit(b""))
+        again = ids.groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).filter("a <> b").select("doc_id")
+        again = written(ids.join(again, "doc_id", "left_semi").filter("cls IS NOT NULL").join(classes.select("cls", "node"), "cls").select("doc_id", "node").distinct(), "again")
+        several = not again.isEmpty()
+        if several:
+            edges = edges.unionByName(again.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+        labels = components(edges)
+        nodes = classes.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
+        nodes = written(nodes, "nodes")
+        keep += [signed, nodes]
+        if several:
+            shared = written(again.join(labels, again["node"] == labels["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", again["node"])).alias("shared")), "shared")
+            keep.append(shared)
 
-    nodes = classes.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     result = signed.select("doc_id", "n_shingles", "cls").join(nodes, "cls", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    if several:  # rows without words, too, are their id's node
+        result = result.join(shared, "doc_id", "left").withColumn("component", F.coalesce("shared", "component"))
+    return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
+    found = _grouped(docs, shingle_words, similarity)
+    component = F.col("component")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """docs without the documents that aren't their component's smallest id. Only rows that may go are shuffled; the
+    columns of docs stay, whatever their names, and odd rows are as in near_duplicates()."""
+    dropped = near_duplicates(docs, shingle_words, similarity).filter("NOT kept").select(F.col("doc_id").alias("key")).distinct()
+    return without(docs, F.col("doc_id").cast("long"), written(dropped, "dropped"))

@@ -1,7 +1,9 @@
+import collections
 import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from beamloom.llm import near_dedup
 from beamloom.llm.components import components
@@ -48,6 +50,39 @@ def test_odd_rows(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_rows_that_repeat_an_id_are_one_node(spark):
+    x, y = "a b c d e f g", "q r s t u v w"
+    rows = [(5, x), (5, y), (3, y), (9, x), (3, None), (20, "z z y"), (20, ""), (21, ""), (30, x + " h i j k l m n"), (30, "o p q"), (8, "o p q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: c for i, (_, c) in brute_components(rows, 3, 85, 100).items()}
+    assert want[9] == want[5] == 3 and want[30] == 8
+    got = collections.Counter((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, 3, (85, 100)).collect())
+    assert got == collections.Counter((i, want[i]) for i, _ in rows)
+    left = near_dedup.drop_near_copies(docs.withColumn("key", F.lit(1)).withColumn("kept", F.lit(False)), 3, (85, 100))
+    assert left.columns == ["doc_id", "text", "key", "kept"]
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter((i, t) for i, t in rows if want[i] == i)
+    rows = [(i // 2, t) for i, t in planted(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: c for i, (_, c) in brute_components(rows, 3, 85, 100).items()}
+    got = collections.Counter((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, 3, (85, 100)).collect())
+    assert got == collections.Counter((i, want[i]) for i, _ in rows)
+
+
+def test_blocks_pair_all_sizes_that_can_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    rng = random.Random(3)
+    rows = [(i, i, rng.choice([1, 2, 3, 5, 8, 13, 14, 15, 16, 40, 41]), [0] * near_dedup.COORDINATES, [7]) for i in range(120)]
+    found = spark.createDataFrame(rows, "node long, tag long, n long, sig array<int>, prefix array<long>")
+    cells = collections.defaultdict(list)
+    for r in near_dedup.blocked(found, 85, 100).collect():
+        cells[r.i, r.j].append((r.own, r.node, r.n))
+        assert r.own in (r.i, r.j)
+    met = {frozenset((a, b)) for (i, j), c in cells.items() for p, a, _ in c for q, b, _ in c if a != b and {p, q} == {i, j}}
+    size = {r[0]: r[2] for r in rows}
+    must = {frozenset((a, b)) for a in size for b in size if a != b and min(size[a], size[b]) * 100 >= 85 * max(size[a], size[b])}
+    assert must <= met and len(met) < 120 * 119 / 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 120), (120, 110), (200, 200), (300, 50), (301, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
