@@ -1,8 +1,10 @@
 """Chat formatting: schema fingerprints select declarative mappings into canonical turns; turns become marked text.
 
-A record's fingerprint is a hash of its sorted nested field paths ("messages[].role"). LAYOUTS declares, for each known
-set of paths, where turns, roles and texts are; nothing else in the code knows a layout. Tables whose rows are turns are
-matched by their schema, JSON records each by their own paths.
+A record's fingerprint is a hash of its sorted nested field paths ("messages[].role"); fields that no layout knows don't
+count. LAYOUTS declares, for each known set of paths, where turns, roles and texts are, and BY_FINGERPRINT finds a layout
+by the hash; nothing else in the code knows a layout. Tables whose rows are turns are looked up by their schema's
+fingerprint, JSON records each by their own. A record holds some turns of a conversation, the first of which is its
+`turn` (0 where there is none), so a conversation of any length never has to be one record.
 
 A turn is formatted as  <|turn|> role <|text|> text <|/turn|>  without the spaces. In roles and texts every backslash is
 doubled and every control string (of this template and of other common ones) gets a backslash after its first
@@ -12,7 +14,10 @@ the span of the escaped text of assistant turns, in code points of the turn's fo
 
 Defined results: a null text or role is empty; turns go by turn number (null first), ties by role and then text;
 repeated rows are turns each; null conversation ids are one conversation; records of unknown layout or broken JSON give
-one turn-less row each in unknown_records(); extra columns are ignored.
+one turn-less row each in unknown_records(); very long texts are formatted whole, in batches of bounded size; extra
+columns are ignored, also those that clash with another layout's fields: a schema or record that has the fields of more
+than one layout takes that with the most fields, the first declared among equals; empty tables give empty results. A
+conversation's digest is sequential, so its turns stream through one task, in constant memory.
 """
 
 from __future__ import annotations
@@ -22,13 +27,14 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path
+from .common import lean, new_path, sliced
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|/turn|>"
 # Control strings of this and other templates.
@@ -82,8 +88,19 @@ LAYOUTS = (
     Layout("question and answer", ("question", "answer"), parts=(("user", ("question",)), ("assistant", ("answer",)))),
 )
 BY_FINGERPRINT = {fingerprint(layout.paths): layout for layout in LAYOUTS}
-#: Fields that say nothing about turns and are left out of fingerprints.
-IGNORED = frozenset({"id", "conv_id", "source", "lang", "dataset"})
+#: Fields of any layout; others say nothing about turns and are left out of fingerprints.
+KNOWN = frozenset(p for layout in LAYOUTS for p in layout.paths)
+#: The fields of turn rows that JSON records have for their place instead.
+PLACE = frozenset({"conv_id", "turn"})
+
+
+def layout_of(paths: frozenset[str]) -> Layout | None:
+    """The layout of a set of field paths, by its fingerprint."""
+    paths &= KNOWN
+    if found := BY_FINGERPRINT.get(fingerprint(paths)):
+        return found
+    mixed = [layout for layout in LAYOUTS if paths.issuperset(layout.paths)]
+    return max(mixed, key=lambda layout: len(layout.paths), default=None)
 
 
 def record_paths(value, prefix: str = "") -> Iterator[str]:
@@ -108,15 +125,16 @@ def schema_paths(kind: T.DataType, prefix: str = "") -> Iterator[str]:
 
 
 def table_layout(schema: T.StructType) -> Layout | None:
-    """The layout whose fields a table of turn rows has; its other columns don't count."""
-    paths = set(schema_paths(schema))
-    return next((layout for layout in LAYOUTS if fingerprint(paths & set(layout.paths)) in BY_FINGERPRINT and set(layout.paths) <= paths), None)
+    return layout_of(frozenset(schema_paths(schema)))
+
+
+@lru_cache(1024)
+def _layout_of_paths(paths: frozenset[str]) -> Layout | None:
+    return layout_of(paths)
 
 
 def record_layout(record) -> Layout | None:
-    if not isinstance(record, dict):
-        return None
-    return BY_FINGERPRINT.get(fingerprint(p for p in record_paths(record) if p not in IGNORED))
+    return _layout_of_paths(frozenset(record_paths(record)) - PLACE) if isinstance(record, dict) else None
 
 
 def _plain(value) -> str:
@@ -150,19 +168,44 @@ def _parsed(text: str | None):
 
 
 def record_table_turns(records: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) from JSON records (conv_id, record) of mixed known layouts."""
+    """(conv_id, turn, role, text) from JSON records (conv_id, record[, turn]) of mixed known layouts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for conv_id, text, first in zip(*(c.to_pylist() for c in batch.columns)):
                 record = _parsed(text)
                 if layout := record_layout(record):
-                    rows += [(conv_id, i, role, body) for i, (role, body) in enumerate(record_turns(record, layout))]
+                    rows += [(conv_id, None if first is None else first + i, role, body) for i, (role, body) in enumerate(record_turns(record, layout))]
             types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["conv_id", "turn", "role", "text"])
 
-    return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("record")).mapInArrow(run, TURNS)
+    first = F.col("turn").cast("long") if "turn" in records.columns else F.lit(0).cast("long")
+    return records.select(F.col("conv_id").cast("long").alias("conv_id"), "record", first.alias("turn")).mapInArrow(lean(run), TURNS)
+
+
+def mixed_records(turns: DataFrame, layout: Column) -> DataFrame:
+    """(conv_id, turn, record): turns(conv_id, turn, role, text) as JSON records of the layout that each row names.
+
+    A user's turn and the assistant's answer of the next turn number are one record where the layout has parts; single
+    turns are, too, as "messages" there. What exporters of several data sets would hand over.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = turns.select("conv_id", "turn", "role", "text", layout.alias("layout"))
+    for name, where in (("after", F.lead), ("before", F.lag)):
+        rows = rows.withColumn(name, where(F.struct("turn", "role", "text")).over(order))
+    parts = {x.name: x.parts for x in LAYOUTS if x.parts and all(len(fields) == 1 for _, fields in x.parts)}
+    paired = F.col("layout").isin(*parts)
+    asks = paired & (F.col("role") == "user") & (F.col("after.role") == "assistant") & (F.col("after.turn") == F.col("turn") + 1)
+    told = paired & (F.col("role") == "assistant") & (F.col("before.role") == "user") & (F.col("before.turn") == F.col("turn") - 1)
+    record = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")), {"ignoreNullFields": "false"})
+    sender = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    shared = F.to_json(F.struct(F.array(F.struct(sender.alias("from"), F.col("text").alias("value"))).alias("conversations")), {"ignoreNullFields": "false"})
+    record = F.when(F.col("layout") == "from and value", shared).otherwise(record)
+    for name, ((_, (ask,)), (_, (answer,))) in parts.items():
+        pair = F.to_json(F.struct(F.col("text").alias(ask), F.col("after.text").alias(answer)), {"ignoreNullFields": "false"})
+        record = F.when((F.col("layout") == name) & F.coalesce(asks, F.lit(False)), pair).otherwise(record)
+    return rows.filter(~F.coalesce(told, F.lit(False))).select("conv_id", "turn", record.alias("record"))
 
 
 def unknown_records(records: DataFrame) -> DataFrame:
@@ -192,7 +235,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(formatted, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "formatted", "loss_start", "loss_end"])
 
-    return turns.select("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, turn long, formatted string, loss_start long, loss_end long")
+    return turns.select("conv_id", "turn", "role", "text").mapInArrow(lean(run, 3), "conv_id long, turn long, formatted string, loss_start long, loss_end long")
 
 
 def write_formatted(turns: DataFrame, path: str | None = None) -> DataFrame:
@@ -228,7 +271,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, 2)):
             for conv_id, text, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end"))):
                 if now != (conv_id,):
                     close()

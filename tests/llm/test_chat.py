@@ -4,6 +4,7 @@ import json
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from beamloom.llm import chat
 
@@ -57,3 +58,26 @@ def test_records_of_mixed_layouts(spark):
         got[r.conv_id].append((r.role, r.text))
     assert got == {i: [("user", "q"), ("assistant", "a")] for i in range(len(known))} | {50: [("system", "s"), ("user", "")]}
     assert {r.conv_id for r in chat.unknown_records(table).collect()} == {100 + i for i in range(len(odd))}
+
+
+def test_records_of_every_layout_give_the_turns_back(spark):
+    rows = [(c, t, ("user", "assistant", "system", "user", "assistant", "assistant", None)[(c + t) % 7], ["q", None, "hé\n", '"\\', "x" * 3000000][(c * t) % 5]) for c in range(20) for t in range(9)]
+    rows += [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (3, 1, "user", "again"), (3, 1, "user", "again"), (4, None, "user", "a"), (4, None, "assistant", "b"), (5, 100, "user", "a"), (5, 105, "assistant", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    names = [x.name for x in chat.LAYOUTS if x.name in ("messages", "from and value", "prompt and response", "instruction", "question and answer")]
+    layout = F.element_at(F.array(*map(F.lit, names)), F.coalesce(F.pmod("conv_id", F.lit(len(names))), F.lit(0)).cast("int") + 1)
+    records = chat.mixed_records(turns, layout).persist()
+    kinds = collections.Counter(chat.record_layout(json.loads(r.record)).name for r in records.collect())
+    assert set(kinds) == set(names) and records.count() < len(rows)
+    got = collections.Counter(tuple(r) for r in chat.record_table_turns(records).collect())
+    assert got == collections.Counter((c, t, r or "", x or "") for c, t, r, x in rows)
+    assert chat.record_table_turns(records.limit(0)).collect() == []
+
+
+def test_layouts_are_found_by_fingerprint():
+    for layout in chat.LAYOUTS:
+        assert chat.layout_of(frozenset(layout.paths)) is chat.BY_FINGERPRINT[chat.fingerprint(layout.paths)] is layout
+        assert chat.layout_of(frozenset((*layout.paths, "source", "x.y"))) is layout
+    assert chat.layout_of(frozenset(("conv_id", "turn", "role", "text", "response"))).name == "turn rows"
+    assert chat.layout_of(frozenset(("prompt", "response", "question", "answer"))).name == "prompt and response"
+    assert chat.layout_of(frozenset(("prompt", "text"))) is None
