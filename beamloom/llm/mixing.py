@@ -12,7 +12,8 @@ a source's stream holds its tokens in [b, b + 1) * (w * block budget), so each b
 
 Prefix sums along a permutation would put one source in one task. Documents are therefore split by leading bits of
 their permutation key into buckets of about BUCKET_ROWS rows; buckets' sums are accumulated per source over the small
-bucket table, and rows only within their bucket.
+bucket table, and rows only within their bucket. Rows of one source that share id, bytes and words are one row with a
+number before that, so rows that are repeated often don't fill a bucket; they lie one after the other in the permutation.
 
 Defined results: a null text is empty, a null source is a source of its own; documents without words cost no tokens
 and go with their neighbours; very long texts are counted whole; ties of a permutation go by id; repeated rows are
@@ -27,6 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.timeseries import explode_range
 from .common import WORD, whole_text, written
 
 BUCKET_ROWS = 2000
@@ -75,8 +77,9 @@ def fit_exponent(shares: DataFrame, entropy: float | None, repeats: float | None
 
 
 def weights(measured: DataFrame, entropy_share: float | None, repeats: float | None, budget: int | None) -> DataFrame:
-    """(source, tokens, docs, weight, passes) of measured(source, n_tokens); passes = budget share over tokens."""
-    sources = written(measured.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
+    """(source, tokens, docs, kinds, weight, passes) of measured(source, n_tokens, rows); passes = budget share over tokens."""
+    sources = measured.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("rows")).alias("tokens"), F.sum("rows").alias("docs"), F.count(F.lit(1)).alias("kinds"))
+    sources = written(sources, "sources")
     known = sources.filter("tokens > 0")
     total, count = known.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     shares = known.select((F.col("tokens") / F.lit(float(total or 1))).alias("p"))
@@ -88,7 +91,7 @@ def weights(measured: DataFrame, entropy_share: float | None, repeats: float | N
     weight = F.when(F.col("tokens") > 0, F.pow(share, F.lit(x)) / F.lit(z or 1.0)).otherwise(0.0)
     passes = F.when(F.col("tokens") > 0, F.pow(share, F.lit(x)) / share * F.lit(scale)).otherwise(1.0)
     near = F.abs(passes - F.round(passes)) < 1e-9
-    return written(sources.select("source", "tokens", "docs", weight.alias("weight"), F.when(near, F.round(passes)).otherwise(passes).alias("passes")), "weights")
+    return written(sources.select("source", "tokens", "docs", "kinds", weight.alias("weight"), F.when(near, F.round(passes)).otherwise(passes).alias("passes")), "weights")
 
 
 def permutation_key(seed: int, copy: Column) -> Column:
@@ -100,23 +103,26 @@ def permutation_key(seed: int, copy: Column) -> Column:
 def realised(docs: DataFrame, entropy_share, repeats, budget, seed) -> tuple[DataFrame, DataFrame]:
     """Each copy of each document with its place in its source's stream, and the source table."""
     most = F.octet_length(whole_text()).alias("bytes")
-    measured = written(docs.select("doc_id", "source", token_count().alias("n_tokens"), most), "measured")
+    kinds = docs.select(F.col("doc_id"), "source", token_count().alias("n_tokens"), most).groupBy("doc_id", "source", "n_tokens", "bytes")
+    measured = written(kinds.agg(F.count(F.lit(1)).alias("rows")), "measured")
     mix = weights(measured, entropy_share, repeats, budget)
     joined = measured.join(mix, measured["source"].eqNullSafe(mix["source"])).drop(mix["source"])
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("passes").cast("int") - 1))))
     drawn = F.xxhash64(F.lit(seed), F.col("copy").cast("int"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("bytes"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET_ROWS))
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("kinds") / BUCKET_ROWS))
     copies = copies.withColumn("key", F.shiftrightunsigned(drawn, 64 - KEY_BITS))
     copies = copies.withColumn("bucket", F.floor(F.col("key") * buckets / float(1 << KEY_BITS)).cast("long"))
 
     place = ["source", "copy", "bucket"]
-    inside = Window.partitionBy(*place).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sums = copies.groupBy(*place).agg(F.sum("n_tokens").alias("sum"))
+    inside = Window.partitionBy(*place).orderBy("key", "doc_id", "bytes", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.col("n_tokens") * F.col("rows")
+    sums = copies.groupBy(*place).agg(F.sum(taken).alias("sum"))
     earlier = Window.partitionBy("source").orderBy("copy", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(*[F.col(c).alias(f"b_{c}") for c in place], F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"))
-    ranked = copies.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    ranked = copies.withColumn("before", F.coalesce(F.sum(taken).over(inside), F.lit(0)))
     same = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("copy") == F.col("b_copy")) & (F.col("bucket") == F.col("b_bucket"))
-    ranked = ranked.join(bases, same).withColumn("position_tokens", F.col("base") + F.col("before"))
+    ranked = explode_range(ranked.join(bases, same), F.lit(0), F.col("rows") - 1, "nth")
+    ranked = ranked.withColumn("position_tokens", F.col("base") + F.col("before") + F.col("nth") * F.col("n_tokens"))
     allowed = (F.col("copy") < F.floor("passes")) | (F.col("position_tokens") < F.col("passes") * F.col("tokens"))
     return ranked.filter(allowed), mix
 

@@ -77,6 +77,21 @@ def test_plan(spark, monkeypatch, entropy_share, repeats):
     assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter(r.doc_id for r in plan)
 
 
+def test_repeated_rows_follow_each_other(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rows = [(1, "a b c", "big")] * 400 + [(i, "a b" * (1 + i % 3), "big") for i in range(2, 90)] + [(i, "x", "small") for i in range(90, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plan = mixing.mix_plan(docs).collect()
+    for s in ("big", "small"):
+        at = 0
+        for r in sorted((r for r in plan if r.source == s), key=lambda r: (r.copy, r.position_tokens)):
+            assert r.position_tokens == at
+            at += r.n_tokens
+    first = collections.Counter(r.doc_id for r in plan if r.copy == 0)
+    assert first[1] == 400 and all(first[i] == 1 for i in range(2, 120))
+    assert collections.Counter(r.doc_id for r in mixing.mix(docs).collect()) == collections.Counter(r.doc_id for r in plan)
+
+
 def test_budget_below_the_corpus(spark):
     docs = spark.createDataFrame([(i, "a b c d", "x" if i % 3 else "y") for i in range(300)], "doc_id long, text string, source string")
     plan = mixing.mix_plan(docs, entropy_share=None, repeats=None, budget=400).collect()
