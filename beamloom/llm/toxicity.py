@@ -9,14 +9,14 @@ would pass for indicative: labelled documents are linked by their shingle sets a
 words are copies of each other), and one document of each component and label is read. The expected severity is the sum
 over k of P(grade > k); a document is toxic where P(grade > 0) is at least 1/2.
 
-Training reads at most MAX_ROWS labelled documents (a documented bound; smallest hash of the id first); only their ids
-are broadcast, and only VOCABULARY words, chosen by an aggregate over all their words, reach the driver. Scoring covers
+Training reads at most MAX_ROWS labelled documents (a documented bound; smallest hash of the id first; of an id with
+several texts, one); only their ids are broadcast, and only VOCABULARY words, chosen by an aggregate over all their words, reach the driver. Scoring covers
 every document's whole text.
 
 Defined results: a null text is empty and scores the bias; labels that are null or not 0 or 1 are ignored; without
 labels of both classes all severities are 0; very long texts are scored whole; of words that indicate equally the smaller
-hash enters the vocabulary; repeated rows are scored each, and count in training once a distinct text; extra columns are
-ignored; an empty table gives an empty result.
+hash enters the vocabulary; repeated rows are scored each, and count once in training; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def without_copies(labelled: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, vocabulary: int = VOCABULARY) -> OrdinalModel | None:
     """An ordinal model of labels(doc_id, toxic); None where a class has no labelled document."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
+    sample = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
     def bags(batches) -> Iterator[pa.RecordBatch]:
@@ -147,8 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, vocabula
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64))) for x in (found, counts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["toxic", "words", "counts"])
 
-    # the sample's ids are at most max_rows; a text is one row under each of its labels
-    labelled = texts.join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("row"), "toxic", "text")
+    # the sample has at most max_rows ids; each gives one row under each of its labels, however often it is repeated
+    first = F.min(F.struct(F.xxhash64("doc_id", "text").alias("row"), "text")).alias("first")
+    labelled = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(first).select("first.row", "toxic", "first.text")
     with settings(docs.sparkSession, **SMALL_BATCHES), scratch(docs.sparkSession) as keep:
         labelled = written(labelled, "labelled")
         single = without_copies(labelled)
