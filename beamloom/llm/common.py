@@ -108,15 +108,15 @@ SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 SLICE_BYTES = 1 << 20
 
 
-def sliced(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about SLICE_BYTES of its text column, so that copies and arrays made of them stay small."""
+def sliced(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `size` bytes of its text column, so that copies and arrays made of them stay small."""
     if not batch.num_rows:
         yield batch
         return
     ends = pa.compute.cumulative_sum(pa.compute.binary_length(batch.column(text)).fill_null(0).cast(pa.int64())).to_numpy()
     at = 0
     while at < len(ends):
-        to = max(at + 1, int(ends.searchsorted((ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        to = max(at + 1, int(ends.searchsorted((ends[at - 1] if at else 0) + size, side="right")))
         yield batch.slice(at, to - at)
         at = to
 

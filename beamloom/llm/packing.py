@@ -7,8 +7,9 @@ pieces that would repeat the same step are placed together. The plan is a list o
 bounded by the capacity. Executors then place every piece by its rank among the pieces of its length; ranks come from
 per-task counters and a prefix sum over (task, length) counts, so no group meets in one task.
 
-Defined results: a null text is empty and still gives its end token; repeated ids are packed as separate pieces;
-extra columns are ignored; an empty table gives an empty result.
+Defined results: a null or empty text still gives its end token; a very long one is cut into pieces of the capacity and a
+last one; repeated rows and ids are packed as separate pieces; ties of length go by task and place in it; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SMALL_BATCHES, settings, written
-from .tokens import ID, token_rows
+from .tokens import CACHE_BYTES, ID, token_rows
 
 
 class CapacityTree:
@@ -92,7 +93,7 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray,
     return np.array(sorted(plan), np.int64).reshape(-1, 6), opened
 
 
-def cut_pieces(docs: DataFrame, spec: str, capacity: int, end_id: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, spec: str, capacity: int, end_id: int, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Token pieces of docs: (doc_id, piece, start, length, ids_crc32, part, rank). rank: among the task's equal lengths."""
 
     def work(encoded) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,7 @@ def cut_pieces(docs: DataFrame, spec: str, capacity: int, end_id: int) -> DataFr
             columns = zip(*rows) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return token_rows(docs, spec, end_id, work, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return token_rows(docs, spec, end_id, work, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long", cache_bytes)
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -121,7 +122,8 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     keys = [f"{c}" for c in pieces.columns if c != "rank"]
-    ranked = pieces.join(bases, ["length", "part"]).select(*keys, (F.col("base") + F.col("rank")).alias("rank"))
+    # bases grow with the tasks, so they aren't broadcast; pieces are narrow rows, dealt by task and length
+    ranked = pieces.join(bases.hint("merge"), ["length", "part"]).select(*keys, (F.col("base") + F.col("rank")).alias("rank"))
     # (length, rank) pairs in one ascending number, so that one binary search finds a piece's interval
     span = int(max(histogram.values(), default=0)) + 1
     starts = plan[:, 0] * span + plan[:, 1]
@@ -138,9 +140,9 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(work, f"{kinds}, sequence_id long, offset long").drop("part", "rank")
 
 
-def pack_documents(docs: DataFrame, spec: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, spec: str, capacity: int = 2048, end_id: int = 0, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     with settings(docs.sparkSession, **SMALL_BATCHES):
-        pieces = written(cut_pieces(docs, spec, capacity, end_id), "pieces")
+        pieces = written(cut_pieces(docs, spec, capacity, end_id, cache_bytes), "pieces")
     placed = place(pieces, capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -34,7 +34,10 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_END = "ɐ"
 BEYOND = re.compile(f"[{PLAIN_END}-\U0010ffff]").search
 #: A generation of the cache takes about so many bytes; ENTRY_BYTES are those of an entry beside its key's and value's.
-CACHE_BYTES, ENTRY_BYTES = 40_000_000, 180
+#: Two generations of LARGE_CACHE are about 150 MB a worker, for jobs that do little but tokenise.
+CACHE_BYTES, LARGE_CACHE, ENTRY_BYTES = 24_000_000, 72_000_000, 180
+#: Marks that a word's chunk often ends with; the pattern takes a run of them as one piece.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer words aren't kept.
 LONGEST_KEPT = 48
 
@@ -76,7 +79,7 @@ class _Kept(dict):
 
 
 class Encoder(_Kept):
-    """White-space-free chunk -> ids; lower-case words without their stops are kept, in about twice `limit` bytes."""
+    """White-space-free lower-case chunk -> ids; plain words and runs of marks are kept, in about twice `limit` bytes."""
 
     def __init__(self, spec: str, limit: int = CACHE_BYTES):
         import regex
@@ -103,61 +106,56 @@ class Encoder(_Kept):
         return as_ids([t.id for t in self.tokenize(word)])
 
     def __missing__(self, chunk: str) -> bytes:
-        """Ids of a plain lower-case chunk."""
         value = self.old.get(chunk)
         if value is not None:
             return self.keep(chunk, value)
-        if chunk.isalpha():
-            value = self._word(chunk)
-        elif chunk[-1] in ".," and chunk[:-1].isalpha():
-            return self[chunk[:-1]] + self[chunk[-1]]
-        elif len(cut := self.words.findall(chunk)) == 1:
-            value = self._word(chunk)
-        else:
-            return b"".join(map(self.__getitem__, cut))
+        if not chunk.isalpha():
+            word = chunk.rstrip(MARKS)
+            if word.isalpha():  # and one run of marks
+                return self[word] + self[chunk[len(word) :]]
+            if len(cut := self.words.findall(chunk)) > 1:
+                return b"".join(map(self.__getitem__, cut))
+        value = self._word(chunk)
         return value if len(chunk) > LONGEST_KEPT else self.keep(chunk, value)
 
+    def _plain(self, text: str) -> bool:
+        """Whether a text or chunk, once lower-cased, can be encoded chunk by chunk."""
+        return (text.isascii() or not BEYOND(text)) and not any(s in text for s in self.special)
+
     def encode(self, text: str) -> bytes:
         if not self.by_chunk or any(c in text for c in NOT_SPACE) or any(s in text and (" " in s or s != s.strip()) for s in self.special):
             return self._encoded(text)
-        if (text.isascii() or not BEYOND(text)) and not any(s in text for s in self.special):
+        if self._plain(text):
             return b"".join(map(self.__getitem__, text.lower().split()))
-        return b"".join(map(self._chunk, text.split()))
-
-    def _chunk(self, chunk: str) -> bytes:
-        if (chunk.isascii() or not BEYOND(chunk)) and not any(s in chunk for s in self.special):
-            return self[chunk.lower()]
-        return self._encoded(chunk)
+        return b"".join([self[c.lower()] if self._plain(c) else self._encoded(c) for c in text.split()])
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder(spec: str) -> Encoder:
+def encoder(spec: str, limit: int) -> Encoder:
     """This Python worker's encoder; later tasks of the worker find its cache filled."""
-    key = hash(spec)
+    key = hash(spec), limit
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(spec)
+        _encoders[key] = Encoder(spec, limit)
     return _encoders[key]
 
 
-def encoded_batches(batches: Iterator[pa.RecordBatch], spec: str, end_id: int) -> Iterator[tuple[list, list[bytes]]]:
+def encoded_batches(batches: Iterator[pa.RecordBatch], spec: str, end_id: int, limit: int) -> Iterator[tuple[list, list[bytes]]]:
     """Batches of (doc_id, text) to (ids of documents, their token ids followed by end_id)."""
-    encode, end = encoder(spec).encode, np.array([end_id], ID).tobytes()
+    encode, end = encoder(spec, limit).encode, np.array([end_id], ID).tobytes()
     for batch in batches:
         for some in sliced(batch, 1):
             yield some.column(0).to_pylist(), [encode(t) + end for t in some.column(1).to_pylist()]
     returned()
 
 
-def token_rows(docs: DataFrame, spec: str, end_id: int, work, schema: str) -> DataFrame:
+def token_rows(docs: DataFrame, spec: str, end_id: int, work, schema: str, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """docs(doc_id, text) through work(encoded batches) -> Arrow batches of `schema`."""
     shared = SparkContext._active_spark_context.broadcast(spec)
 
     def run(batches):
-        return work(encoded_batches(batches, shared.value, end_id))
+        return work(encoded_batches(batches, shared.value, end_id, cache_bytes))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, schema)
-
-
