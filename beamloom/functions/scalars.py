@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import NS_PER_COUNT
+from ..config import NS_PER_COUNT, Grid
 
 SPACES = r"[ \t\n\x0B\f\r]*"
 INTEGER = rf"^{SPACES}[+-]?[0-9]+{SPACES}$"
@@ -105,6 +105,13 @@ def compressed_bound(n: str | Column, block: int = 8192) -> Column:
     return whole * (lz4(block) + 4) + F.when(last > 0, lz4(last) + 4).otherwise(0) + rest % 8
 
 
+def slab_bytes(nupfreq: str | Column, nrfifreq: str | Column, grid: Grid) -> Column:
+    """Bytes of a chunk's data, scales, offsets and mask, each rounded up to 64, for shapes that are columns."""
+    up = lambda n: ceil_div(n, 64) * 64
+    data, mask = _col(nupfreq) * (grid.nfreq_coarse * grid.nt_per_chunk), _col(nrfifreq) * (grid.nt_per_chunk // 8)
+    return (up(data) + 2 * (-(-4 * grid.nscales // 64) * 64) + up(mask)).cast("long")
+
+
 def json_integer(text: str | Column, key: str) -> Column:
     """An integer of a JSON object; null for anything else."""
     raw = F.get_json_object(_col(text), f"$.{key}")

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import HEADER_BYTES, MAX_INPUT_PACKET, MAX_NT_PER_PACKET, PROTOCOL_VERSION, StreamConfig
+from ..config import HEADER_BYTES, MAX_INPUT_PACKET, MAX_NT_PER_PACKET, MAX_OUTPUT_PACKET, PROTOCOL_VERSION, StreamConfig
+from .tiles import binaries, with_tile
 
 HEADER = np.dtype([("protocol_version", "<u4"), ("data_nbytes", "<i2"), ("fpga_counts_per_sample", "<u2"), ("fpga_count", "<u8"), ("nbeams", "<u2"), ("nfreq_coarse", "<u2"), ("nupfreq", "<u2"), ("ntsamp", "<u2")])
 
@@ -122,6 +123,49 @@ def split_channels(beam_packets: DataFrame) -> DataFrame:
                      F.element_at("scales", F.col("i") + 1).alias("scale"), F.element_at("offsets", F.col("i") + 1).alias("offset"), F.substring(F.col("data"), F.col("i") * per + 1, per).alias("data"))
 
 
+TILES = "arrival_seq long, beam_id int, coarse_freq_id int, fpga_count long, scale double, offset double, data binary"
+
+
+def receive(raw: DataFrame, config: StreamConfig) -> DataFrame:
+    """raw(arrival_seq, payload) to the tiles of its good packets' known beams: (arrival_seq, beam_id, coarse_freq_id,
+    fpga_count, scale, offset, data). Headers are judged by built-in functions; a packet's arrays become rows at once.
+
+    A packet with an unknown beam is good; that beam's part is left out, or an error with a strict configuration.
+    """
+    judged = classify(with_channels(parse_headers(raw)), config)
+    good = judged.filter(F.col("packet_class").isin("good", "beam_id_mismatch")).select("arrival_seq", "payload")
+    known, names = np.array(sorted(config.beam_ids)), [p.split()[0] for p in TILES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for seq, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                h = np.frombuffer(payload, HEADER, 1)[0]
+                b, f, size = int(h["nbeams"]), int(h["nfreq_coarse"]), int(h["nupfreq"]) * int(h["ntsamp"])
+                ids = np.frombuffer(payload, "<u2", b + f, HEADER_BYTES).astype(np.int32)
+                floats = np.frombuffer(payload, "<f4", 2 * b * f, HEADER_BYTES + 2 * (b + f)).astype(float).reshape(2, b * f)
+                data = np.frombuffer(payload, np.uint8, b * f * size, HEADER_BYTES + 2 * (b + f) + 8 * b * f).reshape(b * f, size)
+                keep = np.repeat(np.isin(ids[:b], known), f)
+                parts.append([np.full(b * f, seq)[keep], np.repeat(ids[:b], f)[keep], np.tile(ids[b:], b)[keep], np.full(b * f, int(h["fpga_count"]))[keep], *floats[:, keep], data[keep]])
+            if parts:
+                *columns, data = (np.concatenate(c) for c in zip(*parts))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), binaries(data)], names=names)
+
+    return good.mapInArrow(run, TILES)
+
+
+def with_channels(headers: DataFrame) -> DataFrame:
+    """headers(payload, nbeams, ...) with beam_ids and coarse_freq_ids, by built-in functions; empty where the packet is too
+    short or has too many to be good."""
+    def ids(count: Column, at: Column) -> Column:
+        fits = (F.col("nbytes") >= at + 2 * count) & (count > 0) & (count <= MAX_INPUT_PACKET // 2)
+        each = F.transform(F.sequence(F.lit(0), F.when(fits, count - 1).otherwise(0).cast("int")), lambda i: F.conv(F.concat(F.hex(F.substring(F.col("payload"), (at + 2 * i + 2).cast("int"), F.lit(1))), F.hex(F.substring(F.col("payload"), (at + 2 * i + 1).cast("int"), F.lit(1)))), 16, 10).cast("int"))
+        return F.when(fits, each).otherwise(F.array().cast("array<int>"))
+
+    b, f = (F.coalesce(F.col(c), F.lit(0)) for c in ("nbeams", "nfreq_coarse"))
+    return headers.withColumn("beam_ids", ids(b, F.lit(HEADER_BYTES))).withColumn("coarse_freq_ids", ids(f, HEADER_BYTES + 2 * b))
+
+
 def place_tiles(tiles: DataFrame, nt_per_chunk: int = 1024) -> DataFrame:
     """The last tile written to each (beam, chunk, channel, coarse time)."""
     isample = F.expr("fpga_count div fpga_counts_per_sample")
@@ -130,6 +174,13 @@ def place_tiles(tiles: DataFrame, nt_per_chunk: int = 1024) -> DataFrame:
     return keyed.groupBy("beam_id", "ichunk", "coarse_freq_id", "it_coarse").agg(last).select("beam_id", "ichunk", "coarse_freq_id", "it_coarse", "tile.*")
 
 
+def assembled(raw: DataFrame, config: StreamConfig) -> DataFrame:
+    """The receive path: payloads to placed tiles (beam_id, ichunk, coarse_freq_id, it_coarse, tile, scale, offset, data)."""
+    g = config.grid
+    got = receive(raw, config).withColumns({"fpga_counts_per_sample": F.lit(g.counts_per_sample), "ntsamp": F.lit(g.nt_per_packet)})
+    return with_tile(place_tiles(got, g.nt_per_chunk), g)
+
+
 def build_payload(version: int, counts_per_sample: int, fpga_count: int, beam_ids, freq_ids, scales, offsets, data) -> bytes:
     data = np.asarray(data, np.uint8)
     b, f, u, t = data.shape
@@ -157,8 +208,30 @@ def packetize(tiles: DataFrame, nt_per_packet: int, counts_per_sample: int, nfre
                     raise ValueError("a packet needs each of its channels for each of its beams")
                 data = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8).reshape(len(beams), len(freqs), nupfreq, nt_per_packet)
                 count = itile * nt_per_packet * counts_per_sample
+                size = HEADER_BYTES + 2 * (len(beams) + len(freqs)) + 8 * len(rows) + data.size
+                if size > MAX_OUTPUT_PACKET:
+                    raise ValueError(f"a packet of {size} bytes is longer than {MAX_OUTPUT_PACKET}")
                 out.append((count, outer, build_payload(PROTOCOL_VERSION, counts_per_sample, count, beams, freqs, [r["scale"] for r in rows], [r["offset"] for r in rows], data)))
             columns = zip(*out) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["fpga_count", "ifreq_outer", "payload"])
 
     return parts.select(F.col("itile").cast("long"), F.col("ifreq_outer").cast("long"), "tiles").mapInArrow(run, "fpga_count long, ifreq_outer long, payload binary")
+
+
+#: A sender repeats its last packet, since any one may get lost.
+END_REPEATS = 5
+
+
+def with_end(sent: DataFrame, repeats: int = END_REPEATS) -> DataFrame:
+    """sent(send_order, payload) and end-of-stream packets after the last."""
+    last = sent.agg(F.coalesce(F.max("send_order"), F.lit(-1)).alias("last"))
+    ends = last.select("last", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("k")).select((F.col("last") + F.col("k")).cast("long").alias("send_order"), F.lit(END_OF_STREAM).alias("payload"))
+    return sent.select(F.col("send_order").cast("long"), "payload").unionByName(ends)
+
+
+def until_end(classified: DataFrame, config: StreamConfig, order: str = "arrival_seq") -> DataFrame:
+    """Packets before the first end-of-stream packet, where the configuration takes those for the end; else all."""
+    if not config.accept_end_of_stream:
+        return classified
+    end = classified.filter(F.col("packet_class") == "end_of_stream").agg(F.min(order).alias("_end"))
+    return classified.join(end, F.col("_end").isNotNull() & (F.col(order) >= F.col("_end")), "left_anti")
