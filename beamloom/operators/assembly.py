@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Grid
+from .timeseries import explode_range
 
 
 def chunk_keys(samples: DataFrame, grid: Grid, fpga: str = "fpga") -> DataFrame:
@@ -36,6 +38,61 @@ def first_window(ichunk: int, align: int) -> int:
     return -(-ichunk // align) * align if align else ichunk
 
 
+def window_path(chunks: np.ndarray, active: int) -> tuple[np.ndarray, int]:
+    """The active chunk at each packet, and after the last. Between two moves of the window nothing changes, so the
+    next packet that moves it is searched for in growing steps."""
+    at, i, n = np.empty(len(chunks), np.int64), 0, len(chunks)
+    while i < n:
+        if chunks[i] >= active + 2:
+            active += 1
+        end, step = i + 1, 16
+        while end < n:
+            ahead = np.flatnonzero(chunks[end : end + step] >= active + 2)
+            if len(ahead):
+                end += int(ahead[0])
+                break
+            end, step = min(n, end + step), step * 4
+        at[i:end] = active
+        i = end
+    return at, active
+
+
+def queue_path(puts: np.ndarray, capacity: int, size: int) -> tuple[np.ndarray, int]:
+    """The size of a bounded queue after each put (true) or get (false), and at last; a put into a full one, and a get from
+    an empty one, leave it as it is."""
+    at = np.empty(len(puts), np.int64)
+    for i, put in enumerate(puts.tolist()):
+        size = min(capacity, size + 1) if put else max(0, size - 1)
+        at[i] = size
+    return at, size
+
+
+QUEUE = "queue int, order long, put boolean, size long, dropped boolean"
+
+
+def bounded_queue(log: DataFrame, capacity: int) -> DataFrame:
+    """log(queue, order, put) of packet lists put into and taken from bounded queues, with the size after each step and
+    whether a list was dropped, whole, because its queue was full. A queue is one sequence: only three narrow columns travel
+    and stream through one number of state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, size = None, 0
+        for batch in batches:
+            queues, puts = batch.column("queue").to_numpy(), batch.column("put").to_numpy(zero_copy_only=False)
+            sizes, before = np.empty(len(puts), np.int64), np.empty(len(puts), np.int64)
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(queues)) + 1)) if len(queues) else np.empty(0, int)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(queues)]):
+                if queues[a] != queue:
+                    queue, size = queues[a], 0
+                before[a] = size
+                sizes[a:b], size = queue_path(puts[a:b], capacity, size)
+                before[a + 1 : b] = sizes[a : b - 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), pa.array(puts & (before == capacity))], names=[*batch.schema.names, "size", "dropped"])
+
+    needed = log.select(F.col("queue").cast("int"), F.col("order").cast("long"), "put").repartition("queue").sortWithinPartitions("queue", "order")
+    return needed.mapInArrow(run, QUEUE)
+
+
 def assemble_strict(packets: DataFrame, align_chunks: int = 0) -> DataFrame:
     """A verdict for each of packets(beam_id, event_id, arrival, packet_chunk), in the order in which they came.
 
@@ -48,20 +105,18 @@ def assemble_strict(packets: DataFrame, align_chunks: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beam, active = None, 0
         for batch in batches:
-            beams, events, chunks = (batch.column(c).to_pylist() for c in ("beam_id", "event_id", "packet_chunk"))
-            at, hits = [], []
-            for b, p in zip(beams, chunks):
-                if b != beam:
-                    beam, active = b, first_window(p, align_chunks)
-                if p >= active + 2:
-                    active += 1
-                at.append(active)
-                hits.append(active <= p <= active + 1)
-            columns = [pa.array(beams, pa.int32()), pa.array(events, pa.int64()), pa.array(chunks, pa.int64()), pa.array(at, pa.int64()), pa.array(hits)]
+            beams, chunks = (batch.column(c).to_numpy() for c in ("beam_id", "packet_chunk"))
+            at = np.empty(len(chunks), np.int64)
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(beams)) + 1)) if len(beams) else np.empty(0, int)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(beams)]):
+                if beams[a] != beam:
+                    beam, active = beams[a], first_window(int(chunks[a]), align_chunks)
+                at[a:b], active = window_path(chunks[a:b], active)
+            columns = [batch.column("beam_id"), batch.column("event_id"), batch.column("packet_chunk"), pa.array(at), pa.array((chunks >= at) & (chunks <= at + 1))]
             yield pa.RecordBatch.from_arrays(columns, names=["beam_id", "event_id", "packet_chunk", "active", "hit"])
 
     needed = packets.select("beam_id", "arrival", "event_id", "packet_chunk").repartition("beam_id")
-    return needed.sortWithinPartitions("beam_id", "arrival", "event_id").select("beam_id", "event_id", "packet_chunk").mapInArrow(run, VERDICTS)
+    return needed.sortWithinPartitions("beam_id", "arrival", "event_id", "packet_chunk").select("beam_id", "event_id", "packet_chunk").mapInArrow(run, VERDICTS)
 
 
 def assembly_summary(verdicts: DataFrame, counts_per_chunk: int) -> DataFrame:
@@ -78,7 +133,7 @@ def last_write_wins(packets: DataFrame, tile: list[str], value: str) -> DataFram
 def dense_chunks(chunks: DataFrame) -> DataFrame:
     """(beam_id, ichunk, present): every chunk between a beam's first and last; missing ones are empty, not absent."""
     bounds = chunks.groupBy("beam_id").agg(F.min("ichunk").alias("a"), F.max("ichunk").alias("b"))
-    every = bounds.select("beam_id", F.explode(F.sequence("a", "b")).alias("ichunk"))
+    every = explode_range(bounds, F.col("a"), F.col("b"), "ichunk").select("beam_id", "ichunk")
     seen = chunks.select("beam_id", "ichunk", F.lit(True).alias("present")).distinct()
     return every.join(seen, ["beam_id", "ichunk"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 

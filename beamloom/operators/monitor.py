@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import StreamConfig
+from .assembly import assemble_strict
+from .packets import classify
+
 #: Classes of packets in the order in which they are counted.
 CLASSES = ("good", "bad", "end_of_stream", "stream_mismatch", "beam_id_mismatch")
 
@@ -25,6 +33,11 @@ def rates_per_period(packets: DataFrame, us: str, period_us: int) -> DataFrame:
     return packets.groupBy((F.expr(f"{us} div {period_us}") * period_us).alias("start_us"), "sender").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rate_history(packets: DataFrame, us: str, config: StreamConfig) -> DataFrame:
+    """Rates of a stream's periods; as many of the newest as its configuration keeps."""
+    return bounded_history(rates_per_period(packets, us, config.packet_count_period_usec), "start_us", config.max_packet_history)
+
+
 def rate_differences(snapshots: DataFrame) -> DataFrame:
     """snapshots(t, sender, total) with what each sender sent since its last snapshot; a new sender sent all of it."""
     before = F.lag("total").over(Window.partitionBy("sender").orderBy("t"))
@@ -46,24 +59,24 @@ def rates_in_range(rates: DataFrame, start_us: int, end_us: int, period_us: int)
 def asof(probes: DataFrame, history: DataFrame, at: str, key: str, value: str) -> DataFrame:
     """probes(at) with the key and value of the last history entry whose key is at most `at`; null if there is none.
 
-    Union and a running last() in ranges of time: probes and history are dealt by ranges of the time axis, each range
-    starts from the last entry of the ranges before it, and no row meets all others.
+    Union and a running last() in ranges of the axis, which hold about as many rows each: their bounds are quantiles of
+    both tables, one aggregate. Each range starts from the last entry of the ranges before it, so no row meets all others.
     """
     side = lambda df, t, v, k: df.select(F.col(t).alias("_t"), v.alias("_v"), F.lit(k).alias("_probe"))
     entries = side(history, key, F.struct(F.col(key).alias("k"), F.col(value).alias("v")), 0)
     none = F.lit(None).cast(entries.schema["_v"].dataType)
-    both = entries.unionByName(side(probes, at, none, 1))
-    low, high = history.agg(F.min(key), F.max(key)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // 64)) if isinstance(high, int) else None
-    if width:
-        both = both.withColumn("_r", F.expr(f"cast(greatest(-1, least(64, floor((_t - {low}) / {width}))) as int)"))
+    both = entries.unionByName(side(probes, at, none, 1)).withColumn("_d", F.col("_t").cast("double"))
+    ranges = 2 * int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(both.approxQuantile("_d", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
+    if cuts:
+        both = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_d", outputCol="_r", handleInvalid="keep").transform(both)
     else:
-        both = both.withColumn("_r", F.lit(0))
+        both = both.withColumn("_r", F.lit(0.0))
     last = both.filter("_v is not null").groupBy("_r").agg(F.max("_v").alias("_last"))
     carried = both.select("_r").distinct().join(last, "_r", "left")
     carried = carried.select("_r", F.max("_last").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     order = Window.partitionBy("_r").orderBy("_t", "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_f", F.last("_v", ignorenulls=True).over(order)).filter("_probe = 1").join(F.broadcast(carried), "_r")
+    found = both.withColumn("_f", F.last("_v", ignorenulls=True).over(order)).filter("_probe = 1").join(F.broadcast(carried), "_r")  # a row a range
     hit = F.coalesce("_f", "_carry")
     return found.select(F.col("_t").alias(at), hit["k"].alias(key), hit["v"].alias(value))
 
@@ -71,13 +84,50 @@ def asof(probes: DataFrame, history: DataFrame, at: str, key: str, value: str) -
 def bounded_history(rates: DataFrame, key: str, keep: int) -> DataFrame:
     """The rows of the newest `keep` distinct keys; the oldest go first. A top-k, not a sort of all."""
     newest = rates.select(key).distinct().orderBy(F.desc(key)).limit(keep)
-    return rates.join(F.broadcast(newest), key, "left_semi")
+    return rates.join(newest, key, "left_semi")
 
 
 def newest(rates: DataFrame, key: str) -> DataFrame:
     return bounded_history(rates, key, 1)
 
 
+def stream_counters(packets: DataFrame, config: StreamConfig, consumed: Column) -> DataFrame:
+    """One row of the twelve counters of a stream, from packets(arrival, nbytes, beam_ids, fpga_count, ..., dropped).
+
+    A packet that the receive queue dropped is received, no more. Good packets include those with unknown beams, which
+    count once a beam; each known beam's part is a hit or a miss of strict assembly. A beam's chunks are queued from its
+    first window to its last, which the end of the stream flushes; chunks that wait longer than the ring's capacity for a
+    consumer that has taken `consumed` (a column over beam_id and n) are dropped.
+    """
+    g = config.grid
+    judged = classify(packets, replace(config, strict=False)).withColumn("packet_class", F.when(~F.col("dropped"), F.col("packet_class")))
+    good = F.col("packet_class").isin("good", "beam_id_mismatch")
+    unknown = F.size(F.filter("beam_ids", lambda b: ~b.isin(*config.beam_ids)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    of = lambda kind: F.count_if(F.col("packet_class") == kind)
+    first = judged.agg(
+        total("nbytes").alias("count_bytes_received"), F.count(F.lit(1)).alias("count_packets_received"), F.count_if(good).alias("count_packets_good"), of("bad").alias("count_packets_bad"),
+        F.count_if("dropped").alias("count_packets_dropped"), of("end_of_stream").alias("count_packets_endofstream"), total(F.when(good, unknown)).alias("count_beam_id_mismatch"), of("stream_mismatch").alias("count_stream_mismatch"),
+    )
+    parts = judged.filter(good).select("arrival", F.expr(f"fpga_count div {g.counts_per_sample} div {g.nt_per_chunk}").alias("packet_chunk"), F.explode("beam_ids").alias("beam_id"))
+    parts = parts.filter(F.col("beam_id").isin(*config.beam_ids)).select("beam_id", F.col("arrival").alias("event_id"), "arrival", "packet_chunk")
+    verdicts = assemble_strict(parts, config.nt_align // g.nt_per_chunk)
+    beams = verdicts.groupBy("beam_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), (F.max("active") + 2 - F.min("active")).alias("n"))
+    lost = F.greatest(F.lit(0), F.col("n") - consumed - config.ring_capacity)
+    second = beams.agg(total("hits").alias("count_assembler_hits"), total("misses").alias("count_assembler_misses"), total(lost).cast("long").alias("count_assembler_drops"), total("n").alias("count_assembler_queued"))
+    names = [*first.columns, *second.columns]
+    return first.unionByName(second, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
+
+
+def fpga_maxima(verdicts: DataFrame, counts_per_chunk: int, consumed: Column) -> DataFrame:
+    """(beam_id, max_fpga_flushed, max_fpga_retrieved) while a stream runs: chunks before the window are flushed; a consumer
+    has taken `consumed` of them (a column over beam_id and n, the flushed ones). 0 where there is none."""
+    df = verdicts.groupBy("beam_id").agg(F.max("active").alias("active"), F.min("active").alias("first")).withColumn("n", F.col("active") - F.col("first"))
+    taken = F.least(F.greatest(consumed, F.lit(0)), F.col("n"))
+    end = lambda n, at: F.when(n > 0, at * counts_per_chunk).otherwise(0).cast("long")
+    return df.select("beam_id", end(F.col("n"), F.col("active")).alias("max_fpga_flushed"), end(taken, F.col("first") + taken).alias("max_fpga_retrieved"))
+
+
 def bounds(packets: DataFrame, fpga: str = "fpga") -> DataFrame:
     """(beam_id, first_fpga, max_fpga)."""
     return packets.groupBy("beam_id").agg(F.min(fpga).alias("first_fpga"), F.max(fpga).alias("max_fpga"))

@@ -111,7 +111,20 @@ def contiguity(resident: DataFrame) -> DataFrame:
 
 
 def can_downsample(chunks: DataFrame) -> DataFrame:
-    """Neighbouring chunk pairs that may be merged: same beam and binning, consecutive, masks ready."""
+    """chunks(beam_id, ichunk, binning, nupfreq, nrfifreq, nt_per_packet, mask_ready) with whether each may be merged with its
+    beam's next one: consecutive, of the same shape, and with masks that are ready where there are any."""
     order = Window.partitionBy("beam_id", "binning").orderBy("ichunk")
-    df = chunks.withColumn("next", F.lead("ichunk").over(order)).withColumn("next_ready", F.lead("mask_ready").over(order))
-    return df.withColumn("mergeable", F.coalesce((F.col("next") == F.col("ichunk") + F.col("binning")) & F.col("mask_ready") & F.col("next_ready"), F.lit(False))).drop("next", "next_ready")
+    shape = F.struct("nupfreq", "nrfifreq", "nt_per_packet")
+    df = chunks.withColumn("_next", F.lead(F.struct("ichunk", shape.alias("shape"), "mask_ready")).over(order))
+    ready = (F.col("nrfifreq") == 0) | (F.col("mask_ready") & F.col("_next.mask_ready"))
+    fits = (F.col("_next.ichunk") == F.col("ichunk") + F.col("binning")) & (F.col("_next.shape") == shape) & ready
+    return df.withColumn("mergeable", F.coalesce(fits, F.lit(False))).drop("_next")
+
+
+def next_chunk(resident: DataFrame, beams: DataFrame, consumed: Column, counts_per_chunk: int) -> DataFrame:
+    """(beam_id, ichunk, fpga_begin, waiting): the oldest chunk at full resolution that each beam's consumer hasn't taken, and
+    how many wait; null where none does. What fell off the full-resolution level meanwhile is skipped."""
+    df = beams.select("beam_id", (F.col("first_ichunk") + consumed).alias("_from")).join(resident.filter("level = 0").select("beam_id", "ichunk"), "beam_id", "left")
+    waits = F.col("ichunk") >= F.col("_from")
+    df = df.groupBy("beam_id").agg(F.min(F.when(waits, F.col("ichunk"))).alias("ichunk"), F.count_if(waits).alias("waiting"))
+    return df.select("beam_id", "ichunk", (F.col("ichunk") * counts_per_chunk).alias("fpga_begin"), "waiting")

@@ -28,13 +28,15 @@ def time_axis(times: DataFrame, key: str, time: str, strict: bool = False, block
     df = axis.join(spans, key).select(key, block.alias("block"), "time").repartition(key, "block").distinct()
     inside = Window.partitionBy(key, "block").orderBy("time")
     earlier = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("local", F.row_number().over(inside) - 1).withColumn("previous", F.lag("time").over(inside))
 
-    ends = df.groupBy(key, "block").agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("last"))
-    ends = ends.select(key, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.max("last").over(earlier).alias("t_before"))
-    df = df.withColumn("local", F.row_number().over(inside) - 1).withColumn("previous", F.lag("time").over(inside)).join(ends, [key, "block"])
-    df = df.select(key, "block", "time", (F.col("n_before") + F.col("local")).cast("int").alias("it_file"), (F.col("time") - F.coalesce("previous", "t_before")).alias("step"))
-    least = df.groupBy(key).agg(F.min("step").alias("dt"))
-    df = df.join(least, key).withColumn("nstep", F.coalesce(F.floor(F.col("step") / F.col("dt") + 0.5), F.lit(0)).cast("long"))
+    ends = df.groupBy(key, "block").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first"), F.max("time").alias("last"), F.min(F.col("time") - F.col("previous")).alias("inner"))
+    ends = ends.select(key, "block", "first", "inner", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.max("last").over(earlier).alias("t_before"))
+    dt = F.min(F.least("inner", F.col("first") - F.col("t_before"))).over(Window.partitionBy(key))
+    ends = ends.select(key, "block", "n_before", "t_before", dt.alias("dt"))
+    df = df.join(ends, [key, "block"])
+    df = df.select(key, "block", "time", "dt", (F.col("n_before") + F.col("local")).cast("int").alias("it_file"), (F.col("time") - F.coalesce("previous", "t_before")).alias("step"))
+    df = df.withColumn("nstep", F.coalesce(F.floor(F.col("step") / F.col("dt") + 0.5), F.lit(0)).cast("long"))
 
     sums = df.groupBy(key, "block").agg(F.sum("nstep").alias("s"))
     sums = sums.select(key, "block", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s_before"))
@@ -46,14 +48,31 @@ def time_axis(times: DataFrame, key: str, time: str, strict: bool = False, block
     return df.select(key, "it_file", "time", "dt", "nstep", "it_logical")
 
 
+#: Rows that one array is exploded to, at most.
+EXPLODED = 4096
+
+
+def explode_range(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """df with a row for each whole number from first to last, in column `name`; none where last is below first. Ranges are
+    exploded block by block, so no array is longer than EXPLODED, or than the number of blocks."""
+    low, high = f"_{name}_low", f"_{name}_high"
+    df = df.withColumn(low, first.cast("long")).withColumn(high, last.cast("long")).filter(F.col(high) >= F.col(low))
+    df = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(high) - F.col(low)) / EXPLODED))))
+    begin = F.col(low) + F.col("_block") * EXPLODED
+    df = df.withColumn(name, F.explode(F.sequence(begin, F.least(F.col(high), begin + (EXPLODED - 1)))))
+    return df.drop(low, high, "_block")
+
+
 def fill_gaps(axis: DataFrame, values: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """(key, it_logical, value, present) on the dense axis, 0 where the file has a gap."""
-    dense = axis.groupBy(key).agg(F.max("it_logical").alias("last")).select(key, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("it_logical"))
-    places = axis.select(F.col(key).alias("_key"), F.col("time").alias("_time"), "it_logical")
-    timed = values.select(F.col(key).alias("_k"), F.col(time).cast("double").alias("_t"), F.col(value).alias("_v"))
-    placed = timed.join(places, (F.col("_k") == F.col("_key")) & (F.col("_t") == F.col("_time"))).groupBy(F.col("_k").alias(key), "it_logical").agg(F.sum("_v").alias(value))
-    joined = dense.join(placed, [key, "it_logical"], "left")
-    return joined.select(key, "it_logical", F.coalesce(value, F.lit(0.0)).alias(value), F.col(value).isNotNull().alias("present"))
+    """(key, it_logical, value, present) on the dense axis, 0 where the file has a gap.
+
+    Every row of the axis brings the gap before it along, so no dense axis has to be made and joined.
+    """
+    summed = values.groupBy(F.col(key).alias("_k"), F.col(time).cast("double").alias("_t")).agg(F.sum(value).alias("_v"))
+    placed = axis.join(summed, (F.col(key) == F.col("_k")) & (F.col("time") == F.col("_t")), "left").select(key, "nstep", F.col("it_logical").alias("_at"), "_v")
+    dense = explode_range(placed, F.col("_at") - F.greatest(F.col("nstep"), F.lit(1)) + 1, F.col("_at"), "it_logical")
+    found = F.when(F.col("it_logical") == F.col("_at"), F.col("_v"))
+    return dense.select(key, "it_logical", F.coalesce(found, F.lit(0.0)).alias(value), found.isNotNull().alias("present"))
 
 
 def unpolarized(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,33 +115,37 @@ def frequency_axis(spark, nfreq: int, f0_mhz: float, f1_mhz: float) -> DataFrame
     return spark.range(nfreq).select(F.col("id").alias("ifreq"), f.alias("freq_hz"))
 
 
-def check_frequencies(axis: DataFrame) -> DataFrame:
-    """One row: (nfreq, lo_mhz, hi_mhz, increasing, even); the upper end is one channel beyond the last."""
-    n, first, last = axis.agg(F.count(F.lit(1)), F.min_by("freq_hz", "ifreq"), F.max_by("freq_hz", "ifreq")).first()
-    first, last = first or 0.0, last or 0.0
-    step = (last - first) / max(1, n - 1)
-    gap = F.abs(F.col("freq_hz") - F.lit(first) - F.col("ifreq") * F.lit(step))
-    ends = (first, last + step)
-    even = F.lit(n >= 2 and first != last) & (F.col("gap") <= 1e-6 * abs(last - first))
-    return axis.agg(F.max(gap).alias("gap")).select(
-        F.lit(n).cast("long").alias("nfreq"), F.lit(min(ends) / 1e6).alias("lo_mhz"), F.lit(max(ends) / 1e6).alias("hi_mhz"), F.lit(last > first).alias("increasing"), F.coalesce(even, F.lit(False)).alias("even")
+def check_frequencies(axis: DataFrame, *keys: str) -> DataFrame:
+    """A row for each of the keys, or one: (nfreq, lo_mhz, hi_mhz, increasing, even); the upper end is one channel beyond the
+    last. A frequency axis has some thousands of channels at most, so each is one array."""
+    df = axis.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ifreq", "freq_hz"))).alias("f"))
+    first, last = (F.coalesce(F.try_element_at("f", F.lit(i))["freq_hz"], F.lit(0.0)) for i in (1, -1))
+    df = df.select(*keys, "f", F.size("f").cast("long").alias("nfreq"), first.alias("first"), last.alias("last"))
+    df = df.withColumn("step", (F.col("last") - F.col("first")) / F.greatest(F.lit(1), F.col("nfreq") - 1))
+    gap = F.array_max(F.transform("f", lambda x: F.abs(x["freq_hz"] - F.col("first") - x["ifreq"] * F.col("step"))))
+    even = (F.col("nfreq") >= 2) & (F.col("first") != F.col("last")) & (gap <= 1e-6 * F.abs(F.col("last") - F.col("first")))
+    beyond = F.col("last") + F.col("step")
+    return df.select(
+        *keys, "nfreq", (F.least("first", beyond) / 1e6).alias("lo_mhz"), (F.greatest("first", beyond) / 1e6).alias("hi_mhz"), (F.col("last") > F.col("first")).alias("increasing"), F.coalesce(even, F.lit(False)).alias("even")
     )
 
 
-def check_polarisations(axis: DataFrame) -> DataFrame:
-    """One row: whether there are one or two polarisations, XX or YY, none twice."""
-    df = axis.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pol").alias("distinct"), F.count_if(~F.col("pol").isin("XX", "YY")).alias("other"))
-    return df.select("n", (F.col("n").between(1, 2) & (F.col("n") == F.col("distinct")) & (F.col("other") == 0)).alias("sound"))
+def check_polarisations(axis: DataFrame, *keys: str) -> DataFrame:
+    """A row for each of the keys, or one: whether there are one or two polarisations, XX or YY, none twice."""
+    df = axis.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pol").alias("distinct"), F.count_if(F.coalesce(~F.col("pol").isin("XX", "YY"), F.lit(True))).alias("other"))
+    return df.select(*keys, "n", (F.col("n").between(1, 2) & (F.col("n") == F.col("distinct")) & (F.col("other") == 0)).alias("sound"))
 
 
 def check_appends(appends: DataFrame, key: str, dt: float) -> DataFrame:
-    """appends(key, seq, ipos, nt, t0) with a status: overlap, drift beyond a hundredth of dt, or ok."""
+    """appends(key, seq, ipos, nt, t0) with a status: overlap, drift beyond a hundredth of dt, or ok. A null t0 is taken
+    from the series' first append, which must have one, and ipos."""
     order = Window.partitionBy(key).orderBy("seq")
-    first = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = appends.withColumn("end_before", F.lag(F.col("ipos") + F.col("nt")).over(order))
     expected = F.first("t0").over(first) + (F.col("ipos") - F.first("ipos").over(first)) * dt
-    status = F.when(F.col("ipos") < F.col("end_before"), "overlap").when(F.abs(F.col("t0") - expected) > 0.01 * dt, "drift").otherwise("ok")
-    return df.withColumn("status", status)
+    df = df.withColumn("t0", F.coalesce("t0", expected)).withColumn("_expected", expected)
+    status = F.when(F.col("ipos") < F.col("end_before"), "overlap").when(F.abs(F.col("t0") - F.col("_expected")) > 0.01 * dt, "drift").otherwise("ok")
+    return df.withColumn("status", status).drop("_expected")
 
 
 def append_intensity(samples: DataFrame, appends: DataFrame, path: str, key: str, dt: float) -> None:
