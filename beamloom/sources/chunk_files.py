@@ -6,14 +6,19 @@ LZ4-compressed behind its length (4 bytes, big-endian); a rest of fewer than 8 b
 
 from __future__ import annotations
 
+import os
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import opened, put_file
+
 BLOCK = 8192
 # The title and the order of the items of chunk files.
 TITLE = "assembled_chunk in msgpack format"
@@ -174,15 +179,81 @@ def parse_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def read_chunk_files(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of all chunk files below a path."""
-    return parse_payloads(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), "content")
+    """Chunks of all chunk files below a path; other files have other endings."""
+    return parse_payloads(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.msg*").load(path), "content")
 
 
-def write_chunk_files(chunks: DataFrame, path: str, compress: bool = False) -> None:
+def write_chunk_table(chunks: DataFrame, path: str, compress: bool = False) -> None:
     """Chunk files as rows of a Parquet table by beam; Spark's commit protocol makes them appear at once or not at all."""
     chunk_payloads(chunks, compress).write.partitionBy("beam_id").option("compression", "none").parquet(path)
 
 
+STATUS = "status string, nbytes long"
+
+
+def _carried(rows: DataFrame, path: str, data: str, work) -> DataFrame:
+    """rows(filename, data, ...) with the status and bytes of work(files, file path, data) for each."""
+    kept = [c for c in rows.columns if c != data]
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(batches):
+        files, root = opened(path)
+        for batch in batches:
+            done = [work(files, f"{root}/{name.lstrip('/')}", value, root) for name, value in zip(batch.column("filename").to_pylist(), batch.column(data).to_pylist())]
+            status = pa.array(["SUCCEEDED" if n is not None else "FAILED" for n in done], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), status, pa.array([n or 0 for n in done], pa.int64())], names=[*kept, "status", "nbytes"])
+
+    return rows.mapInArrow(run, f"{fields}, {STATUS}")
+
+
+def _write(files, target: str, payload: bytes, root: str) -> int | None:
+    return len(payload) if put_file(files, target, payload) else None
+
+
+def _link(files, target: str, source: str, root: str) -> int | None:
+    """A hard link on a local file system; elsewhere a copy."""
+    source = f"{root}/{source.lstrip('/')}"
+    if isinstance(files, fs.LocalFileSystem) and not os.path.exists(target):
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        os.link(source, target)
+        return os.path.getsize(target)
+    with files.open_input_stream(source) as f:
+        data = f.read()
+    return _write(files, target, data, root)
+
+
+def write_chunk_files(payloads: DataFrame, path: str) -> DataFrame:
+    """Each of payloads(filename, payload, ...) as a file below path, which read_chunk_files() reads: (..., status, nbytes).
+
+    A file appears under its name when it is whole. One that exists with other bytes stays and its request has FAILED; with
+    the same bytes it has SUCCEEDED, so tasks can be run again. The files are there when this returns; the statuses are a
+    table below path.
+    """
+    log = f"{path.rstrip('/')}/_status-{uuid.uuid4().hex}"
+    _carried(payloads, path, "payload", _write).write.parquet(log)
+    return payloads.sparkSession.read.parquet(log)
+
+
+def carry_out(planned: DataFrame, payloads: DataFrame, chunk: Sequence[str], path: str) -> DataFrame:
+    """Carry out planned(filename, device_name, action, chunk...) writes of payloads(chunk..., payload) below path.
+
+    Written files come first, then links to the file that the same device has of the chunk; skipped ones share the status
+    of what they repeat. Returns planned's columns with status and nbytes, once all is done.
+    """
+    keys = [*chunk, "device_name"]
+    writes = planned.filter("action = 'write'").join(payloads.select(*chunk, "payload"), list(chunk))
+    done = write_chunk_files(writes, path)
+    first = done.select(*keys, F.col("filename").alias("_source"), F.col("status").alias("_status"), F.col("nbytes").alias("_nbytes"))
+    log = f"{path.rstrip('/')}/_status-{uuid.uuid4().hex}"
+    links = planned.filter("action = 'link'").join(first.filter("_status = 'SUCCEEDED'"), keys).drop("_status", "_nbytes")
+    _carried(links, path, "_source", _link).write.parquet(log)
+    linked = planned.sparkSession.read.parquet(log)
+    rest = planned.filter("action <> 'write'").join(linked.select("filename", *keys), ["filename", *keys], "left_anti").join(first.drop("_source"), keys, "left")
+    rest = rest.select(*planned.columns, F.when(F.col("action") == "skip", F.coalesce("_status", F.lit("FAILED"))).otherwise("FAILED").alias("status"), F.coalesce("_nbytes", F.lit(0)).alias("nbytes"))
+    columns = [*planned.columns, "status", "nbytes"]
+    return done.select(*columns).unionByName(linked.select(*columns)).unionByName(rest.select(*columns))
+
+
 def bitshuffle_column(df: DataFrame, column: str = "data") -> DataFrame:
     """df with `packed`, the column's bitshuffle-LZ4 form, and `restored`, what that unpacks to."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

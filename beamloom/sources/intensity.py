@@ -1,10 +1,14 @@
-"""Intensity files as Parquet, and generated test acquisitions."""
+"""Intensity files as Parquet: reading with their axes checked, acquisitions of many files, generated ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.timeseries import _assert, check_frequencies, check_polarisations, check_weights, time_axis
+
 PER_FILE = 16384
 
 
@@ -14,6 +18,38 @@ def read_intensity(spark: SparkSession, path: str) -> DataFrame:
     return df.select("file", "ifreq", "pol", "it_file", F.col("time").cast("double"), F.col("intensity").cast("float"), F.col("weight").cast("float"))
 
 
+def checked_intensity(data: DataFrame, freqs: DataFrame) -> DataFrame:
+    """data as read_intensity() gives it with `it_logical`, its place on its file's time axis without gaps.
+
+    Running it is an error where a file's frequencies(file, ifreq, freq_hz) aren't at least two evenly spaced ones, its
+    polarisations aren't one or two of XX and YY, its times are uneven, or a weight is negative.
+    """
+    sound = check_frequencies(freqs, "file").select("file", "even").join(check_polarisations(data.select("file", "pol").distinct(), "file").select("file", "sound"), "file", "full")
+    ok = _assert(F.coalesce("even", F.lit(False)), "uneven or missing frequencies") & _assert(F.coalesce("sound", F.lit(False)), "odd polarisations")
+    files = data.select("file").distinct().join(sound, "file", "left").filter(ok).select("file")
+    times = time_axis(data.select("file", "time"), "file", "time", strict=True).select("file", "time", "it_logical")
+    return check_weights(data).join(files, "file").join(times, ["file", "time"])
+
+
+def read_acquisition(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of an acquisition, which are named by eight digits, one after the other in the order of their names, with
+    `it_global`, the place of a time over all files. Bases are sums over files, so no sort spans them."""
+    data = read_intensity(spark, folder).filter(F.col("file").rlike(r"^[0-9]{8}[^0-9]?"))
+    sizes = data.groupBy("file").agg((F.max("it_file") + 1).alias("nt"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    bases = sizes.select("file", F.coalesce(F.sum("nt").over(earlier), F.lit(0)).alias("base"))
+    return data.join(bases, "file").withColumn("it_global", F.col("base") + F.col("it_file")).drop("base")
+
+
+def time_chunks(data: DataFrame, ntime: int, index: str = "it_global") -> Iterator[DataFrame]:
+    """A cursor: data of `ntime` times after the other, the last with what is left. Each is a filter on the index."""
+    if ntime <= 0:
+        raise ValueError("a chunk needs times")
+    end = data.agg(F.max(index)).first()[0]
+    for at in range(0, 0 if end is None else end + 1, ntime):
+        yield data.filter((F.col(index) >= at) & (F.col(index) < at + ntime))
+
+
 def acquisition(spark: SparkSession, nfreq: int = 128, npol: int = 2, nt: int = 1000, dt: float = 512 * 2048 / 800e6, tsys: float = 25.0, seed: int = 0) -> DataFrame:
     """Gaussian noise around a system temperature, every sample with full weight."""
     df = spark.range(nfreq * npol * nt).withColumn("noise", F.randn(seed))

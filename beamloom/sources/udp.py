@@ -7,20 +7,23 @@ with options ip, port, folder. End-of-stream packets are kept; downstream classi
 
 from __future__ import annotations
 
-import os
 import socket
 import threading
 import time
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import feather
+import pyarrow.ipc
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from .shared import opened, put_file
+
 SCHEMA = "arrival_seq bigint, recv_us bigint, sender_ip bigint, sender_port int, payload binary"
 
 FIELDS = tuple(part.split()[0] for part in SCHEMA.split(", "))
+TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
 
 def ip_number(text: str) -> int:
@@ -28,30 +31,35 @@ def ip_number(text: str) -> int:
 
 
 class PacketLog:
-    """Part files of packets, named by their first row; a file appears by renaming and never changes."""
+    """Part files of packets, named by their first row, in a folder that driver and executors share, on any file system that
+    Arrow knows; a file appears by renaming and never changes."""
 
     def __init__(self, folder: str):
-        self.folder = folder
-        os.makedirs(folder, exist_ok=True)
+        self.files, self.folder = opened(folder)
+        self.files.create_dir(self.folder, recursive=True)
         self.next = max((first + n for first, n in self.parts()), default=0)
 
     def parts(self) -> list[tuple[int, int]]:
-        names = [f.removesuffix(".part").split("-") for f in os.listdir(self.folder) if f.endswith(".part")]
+        names = [f.base_name.removesuffix(".part").split("-") for f in self.files.get_file_info(fs.FileSelector(self.folder)) if f.base_name.endswith(".part")]
         return sorted((int(a), int(b)) for a, b in names)
 
     def append(self, packets: list[tuple]) -> None:
         if packets:
-            rows = [(self.next + i, *p) for i, p in enumerate(packets)]
-            path = f"{self.folder}/{self.next:020d}-{len(rows)}.part"
-            feather.write_feather(pa.table(dict(zip(FIELDS, map(list, zip(*rows))))), f"{path}.tmp")
-            os.rename(f"{path}.tmp", path)
-            self.next += len(rows)
-
-    def read(self, start: int, end: int) -> Iterator[tuple]:
+            columns = [range(self.next, self.next + len(packets)), *zip(*packets)]
+            batch = pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, TYPES)], names=FIELDS)
+            with pa.BufferOutputStream() as out:
+                with pa.ipc.new_file(out, batch.schema) as f:
+                    f.write(batch)
+                put_file(self.files, f"{self.folder}/{self.next:020d}-{len(packets)}.part", out.getvalue().to_pybytes())
+            self.next += len(packets)
+
+    def read(self, start: int, end: int) -> Iterator[pa.RecordBatch]:
         for first, n in self.parts():
             if first < end and first + n > start:
-                rows = feather.read_table(f"{self.folder}/{first:020d}-{n}.part").to_pylist()
-                yield from (tuple(r.values()) for r in rows if start <= r["arrival_seq"] < end)
+                with self.files.open_input_file(f"{self.folder}/{first:020d}-{n}.part") as f, pa.ipc.open_file(f) as parts:
+                    whole = parts.get_batch(0)
+                low, high = max(start - first, 0), min(end - first, n)
+                yield whole.slice(low, high - low)
 
 
 def receive(sock: socket.socket, log: PacketLog, stopped: threading.Event, most: int = 16384, most_bytes: int = 8 << 20, timeout: float = 0.25) -> None:
@@ -101,7 +109,7 @@ class _Reader(DataSourceStreamReader):
         step = max(1, -(-(end["row"] - start["row"]) // 8))
         return [_Range(at, min(at + step, end["row"])) for at in range(start["row"], end["row"], step)]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         return PacketLog(self.folder).read(partition.start, partition.end)
 
     def stop(self) -> None:

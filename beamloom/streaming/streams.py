@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.assembly import first_window, watermark_chunks
+from ..operators.assembly import first_window, watermark_chunks, window_path
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Set the state store of the session's later queries to one with column families."""
+    spark.conf.set(STORE_SETTING, STATE_STORE)
+
+
 class StrictAssembler(StatefulProcessor):
     """Per beam, the active window carries over from batch to batch; state is one number."""
 
@@ -27,24 +35,20 @@ class StrictAssembler(StatefulProcessor):
         held = self.active.get() if self.active.exists() else None
         active = held[0] if held is not None else None
         frame = pd.concat(list(rows)).sort_values(["arrival", "event_id"], kind="stable")
-        at, hits = [], []
-        for p in frame["packet_chunk"].tolist():
-            if active is None:
-                active = first_window(p, self.align)
-            if p >= active + 2:
-                active += 1
-            at.append(active)
-            hits.append(active <= p <= active + 1)
+        chunks = frame["packet_chunk"].to_numpy()
+        at, active = window_path(chunks, first_window(int(chunks[0]), self.align) if active is None else active)
         self.active.update((int(active),))
-        yield pd.DataFrame({"beam_id": key[0], "event_id": frame["event_id"].to_numpy(), "packet_chunk": frame["packet_chunk"].to_numpy(), "active": at, "hit": hits})
+        yield pd.DataFrame({"beam_id": key[0], "event_id": frame["event_id"].to_numpy(), "packet_chunk": chunks, "active": at, "hit": (chunks >= at) & (chunks <= at + 1)})
 
     def close(self) -> None:
         pass
 
 
 def assemble_stream(packets: DataFrame, align_chunks: int = 0) -> DataFrame:
-    """Verdicts of a stream of packets(beam_id, event_id, arrival, packet_chunk); rows of a batch go by arrival."""
-    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """Verdicts of a stream of packets(beam_id, event_id, arrival, packet_chunk); rows of a batch go by arrival. The session
+    needs a state store with column families: use_state_store(spark)."""
+    if packets.sparkSession.conf.get(STORE_SETTING) != STATE_STORE:
+        raise ValueError(f"set {STORE_SETTING} to {STATE_STORE}")
     needed = packets.select("beam_id", "event_id", "arrival", "packet_chunk")
     return needed.groupBy("beam_id").transformWithStateInPandas(
         StrictAssembler(align_chunks), outputStructType="beam_id int, event_id long, packet_chunk long, active long, hit boolean", outputMode="Append", timeMode="None"

@@ -40,7 +40,7 @@ def test_chunk_files(spark, tmp_path):
     (tmp_path / "old.msg").write_bytes(old)
     got = cf.read_chunk_files(spark, str(tmp_path)).collect()
     assert len(got) == 6 and sorted(bytes(r.data) for r in got) == sorted([c["data"] for c in chunks] + [chunks[0]["data"]])
-    cf.write_chunk_files(spark.createDataFrame(got, cf.CHUNK), f"{tmp_path}/out", compress=True)
+    cf.write_chunk_table(spark.createDataFrame(got, cf.CHUNK), f"{tmp_path}/out", compress=True)
     again = cf.parse_payloads(spark.read.parquet(f"{tmp_path}/out"))
     assert sorted(map(str, again.collect())) == sorted(map(str, got))
     with pytest.raises(ValueError):

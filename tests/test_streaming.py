@@ -17,6 +17,9 @@ def test_strict_stream_equals_batch(spark, tmp_path):
     for part in range(3):  # each file a batch; arrival order continues over batches
         df.filter((F.col("arrival") >= part * 20) & (F.col("arrival") < part * 20 + 20)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    with pytest.raises(ValueError):
+        streams.assemble_stream(stream)
+    streams.use_state_store(spark)
     query = streams.assemble_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = {(r.event_id, r.active, r.hit) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
