@@ -99,6 +99,43 @@ beams AS (SELECT beam_id, min(ichunk) AS first_ichunk, max(ichunk) - min(ichunk)
   FROM bounded b JOIN used USING (beam_id) WHERE fpga_end > 5 * 393216 AND fpga_begin <= 38 * 393216
 )"""
 
+RECEIVED = f"""
+cells AS (
+  SELECT CAST(vec_id % 2 AS INTEGER) AS beam_id, vec_id // 2 AS n, CAST((i - 1) // 16 AS INTEGER) AS coarse, CAST((i - 1) % 16 AS INTEGER) AS j, CAST(x AS DOUBLE) AS intensity, 1e0 AS weight
+  FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+), {encode('cells', 'beam_id, n, coarse', 'sent').strip()
+}, received AS (
+  SELECT beam_id, coarse, coarse * 2 + j // 8 AS ifreq, n * 8 + j % 8 AS isample,
+         CASE WHEN beam_id = 1 AND coarse = 3 AND j >= 8 AND (n % 13 = 5 OR n % 11 = 3) THEN 1 ELSE byte END AS byte,
+         CAST(CAST(scale AS FLOAT) AS DOUBLE) AS scale, CAST(CAST("offset" AS FLOAT) AS DOUBLE) AS "offset"
+  FROM sent
+)"""
+
+PAYLOADS = """
+numbers AS (SELECT DISTINCT vec_id // 2 AS n FROM embeddings
+), payloads AS (
+  SELECT n * 4 AS arrival_seq, 228 AS nbytes, 1 AS version, 'good' AS packet_class, n FROM numbers
+  UNION ALL SELECT n * 4 + 2, CASE WHEN n % 11 = 3 AND n % 13 <> 5 THEN 227 ELSE 228 END, CASE WHEN n % 13 = 5 THEN 2 ELSE 1 END,
+    CASE WHEN n % 13 = 5 OR n % 11 = 3 THEN 'bad' WHEN n % 7 = 2 THEN 'beam_id_mismatch' ELSE 'good' END, n FROM numbers
+  UNION ALL SELECT n * 4 + 3, 24, 1, 'end_of_stream', NULL FROM numbers WHERE n % 10 = 0
+)"""
+
+
+def tile_pairs(source: str, name: str) -> str:
+    """pairs() for tiles of two fine channels and eight times."""
+    found = pairs(source, name).replace("beam_id, ifreq, isample // 32 AS tile", "beam_id, ifreq, ifreq // 2 AS coarse, isample // 16 AS tile").replace("isample // 32", "isample // 16")
+    return found.replace("PARTITION BY beam_id, ifreq, tile", "PARTITION BY beam_id, coarse, tile").replace("SELECT beam_id, ifreq, isample, CASE", "SELECT beam_id, ifreq, coarse, tile, isample, CASE")
+
+
+FOLD = """
+o AS (SELECT beam_id, packet_chunk AS p, row_number() OVER (PARTITION BY beam_id ORDER BY arrival, event_id) AS k FROM telemetry),
+fold AS (
+  SELECT beam_id, k, p AS active, 1 AS hits, 0 AS misses FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.beam_id, o.k, a, hits + CASE WHEN p BETWEEN a AND a + 1 THEN 1 ELSE 0 END, misses + CASE WHEN p BETWEEN a AND a + 1 THEN 0 ELSE 1 END
+  FROM (SELECT o.beam_id, o.k, o.p, f.hits, f.misses, CASE WHEN o.p >= f.active + 2 THEN f.active + 1 ELSE f.active END AS a FROM fold f JOIN o ON o.beam_id = f.beam_id AND o.k = f.k + 1) o
+)"""
+
 RATES = "rates AS (SELECT us // 3600000000 * 3600000000 AS start_us, sender, count(*) AS n FROM telemetry GROUP BY 1, 2)"
 
 CHUNKS = """
@@ -113,7 +150,7 @@ REQUESTS = """
 requests AS (
   SELECT o_orderkey AS request_id, CAST(o_custkey % 8 AS INTEGER) AS beam_id, o_custkey % 40 AS ichunk, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS priority,
          o_orderkey % 3 = 0 AS need, o_orderkey % 2 = 0 AS has, o_orderkey % 4 <> 0 AS attempted, o_orderkey % 37 = 0 AS exists_already, o_custkey % 40 * 393216 AS fpga_begin,
-         printf('%s/b%d/c%d_%d.msg', ['/dev0', '/dev1', '/frb'][1 + o_orderkey % 3], o_custkey % 8, o_custkey % 40, o_orderkey % 2) AS filename
+         printf('%s/b%d/c%d_%d.msg', ['/dev0', '/dev1', '/dev9'][1 + o_orderkey % 3], o_custkey % 8, o_custkey % 40, o_orderkey % 2) AS filename
   FROM orders
 ), routed AS (SELECT *, CASE WHEN starts_with(filename, '/dev0') THEN '/dev0' WHEN starts_with(filename, '/dev1') THEN '/dev1' END AS device_name FROM requests
 ), ranked AS (
@@ -148,8 +185,21 @@ VEC = encode("vectors", "beam_id, ifreq, it", "venc")
 ORACLES: dict[str, str] = {
     "q01_chunk_key": f"{_t(TELEMETRY, CHUNKS)} SELECT * FROM chunks",
     "q02_packet_classify": f"{_t(HEADERS)} SELECT l_orderkey, l_linenumber, nbytes, packet_class FROM classed",
-    "q03_event_counters": f"""{_t(HEADERS)} SELECT CAST(sum(nbytes) AS BIGINT) AS count_bytes_received, count(*) AS count_packets_received,
-        {', '.join(f"count(*) FILTER (packet_class = '{c}') AS count_packets_{c}" for c in ('good', 'bad', 'end_of_stream', 'stream_mismatch', 'beam_id_mismatch'))} FROM classed""",
+    "q03_event_counters": f"""{_t(HEADERS)}, judged AS (SELECT *, l_orderkey * 8 + l_linenumber AS arrival, l_orderkey % 97 = 0 AS dropped FROM classed),
+        kept AS (SELECT * FROM judged WHERE NOT dropped), good AS (SELECT *, [(l_suppkey + 1) % 9, (l_suppkey + 2) % 9] AS beams FROM kept WHERE packet_class IN ('good', 'beam_id_mismatch')),
+        parts AS (SELECT arrival, fpga_count // 384 // 1024 AS p, unnest(beams) AS beam_id FROM good),
+        folded AS (
+          SELECT beam_id, min_by(p, (arrival, p)) AS first, list_reduce(list({{'a': p, 'h': 1, 'm': 0}} ORDER BY arrival, p), lambda x, y: {{
+            'a': CASE WHEN y.a >= x.a + 2 THEN x.a + 1 ELSE x.a END,
+            'h': x.h + CASE WHEN y.a BETWEEN x.a + (CASE WHEN y.a >= x.a + 2 THEN 1 ELSE 0 END) AND x.a + 1 + (CASE WHEN y.a >= x.a + 2 THEN 1 ELSE 0 END) THEN 1 ELSE 0 END,
+            'm': x.m + CASE WHEN y.a BETWEEN x.a + (CASE WHEN y.a >= x.a + 2 THEN 1 ELSE 0 END) AND x.a + 1 + (CASE WHEN y.a >= x.a + 2 THEN 1 ELSE 0 END) THEN 0 ELSE 1 END}}) AS s
+          FROM parts WHERE beam_id IN (1, 2) GROUP BY beam_id
+        ), beams AS (SELECT beam_id, s.h, s.m, s.a + 2 - first AS n FROM folded)
+        SELECT (SELECT CAST(sum(nbytes) AS BIGINT) FROM judged) AS count_bytes_received, (SELECT count(*) FROM judged) AS count_packets_received, (SELECT count(*) FROM good) AS count_packets_good,
+          (SELECT count(*) FROM kept WHERE packet_class = 'bad') AS count_packets_bad, (SELECT count(*) FROM judged WHERE dropped) AS count_packets_dropped,
+          (SELECT count(*) FROM kept WHERE packet_class = 'end_of_stream') AS count_packets_endofstream, (SELECT count(*) FROM parts WHERE beam_id NOT IN (1, 2)) AS count_beam_id_mismatch,
+          (SELECT count(*) FROM kept WHERE packet_class = 'stream_mismatch') AS count_stream_mismatch, CAST(sum(h) AS BIGINT) AS count_assembler_hits, CAST(sum(m) AS BIGINT) AS count_assembler_misses,
+          CAST(sum(greatest(0, n - (n - 3 * beam_id - 6) - 8)) AS BIGINT) AS count_assembler_drops, CAST(sum(n) AS BIGINT) AS count_assembler_queued FROM beams""",
     "q04_encode_stats": f"""{_t(TELEMETRY, ENC)} SELECT DISTINCT beam_id, freq, ichunk, n_good, round(CASE WHEN n_good > 0 THEN mean END, 6) AS mean, round(var, 6) AS var,
         round(scale, 6) AS scale, round("offset", 6) AS "offset" FROM enc""",
     "q05_encode_bytes": f'{_t(TELEMETRY, ENC)} SELECT event_id, {TILE}, byte, round(scale, 6) AS scale, round("offset", 6) AS "offset" FROM enc',
@@ -178,13 +228,7 @@ ORACLES: dict[str, str] = {
         e AS (SELECT count(*) AS nfreq, min_by(hz, i) AS a, max_by(hz, i) AS b FROM f), s AS (SELECT *, (b - a) / (nfreq - 1) AS step FROM e),
         g AS (SELECT max(abs(hz - a - i * step) / abs(b - a)) AS gap FROM f, s)
         SELECT nfreq, round(least(a, b + step) / 1e6, 6) AS lo_mhz, round(greatest(a, b + step) / 1e6, 6) AS hi_mhz, b > a AS increasing, nfreq >= 2 AND gap <= 1e-6 AS even FROM s, g""",
-    "q19_assemble_strict": f"""{_recursive(TELEMETRY)}, o AS (SELECT beam_id, packet_chunk AS p, row_number() OVER (PARTITION BY beam_id ORDER BY arrival, event_id) AS k FROM telemetry),
-        fold AS (
-          SELECT beam_id, k, p AS active, 1 AS hits, 0 AS misses FROM o WHERE k = 1
-          UNION ALL
-          SELECT o.beam_id, o.k, a, hits + CASE WHEN p BETWEEN a AND a + 1 THEN 1 ELSE 0 END, misses + CASE WHEN p BETWEEN a AND a + 1 THEN 0 ELSE 1 END
-          FROM (SELECT o.beam_id, o.k, o.p, f.hits, f.misses, CASE WHEN o.p >= f.active + 2 THEN f.active + 1 ELSE f.active END AS a FROM fold f JOIN o ON o.beam_id = f.beam_id AND o.k = f.k + 1) o
-        )
+    "q19_assemble_strict": f"""{_recursive(TELEMETRY, FOLD)}
         SELECT beam_id, max(active) AS active, CAST(max(hits) AS BIGINT) AS hits, CAST(max(misses) AS BIGINT) AS misses, (max(active) + 2) * 393216 AS final_fpga FROM fold GROUP BY beam_id""",
     "q20_assemble_last_write_wins": f"{_t(TELEMETRY)} SELECT beam_id, freq, ichunk, it_coarse, arg_max(intensity, (arrival, event_id)) AS intensity FROM telemetry GROUP BY beam_id, freq, ichunk, it_coarse",
     "q21_first_fpga": f"{_t(TELEMETRY)} SELECT beam_id, min(fpga) AS first_fpga FROM telemetry GROUP BY beam_id",
@@ -200,12 +244,13 @@ ORACLES: dict[str, str] = {
         SELECT w.beam_id, w.fpga_begin, ichunk, binning, CASE WHEN ichunk IS NOT NULL THEN 'found' WHEN w.fpga_begin >= e THEN 'past' ELSE 'gone' END AS status
         FROM wanted w JOIN ends USING (beam_id) LEFT JOIN found f ON f.beam_id = w.beam_id AND f.fpga_begin = w.fpga_begin""",
     "q27_drops": f"{_t(TELEMETRY, BEAMS)} SELECT beam_id, n, n // (2 + beam_id) AS consumed, greatest(0, n - n // (2 + beam_id) - 8) AS dropped FROM beams",
-    "q28_contiguity": f"{_t(TELEMETRY)} SELECT DISTINCT beam_id, CAST(0 AS BIGINT) AS breaks FROM telemetry",
+    "q28_contiguity": f"""{_t(TELEMETRY)}, c AS (SELECT DISTINCT beam_id, ichunk FROM telemetry WHERE sender % 48 = beam_id),
+        d AS (SELECT *, lead(ichunk) OVER (PARTITION BY beam_id ORDER BY ichunk) AS next_ichunk FROM c) SELECT * FROM d WHERE next_ichunk <> ichunk + 1""",
     "q29_rates_per_period": f"{_t(TELEMETRY, RATES)} SELECT * FROM rates",
     "q30_rate_diff": f"{_t(TELEMETRY, RATES)} SELECT start_us AS t, sender, CAST(sum(n) OVER (PARTITION BY sender ORDER BY start_us) AS BIGINT) AS total, n AS delta FROM rates",
     "q31_rate_range_sum": f"""{_t(TELEMETRY, RATES)}, inside AS (SELECT * FROM rates WHERE start_us BETWEEN 360000000000 AND 1080000000000)
         SELECT sender, CAST(sum(n) AS BIGINT) AS n, (SELECT count(DISTINCT start_us) * 3600000000 FROM inside) AS period_us FROM inside GROUP BY sender""",
-    "q32_rate_asof": f"""{_t(TELEMETRY, RATES)}, history AS (SELECT start_us, CAST(sum(n) AS BIGINT) AS n FROM rates WHERE start_us // 3600000000 % 5 = 0 GROUP BY start_us)
+    "q32_rate_asof": f"""{_t(TELEMETRY, RATES)}, history AS (SELECT start_us, CAST(sum(n) AS BIGINT) AS n FROM rates GROUP BY start_us)
         SELECT t.us AS probe_us, h.start_us, h.n FROM telemetry t ASOF LEFT JOIN history h ON t.us >= h.start_us""",
     "q33_bounded_history": f"{_t(TELEMETRY, RATES)} SELECT * FROM rates WHERE start_us IN (SELECT DISTINCT start_us FROM rates ORDER BY start_us DESC LIMIT 100)",
     "q34_sender_key": f"""{_t(TELEMETRY)}, k AS (SELECT DISTINCT sender, sender * 2654435761 % 4294967296 AS ip FROM telemetry)
@@ -232,10 +277,62 @@ ORACLES: dict[str, str] = {
     "q51_beam_snapshot_request": f"""{_t(TELEMETRY, BEAMS)}, w AS (SELECT * FROM (VALUES (0, 5), (1, 2), (2, 11), (3, 7)) v(position, beam_id)),
         c AS (SELECT beam_id, count(*) AS n_chunks, min(fpga_begin) AS fpga_first FROM snap GROUP BY beam_id)
         SELECT position, w.beam_id, coalesce(n_chunks, 0) AS n_chunks, fpga_first FROM w LEFT JOIN c USING (beam_id)""",
-    "q52_dense_chunks": f"""{_t(TELEMETRY)}, s AS (SELECT DISTINCT beam_id, ichunk FROM telemetry WHERE event_id % 40 = 0),
+    "q47_bitshuffle_roundtrip": "SELECT CAST(vec_id % 2 AS INTEGER) AS beam_id, 4 * count(*) AS tiles, 4 * count(*) AS equal, 64 * count(*) AS nbytes FROM embeddings GROUP BY vec_id % 2",
+    "q48_msgpack_roundtrip": "SELECT CAST(vec_id % 2 AS INTEGER) AS beam_id, 4 * count(*) AS tiles, 4 * count(*) AS equal FROM embeddings GROUP BY vec_id % 2",
+    "q49_packet_roundtrip": "SELECT CAST(vec_id % 2 AS INTEGER) AS beam_id, 4 * count(*) AS tiles, 4 * count(*) AS equal FROM embeddings GROUP BY vec_id % 2",
+    "q52_dense_chunks": f"""{_t(TELEMETRY)}, s AS (SELECT DISTINCT beam_id, ichunk FROM telemetry),
         e AS (SELECT beam_id, unnest(range(min(ichunk), max(ichunk) + 1)) AS ichunk FROM s GROUP BY beam_id)
         SELECT e.beam_id, e.ichunk, s.ichunk IS NOT NULL AS present FROM e LEFT JOIN s ON s.beam_id = e.beam_id AND s.ichunk = e.ichunk""",
+    "q69_dense_packet_chunks": f"""{_t(TELEMETRY)}, s AS (SELECT DISTINCT beam_id, packet_chunk AS ichunk FROM telemetry),
+        e AS (SELECT beam_id, unnest(range(min(ichunk), max(ichunk) + 1)) AS ichunk FROM s GROUP BY beam_id)
+        SELECT e.beam_id, e.ichunk, s.ichunk IS NOT NULL AS present FROM e LEFT JOIN s ON s.beam_id = e.beam_id AND s.ichunk = e.ichunk""",
+    "q70_chunk_files": f"""{_t(VECTORS.replace('vec_id % 5', 'vec_id % 2'), VEC)}, t AS (SELECT beam_id, it, string_agg(printf('%02X', byte), '' ORDER BY isample) AS data FROM venc GROUP BY beam_id, it)
+        SELECT beam_id, it * 6144 AS fpga_begin, CASE WHEN it % 3 = 0 THEN 2::BIGINT ELSE 1 END AS files, CASE WHEN it % 3 = 0 THEN 1::BIGINT ELSE 0 END AS links, CASE WHEN it % 3 = 0 THEN 2::BIGINT ELSE 1 END AS succeeded, data FROM t""",
     "q53_sender_counts": f"{_t(TELEMETRY)} SELECT sender, count(*) AS n FROM telemetry GROUP BY sender",
+    "q54_receive_path": f"""{_t(RECEIVED)} SELECT beam_id, ifreq, isample, byte, round(scale * byte + "offset", 6) AS decoded, CASE WHEN byte IN (0, 255) THEN 0e0 ELSE 1e0 END AS decoded_weight FROM received""",
+    "q55_received_counts": f"""{_t(PAYLOADS)} SELECT packet_class, count(*) AS packets, CAST(sum(nbytes) AS BIGINT) AS nbytes, max(CASE WHEN n IS NULL THEN 0 ELSE (n + 1) * 3072 END) AS max_fpga_seen
+        FROM payloads GROUP BY packet_class""",
+    "q56_received_pyramid": f"""{_t(RECEIVED, tile_pairs('received', 'd1'), tile_pairs('d1', 'd2'))}, levels AS (SELECT 2 AS binning, * FROM d1 UNION ALL SELECT 4, * FROM d2),
+        made AS (SELECT binning, beam_id, coarse, tile, max(scale) AS scale, max("offset") AS "offset" FROM levels GROUP BY 1, 2, 3, 4),
+        bytes AS (SELECT m.binning, m.beam_id, m.coarse, m.tile, string_agg(printf('%02X', coalesce(l.byte, 0)), '' ORDER BY j) AS data
+          FROM (SELECT *, unnest(range(16)) AS j FROM made) m LEFT JOIN levels l
+            ON l.binning = m.binning AND l.beam_id = m.beam_id AND l.ifreq = m.coarse * 2 + m.j // 8 AND l.isample = m.tile * 8 + m.j % 8 GROUP BY 1, 2, 3, 4)
+        SELECT CAST(binning AS INTEGER) AS binning, beam_id, CAST(coarse AS INTEGER) AS coarse_freq_id, tile, data, round(scale, 6) AS scale, round("offset", 6) AS "offset" FROM made JOIN bytes USING (binning, beam_id, coarse, tile)""",
+    "q57_fpga_maxima": f"""{_recursive(TELEMETRY, FOLD)}, b AS (SELECT beam_id, max(active) AS a, min(active) AS f, max(active) - min(active) AS n FROM fold GROUP BY beam_id),
+        t AS (SELECT *, least(greatest(n - 2 - beam_id % 3, 0), n) AS taken FROM b)
+        SELECT beam_id, CASE WHEN n > 0 THEN a * 393216 ELSE 0 END AS max_fpga_flushed, CASE WHEN taken > 0 THEN (f + taken) * 393216 ELSE 0 END AS max_fpga_retrieved FROM t""",
+    "q58_bounded_queue": f"""{_recursive(TELEMETRY)}, l AS (SELECT beam_id AS queue, event_id * 7 % 16 < 9 AS put, row_number() OVER (PARTITION BY beam_id ORDER BY arrival * 1000000 + event_id) AS k FROM telemetry),
+        walk AS (
+          SELECT queue, k, put, CASE WHEN put THEN 1 ELSE 0 END AS size, false AS dropped FROM l WHERE k = 1
+          UNION ALL
+          SELECT l.queue, l.k, l.put, CASE WHEN l.put THEN least(16, w.size + 1) ELSE greatest(0, w.size - 1) END, l.put AND w.size = 16 FROM walk w JOIN l ON l.queue = w.queue AND l.k = w.k + 1
+        )
+        SELECT queue, count(*) FILTER (put) AS lists, count(*) FILTER (dropped) AS dropped, CAST(max(size) AS BIGINT) AS longest, CAST(max_by(size, k) AS BIGINT) AS "left" FROM walk GROUP BY queue""",
+    "q59_can_downsample": f"""{_t(TELEMETRY, CHUNKS)}, c AS (SELECT beam_id, ichunk, 2 + ichunk // 20 % 2 AS u, CASE WHEN ichunk % 9 = 4 THEN 0 ELSE 16 END AS r, CASE WHEN ichunk % 17 = 3 THEN 8 ELSE 16 END AS t, n_samples % 5 > 0 AS ok FROM chunks),
+        d AS (SELECT *, lead(ichunk) OVER w AS ichunk2, lead(u) OVER w AS u2, lead(r) OVER w AS r2, lead(t) OVER w AS t2, lead(ok) OVER w AS ok2 FROM c WINDOW w AS (PARTITION BY beam_id ORDER BY ichunk))
+        SELECT beam_id, ichunk, coalesce(ichunk2 = ichunk + 1 AND u = u2 AND r = r2 AND t = t2 AND (r = 0 OR (ok AND ok2)), false) AS mergeable FROM d""",
+    "q60_inject_chunks": f"""{_t(TELEMETRY, CHUNKS)}, x AS (SELECT beam_id, ichunk + 20 AS ichunk, n_samples * 2 AS n_samples FROM chunks WHERE beam_id = 2)
+        SELECT beam_id, ichunk, n_samples FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.beam_id = c.beam_id AND x.ichunk = c.ichunk) UNION ALL SELECT * FROM x""",
+    "q61_polarisations": """WITH a AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS file, ['XX', 'YY', 'XY'][1 + o_orderkey % CASE WHEN o_custkey % 50 < 25 THEN 2 ELSE 3 END] AS pol FROM orders),
+        b AS (SELECT DISTINCT * FROM a UNION ALL (SELECT * FROM a WHERE file = 7 LIMIT 1))
+        SELECT file, count(*) AS n, count(*) BETWEEN 1 AND 2 AND count(*) = count(DISTINCT pol) AND count(*) FILTER (pol NOT IN ('XX', 'YY')) = 0 AS sound FROM b GROUP BY file""",
+    "q62_time_range": f"""{_t(TELEMETRY, AXIS)}, placed AS (SELECT a.beam_id, a.it_logical, sum(t.weight) AS weight FROM telemetry t JOIN axis a ON a.beam_id = t.beam_id AND a.time = t.tick GROUP BY 1, 2),
+        d AS (SELECT beam_id, unnest(range(1000, least(1500, max(it_logical) + 1))) AS it_logical FROM axis GROUP BY beam_id)
+        SELECT d.beam_id, d.it_logical, round(coalesce(weight, 0e0), 6) AS weight, weight IS NOT NULL AS present FROM d LEFT JOIN placed p ON d.beam_id = p.beam_id AND d.it_logical = p.it_logical""",
+    "q63_next_write": f"{_t(REQUESTS)} SELECT priority, fpga_begin, filename FROM requests WHERE NOT (need AND NOT has) ORDER BY priority DESC, fpga_begin, filename LIMIT 1",
+    "q64_get_chunk": f"""{_t(TELEMETRY, BEAMS)}, w AS (SELECT u.beam_id, r.ichunk FROM used u JOIN resident r ON r.beam_id = u.beam_id AND level = 0 AND r.ichunk >= u.first_ichunk + consumed)
+        SELECT u.beam_id, min(w.ichunk) AS ichunk, min(w.ichunk) * 393216 AS fpga_begin, count(w.ichunk) AS waiting FROM used u LEFT JOIN w USING (beam_id) GROUP BY u.beam_id""",
+    "q65_number_helpers": """WITH p AS (SELECT *, CAST(p_size AS BIGINT) AS n, p_partkey * 1000 + p_size AS b FROM part), r AS (SELECT *, b % 8192 - b % 8192 % 8 AS last FROM p)
+        SELECT p_partkey, (n & (n - 1)) = 0 AS power, CAST(pow(2, floor(log2(n))) AS BIGINT) AS floor2, (n + 6) // 7 AS sevenths, round(least(greatest(p_retailprice, 950e0), 1500e0), 6) AS clamped,
+          b // 8192 * (8192 + 32 + 16 + 4) + CASE WHEN last > 0 THEN last + last // 255 + 16 + 4 ELSE 0 END + b % 8192 % 8 AS bound, n * 1048576 + 2 * 262144 + p_partkey % 64 * 128 AS slab,
+          printf('[%d %d %d]', n, p_partkey, n * 2) AS listed, round(1e0 * p_retailprice * n * 0.5e0, 6) AS product, round(0e0 + p_retailprice + n, 6) AS total,
+          CAST(coalesce(list_position([n, 7, 21], p_partkey % 50), 0) - 1 AS BIGINT) AS place, starts_with(p_brand, 'Brand#1') AS prefixed FROM r""",
+    "q66_times": "SELECT o_orderkey, date_diff('microsecond', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS us, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp FROM orders",
+    "q67_wire_headers": f"""{_t(PAYLOADS)} SELECT arrival_seq, CAST(nbytes AS INTEGER) AS nbytes, CAST(version AS BIGINT) AS protocol_version, CASE WHEN n IS NULL THEN 0::BIGINT ELSE 128 END AS data_nbytes,
+        CASE WHEN n IS NULL THEN 0::BIGINT ELSE 384 END AS fpga_counts_per_sample, CASE WHEN n IS NULL THEN 0::BIGINT ELSE n * 3072 END AS fpga_count, CASE WHEN n IS NULL THEN 0::BIGINT ELSE 2 END AS nbeams,
+        CASE WHEN n IS NULL THEN 0::BIGINT ELSE 4 END AS nfreq_coarse, CASE WHEN n IS NULL THEN 0::BIGINT ELSE 2 END AS nupfreq, CASE WHEN n IS NULL THEN 0::BIGINT ELSE 8 END AS ntsamp FROM payloads""",
+    "q68_inferred_times": f"""{_t(TELEMETRY)}, a AS (SELECT beam_id, event_id AS seq, min(event_id) OVER (PARTITION BY beam_id) AS first FROM telemetry)
+        SELECT beam_id, seq, seq * 1.5e0 + CASE WHEN seq % 90 = 0 AND seq > first THEN 0.4e0 ELSE 0e0 END AS t0, CASE WHEN seq % 90 = 0 AND seq > first THEN 'drift' ELSE 'ok' END AS status FROM a""",
     "q45_lexical_cast": None,
 }
 CASTS_SQL = r"""

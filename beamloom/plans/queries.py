@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Grid, StreamConfig
 from ..functions import scalars
-from ..operators import archive, assembly, codec, downsample, monitor, packets, ring, timeseries
+from ..operators import archive, assembly, codec, downsample, monitor, packets, ring, tiles, timeseries
 from ..sources import chunk_files
+from ..sources.shared import new_folder
 from ..sources.telemetry import table, telemetry, vector_samples
 
 GRID = Grid(nupfreq=2, nt_per_packet=16, counts_per_sample=384)
 PER_CHUNK = GRID.counts_per_chunk
 TILE = ["beam_id", "freq", "ichunk"]
-CAPACITIES = (6, 4, 4, 4)
+CAPACITIES = StreamConfig(beam_ids=tuple(range(8)), grid=GRID, ring_capacity=4, telescoping=(2, 4, 4, 4)).capacities
 PERIOD_US = 3_600_000_000
 
 
@@ -53,7 +54,8 @@ def q02_packet_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q03_event_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.event_counters(packets.classify(headers(spark, sf_dir), CONFIG))
+    rows = headers(spark, sf_dir).withColumn("arrival", F.expr("l_orderkey * 8 + l_linenumber")).withColumn("dropped", F.expr("l_orderkey % 97 = 0"))
+    return monitor.stream_counters(rows, CONFIG, F.expr("n - 3 * beam_id - 6"))
 
 
 def q04_encode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +93,27 @@ def q09_downsample_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return downsample.pair_average(vectors(spark, sf_dir)).select("beam_id", "ifreq", "isample", *r6("value"), "valid")
 
 
+#: Tiles of one fine channel and 16 samples.
+NARROW = Grid(nupfreq=1, nt_per_packet=16, counts_per_sample=384)
+
+
+def narrow_tiles(spark: SparkSession, sf_dir: str, beams: int = 5) -> DataFrame:
+    """The samples of vectors() as binary tiles: (beam_id, coarse_freq_id, tile, scale, offset, data). No shuffle: a vector
+    holds whole tiles."""
+    per = NARROW.nt_per_packet
+    parts = F.transform(F.sequence(F.lit(0), F.expr(f"size(embedding) div {per} - 1")), lambda k: F.struct(k.alias("k"), F.slice("embedding", k * per + 1, F.lit(per)).alias("x")))
+    rows = table(spark, sf_dir, "embeddings").select(F.expr(f"cast(vec_id % {beams} as int)").alias("beam_id"), F.lit(0).alias("coarse_freq_id"), "vec_id", F.explode(parts).alias("part"))
+    rows = rows.withColumn("tile", F.col("vec_id") * (64 // per) + F.col("part.k"))
+    weight = F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda j: F.when((F.col("tile") * per + j) % 17 == 0, 0.0).otherwise(1.0))
+    return tiles.encode(rows.select("beam_id", "coarse_freq_id", "tile", F.col("part.x").cast("array<double>").alias("intensity"), weight.alias("weight")), NARROW)
+
+
 def q10_downsample_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return downsample.downsample(vectors(spark, sf_dir)).select("beam_id", "ifreq", "isample", "byte", *r6("scale", "offset"))
+    return tiles.samples(tiles.pyramid(narrow_tiles(spark, sf_dir), 1, NARROW), NARROW).select("beam_id", "ifreq", "isample", "byte", *r6("scale", "offset"))
 
 
 def q11_pyramid3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return downsample.pyramid(vectors(spark, sf_dir), 3).select("binning", "beam_id", "ifreq", "isample", "byte", *r6("scale", "offset"))
+    return tiles.samples(tiles.pyramid(narrow_tiles(spark, sf_dir), 3, NARROW), NARROW).select("binning", "beam_id", "ifreq", "isample", "byte", *r6("scale", "offset"))
 
 
 def q12_rfi_mask_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +214,9 @@ def q27_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q28_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = ring.contiguity(resident(spark, sf_dir)).groupBy("beam_id").agg(F.count(F.lit(1)).alias("breaks"))
-    return beams(spark, sf_dir).select("beam_id").join(bad, "beam_id", "left").select("beam_id", F.coalesce("breaks", F.lit(0)).alias("breaks"))
+    """Breaks between the chunks of each beam that have a sample of a beam's own sixth of the senders, as one level."""
+    chunks = telemetry(spark, sf_dir).filter("sender % 48 = beam_id").select("beam_id", F.lit(0).alias("level"), "ichunk", F.lit(1).alias("binning")).distinct()
+    return ring.contiguity(chunks).select("beam_id", "ichunk", F.col("next").alias("next_ichunk"))
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,8 +228,6 @@ def q29_rates_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q30_rate_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     running = F.sum("n").over(Window.partitionBy("sender").orderBy("start_us"))
     return monitor.rate_differences(rates(spark, sf_dir).select(F.col("start_us").alias("t"), "sender", running.alias("total")))
 
@@ -226,7 +242,8 @@ def q32_rate_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q33_bounded_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.bounded_history(rates(spark, sf_dir), "start_us", 100)
+    kept = StreamConfig(beam_ids=tuple(range(8)), grid=GRID, packet_count_period_usec=PERIOD_US, max_packet_history=100)
+    return monitor.rate_history(telemetry(spark, sf_dir), "us", kept)
 
 
 def q34_sender_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +269,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(substring(o_orderpriority, 1, 1) as int)").alias("priority"), F.expr("o_orderkey % 3 = 0").alias("need_rfi_mask"), F.expr("o_orderkey % 2 = 0").alias("has_rfi_mask"),
         F.expr("o_orderkey % 4 <> 0").alias("attempted"), F.expr("o_orderkey % 37 = 0").alias("exists_already"),
     )
-    named = F.format_string("%s/b%d/c%d_%d.msg", F.expr("element_at(array('/dev0', '/dev1', '/frb'), cast(1 + request_id % 3 as int))"), "beam_id", "ichunk", F.expr("request_id % 2"))
+    named = F.format_string("%s/b%d/c%d_%d.msg", F.expr("element_at(array('/dev0', '/dev1', '/dev9'), cast(1 + request_id % 3 as int))"), "beam_id", "ichunk", F.expr("request_id % 2"))
     return rows.withColumn("fpga_begin", F.col("ichunk") * PER_CHUNK).withColumn("filename", named)
 
 
@@ -260,8 +277,6 @@ DEVICES = ("/dev0", "/dev1")
 
 
 def q36_write_queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     order = Window.partitionBy("beam_id").orderBy(F.desc("priority"), "fpga_begin", "filename", "request_id")
     return requests(spark, sf_dir).select("request_id", "beam_id", "priority", "fpga_begin", F.row_number().over(order).cast("long").alias("place"))
 
@@ -381,5 +396,154 @@ def q53_sender_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.sender_counts(telemetry(spark, sf_dir))
 
 
+def receive_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of encoded vectors, each sent twice, as raw(arrival_seq, payload). The first sending has other bytes; some of
+    the second have a wrong version, a byte too few or an unknown first beam; in between come end-of-stream packets."""
+    per = RECEIVED.nupfreq * RECEIVED.nt_per_packet
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.expr("cast(vec_id % 2 as int)").alias("beam_id"), F.expr("vec_id div 2").alias("itile"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(64 // per - 1)), lambda k: F.struct(k.alias("coarse_freq_id"), F.slice("embedding", k * per + 1, F.lit(per)).alias("x")))).alias("part"),
+    )
+    values = rows.select("beam_id", "itile", "part.coarse_freq_id", F.col("part.x").cast("array<double>").alias("intensity"), F.array_repeat(F.lit(1.0), per).alias("weight"))
+    made = tiles.encode(values, RECEIVED)
+    sent = packets.packetize(made, RECEIVED.nt_per_packet, RECEIVED.counts_per_sample, 64 // per, RECEIVED.nupfreq)
+    n = F.expr(f"fpga_count div {RECEIVED.nt_per_packet * RECEIVED.counts_per_sample}")
+    sent = sent.withColumn("n", n)
+    early = sent.select((F.col("n") * 4).alias("arrival_seq"), F.concat(F.expr("substring(payload, 1, length(payload) - 8)"), F.unhex(F.lit("01" * 8))).alias("payload"))
+    whole = F.when(F.col("n") % 13 == 5, F.concat(F.unhex(F.lit("02000000")), F.expr("substring(payload, 5)")))
+    whole = whole.when(F.col("n") % 11 == 3, F.expr("substring(payload, 1, length(payload) - 1)"))
+    whole = whole.when(F.col("n") % 7 == 2, F.concat(F.expr("substring(payload, 1, 24)"), F.unhex(F.lit("0900")), F.expr("substring(payload, 27)")))
+    late = sent.select((F.col("n") * 4 + 2).alias("arrival_seq"), F.coalesce(whole, "payload").alias("payload"))
+    ends = sent.filter("n % 10 = 0").select((F.col("n") * 4 + 3).alias("arrival_seq"), F.lit(packets.END_OF_STREAM).alias("payload"))
+    return early.unionByName(late).unionByName(ends)
+
+
+#: The grid and the stream of the receive path's queries.
+RECEIVED = Grid(nupfreq=2, nt_per_packet=8, counts_per_sample=384, nfreq_coarse=4)
+RECEIVER = StreamConfig(beam_ids=(0, 1), grid=RECEIVED)
+
+
+def q54_receive_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tiles.samples(packets.assembled(receive_payloads(spark, sf_dir), RECEIVER), RECEIVED)
+    return codec.decode(got).select("beam_id", "ifreq", "isample", "byte", *r6("decoded"), "decoded_weight")
+
+
+def q55_received_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of the receive path by class, judged on their headers."""
+    judged = packets.classify(packets.with_channels(packets.parse_headers(receive_payloads(spark, sf_dir))), RECEIVER)
+    return judged.groupBy("packet_class").agg(F.count(F.lit(1)).alias("packets"), F.sum("nbytes").cast("long").alias("nbytes"), F.max(F.col("fpga_count") + F.col("ntsamp") * F.col("fpga_counts_per_sample")).alias("max_fpga_seen"))
+
+
+def q56_received_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Received tiles at half and a quarter of the time resolution."""
+    placed = packets.assembled(receive_payloads(spark, sf_dir), RECEIVER)
+    return tiles.pyramid(placed, 2, RECEIVED).select("binning", "beam_id", "coarse_freq_id", "tile", F.hex("data").alias("data"), *r6("scale", "offset"))
+
+
+def q57_fpga_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.fpga_maxima(verdicts(spark, sf_dir), PER_CHUNK, F.expr("n - 2 - beam_id % 3"))
+
+
+def q58_bounded_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = telemetry(spark, sf_dir).select(F.col("beam_id").alias("queue"), F.expr("arrival * 1000000 + event_id").alias("order"), F.expr("event_id * 7 % 16 < 9").alias("put"))
+    found = assembly.bounded_queue(log, 16)
+    return found.groupBy("queue").agg(F.count_if("put").alias("lists"), F.count_if("dropped").alias("dropped"), F.max("size").alias("longest"), F.max_by("size", "order").alias("left"))
+
+
+def q59_can_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = assembly.chunk_table(telemetry(spark, sf_dir), GRID).select(
+        "beam_id", "ichunk", F.lit(1).alias("binning"), F.expr("cast(2 + ichunk div 20 % 2 as int)").alias("nupfreq"), F.expr("cast(if(ichunk % 9 = 4, 0, 16) as int)").alias("nrfifreq"),
+        F.expr("cast(if(ichunk % 17 = 3, 8, 16) as int)").alias("nt_per_packet"), F.expr("n_samples % 5 > 0").alias("mask_ready"),
+    )
+    return ring.can_downsample(chunks).select("beam_id", "ichunk", "mergeable")
+
+
+def q60_inject_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = assembly.chunk_table(telemetry(spark, sf_dir), GRID).select("beam_id", "ichunk", "n_samples")
+    extra = chunks.filter("beam_id = 2").select("beam_id", (F.col("ichunk") + 20).alias("ichunk"), (F.col("n_samples") * 2).alias("n_samples"))
+    return assembly.inject_chunks(chunks, extra)
+
+
+def q61_polarisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axes = table(spark, sf_dir, "orders").select(F.expr("cast(o_custkey % 50 as int)").alias("file"), F.expr("element_at(array('XX', 'YY', 'XY'), cast(1 + o_orderkey % if(o_custkey % 50 < 25, 2, 3) as int))").alias("pol"))
+    return timeseries.check_polarisations(axes.distinct().unionByName(axes.filter("file = 7").limit(1)), "file")
+
+
+def q62_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = timeseries.fill_gaps(axis(spark, sf_dir), telemetry(spark, sf_dir), "beam_id", "tick", "weight")
+    return timeseries.time_range(dense, 1000, 500, 40_000).select("beam_id", "it_logical", F.round("weight", 6).alias("weight"), "present")
+
+
+def q63_next_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.next_write(requests(spark, sf_dir)).select("priority", "fpga_begin", "filename")
+
+
+def q64_get_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk that a consumer of each beam gets next."""
+    return ring.next_chunk(resident(spark, sf_dir), beams(spark, sf_dir), consumed(), PER_CHUNK)
+
+
+def q65_number_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("long")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", scalars.is_power_of_two(size).alias("power"), scalars.round_down_to_power_of_two(size).alias("floor2"), scalars.ceil_div(size, 7).cast("long").alias("sevenths"),
+        F.round(scalars.clamp("p_retailprice", 950.0, 1500.0), 6).alias("clamped"), scalars.compressed_bound(F.col("p_partkey") * 1000 + size).cast("long").alias("bound"),
+        scalars.slab_bytes(size, F.col("p_partkey") % 64, GRID).alias("slab"), scalars.array_text(F.array(size, F.col("p_partkey"), size * 2)).alias("listed"),
+        F.round(scalars.product(F.array(F.col("p_retailprice"), size.cast("double"), F.lit(0.5))), 6).alias("product"), F.round(scalars.total(F.array(F.col("p_retailprice"), size.cast("double"))), 6).alias("total"),
+        scalars.find_channel(F.array(size, F.lit(7).cast("long"), F.lit(21).cast("long")), F.col("p_partkey") % 50).cast("long").alias("place"), F.startswith("p_brand", F.lit("Brand#1")).alias("prefixed"),
+    )
+
+
+def q66_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    since = scalars.usec_between(F.lit("1992-01-01").cast("timestamp_ntz"), "o_orderdate")
+    return rows.select("o_orderkey", since.alias("us"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+
+
+def q67_wire_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header fields of payloads, by built-in functions."""
+    fields = ["protocol_version", "data_nbytes", "fpga_counts_per_sample", "fpga_count", "nbeams", "nfreq_coarse", "nupfreq", "ntsamp"]
+    return packets.parse_headers(receive_payloads(spark, sf_dir)).select("arrival_seq", "nbytes", *fields)
+
+
+def q68_inferred_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends of which most leave their time to be inferred."""
+    df = telemetry(spark, sf_dir).select("beam_id", F.col("event_id").alias("seq"), F.expr("event_id * 3").alias("ipos"), F.lit(1).alias("nt"))
+    first = F.min("seq").over(Window.partitionBy("beam_id"))
+    late = F.when((F.col("seq") % 90 == 0) & (F.col("seq") > first), 0.4).otherwise(0.0)
+    df = df.withColumn("t0", F.when((F.col("seq") == first) | (F.col("seq") % 10 == 0), F.col("ipos") * 0.5 + late))
+    return timeseries.check_appends(df, "beam_id", 0.5).select("beam_id", "seq", "t0", "status")
+
+
+def q69_dense_packet_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the packets as they claim: those from far ahead leave gaps."""
+    return assembly.dense_chunks(telemetry(spark, sf_dir).select("beam_id", F.col("packet_chunk").alias("ichunk")))
+
+
+def q70_chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as chunk files, some of them wanted twice under two names, written, linked and read back."""
+    folder = new_folder(spark, "chunk-files")
+    chunks = narrow_chunks(spark, sf_dir)
+    name = F.format_string("/dev%d/b%d/c%d.msg", F.expr("fpga_begin div 6144 % 2"), "beam_id", F.expr("fpga_begin div 6144"))
+    requests = chunks.select("beam_id", "fpga_begin", name.alias("filename")).withColumn("priority", F.lit(1))
+    again = requests.filter("fpga_begin div 6144 % 3 = 0").withColumn("filename", F.concat("filename", F.lit(".again")))
+    planned = archive.deduplicate(archive.route(requests.unionByName(again).withColumn("request_id", F.xxhash64("filename")), DEVICES), ("beam_id", "fpga_begin"))
+    done = chunk_files.carry_out(planned, chunk_files.chunk_payloads(chunks), ("beam_id", "fpga_begin"), folder)
+    back = chunk_files.read_chunk_files(spark, folder).select("beam_id", "fpga_begin", F.hex("data").alias("data"))
+    back = back.groupBy("beam_id", "fpga_begin", "data").agg(F.count(F.lit(1)).alias("files"))
+    kinds = done.groupBy("beam_id", "fpga_begin").agg(F.count_if(F.expr("action = 'link'")).alias("links"), F.count_if(F.expr("status = 'SUCCEEDED'")).alias("succeeded"))
+    return back.join(kinds, ["beam_id", "fpga_begin"]).select("beam_id", "fpga_begin", "files", "links", "succeeded", "data")
+
+
+def narrow_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of narrow_tiles() as chunks of one tile."""
+    little = lambda c: F.unhex(F.lit("0000803F" if c == "scale" else "00000000"))
+    return narrow_tiles(spark, sf_dir, 2).select(
+        "beam_id", F.lit(1).alias("nupfreq"), F.lit(16).alias("nt_per_packet"), F.lit(384).alias("counts_per_sample"), F.lit(1).alias("nt_coarse"), F.lit(1).alias("nscales"), F.lit(16).alias("ndata"),
+        F.expr("tile * 16 * 384").alias("fpga_begin"), F.lit(16 * 384).alias("fpga_n"), F.lit(1).alias("binning"), little("scale").alias("scales"), little("offset").alias("offsets"),
+        "data", F.lit(0).alias("frame0_nano"), F.lit(0).alias("nrfifreq"), F.lit(False).alias("has_rfi_mask"), F.unhex(F.lit("")).alias("rfi_mask"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "q" and name[1:3].isdigit()}

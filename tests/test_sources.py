@@ -1,0 +1,117 @@
+import os
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+import pytest
+from pyspark.sql import functions as F
+
+from beamloom.operators import monitor, timeseries
+from beamloom.sources import chunk_files as cf
+from beamloom.sources import frame0, intensity, shared
+
+
+def test_files_are_written_linked_or_refused(spark, tmp_path):
+    root = str(tmp_path / "root")
+    os.makedirs(f"{root}/d")
+    (tmp_path / "root/d/taken.msg").write_bytes(b"other")
+    (tmp_path / "root/d/same.msg").write_bytes(b"s" * 9)
+    payloads = spark.createDataFrame([(1, b"one"), (2, b"two"), (3, b"s" * 9)], "chunk int, payload binary")
+    rows = [("/d/one.msg", 1, "write"), ("/d/two.msg", 1, "link"), ("/d/one.msg", 1, "skip"), ("/d/taken.msg", 2, "write"), ("/d/never.msg", 2, "link"), ("/d/same.msg", 3, "write")]
+    planned = spark.createDataFrame([(f, "d", c, a) for f, c, a in rows], "filename string, device_name string, chunk int, action string")
+    for _ in range(2):  # as when tasks are run again
+        done = cf.carry_out(planned, payloads, ["chunk"], f"file://{root}")
+        got = sorted((r.filename, r.action, r.status, r.nbytes) for r in done.collect())
+        assert got == sorted([
+            ("/d/one.msg", "write", "SUCCEEDED", 3), ("/d/two.msg", "link", "SUCCEEDED", 3), ("/d/one.msg", "skip", "SUCCEEDED", 3),
+            ("/d/taken.msg", "write", "FAILED", 0), ("/d/never.msg", "link", "FAILED", 0), ("/d/same.msg", "write", "SUCCEEDED", 9),
+        ])
+    assert os.path.samefile(f"{root}/d/one.msg", f"{root}/d/two.msg") and (tmp_path / "root/d/taken.msg").read_bytes() == b"other"
+    assert not [f for f in os.listdir(f"{root}/d") if f.endswith(".part")]
+
+
+def test_new_folders_need_a_shared_one_on_clusters(spark):
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(ValueError):
+        shared.new_folder(Cluster, "x")
+    assert "/x-" in shared.new_folder(spark, "x")
+
+
+def files(spark, change=""):
+    data = intensity.acquisition(spark, nfreq=4, nt=40).withColumn("file", F.lit("00000000.h5"))
+    data = data.unionByName(intensity.acquisition(spark, nfreq=4, nt=30, dt=0.5).withColumn("file", F.lit("00000052.h5")).filter("it_file not in (3, 4)"))
+    freqs = timeseries.frequency_axis(spark, 4, 800.0, 400.0)
+    freqs = freqs.withColumn("file", F.lit("00000000.h5")).unionByName(freqs.withColumn("file", F.lit("00000052.h5")))
+    return data, freqs
+
+
+def test_intensity_is_checked_when_read(spark):
+    data, freqs = files(spark)
+    got = intensity.checked_intensity(data, freqs)
+    assert got.count() == data.count() == 4 * 2 * 68
+    assert {(r.file, r.it_logical) for r in got.filter("time > 1.9 and file like '%52%'").collect()} == {("00000052.h5", i) for i in range(5, 30)} | {("00000052.h5", 4)} - {("00000052.h5", 4)}
+    for bad, what in [
+        ((data, freqs.withColumn("freq_hz", F.when(F.col("ifreq") == 2, 1.0).otherwise(F.col("freq_hz")))), "frequencies"), ((data, freqs.filter("file like '%00.h5'")), "frequencies"),
+        ((data.withColumn("pol", F.when(F.col("pol") == "XX", "XY").otherwise(F.col("pol"))), freqs), "polarisations"), ((data.withColumn("weight", -F.col("weight")), freqs), "weight"),
+        ((data.withColumn("time", F.when(F.col("it_file") == 7, F.col("time") + 0.001).otherwise(F.col("time"))), freqs), "time"),
+    ]:
+        with pytest.raises(Exception, match=what):
+            intensity.checked_intensity(*bad).collect()
+
+
+def test_an_acquisition_is_read_in_chunks_of_time(spark, tmp_path):
+    for k, (name, nt) in enumerate([("00000020", 30), ("00000000", 40), ("00000105", 11), ("other", 9)]):
+        intensity.acquisition(spark, nfreq=2, nt=nt, seed=k).coalesce(1).write.parquet(f"{tmp_path}/raw-{name}")
+        part = next(f for f in os.listdir(f"{tmp_path}/raw-{name}") if f.endswith(".parquet"))
+        os.makedirs(f"{tmp_path}/all", exist_ok=True)
+        os.rename(f"{tmp_path}/raw-{name}/{part}", f"{tmp_path}/all/{name}.h5.parquet")
+    data = intensity.read_acquisition(spark, f"{tmp_path}/all")
+    assert data.count() == 4 * 81
+    got = [sorted({(r.file[:8], r.it_file) for r in c.collect()}) for c in intensity.time_chunks(data, 32)]
+    want = [("00000000", i) for i in range(40)] + [("00000020", i) for i in range(30)] + [("00000105", i) for i in range(11)]
+    assert got == [want[:32], want[32:64], want[64:]]
+    assert list(intensity.time_chunks(data.limit(0), 5)) == []
+
+
+def test_frame0():
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'{"frame0_nano": 1500000000000000000}' if self.path == "/good" else b'{"frame0_nano": 1.5}')
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    assert frame0.fetch_frame0(f"http://127.0.0.1:{server.server_port}/good") == 1500000000000000000
+    with pytest.raises(ValueError):
+        frame0.fetch_frame0(f"http://127.0.0.1:{server.server_port}/bad")
+    server.shutdown()
+    for bad in ("[]", "{}", '{"frame0_nano": true}', "x"):
+        with pytest.raises(ValueError):
+            frame0.parse_frame0(bad)
+
+
+def test_long_ranges_explode_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(timeseries, "EXPLODED", 10)
+    df = spark.createDataFrame([(1, 5, 37), (2, 3, 3), (3, 4, 3), (4, 0, 9), (5, 0, 10)], "k int, a long, b long")
+    got = sorted((r.k, r.i) for r in timeseries.explode_range(df, F.col("a"), F.col("b"), "i").collect())
+    assert got == [(k, i) for k, a, b in [(1, 5, 37), (2, 3, 3), (4, 0, 9), (5, 0, 10)] for i in range(a, b + 1)]
+
+
+def test_asof_of_fractional_and_skewed_keys(spark):
+    times = [i / 8 for i in range(300)] + [1e9, 1e9 + 0.25]
+    history = spark.createDataFrame([(t, i) for i, t in enumerate(times) if i % 3 == 0], "t double, v int")
+    probes = spark.createDataFrame([(x,) for x in [-1.0, *times, 5e9]], "x double").repartition(3)
+    got = {r.x: (r.t, r.v) for r in monitor.asof(probes, history, "x", "t", "v").collect()}
+    known = [(t, i) for i, t in enumerate(times) if i % 3 == 0]
+    assert got == {x: max(((t, i) for t, i in known if t <= x), default=(None, None)) for x in [-1.0, *times, 5e9]}
+    assert [r.t for r in monitor.asof(probes, history.limit(0), "x", "t", "v").collect()] == [None] * 304
