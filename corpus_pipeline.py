@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages: quality, exact copies, near copies, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read as the next one's docs. All but the
-last return the columns of documents.
+last return the columns of documents, in their order, whatever further columns there are.
+
+Defined results, of every stage: null texts are empty ones; null ids, empty and very long texts, repeated rows and empty
+tables are taken as the operator of the stage defines them (see its docstring); no stage fails on them.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from beamloom.llm import common
 from beamloom.llm.exact_dedup import drop_copies
 from beamloom.llm.mixing import mix
-from beamloom.llm.near_dedup import near_duplicates
+from beamloom.llm.near_dedup import drop_near_copies
 from beamloom.llm.packing import pack_documents
 from beamloom.llm.quality import keep_good
 from beamloom.llm.tokens import tokenizer_spec
@@ -40,21 +43,21 @@ def _stage(work):
 
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject: rows of equal texts go or stay together."""
     return keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
 @_stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each normalised text, the smallest id's."""
+    """One document of each normalised text, the smallest id's; of repeated rows one."""
     return drop_copies(docs)
 
 
 @_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8), the smallest id's."""
-    kept = near_duplicates(docs, shingle_words=5, similarity=(80, 100)).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8), the smallest id's, with all the rows
+    of that id; documents without words or id stay."""
+    return drop_near_copies(docs, shingle_words=5, similarity=(80, 100))
 
 
 @_stage
@@ -65,7 +68,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 2048."""
+    """Token pieces of every row with their places in sequences of 2048."""
     return pack_documents(docs, tokenizer_spec(public_tokenizers.path("word_bpe_49k.json")), capacity=2048, end_id=0)
 
 
