@@ -67,8 +67,9 @@ def without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
     doubtful = maybe_in(keyed, keyed[name], table, words)
     sure = maybe_in(keyed, keyed[name], table, words, "left_anti")
     kept = doubtful.join(dropped.select(F.col("key").alias(name)), name, "left_anti")
-    return sure.select(*_columns(docs)).unionByName(kept.select(*_columns(docs)))
+    return sure.select(*columns_of(docs)).unionByName(kept.select(*columns_of(docs)))
 
 
-def _columns(docs: DataFrame) -> list[Column]:
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters the names have."""
     return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]

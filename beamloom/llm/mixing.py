@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.timeseries import explode_range
 from .common import WORD, whole_text, written
+from .filters import columns_of, free_name
 
 BUCKET_ROWS = 2000
 TRIALS, ROUNDS = 64, 6
@@ -148,8 +149,8 @@ def mix(docs: DataFrame, entropy_share: float | None = 0.9, repeats: float | Non
     ranked, sources = realised(docs, entropy_share, repeats, budget, seed)
     last = ranked.filter(F.col("copy") == F.floor("passes")).groupBy("source").agg(F.max("key").alias("key"))
     ends = sources.join(last, sources["source"].eqNullSafe(last["source"]), "left")
-    cuts = written(ends.select(sources["source"].alias("__source"), F.floor("passes").cast("int").alias("__whole"), F.coalesce("key", F.lit(-1)).alias("__key")), "cuts")
-    joined = docs.join(cuts, docs["source"].eqNullSafe(cuts["__source"]))
-    some = (permutation_key(seed, F.col("__whole")) <= F.col("__key")).cast("int")
-    copies = F.col("__whole") + some
-    return joined.filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    name, whole, key, copy = (free_name(docs, x) for x in ("__source", "__whole", "__key", "__copy"))
+    cuts = written(ends.select(sources["source"].alias(name), F.floor("passes").cast("int").alias(whole), F.coalesce("key", F.lit(-1)).alias(key)), "cuts")
+    joined = docs.join(cuts, docs["source"].eqNullSafe(cuts[name]))
+    copies = F.col(whole) + (permutation_key(seed, F.col(whole)) <= F.col(key)).cast("int")
+    return joined.filter(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*columns_of(docs))

@@ -76,3 +76,28 @@ def test_empty_and_odd_tables(spark, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/{name}{k}")
             assert re.fullmatch(r"\[\]|.+", str(docs.collect()))
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    long = " ".join(f"word{i % 5000} stays." for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, " \n"), (None, "Some words of a text without id."), (None, None), (4, long), (5, long), (6, long + " more"), (7, "Some words."), (7, "Some words."), (7, "Other words."), (8, "x" * 700_000)]
+    rows += [(100 + i, f"A plain text of number {i} and nothing else, which says {i * 7}.") for i in range(30)]
+    extra = ["key", "tag", "hash", "score", "kept", "component", "rows", "copy", "digest", "__key", "__copy", "__whole", "__source", "__word", "__bits", "batch", "node", "x y", "part", "rank", "length"]
+    data = [(i, t, "en", ("a", "b", None)[k % 3], len(t or ""), *[k] * len(extra)) for k, (i, t) in enumerate(rows)]
+    names = ["doc_id long", "text string", "lang string", "source string", "n_chars long", *[f"`{e}` int" for e in extra]]
+    docs = spark.createDataFrame(data, ", ".join(names)).repartition(3)
+    spark.createDataFrame([(100 + i, 1) for i in range(25)] + [(1, None), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, str(tmp_path))
+            assert k == 4 or out.columns == docs.columns
+            out.write.parquet(path := f"{tmp_path}/{empty}-{name}")
+            now = spark.read.parquet(path)
+            left = collections.Counter(r.doc_id for r in now.select("doc_id").collect())
+            if name == "exact_copies" and not empty:
+                # one of all blank or empty texts, which is one text here apart from the blank one; one of the long ones; one of id 7's two equal ones
+                assert left[5] == 0 and left[4] == left[6] == 1 and left[7] == 2 and left[2] == 0 and left[1] == left[3] == 1 and left[None] == 1
+            if name == "near_copies" and not empty:
+                assert left[6] == 0 and left[4] == 1 and left[1] == left[3] == 1
+        assert (now.count() == 0) == empty
