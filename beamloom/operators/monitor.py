@@ -50,10 +50,10 @@ def rates_in_range(rates: DataFrame, start_us: int, end_us: int, period_us: int)
     if start_us == 0:
         inside = newest(rates, "start_us")
     else:
-        first = rates.filter(F.col("start_us") <= start_us).agg(F.max("start_us")).first()[0]
-        inside = rates.filter(F.col("start_us").between(first, end_us) if first is not None else F.lit(False))
-    periods = inside.select("start_us").distinct().count()
-    return inside.groupBy("sender").agg(F.sum("n").alias("n")).withColumn("period_us", F.lit(periods * period_us).cast("long"))
+        first = rates.filter(F.col("start_us") <= start_us).agg(F.max("start_us")).scalar()
+        inside = rates.filter((F.col("start_us") >= first) & (F.col("start_us") <= end_us))
+    periods = inside.select("start_us").distinct().agg(F.count(F.lit(1))).scalar()
+    return inside.groupBy("sender").agg(F.sum("n").alias("n")).withColumn("period_us", (periods * period_us).cast("long"))
 
 
 def asof(probes: DataFrame, history: DataFrame, at: str, key: str, value: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HEADER_BYTES, MAX_INPUT_PACKET, MAX_NT_PER_PACKET, MAX_OUTPUT_PACKET, PROTOCOL_VERSION, StreamConfig
@@ -235,3 +235,22 @@ def until_end(classified: DataFrame, config: StreamConfig, order: str = "arrival
         return classified
     end = classified.filter(F.col("packet_class") == "end_of_stream").agg(F.min(order).alias("_end"))
     return classified.join(end, F.col("_end").isNotNull() & (F.col(order) >= F.col("_end")), "left_anti")
+
+
+#: A stream that has fallen behind may send so much of the target interval apart until it has caught up.
+CATCH_UP = 0.8
+
+
+def send_times(sent: DataFrame, stream: str, target_gbps: float) -> DataFrame:
+    """sent(stream, send_order, ready_us, nbytes) with send_us, when a throttled sender sends each packet.
+
+    A packet goes when it is ready, not before what the stream has sent so far takes at the target rate, and CATCH_UP of
+    its predecessor's own time after that. With D the sum of those times, the last rule is a running maximum of times less
+    D, so no packet waits for its predecessor's row: two windows in one order.
+    """
+    order = Window.partitionBy(stream).orderBy("send_order")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    total = (F.lit(8e-3) * F.coalesce(F.sum("nbytes").over(before), F.lit(0)) / F.lit(target_gbps)).cast("long")
+    own = (F.lit(CATCH_UP * 8e-3) * F.col("nbytes") / F.lit(target_gbps)).cast("long")
+    df = sent.withColumn("_least", F.greatest(F.col("ready_us"), total)).withColumn("_d", F.coalesce(F.sum(own).over(before), F.lit(0)))
+    return df.withColumn("send_us", F.col("_d") + F.max(F.col("_least") - F.col("_d")).over(upto)).drop("_least", "_d")

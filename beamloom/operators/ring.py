@@ -128,3 +128,18 @@ def next_chunk(resident: DataFrame, beams: DataFrame, consumed: Column, counts_p
     waits = F.col("ichunk") >= F.col("_from")
     df = df.groupBy("beam_id").agg(F.min(F.when(waits, F.col("ichunk"))).alias("ichunk"), F.count_if(waits).alias("waiting"))
     return df.select("beam_id", "ichunk", (F.col("ichunk") * counts_per_chunk).alias("fpga_begin"), "waiting")
+
+
+def statistics(resident: DataFrame, beams: DataFrame, capacities: Sequence[int], consumed: Column, counts_per_chunk: int) -> DataFrame:
+    """(beam_id, name, value): the state of each beam's ring under its monitoring names, over all and for levels from 1 on;
+    0 where a level is empty."""
+    overall = ring_stats(resident, beams, capacities, consumed, counts_per_chunk)
+    names = {"fpga_next": "fpga_next", "n_ready": "n_ready", "capacity": "capacity", "ntotal": "ntotal", "fpga_min": "fpga_min", "fpga_max": "fpga_max"}
+    pairs = [F.struct(F.lit(f"ringbuf_{k}").alias("name"), F.col(c).cast("long").alias("value")) for k, c in names.items()]
+    pairs.append(F.struct(F.lit("ringbuf_nlevels").alias("name"), F.lit(len(capacities)).cast("long").alias("value")))
+    out = overall.select("beam_id", F.explode(F.array(*pairs)).alias("at")).select("beam_id", "at.*")
+    every = beams.select("beam_id", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(c).cast("long").alias("capacity")) for i, c in enumerate(capacities)])).alias("at")).select("beam_id", "at.*")
+    levels = every.filter("level > 0").join(level_stats(resident, counts_per_chunk), ["beam_id", "level"], "left")
+    value = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    pairs = [F.struct(F.format_string(f"ringbuf_{k}_level%d", "level").alias("name"), value(c).alias("value")) for k, c in (("capacity", "capacity"), ("ntotal", "n"), ("fpga_min", "fpga_min"), ("fpga_max", "fpga_max"))]
+    return out.unionByName(levels.select("beam_id", F.explode(F.array(*pairs)).alias("at")).select("beam_id", "at.*"))

@@ -148,13 +148,13 @@ def check_appends(appends: DataFrame, key: str, dt: float) -> DataFrame:
     return df.withColumn("status", status).drop("_expected")
 
 
-def append_intensity(samples: DataFrame, appends: DataFrame, path: str, key: str, dt: float) -> None:
+def append_intensity(samples: DataFrame, appends: DataFrame, path: str, key: str, dt: float, compression: str = "zstd") -> None:
     """Append samples(key, weight, ...) below path, once their appends(key, seq, ipos, nt, t0) are in order: an overlap, a
     drift or a negative weight is an error and nothing is written."""
     wrong = check_appends(appends, key, dt).filter("status <> 'ok'").limit(1).collect()
     if wrong:
         raise ValueError(f"append {wrong[0]['seq']} of {wrong[0][key]}: {wrong[0]['status']}")
-    check_weights(samples).write.mode("append").partitionBy(key).parquet(path)
+    check_weights(samples).write.mode("append").option("compression", compression).partitionBy(key).parquet(path)
 
 
 def concat_files(files: list[DataFrame], order: list[str]) -> DataFrame:

@@ -288,6 +288,19 @@ ORACLES: dict[str, str] = {
         SELECT e.beam_id, e.ichunk, s.ichunk IS NOT NULL AS present FROM e LEFT JOIN s ON s.beam_id = e.beam_id AND s.ichunk = e.ichunk""",
     "q70_chunk_files": f"""{_t(VECTORS.replace('vec_id % 5', 'vec_id % 2'), VEC)}, t AS (SELECT beam_id, it, string_agg(printf('%02X', byte), '' ORDER BY isample) AS data FROM venc GROUP BY beam_id, it)
         SELECT beam_id, it * 6144 AS fpga_begin, CASE WHEN it % 3 = 0 THEN 2::BIGINT ELSE 1 END AS files, CASE WHEN it % 3 = 0 THEN 1::BIGINT ELSE 0 END AS links, CASE WHEN it % 3 = 0 THEN 2::BIGINT ELSE 1 END AS succeeded, data FROM t""",
+    "q71_beam_statistics": f"""{_t(TELEMETRY, BEAMS)}, r AS (SELECT b.beam_id, least(u.n - consumed, 6) AS n_ready, count(*) AS ntotal, min(fpga_begin) AS lo, max(fpga_end) AS hi, (u.first_ichunk + u.n) * 393216 AS nxt
+          FROM bounded b JOIN used u USING (beam_id) GROUP BY b.beam_id, u.n, consumed, u.first_ichunk),
+        l AS (SELECT u.beam_id, k AS level, count(b.ichunk) AS n, coalesce(min(fpga_begin), 0) AS lo, coalesce(max(fpga_end), 0) AS hi FROM used u CROSS JOIN range(1, 4) g(k) LEFT JOIN bounded b ON b.beam_id = u.beam_id AND b.level = k GROUP BY 1, 2)
+        SELECT beam_id, unnest(['ringbuf_fpga_next', 'ringbuf_n_ready', 'ringbuf_capacity', 'ringbuf_ntotal', 'ringbuf_fpga_min', 'ringbuf_fpga_max', 'ringbuf_nlevels']) AS name, unnest([nxt, n_ready, 18, ntotal, lo, hi, 4]) AS value FROM r
+        UNION ALL SELECT beam_id, unnest([printf('ringbuf_capacity_level%d', level), printf('ringbuf_ntotal_level%d', level), printf('ringbuf_fpga_min_level%d', level), printf('ringbuf_fpga_max_level%d', level)]),
+          unnest([4, n, lo, hi]) FROM l""",
+    "q72_send_times": f"""{_recursive(TELEMETRY)}, o AS (SELECT beam_id, us, 300 + event_id * 37 % 8000 AS b, row_number() OVER (PARTITION BY beam_id ORDER BY us, event_id) AS k, min(us) OVER (PARTITION BY beam_id) AS first FROM telemetry),
+        sent AS (
+          SELECT beam_id, k, b, CAST(b AS BIGINT) AS total, CAST(0 AS BIGINT) AS send_us FROM o WHERE k = 1
+          UNION ALL
+          SELECT o.beam_id, o.k, o.b, s.total + o.b, greatest(o.us - o.first, CAST(trunc(8e-3 * s.total / 1e-7) AS BIGINT), s.send_us + CAST(trunc(0.8e0 * 8e-3 * s.b / 1e-7) AS BIGINT))
+          FROM sent s JOIN o ON o.beam_id = s.beam_id AND o.k = s.k + 1
+        ) SELECT beam_id, k AS send_order, send_us FROM sent""",
     "q53_sender_counts": f"{_t(TELEMETRY)} SELECT sender, count(*) AS n FROM telemetry GROUP BY sender",
     "q54_receive_path": f"""{_t(RECEIVED)} SELECT beam_id, ifreq, isample, byte, round(scale * byte + "offset", 6) AS decoded, CASE WHEN byte IN (0, 255) THEN 0e0 ELSE 1e0 END AS decoded_weight FROM received""",
     "q55_received_counts": f"""{_t(PAYLOADS)} SELECT packet_class, count(*) AS packets, CAST(sum(nbytes) AS BIGINT) AS nbytes, max(CASE WHEN n IS NULL THEN 0 ELSE (n + 1) * 3072 END) AS max_fpga_seen

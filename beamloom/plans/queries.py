@@ -535,6 +535,17 @@ def q70_chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(kinds, ["beam_id", "fpga_begin"]).select("beam_id", "fpga_begin", "files", "links", "succeeded", "data")
 
 
+def q71_beam_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.statistics(resident(spark, sf_dir), beams(spark, sf_dir), CAPACITIES, consumed(), PER_CHUNK)
+
+
+def q72_send_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("beam_id").orderBy("us", "event_id")
+    ready = F.col("us") - F.first("us").over(order)
+    sent = telemetry(spark, sf_dir).select("beam_id", F.row_number().over(order).alias("send_order"), ready.alias("ready_us"), F.expr("300 + event_id * 37 % 8000").alias("nbytes"))
+    return packets.send_times(sent, "beam_id", 1e-7).select("beam_id", "send_order", "send_us")
+
+
 def narrow_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of narrow_tiles() as chunks of one tile."""
     little = lambda c: F.unhex(F.lit("0000803F" if c == "scale" else "00000000"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from beamloom.operators import monitor, timeseries
 from beamloom.sources import chunk_files as cf
-from beamloom.sources import frame0, intensity, shared
+from beamloom.sources import frame0, intensity, shared, typed
 
 
 def test_files_are_written_linked_or_refused(spark, tmp_path):
@@ -115,3 +115,16 @@ def test_asof_of_fractional_and_skewed_keys(spark):
     known = [(t, i) for i, t in enumerate(times) if i % 3 == 0]
     assert got == {x: max(((t, i) for t, i in known if t <= x), default=(None, None)) for x in [-1.0, *times, 5e9]}
     assert [r.t for r in monitor.asof(probes, history.limit(0), "x", "t", "v").collect()] == [None] * 304
+
+
+def test_typed_tables_and_codecs(spark, tmp_path):
+    spark.range(3).selectExpr("id", "cast(id as double) as x").write.option("compression", typed.codec("zstd")).parquet(f"{tmp_path}/t")
+    assert typed.read_typed(spark, f"{tmp_path}/t", "x double").columns == ["x"]
+    for bad in ("y double", "x float"):
+        with pytest.raises(ValueError):
+            typed.read_typed(spark, f"{tmp_path}/t", bad)
+    assert typed.codec("bitshuffle", typed.OFF) == typed.codec("zstd", typed.OFF) == typed.codec("bitshuffle", typed.SILENT) == "uncompressed"
+    with pytest.warns(UserWarning):
+        assert typed.codec("bitshuffle", typed.WARN) == "uncompressed"
+    with pytest.raises(ValueError):
+        typed.codec("bitshuffle")
