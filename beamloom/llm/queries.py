@@ -17,7 +17,7 @@ from .packing import pack_documents
 from .quality import classify
 from .secrets import scan_secrets
 from .token_files import write_token_files
-from .tokens import tokenizer_spec
+from .tokens import LARGE_CACHE, tokenizer_spec
 from .toxicity import score_toxicity
 
 
@@ -60,19 +60,49 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, similarity=(85, 100))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words
+), sets AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM shingled
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS c
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85 GROUP BY ALL
+), links AS (SELECT a, b FROM met WHERE 100 * c >= 85 * (total - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN both_ways l ON r.other = l.a
+), components AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM shingled JOIN components USING (doc_id)
+"""
+
+
 def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=1).digests()
+    return write_token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=1, cache_bytes=LARGE_CACHE).digests()
+
+
+#: The layouts in which op7 hands over conversations, by their id.
+HANDED_OVER = ("turn rows", "messages", "from and value", "prompt and response", "instruction", "question and answer")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], conversations.schema)
-    return chat.digests(chat.write_formatted(chat.canonical_turns(conversations.unionByName(extra))))
+    turns = conversations.unionByName(extra)
+    kind = F.coalesce(F.pmod(F.col("conv_id"), F.lit(len(HANDED_OVER))), F.lit(0)).cast("int")
+    rows = chat.canonical_turns(turns.filter(kind == 0))
+    name = F.element_at(F.array(*map(F.lit, HANDED_OVER)), kind + 1)
+    records = chat.mixed_records(turns.filter(kind != 0), name)
+    return chat.digests(chat.write_formatted(rows.unionByName(chat.record_table_turns(records))))
 
 
 OP7_SQL = r"""
@@ -80,7 +110,7 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), escaped AS (
-  SELECT *, length(regexp_replace(replace(role || text, '\', '\\'), '<\|turn\|>|<\|text\|>|<\|/turn\|>|</?s>|\[/?INST\]|<</?SYS>>', '\0x', 'g')) AS size
+  SELECT *, length(regexp_replace(replace(role || text, '\', '\\'), '<\|(turn|text|/turn|im_start|im_end|startoftext|endoftext|user|assistant|system|eot_id|start_header_id|end_header_id|begin_of_text)\|>|</?s>|\[/?INST\]|<</?SYS>>', '\0x', 'g')) AS size
   FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
@@ -93,7 +123,7 @@ FROM escaped GROUP BY conv_id
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0, cache_bytes=LARGE_CACHE)
 
 
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_block_matrix_neighbours": OP1_SQL,
+        "op4_minhash_near_dedup": OP4_SQL,
         "op7_chat_format": OP7_SQL,
         "op9_exact_dedup": OP9_SQL,
     }

@@ -1,20 +1,22 @@
 """Token ids in files of canonical, length-limited Huffman codes, and back.
 
 Writing: (1) texts become ids once, in a scratch table; (2) global counts of ids, at most one row a vocabulary entry,
-reach the driver, which finds optimal code lengths of at most 16 bits by package-merge; canonical codes follow from the
-lengths; (3) documents are encoded where they lie, then dealt to ranges of doc_id and sorted, so only code bits are
-shuffled; (4) consecutive documents fill blocks. A block decodes alone: it lists its documents and a bit offset every
+reach the driver, which finds optimal code lengths by package-merge, of at most 16 bits or, beyond 2^16 used ids, as few
+more as they need; canonical codes follow from the
+lengths; (3) documents are dealt to ranges of (doc_id, tokens, a hash of the ids), sorted and encoded; ranges come from
+Spark's samples, their number is in proportion to the tokens, and a range is a file; (4) consecutive documents fill blocks. A block decodes alone: it lists its documents and a bit offset every
 CHECKPOINT tokens and at each document. Files are Parquet rows (file, block, first, tokens, payload) beside a one-row
 table of code lengths; `first` counts the file's tokens before the block.
 
-Reading decodes a block by one table of 2^16 entries; all stretches between checkpoints advance side by side.
+Reading decodes a block by one table of 2^longest entries; all stretches between checkpoints advance side by side.
 
 Block payload (little-endian): magic "HTB1", documents u32, checkpoints u32, bytes of code u64; then doc ids i64, null
 flags u8, token counts u64, checkpoints u64 (bit offset in the code), code, three zero bytes. Every document starts at
 a byte, and has ceil(tokens / CHECKPOINT) checkpoints.
 
-Defined results: a null text is empty; null ids come first; rows that repeat an id are separate documents in the order
-of their lengths; extra columns are ignored; an empty table gives no blocks.
+Defined results: a null or empty text has its end id only; a very long one is one document in one block; null ids come
+first; rows that repeat an id are separate documents in the order of their lengths; extra columns are ignored; an empty
+table gives no blocks.
 """
 
 from __future__ import annotations
@@ -25,27 +27,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, new_path, settings, written
-from .tokens import ID, token_rows
+from .common import SMALL_BATCHES, new_path, returned, settings, written
+from .tokens import CACHE_BYTES, ID, token_rows
 
 MAGIC, HEAD = b"HTB1", struct.Struct("<4sIIQ")
 LONGEST = 16
 CHECKPOINT = 512
 BLOCK_TOKENS = 1 << 20
-FILE_TOKENS = 1 << 24
-#: Beyond so many files, files grow instead; their cuts are a list in the plan.
-MOST_FILES = 4000
+FILE_TOKENS = 1 << 23
+#: Tokens whose arrays exist at one time while documents are encoded.
+STEP_TOKENS = 1 << 17
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
-    """Optimal prefix-code lengths of at most `longest` bits (package-merge); 0 for ids that don't occur."""
+    """Optimal prefix-code lengths of at most `longest` bits, or as many as the used ids need (package-merge); 0 for ids
+    that don't occur."""
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
-    if len(used) > 1 << longest:
-        raise ValueError("more ids than codes")
+    longest = max(longest, (len(used) - 1).bit_length())
     if len(used) <= 1:
         lengths[used] = 1
         return lengths
@@ -81,30 +84,50 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, code length) for each value of the next 16 bits."""
-    ids, sizes = np.zeros(1 << LONGEST, np.uint32), np.zeros(1 << LONGEST, np.uint8)
+    """(id, code length) for each value of the next bits, as many as the longest code has."""
+    longest = max(1, int(lengths.max(initial=0)))
+    ids, sizes = np.zeros(1 << longest, np.uint32), np.zeros(1 << longest, np.uint8)
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
-    spans = 1 << (LONGEST - lengths[order].astype(np.int64))
+    spans = 1 << (longest - lengths[order].astype(np.int64))
     filled = int(spans.sum())
     ids[:filled], sizes[:filled] = np.repeat(order, spans), np.repeat(lengths[order], spans)
     return ids, sizes
 
 
-def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The code of one document in whole bytes, and bit offsets every CHECKPOINT tokens."""
+def encode(docs: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+    """Each document's code in whole bytes, and its bit offsets every CHECKPOINT tokens; all documents at once."""
+    ids = np.concatenate(docs) if docs else np.empty(0, np.uint32)
+    bounds = np.cumsum([0, *map(len, docs)])
     sizes = lengths[ids].astype(np.int64)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    bits = int(ends[-1]) if len(ends) else 0
-    words = np.zeros((bits + 31) // 32 + 1, np.uint64)
+    ends = np.append(0, np.cumsum(sizes))
+    begins = ends[bounds]  # bits before each document, were there no gaps
+    room = (np.diff(begins) + 7) // 8
+    at = np.append(0, np.cumsum(room))
+    starts = ends[:-1] + np.repeat(8 * at[:-1] - begins[:-1], np.diff(bounds))
+    words = np.zeros(int(at[-1]) // 4 + 2, np.uint64)
     if len(ids):
         shifted = codes[ids].astype(np.uint64) << (np.uint64(64) - (starts & 31).astype(np.uint64) - sizes.astype(np.uint64))
         word = starts >> 5
         first = np.flatnonzero(np.diff(word, prepend=-1))
         words[word[first]] += np.add.reduceat(shifted >> np.uint64(32), first)
         words[word[first] + 1] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), first)
-    return words.astype(">u4").tobytes()[: (bits + 7) // 8], starts[::CHECKPOINT]
+    data = words.astype(">u4").tobytes()
+    places = zip(bounds[:-1].tolist(), bounds[1:].tolist(), at[:-1].tolist(), at[1:].tolist())
+    return [(data[a:b], starts[i:j:CHECKPOINT] - 8 * a) for i, j, a, b in places]
+
+
+def few_tokens(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """Rows (id, tokens, ...) in lists of at most STEP_TOKENS tokens, or one row."""
+    held, size = [], 0
+    for row in rows:
+        if held and size + row[1] > STEP_TOKENS:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += row[1]
+    if held:
+        yield held
 
 
 def pack_block(doc_ids: list, tokens: list[int], codes: list[bytes], marks: list[np.ndarray]) -> bytes:
@@ -129,8 +152,9 @@ def unpack_block(payload: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[
     tokens = np.frombuffer(payload, "<u8", n, at := at + n).astype(np.int64)
     place = np.frombuffer(payload, "<u8", m, at := at + 8 * n).astype(np.int64)
     data = np.frombuffer(payload, np.uint8, size + 3, at + 8 * m).astype(np.uint32)
-    window = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
+    window = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
     ids, sizes = table
+    longest = len(ids).bit_length() - 1  # at most 25: a window has that many from any bit of its first byte
 
     stretches = -(-tokens // CHECKPOINT)
     counts = np.full(m, CHECKPOINT, np.int64)
@@ -144,7 +168,7 @@ def unpack_block(payload: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[
     for i in range(int(counts[0]) if m else 0):
         k = active[i]
         now = place[:k]
-        code = (window[now >> 3] >> (8 - (now & 7)).astype(np.uint32)) & 0xFFFF
+        code = (window[now >> 3] >> (32 - longest - (now & 7)).astype(np.uint32)) & np.uint32((1 << longest) - 1)
         out[target[:k] + i] = ids[code]
         place[:k] += sizes[code]
     return [None if z else i for i, z in zip(doc_ids, null)], tokens, out
@@ -205,8 +229,11 @@ class TokenFiles:
         return self.documents("doc_id long, ids array<long>", work).select("doc_id", "ids")
 
 
-def write_token_files(docs: DataFrame, spec: str, end_id: int, path: str | None = None) -> TokenFiles:
-    """Ids of every row of docs(doc_id, text), each followed by end_id, in ascending doc_id order below path."""
+def write_token_files(docs: DataFrame, spec: str, end_id: int, path: str | None = None, file_tokens: int | None = None, cache_bytes: int = CACHE_BYTES) -> TokenFiles:
+    """Ids of every row of docs(doc_id, text), each followed by end_id, in ascending doc_id order below path.
+
+    file_tokens: about the tokens of a file, which one task sorts; more of them where files would be too many.
+    """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
 
@@ -222,7 +249,7 @@ def write_token_files(docs: DataFrame, spec: str, end_id: int, path: str | None
     wide = 2 if vocabulary <= 1 << 16 else 4
     kind = f"<u{wide}"
     with settings(spark, **SMALL_BATCHES):
-        tokens = written(token_rows(docs, spec, end_id, tokenised, "doc_id long, n_tokens long, ids binary"), "ids")
+        tokens = written(token_rows(docs, spec, end_id, tokenised, "doc_id long, n_tokens long, ids binary", cache_bytes), "ids")
 
     def counted(batches) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocabulary, np.int64)
@@ -238,43 +265,35 @@ def write_token_files(docs: DataFrame, spec: str, end_id: int, path: str | None
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
 
-    files = min(MOST_FILES, max(1, round(int(counts.sum()) / FILE_TOKENS)))
-    steps = [i / files for i in range(1, files)]
-    cuts = np.array(tokens.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, steps)), F.lit(20 * files))).first()[0] or [] if steps else [], np.int64)
-
-    def coded(batches) -> Iterator[pa.RecordBatch]:
-        codes = canonical_codes(lengths)
-        for batch in batches:
-            doc_ids, n_tokens = batch.column(0), batch.column(1)
-            parts = [encode(np.frombuffer(x, kind), lengths, codes) for x in batch.column(2).to_pylist()]
-            file = np.searchsorted(cuts, np.array(doc_ids.fill_null(-(2**63))), side="left")
-            columns = [pa.array(file.astype(np.int64)), doc_ids, n_tokens, pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1].astype("<u8").tobytes() for p in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["file", "doc_id", "n_tokens", "code", "marks"])
+    files = max(1, round(int(counts.sum()) / (file_tokens or FILE_TOKENS)))
 
     def blocked(batches) -> Iterator[pa.RecordBatch]:
+        codes = canonical_codes(lengths)
         held: list[tuple] = []
-        state = {"file": None, "block": 0, "first": 0, "tokens": 0}
+        state = {"file": TaskContext.get().partitionId(), "block": 0, "first": 0, "tokens": 0}  # ranges go by partition
 
         def flush() -> pa.RecordBatch:
-            payload = pack_block([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], [np.frombuffer(h[3], "<u8") for h in held])
+            payload = pack_block([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], [h[3] for h in held])
             row = [state["file"], state["block"], state["first"], state["tokens"]]
             held.clear()
             state.update(block=state["block"] + 1, first=state["first"] + state["tokens"], tokens=0)
             return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row), pa.array([payload], pa.binary())], names=["file", "block", "first", "tokens", "payload"])
 
         for batch in batches:
-            for file, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (file != state["file"] or state["tokens"] + row[1] > BLOCK_TOKENS):
-                    yield flush()
-                if file != state["file"]:
-                    state.update(file=file, block=0, first=0)
-                held.append(row)
-                state["tokens"] += row[1]
+            for rows in few_tokens(list(zip(*(c.to_pylist() for c in batch.columns)))):
+                coded = encode([np.frombuffer(ids, kind) for _, _, ids in rows], lengths, codes)
+                for (doc_id, n_tokens, _), code in zip(rows, coded):
+                    if held and state["tokens"] + n_tokens > BLOCK_TOKENS:
+                        yield flush()
+                    held.append((doc_id, n_tokens, *code))
+                    state["tokens"] += n_tokens
         if held:
             yield flush()
+        returned()
 
-    sent = tokens.mapInArrow(coded, "file long, doc_id long, n_tokens long, code binary, marks binary")
-    ordered = sent.repartition(files, "file").sortWithinPartitions("file", "doc_id", "n_tokens", "code")
+    order = ["doc_id", "n_tokens", "hash"]  # rows that repeat an id can be split over files, too
+    sent = tokens.withColumn("hash", F.xxhash64("ids")).repartitionByRange(files, *order)
+    ordered = sent.sortWithinPartitions(*order, "ids").drop("hash")
     with settings(spark, **SMALL_BATCHES):
         ordered.mapInArrow(blocked, "file long, block long, first long, tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
     return TokenFiles(spark, path)

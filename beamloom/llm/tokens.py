@@ -34,8 +34,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_END = "ɐ"
 BEYOND = re.compile(f"[{PLAIN_END}-\U0010ffff]").search
 #: A generation of the cache takes about so many bytes; ENTRY_BYTES are those of an entry beside its key's and value's.
-#: Two generations of LARGE_CACHE are about 150 MB a worker, for jobs that do little but tokenise.
-CACHE_BYTES, LARGE_CACHE, ENTRY_BYTES = 24_000_000, 72_000_000, 180
+#: Two generations of LARGE_CACHE are about 300 MB a worker, for jobs that do little but tokenise.
+CACHE_BYTES, LARGE_CACHE, ENTRY_BYTES = 24_000_000, 150_000_000, 180
 #: Marks that a word's chunk often ends with; the pattern takes a run of them as one piece.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer words aren't kept.

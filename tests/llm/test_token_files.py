@@ -45,7 +45,12 @@ def test_block_round_trip(monkeypatch):
     docs = [np.minimum(rng.geometric(0.05, n), 299).astype("<u4") for n in (0, 1, 4, 5, 6, 400, 0, 33)]
     lengths = tf.code_lengths(np.bincount(np.concatenate(docs), minlength=300))
     codes = tf.canonical_codes(lengths)
-    parts = [tf.encode(d, lengths, codes) for d in docs]
+    parts = tf.encode(docs, lengths, codes)
+    for d, (code, marks) in zip(docs, parts):
+        alone, own = tf.encode([d], lengths, codes)[0]
+        bits = "".join(f"{codes[i]:0{lengths[i]}b}" for i in d.tolist())
+        assert code == alone == int(bits.ljust(-(-len(bits) // 8) * 8, "0") or "0", 2).to_bytes(-(-len(bits) // 8), "big")
+        assert marks.tolist() == own.tolist() == [sum(int(lengths[i]) for i in d[:k].tolist()) for k in range(0, len(d), 5)]
     names = [None, 5, 6, 7, 8, 9, -1, 2**62]
     payload = tf.pack_block(names, [len(d) for d in docs], [p[0] for p in parts], [p[1] for p in parts])
     back, tokens, ids = tf.unpack_block(payload, tf.decoding_table(lengths))
@@ -53,6 +58,26 @@ def test_block_round_trip(monkeypatch):
     assert np.array_equal(ids, np.concatenate(docs))
 
 
+def test_more_ids_than_short_codes():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(1, 9, 70_000)
+    lengths = tf.code_lengths(counts)
+    assert lengths.max() == 17 and lengths.min() > 0
+    ids = rng.integers(0, 70_000, 5000).astype("<u4")
+    code, marks = tf.encode([ids], lengths, tf.canonical_codes(lengths))[0]
+    assert np.array_equal(tf.unpack_block(tf.pack_block([1], [len(ids)], [code], [marks]), tf.decoding_table(lengths))[2], ids)
+
+
+def test_a_repeated_id_is_split_over_files(spark, monkeypatch):
+    monkeypatch.setattr(tf, "FILE_TOKENS", 400)
+    docs = spark.createDataFrame([(7, " ".join(["the"] * (i % 9) + [f"x{i}"])) for i in range(300)] + [(8, "z")], "doc_id long, text string").repartition(3)
+    files = tf.write_token_files(docs, tokenizer_spec(PATH), end_id=1)
+    assert files.blocks().select("file").distinct().count() > 2
+    got = sorted(tuple(r)[1:3] for r in files.digests().collect())
+    assert [a for a, _ in got] == [sum(n for _, n in got[:i]) for i in range(len(got))] and got[-1][1] < 10
+    assert [n for _, n in got[:-1]] == sorted(n for _, n in got[:-1])
+
+
 def test_files(spark, monkeypatch):
     monkeypatch.setattr(tf, "FILE_TOKENS", 3000)
     rng = random.Random(2)
