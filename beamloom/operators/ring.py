@@ -111,12 +111,14 @@ def contiguity(resident: DataFrame) -> DataFrame:
 
 
 def can_downsample(chunks: DataFrame) -> DataFrame:
-    """chunks(beam_id, ichunk, binning, nupfreq, nrfifreq, nt_per_packet, mask_ready) with whether each may be merged with its
-    beam's next one: consecutive, of the same shape, and with masks that are ready where there are any."""
+    """chunks(beam_id, ichunk, binning, mask_ready[, nupfreq, nrfifreq, nt_per_packet]) with whether each may be merged with
+    its beam's next one: consecutive, of the same shape as far as it is told, and with masks that are ready where there are
+    any (nrfifreq over 0, or not told)."""
     order = Window.partitionBy("beam_id", "binning").orderBy("ichunk")
-    shape = F.struct("nupfreq", "nrfifreq", "nt_per_packet")
+    shape = F.struct("binning", *[c for c in ("nupfreq", "nrfifreq", "nt_per_packet") if c in chunks.columns])
+    maskless = F.col("nrfifreq") == 0 if "nrfifreq" in chunks.columns else F.lit(False)
     df = chunks.withColumn("_next", F.lead(F.struct("ichunk", shape.alias("shape"), "mask_ready")).over(order))
-    ready = (F.col("nrfifreq") == 0) | (F.col("mask_ready") & F.col("_next.mask_ready"))
+    ready = maskless | (F.col("mask_ready") & F.col("_next.mask_ready"))
     fits = (F.col("_next.ichunk") == F.col("ichunk") + F.col("binning")) & (F.col("_next.shape") == shape) & ready
     return df.withColumn("mergeable", F.coalesce(fits, F.lit(False))).drop("_next")
 
