@@ -244,7 +244,7 @@ ORACLES: dict[str, str] = {
         SELECT w.beam_id, w.fpga_begin, ichunk, binning, CASE WHEN ichunk IS NOT NULL THEN 'found' WHEN w.fpga_begin >= e THEN 'past' ELSE 'gone' END AS status
         FROM wanted w JOIN ends USING (beam_id) LEFT JOIN found f ON f.beam_id = w.beam_id AND f.fpga_begin = w.fpga_begin""",
     "q27_drops": f"{_t(TELEMETRY, BEAMS)} SELECT beam_id, n, n // (2 + beam_id) AS consumed, greatest(0, n - n // (2 + beam_id) - 8) AS dropped FROM beams",
-    "q28_contiguity": f"""{_t(TELEMETRY)}, c AS (SELECT DISTINCT beam_id, ichunk FROM telemetry WHERE sender % 48 = beam_id),
+    "q28_contiguity": f"""{_t(TELEMETRY)}, c AS (SELECT DISTINCT beam_id, ichunk FROM telemetry WHERE sender < 8),
         d AS (SELECT *, lead(ichunk) OVER (PARTITION BY beam_id ORDER BY ichunk) AS next_ichunk FROM c) SELECT * FROM d WHERE next_ichunk <> ichunk + 1""",
     "q29_rates_per_period": f"{_t(TELEMETRY, RATES)} SELECT * FROM rates",
     "q30_rate_diff": f"{_t(TELEMETRY, RATES)} SELECT start_us AS t, sender, CAST(sum(n) OVER (PARTITION BY sender ORDER BY start_us) AS BIGINT) AS total, n AS delta FROM rates",

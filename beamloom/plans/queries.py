@@ -214,8 +214,8 @@ def q27_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q28_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaks between the chunks of each beam that have a sample of a beam's own sixth of the senders, as one level."""
-    chunks = telemetry(spark, sf_dir).filter("sender % 48 = beam_id").select("beam_id", F.lit(0).alias("level"), "ichunk", F.lit(1).alias("binning")).distinct()
+    """Breaks between the chunks of each beam that have a sample of one sender, as one level."""
+    chunks = telemetry(spark, sf_dir).filter("sender < 8").select("beam_id", F.lit(0).alias("level"), "ichunk", F.lit(1).alias("binning")).distinct()
     return ring.contiguity(chunks).select("beam_id", "ichunk", F.col("next").alias("next_ichunk"))
 
 
