@@ -188,7 +188,8 @@ def mixed_records(turns: DataFrame, layout: Column) -> DataFrame:
     """(conv_id, turn, record): turns(conv_id, turn, role, text) as JSON records of the layout that each row names.
 
     A user's turn and the assistant's answer of the next turn number are one record where the layout has parts; single
-    turns are, too, as "messages" there. What exporters of several data sets would hand over.
+    turns are, too, as "messages" there, and so are turns whose role is one of SHARE_ROLES' names where the layout is "from
+    and value", since reading would rename it. What exporters of several data sets would hand over.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select("conv_id", "turn", "role", "text", layout.alias("layout"))
@@ -199,9 +200,12 @@ def mixed_records(turns: DataFrame, layout: Column) -> DataFrame:
     asks = paired & (F.col("role") == "user") & (F.col("after.role") == "assistant") & (F.col("after.turn") == F.col("turn") + 1)
     told = paired & (F.col("role") == "assistant") & (F.col("before.role") == "user") & (F.col("before.turn") == F.col("turn") - 1)
     record = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")), {"ignoreNullFields": "false"})
-    sender = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    names = {role: name for name, role in SHARE_ROLES.items()}
+    sender = F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("role")], F.col("role"))
     shared = F.to_json(F.struct(F.array(F.struct(sender.alias("from"), F.col("text").alias("value"))).alias("conversations")), {"ignoreNullFields": "false"})
-    record = F.when(F.col("layout") == "from and value", shared).otherwise(record)
+    # a role that this layout gives another meaning when it is read is handed over as a message
+    told_apart = ~F.coalesce(F.col("role").isin(*SHARE_ROLES), F.lit(False))
+    record = F.when((F.col("layout") == "from and value") & told_apart, shared).otherwise(record)
     for name, ((_, (ask,)), (_, (answer,))) in parts.items():
         pair = F.to_json(F.struct(F.col("text").alias(ask), F.col("after.text").alias(answer)), {"ignoreNullFields": "false"})
         record = F.when((F.col("layout") == name) & F.coalesce(asks, F.lit(False)), pair).otherwise(record)

@@ -45,11 +45,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd", **options: str) -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
+def written(df: DataFrame, name: str, codec: str = "zstd", by: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """Cut the lineage: write df as a Parquet table in the shared folder, in a folder for each value of `by`, and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).options(**options).parquet(path)
+    df.write.option("compression", codec).options(**options).partitionBy(*by).parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # at the latest with the application
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,8 @@ id, count; bounded, it spills). Flushing a batch writes its memtables as one run
 a Bloom filter of the run. Runs lie in a shared folder and are found there again, so later batches extend an index.
 Compaction is tiered by size: FAN runs of one tier become one run, which keeps the smallest identifier of each digest.
 A lookup goes from the newest run to the oldest; digests that a run's filter doesn't know aren't joined with it.
+A run names the batches it holds. A batch that is there isn't flushed again, so a job that died after a flush may be
+run again with the same batch name.
 
 A digest that more than one row hit is then verified on bytes: the hit rows are grouped by (digest, text), so rows count
 as equal only where their texts are. Only texts that a filter of the hits lets through are shuffled, and copies collapse
@@ -31,6 +33,8 @@ SHA256 = lambda text: F.unhex(F.sha2(text.cast("binary"), 256))
 
 #: So many runs of one size tier are merged into one of a higher tier.
 FAN = 4
+#: Batches that a call deals its rows to, by a hash of the row: enough for a compaction, and a run that it leaves newer.
+BATCHES = FAN + 1
 
 ENTRIES = "digest binary, keep_id long, group_size long"
 
@@ -41,13 +45,14 @@ def normalised(text: str | Column = "text") -> Column:
 
 
 class Run:
-    """Entries of the batches first to last, and their filter."""
+    """Entries of the batches first to last, their filter and the batches' names."""
 
     def __init__(self, spark: SparkSession, path: str, first: int, last: int):
         self.path, self.first, self.last = path, first, last
         self.entries = spark.read.schema(ENTRIES).parquet(f"{path}/entries")
         self.filter = spark.read.schema("word long, bits long").parquet(f"{path}/filter")
         self.rows = self.entries.count()
+        self.batches = spark.read.schema("batch string").parquet(f"{path}/batches")
 
     @property
     def tier(self) -> int:
@@ -75,29 +80,40 @@ class DigestIndex:
                 self.runs.append(Run(spark, f"{path}/{name}", first, last))
         self.runs.sort(key=lambda r: r.first)
 
-    def _write(self, entries: DataFrame, first: int, last: int) -> Run:
+    def _write(self, entries: DataFrame, batches: DataFrame, first: int, last: int) -> Run:
         path = f"{self.path}/run-{first}-{last}-{uuid.uuid4().hex[:8]}"
+        batches.coalesce(1).write.parquet(f"{path}/batches")
         entries.sortWithinPartitions("digest").write.option("compression", "zstd").parquet(f"{path}/entries")
         written_ = self.spark.read.schema(ENTRIES).parquet(f"{path}/entries")
         build(written_, "digest", words_for(written_.count())).write.option("compression", "zstd").parquet(f"{path}/filter")
         return Run(self.spark, path, first, last)
 
-    def flush(self, keyed: DataFrame) -> None:
-        """Memtables of keyed(doc_id, digest) to one more run; then compaction, as far as tiers are full."""
+    def holds(self, batch: str) -> bool:
+        """Whether a run has taken the batch in."""
+        return any(not run.batches.filter(F.col("batch") == batch).isEmpty() for run in self.runs)
+
+    def flush(self, keyed: DataFrame, batch: str | None = None) -> None:
+        """Memtables of keyed(doc_id, digest) to one more run; then compaction, as far as tiers are full.
+
+        batch: the rows' name. Nothing happens if a run has them already; without a name, rows count each time.
+        """
+        batch = batch or uuid.uuid4().hex
+        if self.holds(batch):
+            return
         number = self.runs[-1].last + 1 if self.runs else 0
         memtables = keyed.groupBy("digest").agg(F.min(F.col("doc_id").cast("long")).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        self.runs.append(self._write(memtables, number, number))
+        self.runs.append(self._write(memtables, self.spark.range(1).select(F.lit(batch).alias("batch")), number, number))
         while len(self.runs) >= FAN and len({r.tier for r in self.runs[-FAN:]}) == 1:
             self.compact(FAN)
 
     def compact(self, newest: int) -> None:
         """The newest so many runs become one."""
         old = self.runs[-newest:]
-        merged = old[0].entries
+        merged, batches = old[0].entries, old[0].batches
         for run in old[1:]:
-            merged = merged.unionByName(run.entries)
+            merged, batches = merged.unionByName(run.entries), batches.unionByName(run.batches)
         merged = merged.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        self.runs[-newest:] = [self._write(merged, old[0].first, old[-1].last)]
+        self.runs[-newest:] = [self._write(merged, batches, old[0].first, old[-1].last)]
         release(self.spark, [r.path for r in old])
 
     def lookup(self, digests: DataFrame) -> DataFrame:
@@ -132,16 +148,22 @@ def _tag(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
 
 
-def _grouped(docs: DataFrame, digest, batches: int, index_path: str | None, earlier: DataFrame | None) -> DataFrame:
+def _grouped(docs: DataFrame, digest, batches: int, index_path: str | None, earlier: DataFrame | None, batch: str | None) -> DataFrame:
     """(doc_id, tag, keep_id, group_size, digest) for every row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("text"), _tag(F.col("doc_id"), F.col("text")).alias("tag"))
     rows = rows.withColumn("digest", digest(F.col("text")))
+    batch = batch or uuid.uuid4().hex
+    names = [f"{batch}:{k}" for k in range(batches)]
     with scratch(spark) as keep:
-        keyed = written(rows.select("doc_id", "tag", "digest", F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch")), "digests")
         index = DigestIndex(spark, index_path or new_path(spark, "index"))
-        for batch in range(batches):
-            index.flush(keyed.filter(F.col("batch") == batch))
+        own = spark.createDataFrame([(n,) for n in names], "batch string")
+        if earlier is None and any(not run.batches.join(own, "batch", "left_anti").isEmpty() for run in index.runs):
+            raise ValueError("the index holds earlier batches: hand over their documents for the byte verification")
+        dealt = F.pmod(F.xxhash64("tag"), F.lit(batches)).cast("int").alias("batch")
+        keyed = written(rows.select("doc_id", "tag", "digest", dealt), "digests", by=("batch",))
+        for k, name in enumerate(names):
+            index.flush(keyed.filter(F.col("batch") == k), name)
         entries = written(index.lookup(keyed.select("digest").distinct()), "entries")
         known = rows.select("doc_id", "text", "digest")
         if earlier is not None:
@@ -151,10 +173,7 @@ def _grouped(docs: DataFrame, digest, batches: int, index_path: str | None, earl
         collided = not verified.filter("texts > 1").isEmpty()
         keep += [keyed, entries, verified]
 
-    single = entries.filter("group_size = 1")
-    groups = single.unionByName(verified.filter("texts = 1").select("digest", "keep_id", "group_size"))
-    if earlier is None and index_path is not None:  # without their texts, hits of earlier batches stand on their digest
-        groups = entries.join(verified.filter("texts > 1").select("digest"), "digest", "left_anti")
+    groups = entries.filter("group_size = 1").unionByName(verified.filter("texts = 1").select("digest", "keep_id", "group_size"))
     result = keyed.select("doc_id", "tag", "digest").join(groups, "digest")
     if collided:  # different texts under one digest: those rows are matched on their bytes
         apart = rows.join(verified.filter("texts > 1").select("digest"), "digest", "left_semi")
@@ -162,14 +181,15 @@ def _grouped(docs: DataFrame, digest, batches: int, index_path: str | None, earl
     return result.select("doc_id", "tag", "keep_id", "group_size", "digest")
 
 
-def exact_dedup(docs: DataFrame, digest=SHA256, batches: int = 2, index_path: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest=SHA256, batches: int = BATCHES, index_path: str | None = None, earlier: DataFrame | None = None, batch: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest) for every row of docs(doc_id, text).
 
-    batches: runs that the input is flushed in, as arriving batches would be. index_path: an index that docs are added
-    to and looked up in, with what earlier calls put there; earlier: the documents of those calls, for the byte
-    verification (without them, a digest that only earlier batches share is trusted).
+    batches: runs that the input is flushed in, dealt by a hash of the row, as arriving batches would be. index_path: an
+    index that docs are added to and looked up in, with what earlier calls put there; it must be kept by the caller.
+    earlier: the documents of those calls, for the byte verification; an index that holds other batches is refused
+    without them. batch: a name of docs; a call that is run again under its name doesn't count its rows twice.
     """
-    found = _grouped(docs, digest, batches, index_path, earlier)
+    found = _grouped(docs, digest, batches, index_path, earlier, batch)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
@@ -179,7 +199,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Only rows that may be copies are shuffled; the columns of docs stay, whatever their names. Nulls, empty and very long
     texts, ties and empty tables are as in exact_dedup().
     """
-    found = _grouped(docs, SHA256, 2, None, None).filter("group_size > 1")
+    found = _grouped(docs, SHA256, BATCHES, None, None, None).filter("group_size > 1")
     decided = written(found.select("tag", "doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")), "decided")
     again = decided.filter("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     again = written(decided.filter("kept").join(again, decided["doc_id"].eqNullSafe(again["doc_id"]) & (decided["digest"] == again["digest"]), "left_semi").select("tag").distinct(), "again")

@@ -62,6 +62,7 @@ def test_records_of_mixed_layouts(spark):
 
 def test_records_of_every_layout_give_the_turns_back(spark):
     rows = [(c, t, ("user", "assistant", "system", "user", "assistant", "assistant", None)[(c + t) % 7], ["q", None, "hé\n", '"\\', "x" * 3000000][(c * t) % 5]) for c in range(20) for t in range(9)]
+    rows += [(c, 20 + t, role, f"{role} says") for c in range(20) for t, role in enumerate(("human", "gpt", "tool", "User", "", "GPT", "human"))]
     rows += [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (3, 1, "user", "again"), (3, 1, "user", "again"), (4, None, "user", "a"), (4, None, "assistant", "b"), (5, 100, "user", "a"), (5, 105, "assistant", "b")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     names = [x.name for x in chat.LAYOUTS if x.name in ("messages", "from and value", "prompt and response", "instruction", "question and answer")]

@@ -68,7 +68,7 @@ def test_runs_are_looked_up_extended_and_compacted(spark):
     assert [(r.first, r.last) for r in index.runs] == [(0, ed.FAN - 1), (ed.FAN, ed.FAN), (ed.FAN + 1, ed.FAN + 1)]
     assert index.runs[0].find(spark.createDataFrame([(b"none",)], "digest binary")).count() == 0
     # what a lost compaction leaves beside its result doesn't count twice
-    index._write(index.runs[1].entries, ed.FAN, ed.FAN + 1)
+    index._write(index.runs[1].entries, index.runs[1].batches, ed.FAN, ed.FAN + 1)
     assert [(r.first, r.last) for r in ed.DigestIndex(spark, path).runs] == [(0, ed.FAN - 1), (ed.FAN, ed.FAN + 1)]
 
 
@@ -82,11 +82,38 @@ def test_a_third_batch_meets_the_first_two(spark):
     want = collections.Counter({k: n for k, n in brute(rows).items() if k[0] % 3 == 0})
     found = ed.exact_dedup(new, index_path=path, batches=1, earlier=old).collect()
     assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == want
-    assert len(ed.DigestIndex(spark, path).runs) == 3
-    other = new_path(spark, "index")
-    ed.exact_dedup(old, index_path=other).count()
-    trusted = ed.exact_dedup(new, index_path=other, batches=1).collect()
-    assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in trusted) == want
+    # once more under the same name, as after a job that died: nothing counts twice
+    names = ("late", "late", "later")
+    for name in names:
+        again = ed.exact_dedup(new, index_path=path, batches=1, earlier=docs, batch=name)
+        total = {r.doc_id: r.group_size for r in again.collect()}
+    assert sum(r.batches.count() for r in ed.DigestIndex(spark, path).runs) == ed.BATCHES + 3
+    assert total[next(r.doc_id for r in found)] >= 1
+    with pytest.raises(ValueError):
+        ed.exact_dedup(new, index_path=path, batches=1)
+
+
+def test_a_repeated_flush_and_a_dead_job(spark):
+    rows = [(1, "a"), (2, "a"), (3, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    path = new_path(spark, "index")
+    for _ in range(2):
+        got = ed.exact_dedup(docs, index_path=path, batch="monday").collect()
+        assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == brute(rows)
+    index = ed.DigestIndex(spark, path)
+    assert index.holds("monday:0") and not index.holds("tuesday:0")
+
+
+def test_the_call_deals_rows_to_batches_and_compacts(spark, monkeypatch):
+    merges, lookups = [], []
+    compact, lookup = ed.DigestIndex.compact, ed.DigestIndex.lookup
+    monkeypatch.setattr(ed.DigestIndex, "compact", lambda self, newest: merges.append([r.rows for r in self.runs[-newest:]]) or compact(self, newest))
+    monkeypatch.setattr(ed.DigestIndex, "lookup", lambda self, digests: lookups.append([r.rows for r in self.runs]) or lookup(self, digests))
+    rows = [(i, f"text {i % 700}") for i in range(1000)]
+    found = ed.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == brute(rows)
+    assert len(merges) == 1 and len(merges[0]) == ed.FAN and min(merges[0]) > 100
+    assert len(lookups[0]) == 2 and min(lookups[0]) > 100
 
 
 def test_drop_copies_with_clashing_columns(spark):

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from beamloom.llm import near_dedup
-from beamloom.llm.components import components
+from beamloom.llm.components import components, rounds
 from beamloom.llm.shingles import shingle_sets, word_hashes
 from tests_llm_support import WORDS, brute_components, plain_sets
 
@@ -89,5 +89,18 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 110: 100, 120: 100, 300: 50, 301: 50, 50: 50}
 
 
+def test_components_of_long_chains_take_few_rounds(spark):
+    """Shuffled chains, whose labels walk one edge a round unless nodes are contracted; and a hub that ranks low itself."""
+    rng = random.Random(8)
+    for size in (1000, 4000):
+        ids = rng.sample(range(10 * size), size)
+        chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+        assert len(rounds(chain)) <= 25
+        assert {tuple(r) for r in components(chain).collect()} == {(i, min(ids)) for i in ids}
+    hub = spark.range(1, 2000).select(F.col("id").alias("a"), F.lit(5000).cast("long").alias("b"))
+    assert len(rounds(hub)) <= 5 and {r.component for r in components(hub).collect()} == {1}
+    assert components(hub.limit(0)).collect() == [] and components(hub.select("a", F.col("a").alias("b"))).collect() == []
+
+
 def test_threshold():
     assert near_dedup.match_threshold(32, 0.85) == 16
