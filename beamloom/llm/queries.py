@@ -127,7 +127,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(table(spark, sf_dir, "documents"))
+    return mix_plan(table(spark, sf_dir, "documents"), toward_uniform=0.5, repeats=4.0, fewest=1.5)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
