@@ -19,6 +19,7 @@ from .secrets import scan_secrets
 from .token_files import write_token_files
 from .tokens import LARGE_CACHE, tokenizer_spec
 from .toxicity import score_toxicity
+from .vector_codes import compress
 
 
 def vocabulary() -> str:
@@ -148,6 +149,48 @@ FROM hashed
 """
 
 
+def op11_partial_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _near(book: int) -> str:
+    """Each part's entry of the smallest distance, and that distance."""
+    return f"""near{book} AS (
+  SELECT rid, part, any_value(v) AS v, any_value(label) AS label, any_value(vec_id) AS vec_id, min(struct_pack(far := far, entry := entry)) AS best
+  FROM (SELECT p.*, b.entry, CAST(list_sum(list_transform(list_zip(p.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) AS far
+        FROM cut p JOIN book{book} b USING (part)) GROUP BY rid, part
+)"""
+
+
+def _moved(book: int) -> str:
+    """The codebook after the one of that number: floored means, entries without parts stay."""
+    return f"""sums{book} AS (
+  SELECT part, entry, list(m ORDER BY place) AS v FROM (
+    SELECT part, best.entry AS entry, place, CAST((sum(v[place]) - (sum(v[place]) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+    FROM near{book}, unnest(range(1, len(v) + 1)) AS u(place) GROUP BY ALL) GROUP BY ALL
+), book{book + 1} AS (SELECT b.part, b.entry, coalesce(s.v, b.v) AS v FROM book{book} b LEFT JOIN sums{book} s USING (part, entry))"""
+
+
+OP11_SQL = f"""
+WITH usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % 16 = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), kept AS (
+  SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS rid FROM usable
+  WHERE len(v) = (SELECT len(v) FROM usable GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+), cut AS (
+  SELECT rid, vec_id, label, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS v FROM kept, unnest(range(16)) AS u(part)
+), book0 AS (SELECT part, rid AS entry, v FROM cut WHERE rid < 64
+), {_near(0)}, {_moved(0)}, {_near(1)}, {_moved(1)}, {_near(2)}, coded AS (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.far) AS BIGINT) AS error
+  FROM near2 GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+FROM coded
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_block_matrix_neighbours": op1_block_matrix_neighbours,
@@ -160,6 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_temperature_mixing": op10_temperature_mixing,
+        "op11_partial_distance_codes": op11_partial_distance_codes,
     }
 
 
@@ -169,4 +213,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_minhash_near_dedup": OP4_SQL,
         "op7_chat_format": OP7_SQL,
         "op9_exact_dedup": OP9_SQL,
+        "op11_partial_distance_codes": OP11_SQL,
     }

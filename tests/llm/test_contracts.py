@@ -29,6 +29,7 @@ COLUMNS = {
     "op8_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op9_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     "op10_temperature_mixing": "doc_id bigint, source string, n_tokens bigint, copy int, block bigint, position_tokens bigint",
+    "op11_partial_distance_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
 }
 
 
@@ -53,7 +54,7 @@ def run(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     found = db.sql(queries.oracle_sql()[name])
     rows = run(spark, name)
