@@ -29,6 +29,7 @@ COLUMNS = {
     "op8_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op9_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     "op10_temperature_mixing": "doc_id bigint, source string, n_tokens bigint, copy int, block bigint, position_tokens bigint",
+    "op12_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
     "op11_partial_distance_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
 }
 
