@@ -11,6 +11,7 @@ from . import chat
 from .common import table
 from .exact_dedup import exact_dedup
 from .filter_audit import audit
+from .languages import identify
 from .mixing import mix_plan
 from .near_dedup import near_duplicates
 from .neighbours import nearest
@@ -230,6 +231,10 @@ FROM steps, cells GROUP BY part, filter_order, step, own, before
 """
 
 
+def op13_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), folds=4, held_out=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_block_matrix_neighbours": op1_block_matrix_neighbours,
@@ -244,6 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_temperature_mixing": op10_temperature_mixing,
         "op11_partial_distance_codes": op11_partial_distance_codes,
         "op12_filter_audit": op12_filter_audit,
+        "op13_language_spans": op13_language_spans,
     }
 
 

@@ -29,6 +29,7 @@ COLUMNS = {
     "op8_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op9_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     "op10_temperature_mixing": "doc_id bigint, source string, n_tokens bigint, copy int, block bigint, position_tokens bigint",
+    "op13_language_spans": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op12_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
     "op11_partial_distance_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
 }
@@ -62,7 +63,7 @@ def test_against_sql(spark, name):
     assert sorted((tuple(plain(r[c]) for c in found.columns) for r in rows), key=repr) == sorted(found.fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", ["op2_secret_scan", "op3_ordinal_toxicity", "op5_quality_discriminant"])
+@pytest.mark.parametrize("name", ["op2_secret_scan", "op3_ordinal_toxicity", "op5_quality_discriminant", "op13_language_spans"])
 def test_one_row_a_document(spark, texts, name):
     assert sorted(r.doc_id for r in run(spark, name)) == sorted(texts)
 
