@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Grid
+from ..sources.shared import new_folder, written
+from .ranges import SUMMARY, changes, groups, ranged
 from .timeseries import explode_range
 
 
@@ -30,9 +32,6 @@ def chunk_table(keyed: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-VERDICTS = "beam_id int, event_id long, packet_chunk long, active long, hit boolean"
-
-
 def first_window(ichunk: int, align: int) -> int:
     """The first active chunk: the first packet's, rounded up to a multiple of `align` chunks."""
     return -(-ichunk // align) * align if align else ichunk
@@ -57,66 +56,206 @@ def window_path(chunks: np.ndarray, active: int) -> tuple[np.ndarray, int]:
     return at, active
 
 
-def queue_path(puts: np.ndarray, capacity: int, size: int) -> tuple[np.ndarray, int]:
-    """The size of a bounded queue after each put (true) or get (false), and at last; a put into a full one, and a get from
-    an empty one, leave it as it is."""
-    at = np.empty(len(puts), np.int64)
-    for i, put in enumerate(puts.tolist()):
-        size = min(capacity, size + 1) if put else max(0, size - 1)
-        at[i] = size
-    return at, size
+def entered(chunks: np.ndarray, leave: int) -> int:
+    """The largest active chunk before the packets from which the window ends at `leave`: the rule, backwards."""
+    back, i, n = chunks[::-1], 0, len(chunks)
+    while i < n:
+        step = 16
+        while i < n:
+            ahead = np.flatnonzero(back[i : i + step] >= leave + 2)
+            if len(ahead):
+                i += int(ahead[0]) + 1
+                leave -= 1
+                break
+            i, step = i + step, step * 4
+    return leave
+
+
+def clamps(moves: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps x -> min(high, max(low, x + move)) put together from the start of each row's run to the row, by doubling.
 
+    Such functions are closed under composition: the earlier (d, l, h) and the later (D, L, H) make
+    (d + D, min(H, max(L, l + D)), min(H, max(L, h + D))).
+    """
+    d, l, h = moves.astype(np.int64), low.astype(np.int64), high.astype(np.int64)  # noqa: E741
+    at, shift = np.arange(len(d)), 1
+    while len(d) and shift <= int((at - starts).max()):
+        own = np.flatnonzero(at - shift >= starts)
+        D, L, H = d[own], l[own], h[own]
+        before = own - shift
+        dn, ln, hn = d[before] + D, np.minimum(H, np.maximum(L, l[before] + D)), np.minimum(H, np.maximum(L, h[before] + D))
+        d[own], l[own], h[own] = dn, ln, hn
+        shift *= 2
+    return d, l, h
 
-QUEUE = "queue int, order long, put boolean, size long, dropped boolean"
 
+CLAMP = "move long, low long, high long"
 
-def bounded_queue(log: DataFrame, capacity: int) -> DataFrame:
-    """log(queue, order, put) of packet lists put into and taken from bounded queues, with the size after each step and
-    whether a list was dropped, whole, because its queue was full. A queue is one sequence: only three narrow columns travel
-    and stream through one number of state."""
+
+def clamp_prefixes(rows: DataFrame, key: str, columns: Sequence[str], capacity: int, summaries: bool) -> Callable:
+    """A function of batches(key, range, columns..., move, low, high) in order: each row with the steps of its key's rows
+    before it in the task, as one step; and, if summaries are wanted, a row for all rows of the key and range."""
+    kinds = [pa.from_numpy_dtype(np.int64)] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queue, size = None, 0
+        now, carry = None, (0, 0, capacity)
+        names = [key, "range", *columns, "move", "low", "high", *([SUMMARY] if summaries else [])]
+
+        def total(batch: pa.RecordBatch) -> pa.RecordBatch:
+            one = [pa.array([now[0]], batch.column(key).type), pa.array([now[1]], batch.column("range").type), *(pa.nulls(1, batch.column(c).type) for c in columns)]
+            return pa.RecordBatch.from_arrays([*one, *(pa.array([x], k) for x, k in zip(carry, kinds)), pa.array([True])], names=names)
+
+        last = None
         for batch in batches:
-            queues, puts = batch.column("queue").to_numpy(), batch.column("put").to_numpy(zero_copy_only=False)
-            sizes, before = np.empty(len(puts), np.int64), np.empty(len(puts), np.int64)
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(queues)) + 1)) if len(queues) else np.empty(0, int)
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(queues)]):
-                if queues[a] != queue:
-                    queue, size = queues[a], 0
-                before[a] = size
-                sizes[a:b], size = queue_path(puts[a:b], capacity, size)
-                before[a + 1 : b] = sizes[a : b - 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), pa.array(puts & (before == capacity))], names=[*batch.schema.names, "size", "dropped"])
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key).to_numpy()
+            first = changes(keys)
+            starts = np.repeat(first, np.diff(first, append=len(keys)))
+            steps = [batch.column(c).to_numpy() for c in ("move", "low", "high")]
+            done = np.array(clamps(*steps, starts))
+            own = slice(0, int(first[1]) if len(first) > 1 else len(keys))
+            if now is not None and keys[0] == now[0]:  # the key goes on from the batch before
+                d, lo, hi = done[:, own].copy()
+                done[:, own] = carry[0] + d, np.minimum(hi, np.maximum(lo, carry[1] + d)), np.minimum(hi, np.maximum(lo, carry[2] + d))
+            elif now is not None and summaries:
+                yield total(batch)
+            before = np.empty_like(done)
+            before[:, 1:] = done[:, :-1]
+            before[:, first] = np.array([[0], [0], [capacity]])
+            if now is not None and keys[0] == now[0]:
+                before[:, 0] = carry
+            arrays = [*(batch.column(c) for c in (key, "range", *columns)), *(pa.array(x) for x in before)]
+            if summaries:
+                arrays.append(pa.array(np.zeros(len(keys), bool)))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            ranges = batch.column("range").to_numpy()
+            if summaries and len(first) > 1:  # keys that end inside the batch
+                ends = first[1:] - 1
+                one = [batch.column(key).take(pa.array(ends)), batch.column("range").take(pa.array(ends)), *(pa.nulls(len(ends), batch.column(c).type) for c in columns)]
+                yield pa.RecordBatch.from_arrays([*one, *(pa.array(x[ends]) for x in done), pa.array(np.ones(len(ends), bool))], names=names)
+            now, carry, last = (keys[-1], ranges[-1]), tuple(int(x) for x in done[:, -1]), batch
+        if now is not None and summaries:
+            yield total(last)
+
+    return run
+
+
+def bounded_queue(log: DataFrame, capacity: int, ranges: int | None = None) -> DataFrame:
+    """log(queue, order, put) of packet lists put into and taken from bounded queues, with the size after each step and
+    whether a list was dropped, whole, because its queue was full.
+
+    A put is x -> min(capacity, x + 1), a get x -> max(0, x - 1): steps whose composition is three numbers. Each range of
+    a queue is one such step, the ranges are chained, and a row's size follows from its range's first size and the steps
+    before it in the range. So a queue is as many tasks as it has ranges.
+    """
+    needed = log.select(F.col("queue").cast("int").alias("queue"), F.col("order").cast("long").alias("order"), "put")
+    steps = needed.withColumns({"move": F.when(F.col("put"), 1).otherwise(-1).cast("long"), "low": F.lit(0).cast("long"), "high": F.lit(capacity).cast("long")})
+    run = clamp_prefixes(steps, "queue", ["order", "put"], capacity, True)
+    rows, summaries = ranged(steps, ["queue", "order"], run, f"queue int, range int, order long, put boolean, {CLAMP}", ranges)
+    chained = summaries.select("queue", "range", "move", "low", "high").repartition("queue").sortWithinPartitions("queue", "range")
+    chained = chained.mapInArrow(clamp_prefixes(chained, "queue", [], capacity, False), f"queue int, range int, {CLAMP}")
+    sized = lambda x: F.least("high", F.greatest("low", x + F.col("move")))
+    entries = chained.select("queue", "range", sized(F.lit(0)).alias("entry"))
+    found = rows.join(entries, ["queue", "range"]).withColumn("before", sized(F.col("entry")))
+    size = F.when(F.col("put"), F.least(F.lit(capacity), F.col("before") + 1)).otherwise(F.greatest(F.lit(0), F.col("before") - 1))
+    return found.select("queue", "order", "put", size.cast("long").alias("size"), (F.col("put") & (F.col("before") == capacity)).alias("dropped"))
+
+
+#: A range's window is guessed from so many of its first packets, and its summary holds from so many chunks before on.
+LOOK, BEHIND = 64, 1024
+RANGED = "beam_id int, range int, place long, event_id long, packet_chunk long, active long, first long, leave long, low long, high long"
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the window as it is if a range's guess is right, and the range's summary: its first packet's chunk, the
+    guess (as `active`), the window it leaves, and the windows to enter with from which it leaves the same."""
+    names = [x.split()[0] for x in RANGED.split(", ")] + [SUMMARY]
+
+    def row(beam, number, parts, guess) -> pa.RecordBatch:
+        chunks = np.concatenate(parts)
+        leave = window_path(chunks, guess)[1]
+        same = lambda at: window_path(chunks, at)[1] == leave
+        low, fails = (guess - BEHIND, guess - BEHIND - 1) if same(guess - BEHIND) else (guess, guess - BEHIND)
+        while low - fails > 1:  # the rule is monotone: the smallest window that leaves the same
+            at = (low + fails) // 2
+            low, fails = (at, fails) if same(at) else (low, at)
+        values = [beam, number, None, None, None, guess, int(chunks[0]), leave, low, entered(chunks, leave)]
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 8]
+        return pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(values, kinds)), pa.array([True])], names=names)
+
+    now, parts, place, guess, active = None, [], 0, 0, 0
+    for part, first in groups(batches, "beam_id", "range"):
+        chunks = part.column("packet_chunk").to_numpy()
+        if first:
+            if now is not None:
+                yield row(*now, parts, guess)
+            now, parts, place = (part.column("beam_id")[0].as_py(), part.column("range")[0].as_py()), [], 0
+            guess = active = int(np.median(chunks[:LOOK])) - 1
+        at, active = window_path(chunks, active)
+        n, none = len(chunks), pa.nulls(len(chunks), pa.int64())
+        parts.append(chunks)
+        yield pa.RecordBatch.from_arrays([part.column("beam_id"), part.column("range"), pa.array(np.arange(place, place + n)), part.column("event_id"), part.column("packet_chunk"), pa.array(at), *[none] * 4, pa.array(np.zeros(n, bool))], names=names)
+        place += n
+    if now is not None:
+        yield row(*now, parts, guess)
+
+
+def _again(rows: DataFrame, entries: DataFrame, verdicts: bool) -> DataFrame:
+    """The ranges of entries(beam_id, range, entry) once more, from the window told: rows, or what they leave."""
+    needed = rows.select("beam_id", "range", "place", "event_id", "packet_chunk").join(entries, ["beam_id", "range"])
+    dealt = needed.repartition("beam_id", "range").sortWithinPartitions("beam_id", "range", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        active = 0
+        for part, first in groups(batches, "beam_id", "range"):
+            at, active = window_path(part.column("packet_chunk").to_numpy(), part.column("entry")[0].as_py() if first else active)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("beam_id", "event_id", "packet_chunk", "range", "place", "entry")), pa.array(at)], names=["beam_id", "event_id", "packet_chunk", "range", "place", "entry", "active"])
+
+    again = dealt.mapInArrow(run, "beam_id int, event_id long, packet_chunk long, range int, place long, entry long, active long")
+    if verdicts:
+        return again.select("beam_id", "event_id", "packet_chunk", "active")
+    left = again.groupBy("beam_id", "range").agg(F.first("entry").alias("low"), F.max("active").alias("leave"))
+    return left.select("beam_id", "range", "leave", "low", F.col("low").alias("high"))
 
-    needed = log.select(F.col("queue").cast("int"), F.col("order").cast("long"), "put").repartition("queue").sortWithinPartitions("queue", "order")
-    return needed.mapInArrow(run, QUEUE)
 
+def _chained(summaries: DataFrame, align_chunks: int) -> DataFrame:
+    """summaries with `entry`, the window that each range begins with, if those before it leave what they say."""
+    order = Window.partitionBy("beam_id").orderBy("range")
+    first = F.ceil(F.col("first") / align_chunks) * align_chunks if align_chunks else F.col("first")
+    return summaries.withColumn("entry", F.coalesce(F.lag("leave").over(order), first.cast("long")))
 
-def assemble_strict(packets: DataFrame, align_chunks: int = 0) -> DataFrame:
-    """A verdict for each of packets(beam_id, event_id, arrival, packet_chunk), in the order in which they came.
+
+def assemble_strict(packets: DataFrame, align_chunks: int = 0, ranges: int | None = None) -> DataFrame:
+    """A verdict for each of packets(beam_id, event_id, arrival, packet_chunk): (beam_id, event_id, packet_chunk, active, hit).
 
     Two chunks, a and a + 1, are active. A packet from a + 2 on moves the window by one chunk exactly, however far ahead
-    it is, and is tested again; a packet outside the window misses, so a rogue packet can't throw a stream off. The
-    rule depends on every earlier packet of the beam, so a beam is one sequence: only (beam, order, chunk) travel, rows
-    are sorted by Spark and stream through constant state.
-    """
+    it is, and is tested again; a packet outside the window misses, so a rogue packet can't throw a stream off.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        beam, active = None, 0
-        for batch in batches:
-            beams, chunks = (batch.column(c).to_numpy() for c in ("beam_id", "packet_chunk"))
-            at = np.empty(len(chunks), np.int64)
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(beams)) + 1)) if len(beams) else np.empty(0, int)
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(beams)]):
-                if beams[a] != beam:
-                    beam, active = beams[a], first_window(int(chunks[a]), align_chunks)
-                at[a:b], active = window_path(chunks[a:b], active)
-            columns = [batch.column("beam_id"), batch.column("event_id"), batch.column("packet_chunk"), pa.array(at), pa.array((chunks >= at) & (chunks <= at + 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=["beam_id", "event_id", "packet_chunk", "active", "hit"])
-
-    needed = packets.select("beam_id", "arrival", "event_id", "packet_chunk").repartition("beam_id")
-    return needed.sortWithinPartitions("beam_id", "arrival", "event_id", "packet_chunk").select("beam_id", "event_id", "packet_chunk").mapInArrow(run, VERDICTS)
+    The rule depends on every earlier packet of the beam. A beam is cut into ranges of its packets in order (Spark's
+    sorted partitions); each is played from a guessed window, and summarised by what it leaves and by the windows from
+    which it leaves the same: the rule is monotone, and paths that meet stay together. Ranges are chained by their
+    summaries; one whose window lies outside is played from there, until all agree, and rows are played again only where
+    the guess was wrong. A packet far ahead of its stream can cost further rounds, one for each range that it upsets.
+    """
+    needed = packets.select(F.col("beam_id").cast("int").alias("beam_id"), "arrival", F.col("event_id").cast("long").alias("event_id"), F.col("packet_chunk").cast("long").alias("packet_chunk"))
+    rows, found = ranged(needed, ["beam_id", "arrival", "event_id", "packet_chunk"], _paths, RANGED, ranges)
+    spark = packets.sparkSession
+    table = lambda df: written(df, new_folder(spark, "windows"))
+    told = ["beam_id", "range", "first", "guess", "leave", "low", "high"]
+    found = found.withColumnRenamed("active", "guess").select(*told)
+    while True:
+        chained = table(_chained(found, align_chunks))
+        outside = chained.filter("entry < low OR entry > high")
+        if outside.isEmpty():
+            break
+        again = _again(rows, outside.select("beam_id", "range", "entry"), False)
+        kept = chained.join(outside.select("beam_id", "range"), ["beam_id", "range"], "left_anti").select(*told)
+        found = table(kept.unionByName(outside.select("beam_id", "range", "first", "guess").join(again, ["beam_id", "range"]).select(*told)))
+    wrong = chained.filter("entry <> guess").select("beam_id", "range", "entry")
+    right = rows.join(wrong, ["beam_id", "range"], "left_anti").select("beam_id", "event_id", "packet_chunk", "active")
+    every = right.unionByName(_again(rows, wrong, True))
+    return every.withColumn("hit", F.col("packet_chunk").between(F.col("active"), F.col("active") + 1))
 
 
 def assembly_summary(verdicts: DataFrame, counts_per_chunk: int) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -21,6 +21,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut the lineage: df as a Parquet table at path, read back; the table goes with the application at the latest."""
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, which may have a scheme, and the path on it."""
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path)) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from beamloom.config import Grid, StreamConfig
 from beamloom.operators import assembly, ring
@@ -18,8 +21,8 @@ def simulate(packets, align):
     return out
 
 
-@pytest.mark.parametrize("align", [0, 4])
-def test_strict_assembly(spark, align):
+@pytest.mark.parametrize("align, ranges", [(0, None), (4, None), (0, 9), (4, 30)])
+def test_strict_assembly(spark, align, ranges):
     rng = random.Random(align)
     rows, want = [], {}
     for beam in range(4):
@@ -30,9 +33,31 @@ def test_strict_assembly(spark, align):
             want[beam * 1000 + k] = v
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "beam_id int, event_id long, arrival long, packet_chunk long")
-    got = assembly.assemble_strict(df, align)
+    got = assembly.assemble_strict(df, align, ranges)
     assert {r.event_id: (r.active, r.hit) for r in got.collect()} == want
-    assert assembly.assemble_strict(df.limit(0)).collect() == []
+    assert assembly.assemble_strict(df.limit(0), align, ranges).collect() == []
+
+
+@pytest.mark.parametrize("rogue", [0.0, 0.02, 0.4])
+def test_one_beam_over_many_ranges(spark, monkeypatch, rogue):
+    """Late, early and rogue packets; the wrong guesses are played again until every range begins where the last one ends."""
+    rng, again = random.Random(7), []
+    run = assembly._again
+    monkeypatch.setattr(assembly, "_again", lambda rows, entries, verdicts: again.append(verdicts) or run(rows, entries, verdicts))
+    chunks = [10**12 if rng.random() < rogue else max(0, i // 40 + rng.choice([0, 0, 0, 0, 1, -1, -5])) for i in range(6000)]
+    df = spark.createDataFrame([(3, i, i // 3, c) for i, c in enumerate(chunks)], "beam_id int, event_id long, arrival long, packet_chunk long").repartition(5)
+    got = {r.event_id: (r.active, r.hit) for r in assembly.assemble_strict(df, 0, 12).collect()}
+    assert got == dict(enumerate(simulate(chunks, 0)))
+    assert again.count(False) <= 12 and (rogue or again.count(False) <= 1)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=60), st.integers(-5, 35))
+def test_windows_from_which_a_range_leaves_the_same(chunks, active):
+    chunks = np.array(chunks, np.int64)
+    leave = assembly.window_path(chunks, active)[1]
+    high = assembly.entered(chunks, leave)
+    assert [assembly.window_path(chunks, a)[1] == leave for a in (active, high, high + 1)] == [True, True, False]
 
 
 def telescope(n, capacities):

@@ -4,11 +4,14 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from beamloom.config import Grid, StreamConfig
 from beamloom.operators import assembly, codec, downsample, monitor, packets, tiles
 from beamloom.operators.packets import END_OF_STREAM, build_payload
+from beamloom.operators.ranges import ranged
 
 GRID = Grid(nupfreq=2, nt_per_packet=8, counts_per_sample=384, nfreq_coarse=16, nt_per_chunk=64)
 
@@ -126,17 +129,57 @@ def test_window_and_queue_paths():
         assert at.tolist() == want and last == (want[-1] if want else 3)
 
 
-def test_bounded_queue(spark):
+def walked(log, capacity):
+    """order -> (size, dropped) of one queue, list by list."""
+    size, out = 0, {}
+    for order, put in sorted(log):
+        dropped = put and size == capacity
+        size = min(capacity, size + 1) if put else max(0, size - 1)
+        out[order] = (size, dropped)
+    return out
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 7])
+def test_bounded_queue(spark, ranges):
     rng = random.Random(1)
-    log = [(q, i * 3 + q, rng.random() < 0.6) for q in range(3) for i in range(400)]
-    got = assembly.bounded_queue(spark.createDataFrame(log, "queue int, order long, put boolean").repartition(4), 5).collect()
-    for q in range(3):
-        size, want = 0, {}
-        for _, order, put in sorted(x for x in log if x[0] == q):
-            dropped = put and size == 5
-            size = min(5, size + 1) if put else max(0, size - 1)
-            want[order] = (size, dropped)
-        assert {r.order: (r.size, r.dropped) for r in got if r.queue == q} == want
+    log = [(q, i * 3 + q, rng.random() < 0.6) for q in range(3) for i in range(400)] + [(9, 5, True), (10, 5, False)]
+    df = spark.createDataFrame(log, "queue int, order long, put boolean").repartition(4)
+    got = assembly.bounded_queue(df, 5, ranges).collect()
+    assert len(got) == len(log)
+    for q in {q for q, _, _ in log}:
+        assert {r.order: (r.size, r.dropped) for r in got if r.queue == q} == walked([x[1:] for x in log if x[0] == q], 5)
+    assert assembly.bounded_queue(df.limit(0), 5, ranges).collect() == []
+
+
+def test_a_queue_is_many_tasks(spark):
+    """One queue over many ranges and Arrow batches; no task reads more than a few ranges' share of its rows."""
+    rng = random.Random(2)
+    puts = [rng.random() < (0.8 if i // 3000 % 2 else 0.3) for i in range(30_000)]
+    df = spark.createDataFrame(list(enumerate(puts)), "order long, put boolean").select(F.lit(4).alias("queue"), "order", "put")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        found = assembly.bounded_queue(df, 50, 12).persist()
+        assert {r.order: (r.size, r.dropped) for r in found.collect()} == walked(list(enumerate(puts)), 50)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    steps = df.withColumns({"move": F.lit(1).cast("long"), "low": F.lit(0).cast("long"), "high": F.lit(50).cast("long")})
+    rows, totals = ranged(steps, ["queue", "order"], assembly.clamp_prefixes(steps, "queue", ["order", "put"], 50, True), f"queue int, range int, order long, put boolean, {assembly.CLAMP}", 12)
+    sizes = [r["count"] for r in rows.groupBy("range").count().collect()]
+    assert len(sizes) == totals.count() == 12 and max(sizes) < 3 * 30_000 / 12
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(-3, 3), st.integers(0, 4), st.integers(0, 4)), max_size=40), st.integers(0, 8))
+def test_composed_clamps(steps, x):
+    first = [k for k, s in enumerate(steps) if s[0] or k == 0]
+    starts = np.array([max(f for f in first if f <= k) for k in range(len(steps))], int)
+    low, high = (np.array([f(s[2], s[3]) for s in steps], np.int64) for f in (min, max))
+    got = assembly.clamps(np.array([s[1] for s in steps], np.int64), low, high, starts)
+    for k in range(len(steps)):
+        want = x
+        for i in range(starts[k], k + 1):
+            want = min(high[i], max(low[i], want + steps[i][1]))
+        assert min(got[2][k], max(got[1][k], x + got[0][k])) == want
 
 
 def test_counters_against_a_loop(spark):
