@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HEADER_BYTES, MAX_INPUT_PACKET, MAX_NT_PER_PACKET, MAX_OUTPUT_PACKET, PROTOCOL_VERSION, StreamConfig
-from .tiles import binaries, with_tile
+from .assembly import assemble_strict
+from .timeseries import explode_range
+from .tiles import binaries, matrix, with_tile
 
 HEADER = np.dtype([("protocol_version", "<u4"), ("data_nbytes", "<i2"), ("fpga_counts_per_sample", "<u2"), ("fpga_count", "<u8"), ("nbeams", "<u2"), ("nfreq_coarse", "<u2"), ("nupfreq", "<u2"), ("ntsamp", "<u2")])
 
@@ -126,32 +129,51 @@ def split_channels(beam_packets: DataFrame) -> DataFrame:
 TILES = "arrival_seq long, beam_id int, coarse_freq_id int, fpga_count long, scale double, offset double, data binary"
 
 
-def receive(raw: DataFrame, config: StreamConfig) -> DataFrame:
+#: Payload bytes that are taken at a time.
+STEP_BYTES = 1 << 22
+
+
+def receive(raw: DataFrame, config: StreamConfig, ends: bool = False) -> DataFrame:
     """raw(arrival_seq, payload) to the tiles of its good packets' known beams: (arrival_seq, beam_id, coarse_freq_id,
-    fpga_count, scale, offset, data). Headers are judged by built-in functions; a packet's arrays become rows at once.
+    fpga_count, scale, offset, data). Headers are judged by built-in functions. Good packets of one length have equally
+    many channels, so those of a batch are one matrix of bytes, whose columns are the packets' arrays.
 
-    A packet with an unknown beam is good; that beam's part is left out, or an error with a strict configuration.
+    A packet with an unknown beam is good; that beam's part is left out, or an error with a strict configuration. ends: an
+    end-of-stream packet is a row without data for each beam.
     """
     judged = classify(with_channels(parse_headers(raw)), config)
-    good = judged.filter(F.col("packet_class").isin("good", "beam_id_mismatch")).select("arrival_seq", "payload")
+    kinds = ["good", "beam_id_mismatch", *(["end_of_stream"] if ends else [])]
+    wanted = judged.filter(F.col("packet_class").isin(*kinds)).select("arrival_seq", "payload")
     known, names = np.array(sorted(config.beam_ids)), [p.split()[0] for p in TILES.split(", ")]
+    beams, size = len(config.beam_ids), config.grid.nupfreq * config.grid.nt_per_packet
+
+    def of_length(seq: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        n, length = rows.shape
+        if length == HEADER_BYTES:
+            columns = [np.repeat(seq, beams), np.tile(known.astype(np.int32), n)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.nulls(n * beams, k) for k in (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))], names=names)
+        f = (length - HEADER_BYTES - 2 * beams) // (2 + 8 * beams + beams * size)
+        part = lambda at, width, kind: rows[:, at : at + width].copy().view(kind)
+        at = HEADER_BYTES + 2 * beams + 2 * f
+        ids, channels = part(HEADER_BYTES, 2 * beams, "<u2").astype(np.int32), part(HEADER_BYTES + 2 * beams, 2 * f, "<u2").astype(np.int32)
+        scale, offset = (part(at + 4 * beams * f * k, 4 * beams * f, "<f4").astype(float).ravel() for k in (0, 1))
+        keep = np.repeat(np.isin(ids, known), f, axis=1).ravel()
+        count = part(8, 8, "<u8").astype(np.int64).ravel()
+        columns = [np.repeat(seq, beams * f), np.repeat(ids, f, axis=1).ravel(), np.repeat(channels[:, None, :], beams, axis=1).ravel(), np.repeat(count, beams * f), scale, offset]
+        data = rows[:, at + 8 * beams * f :].reshape(-1, size)
+        return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in columns), binaries(data[keep])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for seq, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                h = np.frombuffer(payload, HEADER, 1)[0]
-                b, f, size = int(h["nbeams"]), int(h["nfreq_coarse"]), int(h["nupfreq"]) * int(h["ntsamp"])
-                ids = np.frombuffer(payload, "<u2", b + f, HEADER_BYTES).astype(np.int32)
-                floats = np.frombuffer(payload, "<f4", 2 * b * f, HEADER_BYTES + 2 * (b + f)).astype(float).reshape(2, b * f)
-                data = np.frombuffer(payload, np.uint8, b * f * size, HEADER_BYTES + 2 * (b + f) + 8 * b * f).reshape(b * f, size)
-                keep = np.repeat(np.isin(ids[:b], known), f)
-                parts.append([np.full(b * f, seq)[keep], np.repeat(ids[:b], f)[keep], np.tile(ids[b:], b)[keep], np.full(b * f, int(h["fpga_count"]))[keep], *floats[:, keep], data[keep]])
-            if parts:
-                *columns, data = (np.concatenate(c) for c in zip(*parts))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), binaries(data)], names=names)
+            lengths = pa.compute.binary_length(batch.column("payload")).to_numpy()
+            step = max(1, STEP_BYTES // max(1, int(lengths.max(initial=1))))
+            for a in range(0, batch.num_rows, step):
+                seq, payload, own = batch.column("arrival_seq")[a : a + step].to_numpy(), batch.column("payload")[a : a + step], lengths[a : a + step]
+                for length in np.unique(own).tolist():
+                    at = np.flatnonzero(own == length)
+                    yield of_length(seq[at], matrix(payload.take(pa.array(at)), length))
 
-    return good.mapInArrow(run, TILES)
+    return wanted.mapInArrow(run, TILES)
 
 
 def with_channels(headers: DataFrame) -> DataFrame:
@@ -181,6 +203,38 @@ def assembled(raw: DataFrame, config: StreamConfig) -> DataFrame:
     return with_tile(place_tiles(got, g.nt_per_chunk), g)
 
 
+#: What the strict receive path makes of a flushed chunk: every tile of it, those that never came with scale, offset and bytes 0.
+CHUNK_TILES = "beam_id int, ichunk long, coarse_freq_id int, it_coarse int, scale double, offset double, data binary, present boolean"
+
+
+def assembled_strict(raw: DataFrame, config: StreamConfig, ranges: int | None = None) -> DataFrame:
+    """The receive path with the two-chunk window of strict assembly: payloads to the whole chunks that a beam's window
+    flushes, in the form of CHUNK_TILES.
+
+    A packet's channels reach a beam together: they move its window once, and are placed if they lie in it. Of several
+    tiles for a place the last stands. Every chunk from the first window to the last is flushed, also those that nothing
+    came for; what comes after the first end-of-stream packet isn't read, if the configuration takes those for the end.
+    """
+    g = config.grid
+    got = receive(raw, config, ends=config.accept_end_of_stream)
+    got = got.withColumn("packet_chunk", F.expr(f"fpga_count div {g.counts_per_chunk}"))
+    if config.accept_end_of_stream:
+        end = got.filter(F.col("data").isNull()).agg(F.min("arrival_seq").alias("_end"))
+        got = got.join(end, F.col("_end").isNotNull() & (F.col("arrival_seq") >= F.col("_end")), "left_anti").filter(F.col("data").isNotNull())
+    sent = got.groupBy("beam_id", "arrival_seq").agg(F.min("packet_chunk").alias("packet_chunk"))
+    verdicts = assemble_strict(sent.select("beam_id", F.col("arrival_seq").alias("arrival"), F.col("arrival_seq").alias("event_id"), "packet_chunk"), config.nt_align // g.nt_per_chunk, ranges)
+    hits = verdicts.filter("hit").select("beam_id", F.col("event_id").alias("arrival_seq"))
+    placed = place_tiles(got.join(hits, ["beam_id", "arrival_seq"]).withColumns({"fpga_counts_per_sample": F.lit(g.counts_per_sample), "ntsamp": F.lit(g.nt_per_packet)}), g.nt_per_chunk)
+    every = explode_range(verdicts.groupBy("beam_id").agg(F.min("active").alias("a"), (F.max("active") + 1).alias("b")), F.col("a"), F.col("b"), "ichunk")
+    every = every.select("beam_id", "ichunk", F.explode(F.sequence(F.lit(0), F.lit(g.nfreq_coarse - 1))).alias("coarse_freq_id"))
+    every = every.select("*", F.explode(F.sequence(F.lit(0), F.lit(g.nt_coarse - 1))).alias("it_coarse"))
+    none = F.lit(bytes(g.nupfreq * g.nt_per_packet))
+    return every.join(placed, ["beam_id", "ichunk", "coarse_freq_id", "it_coarse"], "left").select(
+        "beam_id", "ichunk", "coarse_freq_id", "it_coarse", F.coalesce("scale", F.lit(0.0)).alias("scale"), F.coalesce("offset", F.lit(0.0)).alias("offset"),
+        F.coalesce("data", none).alias("data"), F.col("data").isNotNull().alias("present"),
+    )
+
+
 def build_payload(version: int, counts_per_sample: int, fpga_count: int, beam_ids, freq_ids, scales, offsets, data) -> bytes:
     data = np.asarray(data, np.uint8)
     b, f, u, t = data.shape

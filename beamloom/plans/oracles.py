@@ -314,6 +314,21 @@ ORACLES: dict[str, str] = {
     "q57_fpga_maxima": f"""{_recursive(TELEMETRY, FOLD)}, b AS (SELECT beam_id, max(active) AS a, min(active) AS f, max(active) - min(active) AS n FROM fold GROUP BY beam_id),
         t AS (SELECT *, least(greatest(n - 2 - beam_id % 3, 0), n) AS taken FROM b)
         SELECT beam_id, CASE WHEN n > 0 THEN a * 393216 ELSE 0 END AS max_fpga_flushed, CASE WHEN taken > 0 THEN (f + taken) * 393216 ELSE 0 END AS max_fpga_retrieved FROM t""",
+    "q73_strict_receive_path": f"""{_recursive(RECEIVED, PAYLOADS)}, came AS (
+          SELECT b.beam_id, n, n // 4 AS p, arrival_seq % 4 = 0 AS early, arrival_seq + CASE WHEN n % 17 = 3 THEN 97 ELSE 0 END AS came_at
+          FROM payloads, (VALUES (0), (1)) b(beam_id) WHERE packet_class = 'good' OR (packet_class = 'beam_id_mismatch' AND b.beam_id = 1)
+        ), o AS (SELECT *, row_number() OVER (PARTITION BY beam_id ORDER BY came_at) AS k FROM came),
+        walk AS (
+          SELECT beam_id, k, n, p, early, p AS active FROM o WHERE k = 1
+          UNION ALL SELECT o.beam_id, o.k, o.n, o.p, o.early, CASE WHEN o.p >= w.active + 2 THEN w.active + 1 ELSE w.active END FROM walk w JOIN o ON o.beam_id = w.beam_id AND o.k = w.k + 1
+        ), kept AS (SELECT beam_id, n, arg_max(early, k) AS early FROM walk WHERE p BETWEEN active AND active + 1 GROUP BY beam_id, n
+        ), bytes AS (SELECT beam_id, n, coarse, any_value(CAST(CAST(scale AS FLOAT) AS DOUBLE)) AS scale, any_value(CAST(CAST("offset" AS FLOAT) AS DOUBLE)) AS "offset",
+          string_agg(printf('%02X', byte), '' ORDER BY j) AS late, string_agg(CASE WHEN beam_id = 1 AND coarse = 3 AND j >= 8 THEN '01' ELSE printf('%02X', byte) END, '' ORDER BY j) AS early_data FROM sent GROUP BY beam_id, n, coarse
+        ), flushed AS (SELECT beam_id, unnest(range(min(active), max(active) + 2)) AS ichunk FROM walk GROUP BY beam_id
+        ), places AS (SELECT beam_id, ichunk, CAST(c.v AS INTEGER) AS coarse, CAST(t.v AS INTEGER) AS it FROM flushed, range(4) c(v), range(4) t(v))
+        SELECT l.beam_id, l.ichunk, l.coarse AS coarse_freq_id, l.it AS it_coarse, k.n IS NOT NULL AS present, round(CASE WHEN k.n IS NULL THEN 0e0 ELSE scale END, 6) AS scale, round(CASE WHEN k.n IS NULL THEN 0e0 ELSE "offset" END, 6) AS "offset",
+          CASE WHEN k.n IS NULL THEN repeat('00', 16) WHEN k.early THEN early_data ELSE late END AS data
+        FROM places l LEFT JOIN kept k ON k.beam_id = l.beam_id AND k.n = l.ichunk * 4 + l.it LEFT JOIN bytes b ON b.beam_id = k.beam_id AND b.n = k.n AND b.coarse = l.coarse""",
     "q58_bounded_queue": f"""{_recursive(TELEMETRY)}, l AS (SELECT beam_id AS queue, event_id * 7 % 16 < 9 AS put, row_number() OVER (PARTITION BY beam_id ORDER BY arrival * 1000000 + event_id) AS k FROM telemetry),
         walk AS (
           SELECT queue, k, put, CASE WHEN put THEN 1 ELSE 0 END AS size, false AS dropped FROM l WHERE k = 1

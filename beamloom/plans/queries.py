@@ -11,7 +11,7 @@ from ..config import Grid, StreamConfig
 from ..functions import scalars
 from ..operators import archive, assembly, codec, downsample, monitor, packets, ring, tiles, timeseries
 from ..sources import chunk_files
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, written
 from ..sources.telemetry import table, telemetry, vector_samples
 
 GRID = Grid(nupfreq=2, nt_per_packet=16, counts_per_sample=384)
@@ -408,7 +408,7 @@ def receive_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = tiles.encode(values, RECEIVED)
     sent = packets.packetize(made, RECEIVED.nt_per_packet, RECEIVED.counts_per_sample, 64 // per, RECEIVED.nupfreq)
     n = F.expr(f"fpga_count div {RECEIVED.nt_per_packet * RECEIVED.counts_per_sample}")
-    sent = sent.withColumn("n", n)
+    sent = written(sent.withColumn("n", n), new_folder(spark, "sent"))
     early = sent.select((F.col("n") * 4).alias("arrival_seq"), F.concat(F.expr("substring(payload, 1, length(payload) - 8)"), F.unhex(F.lit("01" * 8))).alias("payload"))
     whole = F.when(F.col("n") % 13 == 5, F.concat(F.unhex(F.lit("02000000")), F.expr("substring(payload, 5)")))
     whole = whole.when(F.col("n") % 11 == 3, F.expr("substring(payload, 1, length(payload) - 1)"))
@@ -440,6 +440,18 @@ def q56_received_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.pyramid(placed, 2, RECEIVED).select("binning", "beam_id", "coarse_freq_id", "tile", F.hex("data").alias("data"), *r6("scale", "offset"))
 
 
+#: Chunks of four tiles, so that the window moves often.
+NARROW = StreamConfig(beam_ids=(0, 1), grid=Grid(nupfreq=2, nt_per_packet=8, counts_per_sample=384, nfreq_coarse=4, nt_per_chunk=32), accept_end_of_stream=False)
+
+
+def q73_strict_receive_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that strict windows flush when some packets come so late that they miss."""
+    raw = receive_payloads(spark, sf_dir)
+    late = raw.withColumn("arrival_seq", F.col("arrival_seq") + F.when(F.expr("arrival_seq div 4 % 17 = 3"), 97).otherwise(0))
+    got = packets.assembled_strict(late, NARROW)
+    return got.select("beam_id", "ichunk", "coarse_freq_id", "it_coarse", "present", *r6("scale", "offset"), F.hex("data").alias("data"))
+
+
 def q57_fpga_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.fpga_maxima(verdicts(spark, sf_dir), PER_CHUNK, F.expr("n - 2 - beam_id % 3"))
 
