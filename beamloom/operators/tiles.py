@@ -86,8 +86,47 @@ def encode(values: DataFrame, grid: Grid, cutoff: float = 0.3) -> DataFrame:
     return values.select(*keys, "intensity", "weight").mapInArrow(run, f"{_fields(values, keys)}, {TILE}")
 
 
-def decode(tiles: DataFrame, grid: Grid, prescale: float = 1.0) -> DataFrame:
-    """tiles(keys..., scale, offset, data) as (keys..., intensity array<float>, weight array<float>)."""
+def with_mask(tiles: DataFrame, keep: str) -> DataFrame:
+    """tiles with `mask`, the packed bits of the boolean array `keep`, which goes: a bit a time, 1 for a good one, the first
+    in the lowest bit. An array may hold several rows of times, one after the other, for finer channels."""
+    kept = [c for c in tiles.columns if c != keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column(keep).flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), binaries(np.packbits(bits, axis=1, bitorder="little"))], names=[*kept, "mask"])
+
+    return tiles.select(*kept, keep).mapInArrow(run, f"{_fields(tiles, kept)}, mask binary")
+
+
+def _and_of_pairs() -> np.ndarray:
+    """For each byte of eight bits, the four bits that are 1 where both of a pair are."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    return np.packbits(bits[:, 0::2] & bits[:, 1::2], axis=1, bitorder="little")[:, 0]
+
+
+PAIRED = _and_of_pairs()
+
+
+def halved_masks(mask: np.ndarray) -> np.ndarray:
+    """Packed masks (groups, 2 n, rows, bytes) at half the time resolution, (groups, n, rows, bytes): a bit is kept where
+    both of its pair are. Bytes are looked up, never single bits."""
+    g, s, r, n = mask.shape
+    nibbles = PAIRED[mask].reshape(g, s // 2, 2, r, n).transpose(0, 1, 3, 2, 4).reshape(g, s // 2, r, n, 2)
+    return nibbles[..., 0] | nibbles[..., 1] << 4
+
+
+def unpacked(mask: np.ndarray, u: int, t: int) -> np.ndarray:
+    """(tiles, u, t) booleans of packed masks (tiles, bytes), whose rows stand for equally many fine channels each."""
+    bits = np.unpackbits(mask, axis=1, bitorder="little").reshape(len(mask), -1, t).astype(bool)
+    if u % bits.shape[1]:
+        raise ValueError(f"a mask of {bits.shape[1]} rows does not fit {u} channels")
+    return np.repeat(bits, u // bits.shape[1], axis=1)
+
+
+def decode(tiles: DataFrame, grid: Grid, prescale: float = 1.0, masked_by: str | None = None) -> DataFrame:
+    """tiles(keys..., scale, offset, data) as (keys..., intensity array<float>, weight array<float>). masked_by: a column of
+    packed masks, as with_mask() gives them; samples whose bit is 0 get weight 0, too."""
     width, keys = grid.nupfreq * grid.nt_per_packet, [c for c in tiles.columns if c not in ("scale", "offset", "data")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +134,12 @@ def decode(tiles: DataFrame, grid: Grid, prescale: float = 1.0) -> DataFrame:
             data = matrix(batch.column("data"), width)
             scale, offset = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float32)[:, None] for c in ("scale", "offset"))
             intensity = (scale * np.float32(prescale)) * data + offset * np.float32(prescale)
-            weight = np.where(masked(data), np.float32(0), np.float32(1))
+            bad = masked(data)
+            if masked_by:
+                masks = batch.column(masked_by)
+                bits = matrix(masks, len(masks[0].as_py())) if batch.num_rows else np.empty((0, 0), np.uint8)
+                bad |= ~unpacked(bits, grid.nupfreq, grid.nt_per_packet).reshape(data.shape) if batch.num_rows else False
+            weight = np.where(bad, np.float32(0), np.float32(1))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), _lists(intensity), _lists(weight)], names=[*keys, "intensity", "weight"])
 
     return tiles.mapInArrow(run, f"{_fields(tiles, keys)}, intensity array<float>, weight array<float>")
@@ -146,12 +190,16 @@ def pyramid(tiles: DataFrame, levels: int, grid: Grid) -> DataFrame:
 
     One shuffle and one pass for all levels: 2^levels tiles that end up in one are dealt to a task together, in order of
     time; a task holds one such group, or as many as make STEP_SAMPLES. Missing tiles count as masked; `seen` tells the
-    times that an input tile covers. Of repeated tiles the last in the order of (scale, offset, data) counts.
+    times that an input tile covers. Of repeated tiles the last in the order of (scale, offset, data) counts. Packed masks,
+    in a column `mask`, go the same way beside the data: a bit stays where both of its pair are 1, and a missing tile's are 0.
     """
     check_shape(grid.nt_per_packet, grid.nt_per_chunk)
     u, t, span = grid.nupfreq, grid.nt_per_packet, 1 << levels
     per_step = max(1, STEP_SAMPLES // (span * u * t))
     keys = ["beam_id", "coarse_freq_id", "tile"]
+    masks = ["mask"] if "mask" in tiles.columns else []
+    if masks and t % 8:
+        raise ValueError("masks need a multiple of 8 samples a tile")
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         beam, freq, tile = (table.column(k).to_numpy() for k in keys)
@@ -159,19 +207,25 @@ def pyramid(tiles: DataFrame, levels: int, grid: Grid) -> DataFrame:
         change = np.flatnonzero((np.diff(beam) != 0) | (np.diff(freq) != 0) | (np.diff(group) != 0)) + 1
         starts = np.concatenate(([0], change))
         place, rows = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(tile))), matrix(table.column("data").combine_chunks(), u * t)
+        bits = matrix(table.column("mask").combine_chunks(), len(table.column("mask")[0].as_py())) if masks else None
         for a in range(0, len(starts), per_step):
             b = min(a + per_step, len(starts))
             some = slice(starts[a], starts[b] if b < len(starts) else len(tile))
             at = place[some] - a, tile[some] % span
             data, scale, offset, seen = np.zeros((b - a, span, u, t), np.uint8), np.ones((b - a, span)), np.zeros((b - a, span)), np.zeros((b - a, span, t), np.uint8)
             data[at], scale[at], offset[at], seen[at] = rows[some].reshape(-1, u, t), table.column("scale").to_numpy()[some], table.column("offset").to_numpy()[some], 1
+            if masks:
+                mask = np.zeros((b - a, span, bits.shape[1] * 8 // t, t // 8), np.uint8)
+                mask[at] = bits[some].reshape(-1, *mask.shape[2:])
             for level in range(1, levels + 1):
                 data, scale, offset = halved(data, scale, offset)
+                mask = halved_masks(mask) if masks else None
                 seen = seen[..., 0::2].reshape(b - a, -1, t)
                 g, s = np.nonzero(seen.any(axis=2))
                 first = starts[a + g]
                 columns = [np.full(len(g), 1 << level, np.int32), beam[first], freq[first], group[first] * (span >> level) + s, scale[g, s], offset[g, s]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), binaries(data[g, s].reshape(-1, u * t)), binaries(seen[g, s])], names=["binning", *keys, "scale", "offset", "data", "seen"])
+                packed = [binaries(mask[g, s].reshape(len(g), -1))] if masks else []
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), binaries(data[g, s].reshape(-1, u * t)), binaries(seen[g, s]), *packed], names=["binning", *keys, "scale", "offset", "data", "seen", *masks])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -188,9 +242,9 @@ def pyramid(tiles: DataFrame, levels: int, grid: Grid) -> DataFrame:
         if held is not None and held.num_rows:
             yield from work(held)
 
-    typed = tiles.select(F.col("beam_id").cast("int"), F.col("coarse_freq_id").cast("int"), F.col("tile").cast("long"), F.col("scale").cast("double"), F.col("offset").cast("double"), "data")
+    typed = tiles.select(F.col("beam_id").cast("int"), F.col("coarse_freq_id").cast("int"), F.col("tile").cast("long"), F.col("scale").cast("double"), F.col("offset").cast("double"), "data", *masks)
     dealt = typed.repartition("beam_id", "coarse_freq_id", F.expr(f"tile div {span}")).sortWithinPartitions(*keys, "scale", "offset", "data")
-    return dealt.mapInArrow(run, f"binning int, beam_id int, coarse_freq_id int, tile long, {TILE}, seen binary")
+    return dealt.mapInArrow(run, f"binning int, beam_id int, coarse_freq_id int, tile long, {TILE}, seen binary" + ", mask binary" * len(masks))
 
 
 def with_tile(placed: DataFrame, grid: Grid) -> DataFrame:

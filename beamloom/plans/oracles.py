@@ -215,6 +215,12 @@ ORACLES: dict[str, str] = {
         FROM (SELECT 2 AS binning, * FROM d1 UNION ALL SELECT 4, * FROM d2 UNION ALL SELECT 8, * FROM d3)""",
     "q12_rfi_mask_downsample": f"""{_t(VECTORS)}, halves AS (SELECT beam_id, isample // 2 AS isample, count(*) FILTER (weight > 0) = 2 AS bit FROM vectors GROUP BY 1, 2)
         SELECT beam_id, isample // 8 AS ibyte, CAST(bit_or(CAST(bit AS INTEGER) << CAST(isample % 8 AS INTEGER)) AS INTEGER) AS packed FROM halves GROUP BY 1, 2""",
+    "q74_mask_pyramid": f"""{_t(VECTORS, VEC, pairs('venc', 'd1'), pairs('d1', 'd2'), pairs('d2', 'd3'))},
+        d AS (SELECT 2 AS binning, * FROM d1 UNION ALL SELECT 4, * FROM d2 UNION ALL SELECT 8, * FROM d3),
+        bits AS (SELECT b.v AS binning, beam_id, isample // b.v AS isample, count(*) FILTER (weight > 0) = b.v AS bit FROM vectors, (VALUES (2), (4), (8)) b(v) GROUP BY 1, 2, 3),
+        m AS (SELECT binning, beam_id, isample // 16 AS tile, CAST(sum(CASE WHEN bit THEN 1 << CAST(isample % 16 AS INTEGER) ELSE 0 END) AS INTEGER) AS mask, CAST(count(*) FILTER (bit AND byte NOT IN (0, 255)) AS BIGINT) AS kept
+          FROM bits JOIN d USING (binning, beam_id, isample) GROUP BY 1, 2, 3)
+        SELECT binning, beam_id, tile, printf('%02X%02X', mask & 255, mask >> 8) AS mask, kept FROM m""",
     "q13_time_axis": f"{_t(TELEMETRY, AXIS)} SELECT * FROM axis",
     "q14_gap_fill": f"""{_t(TELEMETRY, AXIS)}, dense AS (SELECT beam_id, unnest(range(0, max(it_logical) + 1)) AS it_logical FROM axis GROUP BY beam_id),
         placed AS (SELECT a.beam_id, a.it_logical, sum(t.weight) AS weight FROM telemetry t JOIN axis a ON a.beam_id = t.beam_id AND a.time = t.tick GROUP BY 1, 2)

@@ -116,10 +116,27 @@ def q11_pyramid3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.samples(tiles.pyramid(narrow_tiles(spark, sf_dir), 3, NARROW), NARROW).select("binning", "beam_id", "ifreq", "isample", "byte", *r6("scale", "offset"))
 
 
+def masked_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """narrow_tiles() with their interference masks: a bit a sample, 0 for every 17th."""
+    per = NARROW.nt_per_packet
+    keep = F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda j: (F.col("tile") * per + j) % 17 != 0)
+    return tiles.with_mask(narrow_tiles(spark, sf_dir).withColumn("keep", keep), "keep")
+
+
 def q12_rfi_mask_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["beam_id"]
-    bits = vector_samples(spark, sf_dir).select(*keys, "isample", (F.col("weight") > 0).alias("bit"))
-    return downsample.pack_bits(downsample.downsample_mask(bits, keys), keys)
+    """Masks at half the time resolution, a row a byte."""
+    size = NARROW.nt_per_packet // 8
+    halves = tiles.pyramid(masked_tiles(spark, sf_dir), 1, NARROW).select("beam_id", "tile", F.hex("mask").alias("hex"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
+    byte = F.conv(F.substring("hex", 2 * F.col("k") + 1, F.lit(2)), 16, 10).cast("int")
+    return halves.select("beam_id", (F.col("tile") * size + F.col("k")).alias("ibyte"), byte.alias("packed"))
+
+
+def q74_mask_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles and masks at three resolutions, and how many samples are good with the mask applied."""
+    levels = tiles.pyramid(masked_tiles(spark, sf_dir), 3, NARROW).drop("seen")
+    decoded = tiles.decode(levels, NARROW, masked_by="mask")
+    kept = F.aggregate("weight", F.lit(0.0), lambda a, w: a + w.cast("double")).cast("long")
+    return decoded.select("binning", "beam_id", "tile", F.hex("mask").alias("mask"), kept.alias("kept"))
 
 
 def axis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,14 +458,14 @@ def q56_received_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Chunks of four tiles, so that the window moves often.
-NARROW = StreamConfig(beam_ids=(0, 1), grid=Grid(nupfreq=2, nt_per_packet=8, counts_per_sample=384, nfreq_coarse=4, nt_per_chunk=32), accept_end_of_stream=False)
+STRICT = StreamConfig(beam_ids=(0, 1), grid=Grid(nupfreq=2, nt_per_packet=8, counts_per_sample=384, nfreq_coarse=4, nt_per_chunk=32), accept_end_of_stream=False)
 
 
 def q73_strict_receive_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that strict windows flush when some packets come so late that they miss."""
     raw = receive_payloads(spark, sf_dir)
     late = raw.withColumn("arrival_seq", F.col("arrival_seq") + F.when(F.expr("arrival_seq div 4 % 17 = 3"), 97).otherwise(0))
-    got = packets.assembled_strict(late, NARROW)
+    got = packets.assembled_strict(late, STRICT)
     return got.select("beam_id", "ichunk", "coarse_freq_id", "it_coarse", "present", *r6("scale", "offset"), F.hex("data").alias("data"))
 
 

@@ -129,6 +129,27 @@ def test_window_and_queue_paths():
         assert at.tolist() == want and last == (want[-1] if want else 3)
 
 
+@pytest.mark.parametrize("rows", [1, 2])
+def test_masks_through_the_pyramid(spark, rows):
+    """Packed masks beside the data, bit by bit against plain pairs; decoding with them."""
+    rng = random.Random(rows)
+    made = {(b, t): [[rng.random() < 0.8 for _ in range(8)] for _ in range(rows)] for b in range(2) for t in range(21) if rng.random() < 0.8}
+    table = [(b, 0, t, 2.0, 1.0, bytes(rng.choice([0, 255, *range(100, 120)]) for _ in range(16)), [x for row in keep for x in row]) for (b, t), keep in made.items()]
+    df = tiles.with_mask(spark.createDataFrame(table, f"{TILES}, keep array<boolean>").repartition(3), "keep")
+    bit = lambda b, row, at: (b, at // 8) in made and made[b, at // 8][row][at % 8]
+    got = tiles.pyramid(df, 3, GRID).collect()
+    assert {r.binning for r in got} == {2, 4, 8}
+    for r in got:
+        want = [all(bit(r.beam_id, row, (r.tile * 8 + i) * r.binning + k) for k in range(r.binning)) for row in range(rows) for i in range(8)]
+        assert [bool(x) for x in np.unpackbits(np.frombuffer(bytes(r["mask"]), np.uint8), bitorder="little")] == want
+    for r in tiles.decode(df, GRID, masked_by="mask").collect():
+        data = next(x[5] for x in table if (x[0], x[2]) == (r.beam_id, r.tile))
+        assert r.weight == [float(data[f * 8 + i] not in (0, 255) and made[r.beam_id, r.tile][f * rows // 2][i]) for f in range(2) for i in range(8)]
+    plain = {(r.binning, r.beam_id, r.tile): (r.scale, r.offset, bytes(r.data)) for r in tiles.pyramid(df.drop("mask"), 3, GRID).collect()}
+    assert {(r.binning, r.beam_id, r.tile): (r.scale, r.offset, bytes(r.data)) for r in got} == plain
+    assert tiles.pyramid(df.limit(0), 2, GRID).collect() == [] and tiles.decode(df.limit(0), GRID, masked_by="mask").collect() == []
+
+
 def walked(log, capacity):
     """order -> (size, dropped) of one queue, list by list."""
     size, out = 0, {}
