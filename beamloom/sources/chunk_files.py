@@ -6,18 +6,16 @@ LZ4-compressed behind its length (4 bytes, big-endian); a rest of fewer than 8 b
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import opened, put_file
+from .shared import qualified
 
 BLOCK = 8192
 # The title and the order of the items of chunk files.
@@ -151,8 +149,8 @@ CHUNK = (
     "beam_id int, nupfreq int, nt_per_packet int, counts_per_sample int, nt_coarse int, nscales int, ndata int, fpga_begin long, fpga_n long, binning int, "
     "scales binary, offsets binary, data binary, frame0_nano long, nrfifreq int, has_rfi_mask boolean, rfi_mask binary"
 )
-_COLUMNS = [tuple(p.split()) for p in CHUNK.split(", ")]
-_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+COLUMNS = [tuple(p.split()) for p in CHUNK.split(", ")]
+ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
 def chunk_payloads(chunks: DataFrame, compress: bool = False) -> DataFrame:
@@ -164,7 +162,7 @@ def chunk_payloads(chunks: DataFrame, compress: bool = False) -> DataFrame:
             columns = [[r["beam_id"] for r in rows], [r["fpga_begin"] for r in rows], [pack_chunk(r, compress) for r in rows]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], names=["beam_id", "fpga_begin", "payload"])
 
-    return chunks.select(*[F.col(name).cast({"int": "int", "long": "long"}.get(kind, kind)) for name, kind in _COLUMNS]).mapInArrow(run, "beam_id int, fpga_begin long, payload binary")
+    return chunks.select(*[F.col(name).cast({"int": "int", "long": "long"}.get(kind, kind)) for name, kind in COLUMNS]).mapInArrow(run, "beam_id int, fpga_begin long, payload binary")
 
 
 def parse_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -173,65 +171,64 @@ def parse_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
     def run(batches):
         for batch in batches:
             chunks = [unpack_chunk(p) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([c[name] for c in chunks], _ARROW[kind]) for name, kind in _COLUMNS], names=[name for name, _ in _COLUMNS])
+            yield pa.RecordBatch.from_arrays([pa.array([c[name] for c in chunks], ARROW[kind]) for name, kind in COLUMNS], names=[name for name, _ in COLUMNS])
 
     return payloads.select(F.col(column)).mapInArrow(run, CHUNK)
 
 
-def read_chunk_files(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of all chunk files below a path; other files have other endings."""
-    return parse_payloads(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.msg*").load(path), "content")
+#: A chunk's items before its arrays take fewer bytes.
+HEAD_BYTES = 512
 
 
-def write_chunk_table(chunks: DataFrame, path: str, compress: bool = False) -> None:
-    """Chunk files as rows of a Parquet table by beam; Spark's commit protocol makes them appear at once or not at all."""
-    chunk_payloads(chunks, compress).write.partitionBy("beam_id").option("compression", "none").parquet(path)
-
+def leading_items(data: bytes) -> dict:
+    """The items before the arrays, from the first HEAD_BYTES of a chunk file."""
+    count, at = (data[0] & 0x0F, 1) if 0x90 <= data[0] < 0xA0 else (struct.unpack_from(">H", data, 1)[0], 3) if data[0] == 0xDC else (0, 0)
+    items: list = []
+    while len(items) < min(count, FIELDS.index("scales")):
+        value, at = _unpack(data, at)
+        items.append(value)
+    if items[:1] != [TITLE] or len(items) < FIELDS.index("scales"):
+        raise ValueError("not a chunk file")
+    return dict(zip(FIELDS, items))
 
-STATUS = "status string, nbytes long"
 
+def _source(spark: SparkSession) -> str:
+    from .chunk_source import ChunkFiles
 
-def _carried(rows: DataFrame, path: str, data: str, work) -> DataFrame:
-    """rows(filename, data, ...) with the status and bytes of work(files, file path, data) for each."""
-    kept = [c for c in rows.columns if c != data]
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    spark.dataSource.register(ChunkFiles)
+    return ChunkFiles.name()
 
-    def run(batches):
-        files, root = opened(path)
-        for batch in batches:
-            done = [work(files, f"{root}/{name.lstrip('/')}", value, root) for name, value in zip(batch.column("filename").to_pylist(), batch.column(data).to_pylist())]
-            status = pa.array(["SUCCEEDED" if n is not None else "FAILED" for n in done], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), status, pa.array([n or 0 for n in done], pa.int64())], names=[*kept, "status", "nbytes"])
 
-    return rows.mapInArrow(run, f"{fields}, {STATUS}")
+def read_chunk_files(spark: SparkSession, path: str, beams: Sequence[int] = (), fpga: tuple[int, int] | None = None) -> DataFrame:
+    """Chunks of all chunk files below a path; other files have other endings. Of files for other beams, or that don't meet
+    the FPGA counts [a, b), only the leading items are read; so it is with filters, where Spark pushes them into sources of
+    Python (``spark.sql.python.filterPushdown.enabled``)."""
+    reader = spark.read.format(_source(spark)).option("path", qualified(spark, path)).option("push", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    reader = reader.option("beams", ",".join(map(str, beams))) if beams else reader
+    return (reader.option("fpga", f"{fpga[0]},{fpga[1]}") if fpga else reader).load()
 
 
-def _write(files, target: str, payload: bytes, root: str) -> int | None:
-    return len(payload) if put_file(files, target, payload) else None
+def write_chunk_table(chunks: DataFrame, path: str, compress: bool = False) -> None:
+    """Chunk files as rows of a Parquet table by beam; Spark's commit protocol makes them appear at once or not at all."""
+    chunk_payloads(chunks, compress).write.partitionBy("beam_id").option("compression", "none").parquet(path)
 
 
-def _link(files, target: str, source: str, root: str) -> int | None:
-    """A hard link on a local file system; elsewhere a copy."""
-    source = f"{root}/{source.lstrip('/')}"
-    if isinstance(files, fs.LocalFileSystem) and not os.path.exists(target):
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        os.link(source, target)
-        return os.path.getsize(target)
-    with files.open_input_stream(source) as f:
-        data = f.read()
-    return _write(files, target, data, root)
+def _carried(rows: DataFrame, path: str, data: str) -> DataFrame:
+    """rows(filename, payload or source, ...) written, with the status and bytes of each."""
+    spark, path, job = rows.sparkSession, qualified(rows.sparkSession, path), uuid.uuid4().hex
+    rows.write.format(_source(spark)).option("path", path).option("job", job).mode("append").save()
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns if c != data)
+    return spark.read.schema(f"{fields}, status string, nbytes long").parquet(f"{path}/_status-{job}")
 
 
 def write_chunk_files(payloads: DataFrame, path: str) -> DataFrame:
     """Each of payloads(filename, payload, ...) as a file below path, which read_chunk_files() reads: (..., status, nbytes).
 
-    A file appears under its name when it is whole. One that exists with other bytes stays and its request has FAILED; with
-    the same bytes it has SUCCEEDED, so tasks can be run again. The files are there when this returns; the statuses are a
-    table below path.
+    Files appear under their names once every task has succeeded; a job that fails leaves none. One that exists with other
+    bytes stays and its request has FAILED; with the same bytes it has SUCCEEDED, so jobs can be run again. The files are
+    there when this returns; the statuses are a table below path.
     """
-    log = f"{path.rstrip('/')}/_status-{uuid.uuid4().hex}"
-    _carried(payloads, path, "payload", _write).write.parquet(log)
-    return payloads.sparkSession.read.parquet(log)
+    return _carried(payloads, path, "payload")
 
 
 def carry_out(planned: DataFrame, payloads: DataFrame, chunk: Sequence[str], path: str) -> DataFrame:
@@ -243,12 +240,10 @@ def carry_out(planned: DataFrame, payloads: DataFrame, chunk: Sequence[str], pat
     keys = [*chunk, "device_name"]
     writes = planned.filter("action = 'write'").join(payloads.select(*chunk, "payload"), list(chunk))
     done = write_chunk_files(writes, path)
-    first = done.select(*keys, F.col("filename").alias("_source"), F.col("status").alias("_status"), F.col("nbytes").alias("_nbytes"))
-    log = f"{path.rstrip('/')}/_status-{uuid.uuid4().hex}"
+    first = done.select(*keys, F.col("filename").alias("source"), F.col("status").alias("_status"), F.col("nbytes").alias("_nbytes"))
     links = planned.filter("action = 'link'").join(first.filter("_status = 'SUCCEEDED'"), keys).drop("_status", "_nbytes")
-    _carried(links, path, "_source", _link).write.parquet(log)
-    linked = planned.sparkSession.read.parquet(log)
-    rest = planned.filter("action <> 'write'").join(linked.select("filename", *keys), ["filename", *keys], "left_anti").join(first.drop("_source"), keys, "left")
+    linked = _carried(links, path, "source")
+    rest = planned.filter("action <> 'write'").join(linked.select("filename", *keys), ["filename", *keys], "left_anti").join(first.drop("source"), keys, "left")
     rest = rest.select(*planned.columns, F.when(F.col("action") == "skip", F.coalesce("_status", F.lit("FAILED"))).otherwise("FAILED").alias("status"), F.coalesce("_nbytes", F.lit(0)).alias("nbytes"))
     columns = [*planned.columns, "status", "nbytes"]
     return done.select(*columns).unionByName(linked.select(*columns)).unionByName(rest.select(*columns))

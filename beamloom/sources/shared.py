@@ -29,9 +29,17 @@ def written(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as Spark takes it: with the scheme of the default file system, where it has none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path, which may have a scheme, and the path on it."""
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path)) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """The file system of a path that has a scheme (see qualified()), and the path on it."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        raise ValueError(f"{path} has no scheme, so machines may disagree where it is")
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", path)))
 
 
 def put_file(files: fs.FileSystem, path: str, data: bytes) -> bool:

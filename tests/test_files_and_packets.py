@@ -4,10 +4,13 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from beamloom.config import Grid, StreamConfig
 from beamloom.operators import packets as pk
 from beamloom.sources import chunk_files as cf
+from beamloom.sources import chunk_source as cs
 from beamloom.sources import udp
 
 
@@ -88,20 +91,118 @@ def test_udp_source(spark, tmp_path):
     probe = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
     probe.bind(("127.0.0.1", 0))
     port = probe.getsockname()[1]
-    log, stop = udp.PacketLog(f"{tmp_path}/log"), threading.Event()
+    log, stop = udp.PacketLog(f"file:{tmp_path}/log"), threading.Event()
     worker = threading.Thread(target=udp.receive, args=(probe, log, stop))
     worker.start()
     out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
     for i in range(20):
         out.sendto(bytes([i]) * 30, ("127.0.0.1", port))
     deadline = time.monotonic() + 20
-    while udp.PacketLog(f"{tmp_path}/log").next < 20 and time.monotonic() < deadline:
+    while udp.PacketLog(f"file:{tmp_path}/log").next < 20 and time.monotonic() < deadline:
         time.sleep(0.1)
     stop.set()
     worker.join()
-    stream = spark.readStream.format("udp_packets").option("folder", f"{tmp_path}/log").load()
+    stream = spark.readStream.format("udp_packets").option("folder", f"file:{tmp_path}/log").load()
     query = stream.writeStream.format("memory").queryName("udp_rows").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
     query.awaitTermination(60)
     rows = spark.table("udp_rows").orderBy("arrival_seq").collect()
     assert [r.arrival_seq for r in rows] == list(range(20)) and sorted(bytes(r.payload)[0] for r in rows) == list(range(20))
     assert {r.sender_ip for r in rows} == {udp.ip_number("127.0.0.1")}
+
+
+def packets_from(a, n):
+    return [(10**6 + i, udp.ip_number("10.0.0.1"), 5, bytes([i % 256]) * 20) for i in range(a, a + n)]
+
+
+def test_the_log_stays_bounded_and_loses_nothing(spark, tmp_path):
+    """Batches of limited size, restarts in between; the folder holds only what is still to be read."""
+    spark.dataSource.register(udp.UdpPackets)
+    folder, want, seen = f"file:{tmp_path}/log", [], []
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1000")
+    for turn in range(3):
+        log = udp.PacketLog(folder)
+        for _ in range(34):  # parts of 5 rows
+            log.append(packets_from(len(want), 5))
+            want += range(len(want), len(want) + 5)
+        stream = spark.readStream.format("udp_packets").option("folder", folder).option("maxRowsPerTrigger", 17).load()
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="0 seconds").start()
+        try:
+            query.processAllAvailable()
+            seen += [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+        finally:
+            query.stop()
+        held = [f for f in (tmp_path / "log").iterdir()]
+        assert len(held) <= 4 + 2 + 4 and sum(n for _, n in udp.PacketLog(folder).parts()) <= 17 + 5  # the last batch is committed with the next one
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r.arrival_seq for r in rows) == want and max(seen) <= 17 and len(seen) >= 30
+    assert all(bytes(r.payload) == bytes([r.arrival_seq % 256]) * 20 for r in rows)
+
+
+def test_lists_are_dropped_and_counted_when_too_many_rows_wait(tmp_path):
+    log = udp.PacketLog(f"file:{tmp_path}/log", capacity=12)
+    for k in range(4):
+        log.append(packets_from(5 * k, 5))
+    assert log.parts() == [(0, 5), (5, 5)] and log.mark("dropped") == 10 and log.next == 10
+    log.trim(7)
+    assert log.parts() == [(5, 5)] and log.mark("trimmed") == 5
+    log.append(packets_from(50, 5))
+    again = udp.PacketLog(f"file:{tmp_path}/log", capacity=12)
+    assert again.parts() == [(5, 5), (10, 5)] and again.next == 15 and again.mark("dropped") == 10
+    again.trim(15)
+    assert again.parts() == [] and udp.PacketLog(f"file:{tmp_path}/log").next == 15
+    with pytest.raises(ValueError):
+        udp.PacketLog(f"{tmp_path}/log")
+
+
+def test_reading_takes_only_the_arrays_that_are_asked_for(spark, tmp_path, monkeypatch):
+    sizes = {}
+    for i in range(12):
+        c = chunk(i % 4) | {"fpga_begin": 25600 * i, "data": np.random.default_rng(i).integers(0, 256, 40_000, dtype=np.uint8).tobytes(), "ndata": 40_000}
+        (tmp_path / "sub").mkdir(exist_ok=True)
+        (tmp_path / "sub" / f"c{i}.msg").write_bytes(cf.pack_chunk(c))
+        sizes[i] = (tmp_path / "sub" / f"c{i}.msg").stat().st_size
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "x.msg").write_bytes(b"no chunk")
+    read = []
+    monkeypatch.setattr(cs, "fetched", lambda file, size, at: read.append(size) or file.read_at(size, at))
+
+    def taken(filters=(), **options):
+        reader = cs.FilteringReader({"path": f"file:{tmp_path}", **options})
+        left = list(reader.pushFilters(list(filters)))
+        read.clear()
+        found = [b for p in reader.partitions() for batch in reader.read(p) for b in zip(batch.column("beam_id").to_pylist(), batch.column("fpga_begin").to_pylist())]
+        return found, sum(read), left
+
+    every, total, _ = taken()
+    assert len(every) == 12 and total == sum(sizes.values())
+    for kind in ({"beams": "2"}, {"filters": [EqualTo(("beam_id",), 2), EqualTo(("data",), b"")]}):
+        found, size, left = taken(**kind)
+        assert sorted(found) == [(2, 25600 * i) for i in (2, 6, 10)] and len(left) == len(kind.get("filters", [0])) - 1
+        assert size == sum(sizes[i] for i in (2, 6, 10)) + 9 * cf.HEAD_BYTES
+    found, _, _ = taken(fpga=f"{25600 * 3 + 1},{25600 * 5}")
+    assert sorted(found) == [(0, 25600 * 4), (3, 25600 * 3)]
+    assert {(r.beam_id, r.fpga_begin) for r in cf.read_chunk_files(spark, str(tmp_path), beams=[1], fpga=(0, 25600 * 6)).collect()} == {(1, 25600), (1, 25600 * 5)}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = cf.read_chunk_files(spark, str(tmp_path)).filter("beam_id = 3 AND fpga_begin > 100000")
+        assert {r.fpga_begin for r in pushed.collect()} == {25600 * 7, 25600 * 11}
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_a_failed_job_leaves_no_file(spark, tmp_path):
+    rows = [(f"/a/c{i}.msg", cf.pack_chunk(chunk(i)), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "filename string, payload binary, k int").repartition(6)
+    broken = df.withColumn("payload", F.when(F.col("k") == 33, F.raise_error(F.lit("no")).cast("binary")).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="no"):
+        cf.write_chunk_files(broken, str(tmp_path / "out"))
+    left = [p for p in (tmp_path / "out").rglob("*") if p.is_file()] if (tmp_path / "out").exists() else []
+    assert left == []
+    done = cf.write_chunk_files(df, str(tmp_path / "out"))
+    assert {(r.k, r.status) for r in done.collect()} == {(i, "SUCCEEDED") for i in range(40)}
+    assert sorted(p.name for p in (tmp_path / "out" / "a").iterdir()) == sorted(f"c{i}.msg" for i in range(40))
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_temporary")]
+    other = df.withColumn("payload", F.when(F.col("k") < 3, F.lit(b"x")).otherwise(F.col("payload")))
+    assert {r.k for r in cf.write_chunk_files(other, str(tmp_path / "out")).filter("status = 'FAILED'").collect()} == {0, 1, 2}
+    assert (tmp_path / "out" / "a" / "c0.msg").read_bytes() == rows[0][1]
+    assert cf.write_chunk_files(df.limit(0), str(tmp_path / "out")).collect() == []
