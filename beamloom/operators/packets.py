@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import HEADER_BYTES, MAX_INPUT_PACKET, MAX_NT_PER_PACKET, MAX_OUTPUT_PACKET, PROTOCOL_VERSION, StreamConfig
 from .assembly import assemble_strict
-from .timeseries import explode_range
+from .timeseries import explode_range, with_blocks
 from .tiles import binaries, matrix, with_tile
 
 HEADER = np.dtype([("protocol_version", "<u4"), ("data_nbytes", "<i2"), ("fpga_counts_per_sample", "<u2"), ("fpga_count", "<u8"), ("nbeams", "<u2"), ("nfreq_coarse", "<u2"), ("nupfreq", "<u2"), ("ntsamp", "<u2")])
@@ -295,16 +295,26 @@ def until_end(classified: DataFrame, config: StreamConfig, order: str = "arrival
 CATCH_UP = 0.8
 
 
-def send_times(sent: DataFrame, stream: str, target_gbps: float) -> DataFrame:
+def send_times(sent: DataFrame, stream: str, target_gbps: float, blocks: int | None = None) -> DataFrame:
     """sent(stream, send_order, ready_us, nbytes) with send_us, when a throttled sender sends each packet.
 
     A packet goes when it is ready, not before what the stream has sent so far takes at the target rate, and CATCH_UP of
     its predecessor's own time after that. With D the sum of those times, the last rule is a running maximum of times less
-    D, so no packet waits for its predecessor's row: two windows in one order.
+    D, so no packet waits for its predecessor's row. Sums and maxima run within blocks of a stream; what a block adds to
+    those after it is a row of a small table.
     """
-    order = Window.partitionBy(stream).orderBy("send_order")
-    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    total = (F.lit(8e-3) * F.coalesce(F.sum("nbytes").over(before), F.lit(0)) / F.lit(target_gbps)).cast("long")
+    cut = with_blocks(sent, stream, "send_order", blocks).repartition(stream, "block")
+    inside = Window.partitionBy(stream, "block").orderBy("send_order")
+    before, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(stream).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     own = (F.lit(CATCH_UP * 8e-3) * F.col("nbytes") / F.lit(target_gbps)).cast("long")
-    df = sent.withColumn("_least", F.greatest(F.col("ready_us"), total)).withColumn("_d", F.coalesce(F.sum(own).over(before), F.lit(0)))
-    return df.withColumn("send_us", F.col("_d") + F.max(F.col("_least") - F.col("_d")).over(upto)).drop("_least", "_d")
+    cut = cut.withColumn("_own", own)
+    sums = cut.groupBy(stream, "block").agg(F.sum("nbytes").alias("_bytes"), F.sum("_own").alias("_times"))
+    sums = sums.select(stream, "block", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_bytes", "_times")))
+    df = cut.join(sums, [stream, "block"])
+    df = df.withColumn("_d", F.col("_times") + F.coalesce(F.sum("_own").over(before), F.lit(0))).withColumn("_sent", F.col("_bytes") + F.coalesce(F.sum("nbytes").over(before), F.lit(0)))
+    total = (F.lit(8e-3) * F.col("_sent") / F.lit(target_gbps)).cast("long")
+    df = df.withColumn("_slack", F.greatest(F.col("ready_us"), total) - F.col("_d"))
+    most = df.groupBy(stream, "block").agg(F.max("_slack").alias("_slack")).select(stream, "block", F.max("_slack").over(earlier).alias("_most"))
+    df = df.withColumn("_run", F.max("_slack").over(upto)).join(most, [stream, "block"])
+    return df.select(*sent.columns, (F.col("_d") + F.greatest("_run", "_most")).alias("send_us"))

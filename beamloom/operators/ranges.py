@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_folder, written
@@ -45,3 +45,15 @@ def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.R
             own = tuple(c[a] for c in columns)
             yield batch.slice(a, b - a), own != now
             now = own
+
+
+def indexed(df: DataFrame, order: Sequence[str], name: str, ranges: int | None = None) -> DataFrame:
+    """df with `name`, the place of each row in the order of all; of equal rows, any goes first. Ranges are Spark's sorted
+    partitions, written once; their sizes are a table with a row a range."""
+    dealt = df.repartitionByRange(*((ranges,) if ranges else ()), *order).sortWithinPartitions(*order)
+    id_ = F.monotonically_increasing_id()  # a partition's number and the place in it
+    made = dealt.withColumn(name, id_).select("*", F.shiftright(F.col(name), 33).alias("_range"))
+    table = written(made.withColumn(name, F.col(name).bitwiseAND(F.lit((1 << 33) - 1))), new_folder(df.sparkSession, "indexed"))
+    sizes = table.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return table.join(sizes.select("_range", before.alias("_before")), "_range").withColumn(name, F.col("_before") + F.col(name)).drop("_range", "_before")

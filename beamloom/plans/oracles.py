@@ -230,10 +230,11 @@ ORACLES: dict[str, str] = {
     "q16_file_summary": f"""{_t(TELEMETRY)} SELECT beam_id, round(sum(weight), 6) AS wsum, round(max(weight), 6) AS wmax, round(count(DISTINCT tick) / CAST(max(tick) - min(tick) + 1 AS DOUBLE), 6) AS frac_ungapped,
         round(sum(weight) / max(weight) / (10 * count(DISTINCT tick)), 6) AS frac_unmasked, max(weight) <= 0 AS all_zero FROM telemetry GROUP BY beam_id""",
     "q17_channel_means": f"""{_t(TELEMETRY)} SELECT freq, round(sum(weight * intensity) / sum(weight), 6) AS mean, round(avg(weight), 6) AS mean_weight, sum(weight) <= 0 AS empty FROM telemetry GROUP BY freq""",
-    "q18_freq_axis": """WITH f AS (SELECT i, 1e6 * (i * 400e0 + (1024 - i) * 800e0) / 1024 AS hz FROM range(1024) r(i)),
-        e AS (SELECT count(*) AS nfreq, min_by(hz, i) AS a, max_by(hz, i) AS b FROM f), s AS (SELECT *, (b - a) / (nfreq - 1) AS step FROM e),
-        g AS (SELECT max(abs(hz - a - i * step) / abs(b - a)) AS gap FROM f, s)
-        SELECT nfreq, round(least(a, b + step) / 1e6, 6) AS lo_mhz, round(greatest(a, b + step) / 1e6, 6) AS hi_mhz, b > a AS increasing, nfreq >= 2 AND gap <= 1e-6 AS even FROM s, g""",
+    "q18_freq_axis": """WITH p AS (SELECT p_partkey % 20 AS file, p_partkey // 20 AS k, p_size FROM part), n AS (SELECT file, count(*) AS n, min(k) AS first FROM p GROUP BY file),
+        f AS (SELECT file, k - first AS i, 1e6 * ((k - first) * 400e0 + (n - (k - first)) * 800e0) / n + CASE WHEN file % 5 = 0 THEN p_size * 1e3 ELSE 0e0 END AS hz FROM p JOIN n USING (file)),
+        e AS (SELECT file, count(*) AS nfreq, min_by(hz, i) AS a, max_by(hz, i) AS b FROM f GROUP BY file), s AS (SELECT *, (b - a) / (nfreq - 1) AS step FROM e),
+        g AS (SELECT file, max(abs(hz - a - i * step) / abs(b - a)) AS gap FROM f JOIN s USING (file) GROUP BY file)
+        SELECT file, nfreq, round(least(a, b + step) / 1e6, 6) AS lo_mhz, round(greatest(a, b + step) / 1e6, 6) AS hi_mhz, b > a AS increasing, nfreq >= 2 AND gap <= 1e-6 AS even FROM s JOIN g USING (file)""",
     "q19_assemble_strict": f"""{_recursive(TELEMETRY, FOLD)}
         SELECT beam_id, max(active) AS active, CAST(max(hits) AS BIGINT) AS hits, CAST(max(misses) AS BIGINT) AS misses, (max(active) + 2) * 393216 AS final_fpga FROM fold GROUP BY beam_id""",
     "q20_assemble_last_write_wins": f"{_t(TELEMETRY)} SELECT beam_id, freq, ichunk, it_coarse, arg_max(intensity, (arrival, event_id)) AS intensity FROM telemetry GROUP BY beam_id, freq, ichunk, it_coarse",
@@ -250,8 +251,8 @@ ORACLES: dict[str, str] = {
         SELECT w.beam_id, w.fpga_begin, ichunk, binning, CASE WHEN ichunk IS NOT NULL THEN 'found' WHEN w.fpga_begin >= e THEN 'past' ELSE 'gone' END AS status
         FROM wanted w JOIN ends USING (beam_id) LEFT JOIN found f ON f.beam_id = w.beam_id AND f.fpga_begin = w.fpga_begin""",
     "q27_drops": f"{_t(TELEMETRY, BEAMS)} SELECT beam_id, n, n // (2 + beam_id) AS consumed, greatest(0, n - n // (2 + beam_id) - 8) AS dropped FROM beams",
-    "q28_contiguity": f"""{_t(TELEMETRY)}, c AS (SELECT DISTINCT beam_id, ichunk FROM telemetry WHERE sender < 8),
-        d AS (SELECT *, lead(ichunk) OVER (PARTITION BY beam_id ORDER BY ichunk) AS next_ichunk FROM c) SELECT * FROM d WHERE next_ichunk <> ichunk + 1""",
+    "q28_contiguity": f"""{_t(TELEMETRY)}, c AS (SELECT DISTINCT beam_id, sender, ichunk FROM telemetry),
+        d AS (SELECT *, lead(ichunk) OVER (PARTITION BY beam_id, sender ORDER BY ichunk) AS next_ichunk FROM c) SELECT * FROM d WHERE next_ichunk <> ichunk + 1""",
     "q29_rates_per_period": f"{_t(TELEMETRY, RATES)} SELECT * FROM rates",
     "q30_rate_diff": f"{_t(TELEMETRY, RATES)} SELECT start_us AS t, sender, CAST(sum(n) OVER (PARTITION BY sender ORDER BY start_us) AS BIGINT) AS total, n AS delta FROM rates",
     "q31_rate_range_sum": f"""{_t(TELEMETRY, RATES)}, inside AS (SELECT * FROM rates WHERE start_us BETWEEN 360000000000 AND 1080000000000)

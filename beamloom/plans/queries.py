@@ -148,7 +148,7 @@ def q13_time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q14_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeseries.fill_gaps(axis(spark, sf_dir), telemetry(spark, sf_dir), "beam_id", "tick", "weight").withColumn("weight", F.round("weight", 6))
+    return timeseries.gap_filled(telemetry(spark, sf_dir), "beam_id", "tick", "weight").withColumn("weight", F.round("weight", 6))
 
 
 def q15_unpolarized_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +165,13 @@ def q17_channel_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q18_freq_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = timeseries.frequency_axis(spark, 1024, 800.0, 400.0)
-    return timeseries.check_frequencies(f).select("nfreq", *r6("lo_mhz", "hi_mhz"), "increasing", "even")
+    """Twenty files' channels; in every fifth file they are uneven."""
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey % 20").alias("file"), F.expr("p_partkey div 20").alias("ifreq"), "p_size")
+    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("ifreq").alias("first"))
+    rows = rows.join(sizes, "file").withColumn("ifreq", F.col("ifreq") - F.col("first"))
+    even = timeseries.channel_frequency(F.col("ifreq"), F.col("n"), 800.0, 400.0)
+    axis = rows.select("file", "ifreq", (even + F.when(F.col("file") % 5 == 0, F.col("p_size") * 1000.0).otherwise(0.0)).alias("freq_hz"))
+    return timeseries.check_frequencies(axis, "file").select("file", "nfreq", *r6("lo_mhz", "hi_mhz"), "increasing", "even")
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,9 +236,9 @@ def q27_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q28_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaks between the chunks of each beam that have a sample of one sender, as one level."""
-    chunks = telemetry(spark, sf_dir).filter("sender < 8").select("beam_id", F.lit(0).alias("level"), "ichunk", F.lit(1).alias("binning")).distinct()
-    return ring.contiguity(chunks).select("beam_id", "ichunk", F.col("next").alias("next_ichunk"))
+    """Breaks between the chunks of each beam that have a sample of a sender, each sender as a level."""
+    chunks = telemetry(spark, sf_dir).select("beam_id", F.col("sender").alias("level"), "ichunk", F.lit(1).alias("binning")).distinct()
+    return ring.contiguity(chunks).select("beam_id", F.col("level").alias("sender"), "ichunk", F.col("next").alias("next_ichunk"))
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,7 +505,7 @@ def q61_polarisations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q62_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = timeseries.fill_gaps(axis(spark, sf_dir), telemetry(spark, sf_dir), "beam_id", "tick", "weight")
-    return timeseries.time_range(dense, 1000, 500, 40_000).select("beam_id", "it_logical", F.round("weight", 6).alias("weight"), "present")
+    return timeseries.time_range(dense, 1000, 500, "beam_id").select("beam_id", "it_logical", F.round("weight", 6).alias("weight"), "present")
 
 
 def q63_next_write(spark: SparkSession, sf_dir: str) -> DataFrame:

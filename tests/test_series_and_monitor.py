@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from beamloom.functions import scalars
-from beamloom.operators import archive, monitor, timeseries
+from beamloom.operators import archive, monitor, packets, timeseries
+from beamloom.operators.ranges import indexed
 from beamloom.sources.intensity import acquisition, read_intensity
 
 
@@ -39,9 +40,12 @@ def test_unpolarized_and_gaps_against_plain_python(spark):
     axis = timeseries.time_axis(df, "freq", "t")
     dense = timeseries.fill_gaps(axis, df, "freq", "t", "weight")
     assert dense.count() == 30 and dense.filter("present").count() == 15
-    assert timeseries.time_range(dense, 2, 4, 10).count() == 12
+    assert timeseries.time_range(dense, 2, 4, "freq").count() == 12 and timeseries.time_range(dense, 6, 4, "freq").count() == 12
     with pytest.raises(ValueError):
-        timeseries.time_range(dense, 8, 4, 10)
+        timeseries.time_range(dense, -1, 4, "freq")
+    with pytest.raises(Exception, match="ends before"):
+        timeseries.time_range(dense, 8, 4, "freq").collect()
+    assert sorted(map(tuple, timeseries.gap_filled(df, "freq", "t", "weight").collect())) == sorted(map(tuple, dense.collect()))
     bad = df.withColumn("weight", F.col("weight") - 0.1)
     with pytest.raises(Exception, match="negative"):
         timeseries.check_weights(bad).collect()
@@ -68,6 +72,68 @@ def test_axes_appends_and_files(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/plain").count() == 400
 
 
+def test_blocks_hold_equal_shares_beside_an_outlier(spark):
+    """One time far off, and a third of all rows at one time, leave no block over twice its share of the distinct times."""
+    rng = random.Random(3)
+    times = sorted(rng.sample(range(200_000), 20_000))
+    rows = [("f", float(t)) for t in times] + [("f", 1e9)] + [("f", float(times[777]))] * 10_000 + [("g", 5.0)]
+    df = spark.createDataFrame(rows, "file string, t double").repartition(6)
+    cut = timeseries.with_blocks(df.distinct(), "file", "t", 64)
+    sizes = {(r.file, r.block): r["count"] for r in cut.groupBy("file", "block").count().collect()}
+    assert sum(sizes.values()) == 20_002 and max(sizes.values()) <= 2 * 20_001 / 64 and len({b for f, b in sizes if f == "f"}) >= 60
+    order = cut.filter("file = 'f'").orderBy("t").select("block").collect()
+    assert [r.block for r in order] == sorted(r.block for r in order)
+    axis = {(r.file, r.time): (r.it_file, r.it_logical, r.dt) for r in timeseries.time_axis(df, "file", "t").collect()}
+    dt = min(b - a for a, b in zip(times, times[1:]))
+    assert axis == {("f", float(t)): (i, round((t - times[0]) / dt), dt) for i, t in enumerate([*times, 10**9])} | {("g", 5.0): (0, 0, None)}
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 64])
+def test_appends_over_blocks(spark, blocks):
+    rng, rows, at, want = random.Random(blocks), [], 100, {}
+    for k in range(200):
+        step = rng.choice([0, 0, 0, 7, -2])
+        begin, n = at + step, rng.randint(1, 9)
+        t0 = None if k and rng.random() < 0.3 else 5.0 + (begin - rows[0][2] if rows else 0) * 0.5 + (0.3 if rng.random() < 0.1 and k else 0.0)
+        rows.append(("s", 3 * k, begin, n, t0))
+        expected = 5.0 + (begin - rows[0][2]) * 0.5
+        want[3 * k] = "overlap" if k and begin < at else "drift" if t0 is not None and abs(t0 - expected) > 0.005 else "ok"
+        at = begin + n
+    df = spark.createDataFrame([*rows, ("one", 0, 5, 2, 1.0)], "file string, seq int, ipos int, nt int, t0 double").repartition(3)
+    got = timeseries.check_appends(df, "file", 0.5, blocks).collect()
+    assert {r.seq: r.status for r in got if r.file == "s"} == want and [r.status for r in got if r.file == "one"] == ["ok"]
+    assert all(r.t0 is not None for r in got)
+
+
+@pytest.mark.parametrize("blocks", [1, 5, 64])
+def test_send_times_over_blocks(spark, blocks):
+    rng = random.Random(blocks)
+    ready, rows = 0, []
+    for k in range(300):
+        ready += rng.choice([0, 10, 500, 4000])
+        rows.append((1, k, ready, rng.randint(300, 8000)))
+    gbps, sent, total, now = 1e-2, {}, 0, 0
+    for _, k, r, n in rows:
+        now = max(r, int(8e-3 * total / gbps), now + int(0.8 * 8e-3 * before / gbps) if k else 0)
+        sent[k], total, before = now, total + n, n
+    df = spark.createDataFrame([*rows, (2, 0, 7, 100)], "stream int, send_order int, ready_us long, nbytes int").repartition(4)
+    got = packets.send_times(df, "stream", gbps, blocks).collect()
+    assert {r.send_order: r.send_us for r in got if r.stream == 1} == sent and [r.send_us for r in got if r.stream == 2] == [7]
+
+
+def test_global_index_over_ranges(spark):
+    rng = random.Random(1)
+    values = [rng.randrange(400) for _ in range(3000)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(7)
+    got = indexed(df, ["v", "i"], "at", 9)
+    assert got.columns == ["v", "i", "at"]
+    assert {r.i: r["at"] for r in got.collect()} == {i: k for k, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
+    files = [df.filter("v < 5"), df.filter("v = 400"), df.filter("v >= 390")]
+    joined = timeseries.concat_files(files, ["v", "i"]).orderBy("it_global").collect()
+    assert [r.it_global for r in joined] == list(range(len(joined)))
+    assert [(r.file, r.v, r.i) for r in joined] == sorted((f, v, i) for i, v in enumerate(values) for f in (0, 2) if (v < 5 if f == 0 else v >= 390))
+
+
 def test_asof_and_history(spark):
     rng = random.Random(1)
     history = sorted(rng.sample(range(1000), 40))
