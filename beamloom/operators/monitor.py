@@ -6,10 +6,11 @@ import math
 from dataclasses import replace
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import StreamConfig
+from ..sources.shared import new_folder, written
 from .assembly import assemble_strict
 from .packets import classify
 
@@ -91,32 +92,52 @@ def newest(rates: DataFrame, key: str) -> DataFrame:
     return bounded_history(rates, key, 1)
 
 
+def judged_packets(packets: DataFrame, config: StreamConfig) -> DataFrame:
+    """packets(nbytes, beam_ids, ..., dropped) with their class; one that the receive queue dropped has none."""
+    return classify(packets, replace(config, strict=False)).withColumn("packet_class", F.when(~F.col("dropped"), F.col("packet_class")))
+
+
+def packet_counters(config: StreamConfig) -> list[Column]:
+    """Aggregates of the counters that judged_packets() alone decide."""
+    good = F.col("packet_class").isin("good", "beam_id_mismatch")
+    unknown = F.size(F.filter("beam_ids", lambda b: ~b.isin(*config.beam_ids)))
+    of = lambda kind: F.count_if(F.col("packet_class") == kind)
+    return [
+        _total("nbytes").alias("count_bytes_received"), F.count(F.lit(1)).alias("count_packets_received"), F.count_if(good).alias("count_packets_good"), of("bad").alias("count_packets_bad"),
+        F.count_if("dropped").alias("count_packets_dropped"), of("end_of_stream").alias("count_packets_endofstream"), _total(F.when(good, unknown)).alias("count_beam_id_mismatch"), of("stream_mismatch").alias("count_stream_mismatch"),
+    ]
+
+
+def _total(c: str | Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0))
+
+
+def observed_counters(packets: DataFrame, config: StreamConfig, observation: Observation | str) -> DataFrame:
+    """judged_packets(), whose counters Spark takes on the way while something else consumes the rows: an Observation tells
+    those of a batch; under a name, streams.Counters gathers those of a stream."""
+    return judged_packets(packets, config).observe(observation, *packet_counters(config))
+
+
 def stream_counters(packets: DataFrame, config: StreamConfig, consumed: Column) -> DataFrame:
     """One row of the twelve counters of a stream, from packets(arrival, nbytes, beam_ids, fpga_count, ..., dropped).
 
     A packet that the receive queue dropped is received, no more. Good packets include those with unknown beams, which
     count once a beam; each known beam's part is a hit or a miss of strict assembly. A beam's chunks are queued from its
     first window to its last, which the end of the stream flushes; chunks that wait longer than the ring's capacity for a
-    consumer that has taken `consumed` (a column over beam_id and n) are dropped.
+    consumer that has taken `consumed` (a column over beam_id and n) are dropped. Eight of the counters are observed in the
+    pass that hands packets to assembly.
     """
-    g = config.grid
-    judged = classify(packets, replace(config, strict=False)).withColumn("packet_class", F.when(~F.col("dropped"), F.col("packet_class")))
+    g, seen = config.grid, Observation()
+    judged = observed_counters(packets, config, seen)
     good = F.col("packet_class").isin("good", "beam_id_mismatch")
-    unknown = F.size(F.filter("beam_ids", lambda b: ~b.isin(*config.beam_ids)))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    of = lambda kind: F.count_if(F.col("packet_class") == kind)
-    first = judged.agg(
-        total("nbytes").alias("count_bytes_received"), F.count(F.lit(1)).alias("count_packets_received"), F.count_if(good).alias("count_packets_good"), of("bad").alias("count_packets_bad"),
-        F.count_if("dropped").alias("count_packets_dropped"), of("end_of_stream").alias("count_packets_endofstream"), total(F.when(good, unknown)).alias("count_beam_id_mismatch"), of("stream_mismatch").alias("count_stream_mismatch"),
-    )
     parts = judged.filter(good).select("arrival", F.expr(f"fpga_count div {g.counts_per_sample} div {g.nt_per_chunk}").alias("packet_chunk"), F.explode("beam_ids").alias("beam_id"))
     parts = parts.filter(F.col("beam_id").isin(*config.beam_ids)).select("beam_id", F.col("arrival").alias("event_id"), "arrival", "packet_chunk")
+    parts = written(parts, new_folder(parts.sparkSession, "parts"))  # the one pass over packets; the observation is there then
     verdicts = assemble_strict(parts, config.nt_align // g.nt_per_chunk)
     beams = verdicts.groupBy("beam_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), (F.max("active") + 2 - F.min("active")).alias("n"))
     lost = F.greatest(F.lit(0), F.col("n") - consumed - config.ring_capacity)
-    second = beams.agg(total("hits").alias("count_assembler_hits"), total("misses").alias("count_assembler_misses"), total(lost).cast("long").alias("count_assembler_drops"), total("n").alias("count_assembler_queued"))
-    names = [*first.columns, *second.columns]
-    return first.unionByName(second, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
+    second = beams.agg(_total("hits").alias("count_assembler_hits"), _total("misses").alias("count_assembler_misses"), _total(lost).cast("long").alias("count_assembler_drops"), _total("n").alias("count_assembler_queued"))
+    return second.select(*[F.lit(v).cast("long").alias(k) for k, v in seen.get.items()], *second.columns)
 
 
 def fpga_maxima(verdicts: DataFrame, counts_per_chunk: int, consumed: Column) -> DataFrame:

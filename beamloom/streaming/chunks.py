@@ -14,7 +14,7 @@ from ..config import Grid, StreamConfig
 from ..operators.assembly import first_window, window_path
 from ..operators.packets import CHUNK_TILES, receive
 from ..operators.tiles import halved
-from .streams import STATE_STORE, STORE_SETTING
+from .streams import needs_store
 
 #: A channel's tiles of one chunk, one after the other.
 STRIP = "scales binary, offsets binary, data binary, seen binary"
@@ -134,15 +134,10 @@ class ChunkAssembler(StatefulProcessor):
         pass
 
 
-def _needs_store(df: DataFrame) -> None:
-    if df.sparkSession.conf.get(STORE_SETTING) != STATE_STORE:
-        raise ValueError(f"set {STORE_SETTING} to {STATE_STORE}")
-
-
 def chunk_tile_stream(raw: DataFrame, config: StreamConfig, idle_ms: int | None = None) -> DataFrame:
     """A stream of payloads, raw(arrival_seq, payload), to the tiles of flushed chunks, as packets.assembled_strict() gives
     them; rows of a batch go by arrival. idle_ms: a beam that no packet has reached for so long has ended."""
-    _needs_store(raw)
+    needs_store(raw)
     got = receive(raw, config, ends=config.accept_end_of_stream)
     return got.groupBy("beam_id").transformWithStateInPandas(ChunkAssembler(config, idle_ms), outputStructType=CHUNK_TILES, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
 
@@ -216,7 +211,7 @@ class History(StatefulProcessor):
 def history_stream(chunk_tiles: DataFrame, grid: Grid, capacities: Sequence[int]) -> DataFrame:
     """A stream of chunk_tile_stream()'s rows, whole chunks in a batch, into a history kept in state. The rows that come out,
     (beam_id, coarse_freq_id, ichunk, binning), are what has left it; history() reads what it holds."""
-    _needs_store(chunk_tiles)
+    needs_store(chunk_tiles)
     return chunk_tiles.groupBy("beam_id", "coarse_freq_id").transformWithStateInPandas(
         History(grid, capacities), outputStructType="beam_id int, coarse_freq_id int, ichunk long, binning int", outputMode="Append", timeMode="None"
     )

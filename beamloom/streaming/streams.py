@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..operators.assembly import first_window, watermark_chunks, window_path
 
@@ -22,6 +22,11 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set(STORE_SETTING, STATE_STORE)
 
 
+def needs_store(df: DataFrame) -> None:
+    if df.sparkSession.conf.get(STORE_SETTING) != STATE_STORE:
+        raise ValueError(f"set {STORE_SETTING} to {STATE_STORE}")
+
+
 class StrictAssembler(StatefulProcessor):
     """Per beam, the active window carries over from batch to batch; state is one number."""
 
@@ -47,8 +52,7 @@ class StrictAssembler(StatefulProcessor):
 def assemble_stream(packets: DataFrame, align_chunks: int = 0) -> DataFrame:
     """Verdicts of a stream of packets(beam_id, event_id, arrival, packet_chunk); rows of a batch go by arrival. The session
     needs a state store with column families: use_state_store(spark)."""
-    if packets.sparkSession.conf.get(STORE_SETTING) != STATE_STORE:
-        raise ValueError(f"set {STORE_SETTING} to {STATE_STORE}")
+    needs_store(packets)
     needed = packets.select("beam_id", "event_id", "arrival", "packet_chunk")
     return needed.groupBy("beam_id").transformWithStateInPandas(
         StrictAssembler(align_chunks), outputStructType="beam_id int, event_id long, packet_chunk long, active long, hit boolean", outputMode="Append", timeMode="None"
@@ -74,6 +78,28 @@ def archive_stream(chunks: DataFrame, beams: list[int], path: str, checkpoint: s
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Counters(StreamingQueryListener):
+    """Sums of what queries observe under a name (see monitor.observed_counters), batch after batch, without another scan.
+    spark.streams.addListener() takes it."""
+
+    def __init__(self, name: str):
+        self.name, self.totals = name, {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        for k, v in (row.asDict() if row is not None else {}).items():
+            self.totals[k] = self.totals.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def in_chunk_order(chunks: DataFrame, beam_id: int) -> Iterator:
     """A beam's finished chunks one after the other, fetched partition by partition."""
     return chunks.filter(F.col("beam_id") == beam_id).orderBy("ichunk").toLocalIterator()

@@ -203,15 +203,19 @@ def test_composed_clamps(steps, x):
         assert min(got[2][k], max(got[1][k], x + got[0][k])) == want
 
 
-def test_counters_against_a_loop(spark):
-    rng = random.Random(2)
+def counter_packets(rng):
+    """(rows, schema) of packet headers of all classes, some dropped by the receive queue."""
     rows = []
     for i in range(500):
         beams = rng.choice([[1, 2], [2, 1], [1, 9], [8, 9]])
         nup, chunk = rng.choice([2, 2, 2, 2, 3]), i // 20 + rng.choice([0, 0, 0, 1, -1, 40])
         data = 2 * 3 * nup * 8
         rows.append((i, 24 if i % 50 == 3 else 24 + 4 + 6 + 48 + data, rng.choice([1] * 9 + [2]), data, 384, max(0, chunk) * 64 * 384, 2, 3, nup, 8, beams, [0, 1, 2], rng.random() < 0.1))
-    names = "arrival long, nbytes int, protocol_version long, data_nbytes int, fpga_counts_per_sample long, fpga_count long, nbeams int, nfreq_coarse int, nupfreq int, ntsamp int, beam_ids array<int>, coarse_freq_ids array<int>, dropped boolean"
+    return rows, "arrival long, nbytes int, protocol_version long, data_nbytes int, fpga_counts_per_sample long, fpga_count long, nbeams int, nfreq_coarse int, nupfreq int, ntsamp int, beam_ids array<int>, coarse_freq_ids array<int>, dropped boolean"
+
+
+def test_counters_against_a_loop(spark):
+    rows, names = counter_packets(random.Random(2))
     config = StreamConfig(beam_ids=(1, 2), grid=GRID, nt_align=128, ring_capacity=3)
     got = monitor.stream_counters(spark.createDataFrame(rows, names).repartition(4), config, F.expr("n div 2")).first().asDict()
     want = collections.Counter({"count_bytes_received": sum(r[1] for r in rows), "count_packets_received": len(rows)})
