@@ -56,6 +56,20 @@ def window_path(chunks: np.ndarray, active: int) -> tuple[np.ndarray, int]:
     return at, active
 
 
+def injected_path(chunks: np.ndarray, active: int, injected: np.ndarray) -> tuple[np.ndarray, int]:
+    """window_path() where some rows aren't packets but chunks put in whole: each leaves the window just behind itself."""
+    puts = np.flatnonzero(injected)
+    if not len(puts):
+        return window_path(chunks, active)
+    at, i = np.empty(len(chunks), np.int64), 0
+    for k in puts.tolist():
+        at[i:k], _ = window_path(chunks[i:k], active)
+        active = at[k] = chunks[k] + 1
+        i = k + 1
+    at[i:], active = window_path(chunks[i:], int(active))
+    return at, active
+
+
 def entered(chunks: np.ndarray, leave: int) -> int:
     """The largest active chunk before the packets from which the window ends at `leave`: the rule, backwards."""
     back, i, n = chunks[::-1], 0, len(chunks)
@@ -164,7 +178,9 @@ def bounded_queue(log: DataFrame, capacity: int, ranges: int | None = None) -> D
 
 #: A range's window is guessed from so many of its first packets, and its summary holds from so many chunks before on.
 LOOK, BEHIND = 64, 1024
-RANGED = "beam_id int, range int, place long, event_id long, packet_chunk long, active long, first long, leave long, low long, high long"
+RANGED = "beam_id int, range int, place long, event_id long, packet_chunk long, inject boolean, active long, first long, leave long, low long, high long"
+#: Windows below and above all others.
+ANY = 1 << 60
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,50 +188,56 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     guess (as `active`), the window it leaves, and the windows to enter with from which it leaves the same."""
     names = [x.split()[0] for x in RANGED.split(", ")] + [SUMMARY]
 
-    def row(beam, number, parts, guess) -> pa.RecordBatch:
-        chunks = np.concatenate(parts)
-        leave = window_path(chunks, guess)[1]
-        same = lambda at: window_path(chunks, at)[1] == leave
-        low, fails = (guess - BEHIND, guess - BEHIND - 1) if same(guess - BEHIND) else (guess, guess - BEHIND)
-        while low - fails > 1:  # the rule is monotone: the smallest window that leaves the same
-            at = (low + fails) // 2
-            low, fails = (at, fails) if same(at) else (low, at)
-        values = [beam, number, None, None, None, guess, int(chunks[0]), leave, low, entered(chunks, leave)]
-        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 8]
+    def row(beam, number, parts, puts, guess) -> pa.RecordBatch:
+        chunks, injected = np.concatenate(parts), np.concatenate(puts)
+        leave = injected_path(chunks, guess, injected)[1]
+        if injected.any():  # whatever it is entered with
+            low, high = -ANY, ANY
+        else:
+            same = lambda at: window_path(chunks, at)[1] == leave
+            low, fails = (guess - BEHIND, guess - BEHIND - 1) if same(guess - BEHIND) else (guess, guess - BEHIND)
+            while low - fails > 1:  # the rule is monotone: the smallest window that leaves the same
+                at = (low + fails) // 2
+                low, fails = (at, fails) if same(at) else (low, at)
+            high = entered(chunks, leave)
+        values = [beam, number, None, None, None, None, guess, int(chunks[0]), int(leave), low, high]
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 5]
         return pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(values, kinds)), pa.array([True])], names=names)
 
-    now, parts, place, guess, active = None, [], 0, 0, 0
+    now, parts, puts, place, guess, active = None, [], [], 0, 0, 0
     for part, first in groups(batches, "beam_id", "range"):
-        chunks = part.column("packet_chunk").to_numpy()
+        chunks, injected = part.column("packet_chunk").to_numpy(), part.column("inject").to_numpy(zero_copy_only=False)
         if first:
             if now is not None:
-                yield row(*now, parts, guess)
-            now, parts, place = (part.column("beam_id")[0].as_py(), part.column("range")[0].as_py()), [], 0
+                yield row(*now, parts, puts, guess)
+            now, parts, puts, place = (part.column("beam_id")[0].as_py(), part.column("range")[0].as_py()), [], [], 0
             guess = active = int(np.median(chunks[:LOOK])) - 1
-        at, active = window_path(chunks, active)
+        at, active = injected_path(chunks, active, injected)
         n, none = len(chunks), pa.nulls(len(chunks), pa.int64())
-        parts.append(chunks)
-        yield pa.RecordBatch.from_arrays([part.column("beam_id"), part.column("range"), pa.array(np.arange(place, place + n)), part.column("event_id"), part.column("packet_chunk"), pa.array(at), *[none] * 4, pa.array(np.zeros(n, bool))], names=names)
+        parts.append(chunks), puts.append(injected)
+        yield pa.RecordBatch.from_arrays([part.column("beam_id"), part.column("range"), pa.array(np.arange(place, place + n)), part.column("event_id"), part.column("packet_chunk"), part.column("inject"), pa.array(at), *[none] * 4, pa.array(np.zeros(n, bool))], names=names)
         place += n
     if now is not None:
-        yield row(*now, parts, guess)
+        yield row(*now, parts, puts, guess)
 
 
 def _again(rows: DataFrame, entries: DataFrame, verdicts: bool) -> DataFrame:
     """The ranges of entries(beam_id, range, entry) once more, from the window told: rows, or what they leave."""
-    needed = rows.select("beam_id", "range", "place", "event_id", "packet_chunk").join(entries, ["beam_id", "range"])
+    needed = rows.select("beam_id", "range", "place", "event_id", "packet_chunk", "inject").join(entries, ["beam_id", "range"])
     dealt = needed.repartition("beam_id", "range").sortWithinPartitions("beam_id", "range", "place")
+    names = ["beam_id", "event_id", "packet_chunk", "inject", "range", "place", "entry"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active = 0
         for part, first in groups(batches, "beam_id", "range"):
-            at, active = window_path(part.column("packet_chunk").to_numpy(), part.column("entry")[0].as_py() if first else active)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("beam_id", "event_id", "packet_chunk", "range", "place", "entry")), pa.array(at)], names=["beam_id", "event_id", "packet_chunk", "range", "place", "entry", "active"])
+            injected = part.column("inject").to_numpy(zero_copy_only=False)
+            at, active = injected_path(part.column("packet_chunk").to_numpy(), part.column("entry")[0].as_py() if first else active, injected)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(at)], names=[*names, "active"])
 
-    again = dealt.mapInArrow(run, "beam_id int, event_id long, packet_chunk long, range int, place long, entry long, active long")
+    again = dealt.mapInArrow(run, "beam_id int, event_id long, packet_chunk long, inject boolean, range int, place long, entry long, active long")
     if verdicts:
-        return again.select("beam_id", "event_id", "packet_chunk", "active")
-    left = again.groupBy("beam_id", "range").agg(F.first("entry").alias("low"), F.max("active").alias("leave"))
+        return again.select("beam_id", "event_id", "packet_chunk", "inject", "active")
+    left = again.groupBy("beam_id", "range").agg(F.first("entry").alias("low"), F.max_by("active", "place").alias("leave"))
     return left.select("beam_id", "range", "leave", "low", F.col("low").alias("high"))
 
 
@@ -237,8 +259,12 @@ def assemble_strict(packets: DataFrame, align_chunks: int = 0, ranges: int | Non
     which it leaves the same: the rule is monotone, and paths that meet stay together. Ranges are chained by their
     summaries; one whose window lies outside is played from there, until all agree, and rows are played again only where
     the guess was wrong. A packet far ahead of its stream can cost further rounds, one for each range that it upsets.
+
+    Rows whose column `inject` is true are no packets but chunks put in whole, packet_chunk their number: the window goes on
+    behind them, at the next chunk and the one after, and what was in the old one is lost. Their hit is null.
     """
-    needed = packets.select(F.col("beam_id").cast("int").alias("beam_id"), "arrival", F.col("event_id").cast("long").alias("event_id"), F.col("packet_chunk").cast("long").alias("packet_chunk"))
+    puts = F.coalesce(F.col("inject"), F.lit(False)) if "inject" in packets.columns else F.lit(False)
+    needed = packets.select(F.col("beam_id").cast("int").alias("beam_id"), "arrival", F.col("event_id").cast("long").alias("event_id"), F.col("packet_chunk").cast("long").alias("packet_chunk"), puts.alias("inject"))
     rows, found = ranged(needed, ["beam_id", "arrival", "event_id", "packet_chunk"], _paths, RANGED, ranges)
     spark = packets.sparkSession
     table = lambda df: written(df, new_folder(spark, "windows"))
@@ -253,9 +279,10 @@ def assemble_strict(packets: DataFrame, align_chunks: int = 0, ranges: int | Non
         kept = chained.join(outside.select("beam_id", "range"), ["beam_id", "range"], "left_anti").select(*told)
         found = table(kept.unionByName(outside.select("beam_id", "range", "first", "guess").join(again, ["beam_id", "range"]).select(*told)))
     wrong = chained.filter("entry <> guess").select("beam_id", "range", "entry")
-    right = rows.join(wrong, ["beam_id", "range"], "left_anti").select("beam_id", "event_id", "packet_chunk", "active")
+    right = rows.join(wrong, ["beam_id", "range"], "left_anti").select("beam_id", "event_id", "packet_chunk", "inject", "active")
     every = right.unionByName(_again(rows, wrong, True))
-    return every.withColumn("hit", F.col("packet_chunk").between(F.col("active"), F.col("active") + 1))
+    inside = F.when(~F.col("inject"), F.col("packet_chunk").between(F.col("active"), F.col("active") + 1))
+    return every.select("beam_id", "event_id", "packet_chunk", "active", inside.alias("hit"))
 
 
 def assembly_summary(verdicts: DataFrame, counts_per_chunk: int) -> DataFrame:

@@ -237,6 +237,14 @@ ORACLES: dict[str, str] = {
         SELECT file, nfreq, round(least(a, b + step) / 1e6, 6) AS lo_mhz, round(greatest(a, b + step) / 1e6, 6) AS hi_mhz, b > a AS increasing, nfreq >= 2 AND gap <= 1e-6 AS even FROM s JOIN g USING (file)""",
     "q19_assemble_strict": f"""{_recursive(TELEMETRY, FOLD)}
         SELECT beam_id, max(active) AS active, CAST(max(hits) AS BIGINT) AS hits, CAST(max(misses) AS BIGINT) AS misses, (max(active) + 2) * 393216 AS final_fpga FROM fold GROUP BY beam_id""",
+    "q75_injected_chunks": f"""{_recursive(TELEMETRY)}, o AS (
+          SELECT beam_id, event_id % 499 = 5 AS put, packet_chunk + CASE WHEN event_id % 499 = 5 THEN 2 ELSE 0 END AS p, row_number() OVER (PARTITION BY beam_id ORDER BY arrival, event_id) AS k FROM telemetry),
+        walk AS (
+          SELECT beam_id, k, p, put, CASE WHEN put THEN p + 1 ELSE p END AS active FROM o WHERE k = 1
+          UNION ALL SELECT o.beam_id, o.k, o.p, o.put, CASE WHEN o.put THEN o.p + 1 WHEN o.p >= w.active + 2 THEN w.active + 1 ELSE w.active END FROM walk w JOIN o ON o.beam_id = w.beam_id AND o.k = w.k + 1
+        )
+        SELECT beam_id, max(active) AS active, count(*) FILTER (NOT put AND p BETWEEN active AND active + 1) AS hits, count(*) FILTER (NOT put AND NOT p BETWEEN active AND active + 1) AS misses, (max(active) + 2) * 393216 AS final_fpga FROM walk GROUP BY beam_id""",
+    "q76_time_cursor": f"{_t(TELEMETRY)} SELECT CAST(tick // 8192 AS INTEGER) AS step, count(*) AS n, round(sum(weight), 6) AS weight FROM telemetry GROUP BY 1",
     "q20_assemble_last_write_wins": f"{_t(TELEMETRY)} SELECT beam_id, freq, ichunk, it_coarse, arg_max(intensity, (arrival, event_id)) AS intensity FROM telemetry GROUP BY beam_id, freq, ichunk, it_coarse",
     "q21_first_fpga": f"{_t(TELEMETRY)} SELECT beam_id, min(fpga) AS first_fpga FROM telemetry GROUP BY beam_id",
     "q22_max_fpga": f"{_t(TELEMETRY)} SELECT beam_id, max(fpga) AS max_fpga FROM telemetry GROUP BY beam_id",

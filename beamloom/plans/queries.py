@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Grid, StreamConfig
 from ..functions import scalars
 from ..operators import archive, assembly, codec, downsample, monitor, packets, ring, tiles, timeseries
-from ..sources import chunk_files
+from ..sources import chunk_files, intensity
 from ..sources.shared import new_folder, written
 from ..sources.telemetry import table, telemetry, vector_samples
 
@@ -182,6 +182,25 @@ def q19_assemble_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.assembly_summary(verdicts(spark, sf_dir), PER_CHUNK)
 
 
+def q75_injected_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict assembly where now and then a chunk from further on is put in whole."""
+    rows = telemetry(spark, sf_dir).withColumn("inject", F.expr("event_id % 499 = 5"))
+    rows = rows.withColumn("packet_chunk", F.col("packet_chunk") + F.when(F.col("inject"), 2).otherwise(0))
+    return assembly.assembly_summary(assembly.assemble_strict(rows), PER_CHUNK)
+
+
+def q76_time_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cursor over samples in a time-ordered layout, step by step."""
+    folder = new_folder(spark, "ordered")
+    intensity.write_time_ordered(telemetry(spark, sf_dir).select(F.col("tick").alias("it_global"), "weight"), folder)
+    steps = intensity.time_chunks(spark.read.parquet(folder), 2 * intensity.PER_BLOCK, per_block=intensity.PER_BLOCK)
+    sums = [part.agg(F.lit(k).alias("step"), F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight")) for k, part in enumerate(steps)]
+    out = sums[0]
+    for part in sums[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def q20_assemble_last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.last_write_wins(telemetry(spark, sf_dir), ["beam_id", "freq", "ichunk", "it_coarse"], "intensity")
 

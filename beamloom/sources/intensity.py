@@ -41,13 +41,30 @@ def read_acquisition(spark: SparkSession, folder: str) -> DataFrame:
     return data.join(bases, "file").withColumn("it_global", F.col("base") + F.col("it_file")).drop("base")
 
 
-def time_chunks(data: DataFrame, ntime: int, index: str = "it_global") -> Iterator[DataFrame]:
-    """A cursor: data of `ntime` times after the other, the last with what is left. Each is a filter on the index."""
+#: Times of a folder of a time-ordered layout.
+PER_BLOCK = 4096
+
+
+def write_time_ordered(data: DataFrame, path: str, index: str = "it_global", per_block: int = PER_BLOCK) -> None:
+    """data as a table in the order of time: a folder for each `per_block` times (column it_block), rows sorted in its files,
+    so that readers of a range of times open its folders, and in their files only the row groups that meet it."""
+    blocks = data.withColumn("it_block", F.expr(f"{index} div {per_block}"))
+    blocks.repartitionByRange("it_block", index).sortWithinPartitions("it_block", index).write.partitionBy("it_block").parquet(path)
+
+
+def time_chunks(data: DataFrame, ntime: int, index: str = "it_global", per_block: int | None = None) -> Iterator[DataFrame]:
+    """A cursor: data of `ntime` times after the other, the last with what is left. Each is a filter on the index. per_block:
+    data has been read from a time-ordered layout with so many times a folder; then a step reads only its folders, and
+    all steps together read the data once."""
     if ntime <= 0:
         raise ValueError("a chunk needs times")
-    end = data.agg(F.max(index)).first()[0]
+    last = data
+    if per_block is not None:
+        last = data.filter(F.col("it_block") == F.lit(data.agg(F.max("it_block")).first()[0]))
+    end = last.agg(F.max(index)).first()[0]
     for at in range(0, 0 if end is None else end + 1, ntime):
-        yield data.filter((F.col(index) >= at) & (F.col(index) < at + ntime))
+        part = data.filter((F.col(index) >= at) & (F.col(index) < at + ntime))
+        yield part if per_block is None else part.filter(F.col("it_block").between(at // per_block, (at + ntime - 1) // per_block))
 
 
 def acquisition(spark: SparkSession, nfreq: int = 128, npol: int = 2, nt: int = 1000, dt: float = 512 * 2048 / 800e6, tsys: float = 25.0, seed: int = 0) -> DataFrame:

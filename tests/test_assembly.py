@@ -51,6 +51,23 @@ def test_one_beam_over_many_ranges(spark, monkeypatch, rogue):
     assert again.count(False) <= 12 and (rogue or again.count(False) <= 1)
 
 
+@pytest.mark.parametrize("ranges", [None, 11])
+def test_injected_chunks_move_the_window(spark, ranges):
+    rng, rows, want, active = random.Random(8), [], {}, None
+    for i in range(3000):
+        p, put = max(0, i // 30 + rng.choice([0, 0, 1, -1, 50])), rng.random() < 0.01
+        if active is None:
+            active = p
+        if put:
+            active = p + 1
+        elif p >= active + 2:
+            active += 1
+        rows.append((3, i, i, p, put))
+        want[i] = (active, None if put else p in (active, active + 1))
+    df = spark.createDataFrame(rows, "beam_id int, event_id long, arrival long, packet_chunk long, inject boolean").repartition(4)
+    assert {r.event_id: (r.active, r.hit) for r in assembly.assemble_strict(df, 0, ranges).collect()} == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 30), max_size=60), st.integers(-5, 35))
 def test_windows_from_which_a_range_leaves_the_same(chunks, active):

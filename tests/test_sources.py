@@ -128,3 +128,21 @@ def test_typed_tables_and_codecs(spark, tmp_path):
         assert typed.codec("bitshuffle", typed.WARN) == "uncompressed"
     with pytest.raises(ValueError):
         typed.codec("bitshuffle")
+
+
+def test_a_cursor_over_a_time_ordered_layout_reads_the_data_once(spark, tmp_path):
+    rows = spark.range(3000).select(F.expr("id * 7 % 1000").alias("it_global"), F.col("id").alias("v"), F.lit("a").alias("file"))
+    intensity.write_time_ordered(rows, f"{tmp_path}/t", per_block=64)
+    data = spark.read.parquet(f"{tmp_path}/t")
+    files = len(data.inputFiles())
+    steps = list(intensity.time_chunks(data, 128, per_block=64))
+    read, got = 0, []
+    for k, step in enumerate(steps):
+        found = step.collect()
+        assert {r.it_global // 128 for r in found} == {k}
+        got += [(r.it_global, r.v) for r in found]
+        leaf = step._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        read += leaf.metrics().apply("numFiles").value()
+    assert len(steps) == 8 and sorted(got) == sorted((i * 7 % 1000, i) for i in range(3000))
+    assert read == files
+    assert list(intensity.time_chunks(data.limit(0), 5, per_block=64)) == []
