@@ -50,11 +50,16 @@ def written(df: DataFrame, name: str, codec: str = "zstd", by: tuple[str, ...] =
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).options(**options).partitionBy(*by).parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # at the latest with the application
+    deleted_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """The path goes with the application."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def table_paths(spark: SparkSession) -> list[str]:
     """Paths that new_path() gave in this application."""
     return list(_tables.get(spark.sparkContext.applicationId, []))

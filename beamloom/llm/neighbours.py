@@ -12,7 +12,7 @@ heaps, k rows each, merge by query.
 Defined results: a row takes no part if its id is null or its vector is null, empty, zero or holds a null or non-finite
 component; vectors are near only to those of the same length; rows that repeat an id are candidates each, none of them
 for their own id, and of a query that is repeated the smallest vector asks; ties go to the smaller id; extra columns
-are ignored.
+are ignored; an empty table, or one without queries, gives an empty result.
 """
 
 from __future__ import annotations

@@ -38,7 +38,8 @@ MAGIC, HEAD = b"HTB1", struct.Struct("<4sIIQ")
 LONGEST = 16
 CHECKPOINT = 512
 BLOCK_TOKENS = 1 << 20
-FILE_TOKENS = 1 << 23
+#: A file has about so many tokens; where that would make more than MOST_FILES files, they have more tokens each.
+FILE_TOKENS, MOST_FILES = 1 << 23, 1 << 15
 #: Tokens whose arrays exist at one time while documents are encoded.
 STEP_TOKENS = 1 << 17
 
@@ -203,7 +204,7 @@ class TokenFiles:
         return self.blocks().select("file", "first", "payload").mapInArrow(run, f"file long, local long, {schema}")
 
     def bases(self) -> DataFrame:
-        """(file, base): tokens in the files before; files are few."""
+        """(file, base): tokens in the files before; by default there are MOST_FILES at most."""
         totals = self.blocks().groupBy("file").agg(F.sum("tokens").alias("tokens"))
         earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
         return totals.select("file", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
@@ -232,7 +233,7 @@ class TokenFiles:
 def write_token_files(docs: DataFrame, spec: str, end_id: int, path: str | None = None, file_tokens: int | None = None, cache_bytes: int = CACHE_BYTES) -> TokenFiles:
     """Ids of every row of docs(doc_id, text), each followed by end_id, in ascending doc_id order below path.
 
-    file_tokens: about the tokens of a file, which one task sorts; more of them where files would be too many.
+    file_tokens: about the tokens of a file, which one task sorts; by default FILE_TOKENS, or what makes MOST_FILES files.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
@@ -265,7 +266,8 @@ def write_token_files(docs: DataFrame, spec: str, end_id: int, path: str | None
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
 
-    files = max(1, round(int(counts.sum()) / (file_tokens or FILE_TOKENS)))
+    total = int(counts.sum())
+    files = max(1, round(total / (file_tokens or max(FILE_TOKENS, total / MOST_FILES))))
 
     def blocked(batches) -> Iterator[pa.RecordBatch]:
         codes = canonical_codes(lengths)

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +126,12 @@ def root_g(ones: Column, docs: Column, toxic: int, clean: int) -> Column:
     return F.sqrt(F.greatest(2 * sum(parts[1:], parts[0]), F.lit(0.0)))
 
 
+def severity_grades(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """0 for clean documents; toxic ones by thirds of their indicative words. A third that is empty has no grade."""
+    cuts = np.unique(np.quantile(hits[toxic == 1], [i / GRADES for i in range(1, GRADES)]))
+    return np.unique(np.where(toxic == 1, 1 + np.searchsorted(cuts, hits, side="left"), 0), return_inverse=True)[1]
+
+
 def without_copies(labelled: DataFrame) -> DataFrame:
     """One row of each component of near copies and label of labelled(row, toxic, text); equal rows may share a row number."""
     linked = near_duplicates(labelled.select(F.col("row").alias("doc_id"), "text"), *COPIES)
@@ -173,14 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, vocabula
             types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["toxic", "places", "vals", "hits"])
 
-    data = bag.mapInArrow(sparse, "toxic int, places array<long>, vals array<double>, hits long").toPandas()
-    toxic, hits = data["toxic"].to_numpy(), data["hits"].to_numpy()
-    cuts = np.unique(np.quantile(hits[toxic == 1], [i / GRADES for i in range(1, GRADES)]))
-    grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, hits, side="left"), 0)
-    _, grades = np.unique(grades, return_inverse=True)  # a third that is empty has no grade
-    rows = np.repeat(np.arange(len(data)), data["places"].map(len))
-    columns = np.concatenate([*data["places"], np.empty(0)]).astype(np.int64)
-    weights, thresholds = fit_ordinal(rows, columns, np.concatenate([*data["vals"], np.empty(0)]), grades, len(words.hashes))
+    data = bag.mapInArrow(sparse, "toxic int, places array<long>, vals array<double>, hits long").toArrow().combine_chunks()
+    toxic, hits = data.column("toxic").to_numpy(), data.column("hits").to_numpy()
+    grades = severity_grades(toxic, hits)
+    rows = np.repeat(np.arange(len(toxic)), pa.compute.list_value_length(data.column("places")).to_numpy())
+    columns, values = (pa.concat_arrays([c.flatten() for c in data.column(x).chunks]).to_numpy() for x in ("places", "vals"))
+    weights, thresholds = fit_ordinal(rows, columns, values, grades, len(words.hashes))
     return OrdinalModel(words, weights, thresholds)
 
 

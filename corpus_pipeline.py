@@ -81,6 +81,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     folder, last = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", ""
+    common.deleted_at_exit(spark, folder)  # the last stage's table is what the caller reads
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
         docs = spark.read.parquet(path)

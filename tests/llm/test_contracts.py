@@ -123,6 +123,51 @@ def test_toxicity_scores(spark, texts):
         assert r.severity == pytest.approx((1 / (1 + np.exp(-(linear - model.thresholds)))).sum(), abs=1e-9)
 
 
+def test_toxicity_training(spark, texts):
+    """Training once more in plain Python: copies, bags, ranking, grades; and a fit of another kind, which does hardly better."""
+    marks = dict(duckdb.sql(f"SELECT doc_id, toxic FROM read_parquet('{SF}/labels.parquet') WHERE toxic IN (0, 1)").fetchall())
+    own = [(i, texts[i]) for i in sorted(marks) if i in texts]
+    groups = {(c if n else None, marks[i]): i for i, (n, c) in reversed(brute_components(own, 3, 85, 100).items())}
+    bags = {i: collections.Counter(re.findall(r"[a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in texts[i] or ""))) for i in groups.values()}
+    n = [sum(marks[i] == k for i in bags) for k in (0, 1)]
+    docs, ones = collections.Counter(w for b in bags.values() for w in b), collections.Counter(w for i, b in bags.items() for w in b if marks[i])
+
+    def statistic(w):
+        cells = [(ones[w], docs[w], n[1]), (docs[w] - ones[w], docs[w], n[0]), (n[1] - ones[w], sum(n) - docs[w], n[1]), (n[0] - docs[w] + ones[w], sum(n) - docs[w], n[0])]
+        return max(0.0, 2 * sum(x * np.log(x * sum(n) / (row * column)) for x, row, column in cells if x)) ** 0.5
+
+    chosen = sorted(w for w in docs if docs[w] >= toxicity.LEAST_DOCS and statistic(w) >= toxicity.LEAST_Z)
+    odds = {w: np.log((ones[w] + 0.5) / (n[1] + 1)) - np.log((docs[w] - ones[w] + 0.5) / (n[0] + 1)) for w in chosen}
+    code = lambda w: int(next(word_hashes(pa.array([w]), toxicity.NOT_LETTER)).view(np.int64)[0])
+    model = toxicity.train(queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels"))
+    place = {int(h): k for k, h in enumerate(model.vocabulary.hashes)}
+    assert 3 < len(chosen) <= toxicity.VOCABULARY and set(place) == {code(w) for w in chosen}
+    assert all(model.vocabulary.odds[place[code(w)]] == pytest.approx(odds[w]) for w in chosen)
+
+    hits = {i: sum(b[w] for w in chosen if odds[w] > toxicity.INDICATIVE) for i, b in bags.items()}
+    cuts = sorted(set(np.quantile([hits[i] for i in bags if marks[i]], [1 / 3, 2 / 3])))
+    raw = {i: 1 + sum(c < hits[i] for c in cuts) if marks[i] else 0 for i in bags}
+    grade = np.array([sorted(set(raw.values())).index(raw[i]) for i in bags])
+    x = np.array([[np.log1p(b[w]) for w in chosen] for b in bags.values()])
+
+    def loss(w, theta):
+        edges = np.concatenate([[-np.inf], theta, [np.inf]])
+        below = lambda e: 1 / (1 + np.exp(-np.clip(e - x @ w, -60, 60)))
+        return -np.mean(np.log(np.maximum(below(edges[grade + 1]) - below(edges[grade]), 1e-12))) + 2.5e-5 * w @ w
+
+    size, top = len(chosen), grade.max()
+    assert len(model.thresholds) == top
+    cut = lambda p: (p[:size], p[size] + np.concatenate([[0], np.cumsum(np.exp(p[size + 1 :]))]))
+    p, step = np.concatenate([np.zeros(size), [1.0], np.zeros(top - 1)]), 1.0
+    for _ in range(400):  # steepest descent with numeric gradients
+        gradient = np.array([(loss(*cut(p + e)) - loss(*cut(p - e))) / 2e-5 for e in 1e-5 * np.eye(len(p))])
+        while step > 1e-9 and loss(*cut(p - step * gradient)) > loss(*cut(p)) - 0.1 * step * gradient @ gradient:
+            step /= 2
+        p, step = p - step * gradient, 2 * step
+    fitted = loss(model.weights[[place[code(w)] for w in chosen]], model.thresholds)
+    assert fitted <= 1.05 * loss(*cut(p)) and fitted < 0.9 * loss(np.zeros(size), np.log((np.arange(top) + 1.0) / (top - np.arange(top))))
+
+
 def test_near_duplicates(spark, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, "op4_minhash_near_dedup")}
     assert got == brute_components(list(texts.items()), 3, 85, 100)

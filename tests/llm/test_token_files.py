@@ -83,6 +83,7 @@ def test_files(spark, monkeypatch):
     rng = random.Random(2)
     texts = ["", None, "a", "été 日本 <|endoftext|>", " \n"] + [" ".join(rng.choice(["the", "Onin.", "x9", "tion"]) for _ in range(rng.choice([3, 50, 2500]))) for _ in range(40)]
     rows = [(i * 17 % 45 if i != 4 else None, t, 0) for i, t in enumerate(texts)]
+    rows.append((1000, "the Onin. " * (tf.BLOCK_TOKENS // 3), 0))  # longer than a block
     docs = spark.createDataFrame(rows, "doc_id long, text string, file int").repartition(3)
     files = tf.write_token_files(docs, tokenizer_spec(PATH), end_id=1)
     got = {r.doc_id: tuple(r) for r in files.digests().collect()}

@@ -84,3 +84,14 @@ def test_words_that_one_class_never_has_enter_the_vocabulary(spark):
     table = np.array([[5, 7], [6, 69]])
     expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0) / table.sum()
     assert abs(one(5, 12, 11, 76) - np.sqrt(2 * (table * np.log(table / expected)).sum())) < 1e-9
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    """Insults at the end of a text of some megabytes count as they do in a short one."""
+    words, rng = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)], random.Random(3)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(20)) + (" vexnik ploth" if i % 4 == 0 else "")) for i in range(120)]
+    long, short = " ".join(["zzz"] * 900_000) + " vexnik ploth", "zzz vexnik ploth"
+    docs = spark.createDataFrame([*rows, (1000, long), (1001, short), (1002, long[:-13])], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert got[1000].severity == got[1001].severity and got[1000].toxic and not got[1002].toxic
