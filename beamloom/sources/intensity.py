@@ -7,9 +7,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.timeseries import _assert, check_frequencies, check_polarisations, check_weights, time_axis
+from ..operators.timeseries import _assert, check_appends, check_frequencies, check_polarisations, check_weights, time_axis
+from .shared import children
 
 PER_FILE = 16384
+#: A sequence number below all others.
+BEFORE_ALL = -(1 << 60)
 
 
 def read_intensity(spark: SparkSession, path: str) -> DataFrame:
@@ -41,6 +44,62 @@ def read_acquisition(spark: SparkSession, folder: str) -> DataFrame:
     return data.join(bases, "file").withColumn("it_global", F.col("base") + F.col("it_file")).drop("base")
 
 
+class SeriesFile:
+    """Series that are appended to, below a path, with where each ended remembered between calls.
+
+    A call brings a batch of appends with their samples. They are checked against the position and the time at which each
+    series began and ended so far, a table with a row a series, and not against all earlier appends. Samples are written
+    first, to the batch's own folder, then the new positions, which makes the batch count; a batch that has been counted
+    isn't taken again, and what a call that died has left is overwritten by the next.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, dt: float):
+        self.spark, self.path, self.key, self.dt = spark, path.rstrip("/"), key, dt
+
+    def batches(self) -> list[str]:
+        """Names of the batches that count, in their order."""
+        found = [n for n in children(self.spark, f"{self.path}/positions") if "_SUCCESS" in children(self.spark, f"{self.path}/positions/{n}")]
+        return [n.split("-", 1)[1] for n in sorted(found)]
+
+    def _positions(self, names: list[str]) -> DataFrame | None:
+        """(key, first_ipos, first_t0, last_seq, last_end) after the batches."""
+        return self.spark.read.parquet(f"{self.path}/positions/{len(names) - 1:09d}-{names[-1]}") if names else None
+
+    def append(self, samples: DataFrame, appends: DataFrame, batch: str, compression: str = "zstd") -> bool:
+        """Take samples(key, weight, ...) of appends(key, seq, ipos, nt, t0) in; false if the batch counts already. An append
+        that overlaps, drifts or comes before the last, or a negative weight, is an error and nothing counts."""
+        names, key = self.batches(), self.key
+        if batch in names:
+            return False
+        before, now = self._positions(names), appends.select(key, *(F.col(c).cast("long").alias(c) for c in ("seq", "ipos", "nt")), F.col("t0").cast("double").alias("t0"))
+        every = now.withColumn("known", F.lit(False))
+        if before is not None:
+            old = now.join(before, key).filter("seq <= last_seq").select(key, "seq").limit(1).collect()
+            if old:
+                raise ValueError(f"append {old[0]['seq']} of {old[0][key]} comes before the last")
+            mine = before.join(now.select(key).distinct(), key, "left_semi")
+            none = F.lit(0).cast("long").alias("nt")
+            first = mine.select(key, F.lit(BEFORE_ALL).alias("seq"), F.col("first_ipos").alias("ipos"), none, F.col("first_t0").alias("t0"), F.lit(True).alias("known"))
+            last = mine.select(key, F.col("last_seq").alias("seq"), F.col("last_end").alias("ipos"), none, F.lit(None).cast("double").alias("t0"), F.lit(True).alias("known"))
+            every = every.unionByName(first).unionByName(last)
+        checked = check_appends(every, key, self.dt)
+        wrong = checked.filter("NOT known AND status <> 'ok'").limit(1).collect()
+        if wrong:
+            raise ValueError(f"append {wrong[0]['seq']} of {wrong[0][key]}: {wrong[0]['status']}")
+        check_weights(samples).write.mode("overwrite").option("compression", compression).parquet(f"{self.path}/data/{batch}")
+        begin = F.min_by(F.struct("ipos", "t0"), "seq").alias("begin")
+        end = F.max_by(F.struct("seq", (F.col("ipos") + F.col("nt")).alias("end")), "seq").alias("end")
+        fresh = checked.groupBy(key).agg(begin, end).select(key, F.col("begin.ipos").alias("first_ipos"), F.col("begin.t0").alias("first_t0"), F.col("end.seq").alias("last_seq"), F.col("end.end").alias("last_end"))
+        rest = before.join(fresh.select(key), key, "left_anti") if before is not None else None
+        (fresh if rest is None else fresh.unionByName(rest)).write.mode("overwrite").parquet(f"{self.path}/positions/{len(names):09d}-{batch}")
+        return True
+
+    def samples(self) -> DataFrame | None:
+        """What the counted batches have brought; nothing before the first."""
+        names = self.batches()
+        return self.spark.read.parquet(*[f"{self.path}/data/{n}" for n in names]) if names else None
+
+
 #: Times of a folder of a time-ordered layout.
 PER_BLOCK = 4096
 

@@ -29,6 +29,13 @@ def written(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly below a path; none where there is no such path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """path as Spark takes it: with the scheme of the default file system, where it has none."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

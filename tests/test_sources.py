@@ -1,4 +1,5 @@
 import os
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -146,3 +147,31 @@ def test_a_cursor_over_a_time_ordered_layout_reads_the_data_once(spark, tmp_path
     assert len(steps) == 8 and sorted(got) == sorted((i * 7 % 1000, i) for i in range(3000))
     assert read == files
     assert list(intensity.time_chunks(data.limit(0), 5, per_block=64)) == []
+
+
+def test_appends_remember_where_series_ended(spark, tmp_path):
+    """Batch by batch as if all appends had been handed over at once; wrong ones leave nothing, repeated ones count once."""
+    rng, kept, at, begun = random.Random(4), [], {}, {}
+    file = intensity.SeriesFile(spark, f"{tmp_path}/s", "name", 0.5)
+    frame = lambda rows: spark.createDataFrame(rows, "name string, seq int, ipos int, nt int, t0 double")
+    values = lambda rows: spark.createDataFrame([(n, s, 1.0) for n, s, *_ in rows], "name string, seq int, weight double")
+    assert file.samples() is None and file.batches() == []
+    for b in range(4):
+        rows = []
+        for k in range(12):
+            name = rng.choice("xyz" if b else "xy")
+            ipos, n = at.get(name, 100) + rng.choice([0, 0, 9]), rng.randint(1, 5)
+            begin = begun.setdefault(name, ipos)
+            rows.append((name, 100 * b + k, ipos, n, 7.0 + (ipos - begin) * 0.5 if ipos == begin or rng.random() < 0.5 else None))
+            at[name] = ipos + n
+        assert file.append(values(rows), frame(rows), f"b{b}") and not file.append(values(rows), frame(rows), f"b{b}")
+        kept += rows
+        name = rows[0][0]
+        for bad, said in (((name, 1000 + b, at[name] - 1, 1, None), "overlap"), ((name, 1000 + b, at[name], 1, 7.0 + (at[name] - begun[name]) * 0.5 + 0.1), "drift"), ((name, 100 * b, at[name], 1, None), "before")):
+            with pytest.raises(ValueError, match=said):
+                file.append(values([bad]), frame([bad]), "bad")
+    assert file.batches() == ["b0", "b1", "b2", "b3"]
+    assert sorted((r.name, r.seq) for r in file.samples().collect()) == sorted((n, s) for n, s, *_ in kept)
+    assert {r.status for r in timeseries.check_appends(frame(kept), "name", 0.5).collect()} == {"ok"}
+    last = file._positions(file.batches()).collect()
+    assert {(r.name, r.first_ipos, r.last_end) for r in last} == {(n, begun[n], at[n]) for n in at} and {r.first_t0 for r in last} == {7.0}
