@@ -284,6 +284,10 @@ ORACLES: dict[str, str] = {
         SELECT beam_id, seq, CASE WHEN ipos < before THEN 'overlap' WHEN abs(t0 - (t1 + (ipos - i1) * 1e0)) > 0.01e0 THEN 'drift' ELSE 'ok' END AS status FROM b""",
     "q43_file_rollover": f"""{_t(TELEMETRY)} SELECT beam_id, printf('%08d.h5', tick // 4096 * 4096 * 60) AS file_name, tick % 4096 // 256 AS block, count(*) AS n, min(tick) AS first_tick
         FROM telemetry GROUP BY beam_id, tick // 4096, tick % 4096 // 256""",
+    "q77_typed_copies": f"""{_t(TELEMETRY)} SELECT printf('%08d.h5', tick // 4096 * 4096 * 60) AS file_name, beam_id, count(*) AS n, CAST(sum(freq) AS BIGINT) AS freqs, round(sum(weight), 6) AS weight, CAST(tick // 4096 AS INTEGER) AS file_number
+        FROM telemetry GROUP BY beam_id, tick // 4096""",
+    "q78_checked_intensity": f"""{_t(VECTORS)}, first AS (SELECT beam_id, min(isample) AS a FROM vectors GROUP BY beam_id)
+        SELECT printf('beam%d', beam_id) AS file, 2 * count(*) AS n, max(isample - a) AS last, CAST(2 * sum(isample - a) AS BIGINT) AS places, round(2 * sum(weight), 6) AS weight FROM vectors JOIN first USING (beam_id) GROUP BY beam_id""",
     "q44_bandwidth": f"""{_t(HEADERS)} SELECT nupfreq, CAST(sum(nbytes) AS BIGINT) AS nbytes, round(8e-3 * sum(nbytes) / (count(*) * 1000), 6) AS gbps,
         round(8e-9 * 8496 * (1024e0 / 4) / (6144 * 2.56e-6), 6) AS target_gbps FROM sized GROUP BY nupfreq""",
     "q46_json_frame0": """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(json_extract_string(props, '$.frame0_nano') AS BIGINT) AS frame0_nano FROM events""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Grid, StreamConfig
 from ..functions import scalars
 from ..operators import archive, assembly, codec, downsample, monitor, packets, ring, tiles, timeseries
-from ..sources import chunk_files, intensity
+from ..sources import chunk_files, intensity, typed
 from ..sources.shared import new_folder, written
 from ..sources.telemetry import table, telemetry, vector_samples
 
@@ -362,6 +362,27 @@ def q43_file_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("beam_id", "file_name", "block").agg(F.count(F.lit(1)).alias("n"), F.min("tick").alias("first_tick"))
 
 
+def q77_typed_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roll-over files, written compressed, copied without compression and read back in the columns' types."""
+    folder = new_folder(spark, "rolled")
+    rows = telemetry(spark, sf_dir).select("beam_id", "tick", "freq", "weight")
+    archive.write_rolled(archive.roll_over(rows, "beam_id", F.col("tick"), F.lit(0), 60.0, per_file=4096), f"{folder}/packed", typed.codec("lz4", typed.WARN))
+    archive.decompress(spark, f"{folder}/packed", f"{folder}/plain")
+    back = typed.read_typed(spark, f"{folder}/plain", "beam_id int, tick bigint, freq int, weight double, file_name string, file_number int")
+    return back.groupBy("file_name", "beam_id").agg(F.count(F.lit(1)).alias("n"), F.sum("freq").alias("freqs"), F.round(F.sum("weight"), 6).alias("weight"), F.max("file_number").alias("file_number"))
+
+
+def q78_checked_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each beam as an intensity file with checked axes: its samples and their place on the axis without gaps."""
+    each = vector_samples(spark, sf_dir).select("beam_id", "isample", "intensity", "weight", F.explode(F.array(F.lit(0), F.lit(1))).alias("ifreq"))
+    data = each.select(
+        F.format_string("beam%d", "beam_id").alias("file"), "ifreq", F.when(F.col("isample") % 2 == 0, "XX").otherwise("YY").alias("pol"), (F.col("isample") * 0.5).alias("time"), "intensity", "weight",
+    )
+    freqs = data.select("file", "ifreq").distinct().withColumn("freq_hz", timeseries.channel_frequency(F.col("ifreq"), F.lit(2), 800.0, 400.0))
+    checked = intensity.checked_intensity(data, freqs)
+    return checked.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("it_logical").alias("last"), F.sum("it_logical").alias("places"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
 def q44_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = headers(spark, sf_dir).groupBy("nupfreq").agg(F.sum("nbytes").alias("nbytes"), F.count(F.lit(1)).alias("n"))
     rate = monitor.target_gbps(8496, 1024, 4, 16 * 384)
