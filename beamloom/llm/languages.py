@@ -58,7 +58,7 @@ _KEYS = np.random.default_rng(20240613).integers(1, 2**63, ORDERS + 1, dtype=np.
 _letters: list[np.ndarray] = []
 
 
-def letters_below(limit: int = 0x30000) -> np.ndarray:
+def letters_below(limit: int = 0x33000) -> np.ndarray:
     """Whether each code point is a letter; made once a process. Above, there are no assigned letters but for ideographs."""
     if not _letters:
         _letters.append(np.array([chr(c).isalpha() for c in range(limit)]))
