@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import HEADER_BYTES, MAX_INPUT_PACKET, MAX_NT_PER_PACKET, MAX_OUTPUT_PACKET, PROTOCOL_VERSION, StreamConfig
 from .assembly import assemble_strict
 from .timeseries import explode_range, with_blocks
-from .tiles import binaries, matrix, with_tile
+from .tiles import binaries, lists, matrix, with_tile
 
 HEADER = np.dtype([("protocol_version", "<u4"), ("data_nbytes", "<i2"), ("fpga_counts_per_sample", "<u2"), ("fpga_count", "<u8"), ("nbeams", "<u2"), ("nfreq_coarse", "<u2"), ("nupfreq", "<u2"), ("ntsamp", "<u2")])
 
@@ -81,29 +81,42 @@ def classify(packets: DataFrame, config: StreamConfig) -> DataFrame:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """raw(arrival_seq, payload) to whole packets; arrays by numpy over Arrow batches. Malformed ones have empty arrays."""
+    """raw(arrival_seq, payload) to whole packets, in no order. Payloads of one length and shape are one matrix of bytes, whose
+    columns are their arrays. Malformed ones have empty arrays."""
+    fields = [part.split() for part in PACKET.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32())}
+    names, types = [n for n, _ in fields], [kinds[k] for _, k in fields]
+
+    def group(seq: np.ndarray, payload: pa.Array, length: int, head: np.ndarray | None, b: int, f: int) -> pa.RecordBatch:
+        n, at = len(seq), HEADER_BYTES + 2 * b + 2 * f + 8 * b * f
+        if head is None:
+            numbers = [pa.nulls(n, k) for k in types[2:10]]
+        else:  # a field beyond a long is null
+            numbers = [pa.array(head[c].astype(np.int64) if c != "fpga_count" else head[c], mask=head[c] >= 1 << 63 if c == "fpga_count" else None).cast(k) for c, k in zip(HEADER.names, types[2:10])]
+        if head is None or length < at:
+            arrays = [pa.array([[]] * n, k) for k in types[10:14]] + [pa.array([b""] * n, pa.binary())]
+        else:
+            rows = matrix(payload, length)
+            part = lambda start, size, kind: rows[:, start : start + size].copy().view(kind)
+            begin = HEADER_BYTES + 2 * b + 2 * f
+            columns = [(HEADER_BYTES, 2 * b, "<u2", np.int32), (HEADER_BYTES + 2 * b, 2 * f, "<u2", np.int32), (begin, 4 * b * f, "<f4", np.float32), (begin + 4 * b * f, 4 * b * f, "<f4", np.float32)]
+            arrays = [lists(part(start, size, kind).astype(to)) for start, size, kind, to in columns] + [binaries(rows[:, at:])]
+        return pa.RecordBatch.from_arrays([pa.array(seq), pa.array(np.full(n, length, np.int32)), *numbers, *arrays], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for seq, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(payload)
-                if n < HEADER_BYTES:
-                    rows.append((seq, n, *[None] * 8, [], [], [], [], b""))
+            payload, seq = batch.column("payload"), batch.column("arrival_seq").to_numpy()
+            lengths = pa.compute.binary_length(payload).to_numpy()
+            for length in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == length)
+                if length < HEADER_BYTES:
+                    yield group(seq[at], payload.take(pa.array(at)), length, None, 0, 0)
                     continue
-                h = np.frombuffer(payload, HEADER, 1)[0]
-                b, f = int(h["nbeams"]), int(h["nfreq_coarse"])
-                at = HEADER_BYTES + 2 * b + 2 * f + 8 * b * f
-                head = [int(h[name]) if int(h[name]) < 1 << 63 else None for name in HEADER.names]
-                if n < at:
-                    rows.append((seq, n, *head, [], [], [], [], b""))
-                    continue
-                ids = np.frombuffer(payload, "<u2", b + f, HEADER_BYTES).tolist()
-                floats = np.frombuffer(payload, "<f4", 2 * b * f, HEADER_BYTES + 2 * b + 2 * f)
-                rows.append((seq, n, *head, ids[:b], ids[b:], floats[: b * f].tolist(), floats[b * f :].tolist(), payload[at:]))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.float32()), pa.binary()]
-            names = [p.split()[0] for p in PACKET.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
+                head = matrix(pa.compute.binary_slice(payload.take(pa.array(at)), 0, HEADER_BYTES), HEADER_BYTES).copy().view(HEADER)[:, 0]
+                shape = head["nbeams"].astype(np.int64) << 16 | head["nfreq_coarse"]
+                for s in np.unique(shape).tolist():
+                    own = shape == s
+                    yield group(seq[at[own]], payload.take(pa.array(at[own])), length, head[own], s >> 16, s & 0xFFFF)
 
     return raw.select("arrival_seq", "payload").mapInArrow(run, PACKET)
 

@@ -41,7 +41,7 @@ def binaries(rows: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
 
 
-def _lists(rows: np.ndarray) -> pa.Array:
+def lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
 
 
@@ -140,7 +140,7 @@ def decode(tiles: DataFrame, grid: Grid, prescale: float = 1.0, masked_by: str |
                 bits = matrix(masks, len(masks[0].as_py())) if batch.num_rows else np.empty((0, 0), np.uint8)
                 bad |= ~unpacked(bits, grid.nupfreq, grid.nt_per_packet).reshape(data.shape) if batch.num_rows else False
             weight = np.where(bad, np.float32(0), np.float32(1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), _lists(intensity), _lists(weight)], names=[*keys, "intensity", "weight"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), lists(intensity), lists(weight)], names=[*keys, "intensity", "weight"])
 
     return tiles.mapInArrow(run, f"{_fields(tiles, keys)}, intensity array<float>, weight array<float>")
 

@@ -405,11 +405,11 @@ def q46_json_frame0(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded vectors as tiles of 16 bytes: (beam_id, coarse_freq_id, itile, scale, offset, data)."""
-    rows = table(spark, sf_dir, "embeddings").select(F.expr("cast(vec_id % 2 as int)").alias("beam_id"), F.expr("vec_id div 2").alias("v"), F.posexplode("embedding").alias("i", "x"))
-    rows = rows.select("beam_id", F.expr("cast(i div 16 as int)").alias("coarse_freq_id"), F.col("v").alias("itile"), "i", F.col("x").cast("double").alias("intensity"), F.lit(1.0).alias("weight"))
-    bytes_ = codec.encode(rows, ["beam_id", "coarse_freq_id", "itile"]).groupBy("beam_id", "coarse_freq_id", "itile", "scale", "offset")
-    hexes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "byte"))), lambda x: F.lpad(F.hex(x["byte"]), 2, "0")), "")
-    return bytes_.agg(F.unhex(hexes).alias("data"))
+    per = NARROW.nt_per_packet
+    parts = F.transform(F.sequence(F.lit(0), F.expr(f"size(embedding) div {per} - 1")), lambda k: F.struct(k.alias("k"), F.slice("embedding", k * per + 1, F.lit(per)).alias("x")))
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("cast(vec_id % 2 as int)").alias("beam_id"), F.expr("vec_id div 2").alias("itile"), F.explode(parts).alias("part"))
+    rows = rows.select("beam_id", F.col("part.k").cast("int").alias("coarse_freq_id"), "itile", F.col("part.x").cast("array<double>").alias("intensity"), F.array_repeat(F.lit(1.0), per).alias("weight"))
+    return tiles.encode(rows, NARROW)
 
 
 def q47_bitshuffle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,8 +418,8 @@ def q47_bitshuffle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q48_msgpack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = vector_tiles(spark, sf_dir)
-    chunks = tiles.select(
+    made = written(vector_tiles(spark, sf_dir), new_folder(spark, "tiles"))
+    chunks = made.select(
         "beam_id", F.lit(1).alias("nupfreq"), F.lit(16).alias("nt_per_packet"), F.lit(384).alias("counts_per_sample"), F.lit(1).alias("nt_coarse"), F.lit(1).alias("nscales"), F.lit(16).alias("ndata"),
         F.expr("(itile * 4 + coarse_freq_id) * 16 * 384").alias("fpga_begin"), F.lit(16 * 384).alias("fpga_n"), F.lit(1).alias("binning"), F.unhex(F.lit("0000803F")).alias("scales"),
         F.unhex(F.lit("00000000")).alias("offsets"), "data", F.lit(0).alias("frame0_nano"), F.lit(0).alias("nrfifreq"), F.lit(False).alias("has_rfi_mask"), F.unhex(F.lit("")).alias("rfi_mask"),
@@ -430,12 +430,12 @@ def q48_msgpack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q49_packet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = vector_tiles(spark, sf_dir)
-    sent = packets.packetize(tiles, nt_per_packet=16, counts_per_sample=384, nfreq_per_packet=4, nupfreq=1)
+    made = written(vector_tiles(spark, sf_dir), new_folder(spark, "tiles"))
+    sent = packets.packetize(made, nt_per_packet=16, counts_per_sample=384, nfreq_per_packet=4, nupfreq=1)
     raw = sent.select((F.col("fpga_count") * 8 + F.col("ifreq_outer")).alias("arrival_seq"), "payload")
     got = packets.split_channels(packets.split_beams(packets.parse(raw).filter(packets.is_good())))
     back = got.select("beam_id", "coarse_freq_id", F.expr("fpga_count div (16 * 384)").alias("itile"), F.col("data").alias("got"))
-    same = tiles.join(back, ["beam_id", "coarse_freq_id", "itile"])
+    same = made.join(back, ["beam_id", "coarse_freq_id", "itile"])
     return same.groupBy("beam_id").agg(F.count(F.lit(1)).alias("tiles"), F.count_if(F.col("data") == F.col("got")).alias("equal"))
 
 
