@@ -37,7 +37,8 @@ class Strip:
 
 class ChunkAssembler(StatefulProcessor):
     """Per beam: the window and the strips of its two active chunks. A batch's packets go by arrival; each moves the window
-    at most once, and a chunk that the window leaves is flushed whole. End-of-stream packets, or a quiet time, flush both."""
+    at most once, and a chunk that the window leaves is flushed whole. End-of-stream packets, or a quiet time, flush both.
+    A chunk that is put in whole moves the window behind itself."""
 
     def __init__(self, config: StreamConfig, idle_ms: int | None = None):
         self.config, self.grid, self.idle = config, config.grid, idle_ms
@@ -83,21 +84,10 @@ class ChunkAssembler(StatefulProcessor):
         if len(over):
             frame = frame.iloc[: int(over[0])]
         if len(frame):
-            seq, chunk = frame["arrival_seq"].to_numpy(), frame["fpga_count"].to_numpy() // self.grid.counts_per_chunk
-            first = np.concatenate(([0], np.flatnonzero(np.diff(seq)) + 1))  # a packet's channels come together
-            began = first_window(int(chunk[0]), self.config.nt_align // self.grid.nt_per_chunk) if active is None else active
-            at, active = window_path(chunk[first].astype(np.int64), began)
-            at = np.repeat(at, np.diff(first, append=len(seq)))
-            hit = (chunk >= at) & (chunk <= at + 1)
-            # every hit of a chunk comes before the chunk is flushed, so chunks are taken one after the other
-            touched = set(chunk[hit].tolist())
-            for ichunk in [*range(began, active), *sorted(c for c in touched if c >= active)]:
-                fresh = self._placed(frame[hit & (chunk == ichunk)], ichunk)
-                if ichunk < active:
-                    yield self._flushed(key[0], ichunk, fresh)
-                else:
-                    for freq, strip in fresh.items():
-                        self.strips.updateValue((ichunk, freq), strip.packed())
+            seq, put = frame["arrival_seq"].to_numpy(), frame["inject"].to_numpy(bool)
+            cuts = np.concatenate(([0], np.flatnonzero((np.diff(put) != 0) | (put[1:] & (np.diff(seq) != 0))) + 1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(seq)]):
+                active = yield from (self._injected if put[a] else self._packets)(key[0], frame.iloc[a:b], active)
             self.window.update((int(active), False))
         if len(over):
             yield from self._end(key[0], None if active is None else int(active))
@@ -106,6 +96,33 @@ class ChunkAssembler(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
 
+    def _packets(self, beam: int, frame: pd.DataFrame, active: int | None) -> Iterator[pd.DataFrame]:
+        """Packets in order: the chunks that the window leaves, and where it is then."""
+        seq, chunk = frame["arrival_seq"].to_numpy(), frame["fpga_count"].to_numpy() // self.grid.counts_per_chunk
+        first = np.concatenate(([0], np.flatnonzero(np.diff(seq)) + 1))  # a packet's channels come together
+        began = first_window(int(chunk[0]), self.config.nt_align // self.grid.nt_per_chunk) if active is None else active
+        at, active = window_path(chunk[first].astype(np.int64), began)
+        at = np.repeat(at, np.diff(first, append=len(seq)))
+        hit = (chunk >= at) & (chunk <= at + 1)
+        # every hit of a chunk comes before the chunk is flushed, so chunks are taken one after the other
+        touched = set(chunk[hit].tolist())
+        for ichunk in [*range(began, active), *sorted(c for c in touched if c >= active)]:
+            fresh = self._placed(frame[hit & (chunk == ichunk)], ichunk)
+            if ichunk < active:
+                yield self._flushed(beam, ichunk, fresh)
+            else:
+                for freq, strip in fresh.items():
+                    self.strips.updateValue((ichunk, freq), strip.packed())
+        return int(active)
+
+    def _injected(self, beam: int, frame: pd.DataFrame, active: int | None) -> Iterator[pd.DataFrame]:
+        """A whole chunk goes out, the window goes on behind it, and what was in the old one is lost."""
+        ichunk = int(frame["fpga_count"].iloc[0]) // self.grid.counts_per_chunk
+        for key in list(self.strips.keys()):
+            self.strips.removeKey(tuple(key))
+        yield self._flushed(beam, ichunk, self._placed(frame, ichunk))
+        return ichunk + 1
+
     def _placed(self, rows: pd.DataFrame, ichunk: int) -> dict[int, Strip]:
         """The chunk's strips that rows, in order, touch: of several tiles for a place the last stands."""
         g, out = self.grid, {}
@@ -134,17 +151,20 @@ class ChunkAssembler(StatefulProcessor):
         pass
 
 
-def chunk_tile_stream(raw: DataFrame, config: StreamConfig, idle_ms: int | None = None) -> DataFrame:
+def chunk_tile_stream(raw: DataFrame, config: StreamConfig, idle_ms: int | None = None, injected: DataFrame | None = None) -> DataFrame:
     """A stream of payloads, raw(arrival_seq, payload), to the tiles of flushed chunks, as packets.assembled_strict() gives
-    them; rows of a batch go by arrival. idle_ms: a beam that no packet has reached for so long has ended."""
+    them; rows of a batch go by arrival. idle_ms: a beam that no packet has reached for so long has ended. injected: a
+    stream of whole chunks, (arrival_seq, beam_id, ichunk, coarse_freq_id, it_coarse, scale, offset, data), a number of
+    arrival each, which go out as they are and move their beam's window behind themselves."""
     needs_store(raw)
-    got = receive(raw, config, ends=config.accept_end_of_stream)
+    g = config.grid
+    got = receive(raw, config, ends=config.accept_end_of_stream).withColumn("inject", F.lit(False))
+    if injected is not None:
+        count = (F.col("ichunk") * g.nt_per_chunk + F.col("it_coarse") * g.nt_per_packet) * g.counts_per_sample
+        got = got.unionByName(injected.select("arrival_seq", "beam_id", "coarse_freq_id", count.cast("long").alias("fpga_count"), "scale", "offset", "data", F.lit(True).alias("inject")))
     return got.groupBy("beam_id").transformWithStateInPandas(ChunkAssembler(config, idle_ms), outputStructType=CHUNK_TILES, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
 
 
-LEVEL = "level int, ichunk long, binning int"
-
-
 class History(StatefulProcessor):
     """Per beam and channel: the strips that a telescoping history holds, level by level.
 

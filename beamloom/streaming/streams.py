@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..operators.assembly import first_window, watermark_chunks, window_path
 
@@ -69,6 +69,13 @@ def rate_stream(packets: DataFrame, period: str = "1 second", delay: str = "10 s
     return packets.withWatermark(time, delay).groupBy(F.window(time, period), "sender").agg(F.count(F.lit(1)).alias("n"))
 
 
+def started(writer: DataStreamWriter, name: str) -> StreamingQuery:
+    """The running query of that name, or a new one: starting twice is starting once."""
+    spark = SparkSession.active()
+    running = [q for q in spark.streams.active if q.name == name]
+    return running[0] if running else writer.queryName(name).start()
+
+
 def archive_stream(chunks: DataFrame, beams: list[int], path: str, checkpoint: str, plan: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
     """Write every finished chunk of the listed beams below path; batches are idempotent by their number."""
 

@@ -12,6 +12,7 @@ from beamloom.streaming import chunks, streams
 
 GRID = Grid(nupfreq=2, nt_per_packet=4, counts_per_sample=384, nfreq_coarse=3, nt_per_chunk=16)
 RAW = "arrival_seq long, payload binary"
+PUT = "arrival_seq long, beam_id int, ichunk long, coarse_freq_id int, it_coarse int, scale double, offset double, data binary"
 
 
 def payloads(seed, count=260, beams=(1, 4), lost=0.2):
@@ -43,9 +44,15 @@ def plain_chunks(rows, config):
                 out[beam, ichunk, f, t] = held.get((f, t))
         windows[beam] = [ichunk + 1, after, {}]
 
-    for _, payload in sorted(rows):
+    for _, payload in sorted(rows, key=lambda r: r[0]):
         if payload == END_OF_STREAM:
             break
+        if isinstance(payload, tuple):  # a chunk put in whole
+            beam, ichunk, held = payload
+            windows[beam] = [ichunk, held, {}]
+            flush(beam)
+            windows[beam] = [ichunk + 1, {}, {}]
+            continue
         h = np.frombuffer(payload[:24], packets.HEADER, 1)[0]
         b, f = int(h["nbeams"]), int(h["nfreq_coarse"])
         if h["protocol_version"] != 1 or len(payload) != 24 + 2 * b + 2 * f + 8 * b * f + b * f * 8:
@@ -124,6 +131,36 @@ def test_streamed_chunks_equal_the_batch_path_across_a_restart(spark, tmp_path):
     assert last.count() == 0
 
 
+def test_chunks_put_into_a_stream(spark, tmp_path):
+    """Chunks that come whole go out, and the window goes on behind them; also the first of a beam."""
+    streams.use_state_store(spark)
+    config, rng = StreamConfig(beam_ids=(1, 4), grid=GRID), random.Random(9)
+    rows = [(2 * seq, p) for seq, p in payloads(9, 150)]
+    puts = [(2 * at + 1, (beam, ichunk, {(f, t): (1.5, float(at), bytes(rng.randrange(256) for _ in range(8))) for f in range(3) for t in range(4)})) for at, beam, ichunk in ((40, 1, 9), (41, 1, 12), (80, 4, 30), (110, 1, 50))]
+    for part, (a, b) in enumerate(((0, 81), (81, 163), (163, 10**6))):
+        spark.createDataFrame([r for r in rows if a <= r[0] < b], RAW).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        whole = [(seq, beam, c, f, t, *v) for seq, (beam, c, held) in puts if a <= seq < b for (f, t), v in held.items()]
+        spark.createDataFrame(whole, PUT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/put")
+        read = lambda schema, name: spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
+        run(chunks.chunk_tile_stream(read(RAW, "in"), config, injected=read(PUT, "put")), tmp_path)  # a batch a part
+    got = as_plain(spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == plain_chunks([*rows, *puts], config)
+    assert all(got[beam, c, f, t] == v for _, (beam, c, held) in puts for (f, t), v in held.items())
+
+
+def test_starting_twice_is_starting_once(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/in")
+    writer = lambda: spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/cp")
+    first = streams.started(writer(), "once")
+    try:
+        assert streams.started(writer(), "once").id == first.id and first.isActive
+    finally:
+        first.stop()
+    again = streams.started(writer(), "once")
+    assert again.runId != first.runId
+    again.stop()
+
+
 def test_a_quiet_beam_is_flushed(spark, tmp_path):
     streams.use_state_store(spark)
     config = StreamConfig(beam_ids=(1, 4), grid=GRID)
