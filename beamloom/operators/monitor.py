@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import replace
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from ..config import StreamConfig
 from ..sources.shared import new_folder, written
 from .assembly import assemble_strict
 from .packets import classify
+from .timeseries import explode_range
 
 #: Classes of packets in the order in which they are counted.
 CLASSES = ("good", "bad", "end_of_stream", "stream_mismatch", "beam_id_mismatch")
@@ -58,28 +57,25 @@ def rates_in_range(rates: DataFrame, start_us: int, end_us: int, period_us: int)
 
 
 def asof(probes: DataFrame, history: DataFrame, at: str, key: str, value: str) -> DataFrame:
-    """probes(at) with the key and value of the last history entry whose key is at most `at`; null if there is none.
+    """probes(at) with the key and value of the last history entry whose key is at most `at`; null if there is none. Of
+    entries with one key the greatest value counts.
 
-    Union and a running last() in ranges of the axis, which hold about as many rows each: their bounds are quantiles of
-    both tables, one aggregate. Each range starts from the last entry of the ranges before it, so no row meets all others.
+    Union and a running last() in ranges of the axis, which are Spark's own sorted partitions; each range starts from the
+    last entry of the ranges before it, so no row meets all others. Equal probes are one row with a number until the end, so
+    a time that is asked for often is no task of its own.
     """
-    side = lambda df, t, v, k: df.select(F.col(t).alias("_t"), v.alias("_v"), F.lit(k).alias("_probe"))
-    entries = side(history, key, F.struct(F.col(key).alias("k"), F.col(value).alias("v")), 0)
-    none = F.lit(None).cast(entries.schema["_v"].dataType)
-    both = entries.unionByName(side(probes, at, none, 1)).withColumn("_d", F.col("_t").cast("double"))
-    ranges = 2 * int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(both.approxQuantile("_d", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
-    if cuts:
-        both = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_d", outputCol="_r", handleInvalid="keep").transform(both)
-    else:
-        both = both.withColumn("_r", F.lit(0.0))
-    last = both.filter("_v is not null").groupBy("_r").agg(F.max("_v").alias("_last"))
-    carried = both.select("_r").distinct().join(last, "_r", "left")
+    asked = probes.groupBy(F.col(at).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    known = history.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_t")).agg(F.max(value).alias("_value"))
+    entries = known.select("_t", F.struct(F.col("_t").alias("k"), F.col("_value").alias("v")).alias("_v"), F.lit(0).cast("long").alias("_n"))
+    both = entries.unionByName(asked.withColumn("_v", F.lit(None).cast(entries.schema["_v"].dataType)))
+    table = written(both.repartitionByRange("_t", "_n").withColumn("_r", F.spark_partition_id()), new_folder(probes.sparkSession, "asof"))
+    last = table.filter("_n = 0").groupBy("_r").agg(F.max("_v").alias("_last"))
+    carried = table.select("_r").distinct().join(last, "_r", "left")
     carried = carried.select("_r", F.max("_last").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    order = Window.partitionBy("_r").orderBy("_t", "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_f", F.last("_v", ignorenulls=True).over(order)).filter("_probe = 1").join(F.broadcast(carried), "_r")  # a row a range
+    order = Window.partitionBy("_r").orderBy("_t", "_n").rowsBetween(Window.unboundedPreceding, 0)
+    found = table.withColumn("_f", F.last("_v", ignorenulls=True).over(order)).filter("_n > 0").join(F.broadcast(carried), "_r")  # a row a range
     hit = F.coalesce("_f", "_carry")
-    return found.select(F.col("_t").alias(at), hit["k"].alias(key), hit["v"].alias(value))
+    return explode_range(found, F.lit(1), F.col("_n"), "_k").select(F.col("_t").alias(at), hit["k"].alias(key), hit["v"].alias(value))
 
 
 def bounded_history(rates: DataFrame, key: str, keep: int) -> DataFrame:
