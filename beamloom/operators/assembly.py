@@ -106,7 +106,7 @@ def clamps(moves: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndar
 CLAMP = "move long, low long, high long"
 
 
-def clamp_prefixes(rows: DataFrame, key: str, columns: Sequence[str], capacity: int, summaries: bool) -> Callable:
+def clamp_prefixes(key: str, columns: Sequence[str], capacity: int, summaries: bool) -> Callable:
     """A function of batches(key, range, columns..., move, low, high) in order: each row with the steps of its key's rows
     before it in the task, as one step; and, if summaries are wanted, a row for all rows of the key and range."""
     kinds = [pa.from_numpy_dtype(np.int64)] * 3
@@ -165,10 +165,10 @@ def bounded_queue(log: DataFrame, capacity: int, ranges: int | None = None) -> D
     """
     needed = log.select(F.col("queue").cast("int").alias("queue"), F.col("order").cast("long").alias("order"), "put")
     steps = needed.withColumns({"move": F.when(F.col("put"), 1).otherwise(-1).cast("long"), "low": F.lit(0).cast("long"), "high": F.lit(capacity).cast("long")})
-    run = clamp_prefixes(steps, "queue", ["order", "put"], capacity, True)
+    run = clamp_prefixes("queue", ["order", "put"], capacity, True)
     rows, summaries = ranged(steps, ["queue", "order"], run, f"queue int, range int, order long, put boolean, {CLAMP}", ranges)
     chained = summaries.select("queue", "range", "move", "low", "high").repartition("queue").sortWithinPartitions("queue", "range")
-    chained = chained.mapInArrow(clamp_prefixes(chained, "queue", [], capacity, False), f"queue int, range int, {CLAMP}")
+    chained = chained.mapInArrow(clamp_prefixes("queue", [], capacity, False), f"queue int, range int, {CLAMP}")
     sized = lambda x: F.least("high", F.greatest("low", x + F.col("move")))
     entries = chained.select("queue", "range", sized(F.lit(0)).alias("entry"))
     found = rows.join(entries, ["queue", "range"]).withColumn("before", sized(F.col("entry")))

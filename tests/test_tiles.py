@@ -184,7 +184,7 @@ def test_a_queue_is_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     steps = df.withColumns({"move": F.lit(1).cast("long"), "low": F.lit(0).cast("long"), "high": F.lit(50).cast("long")})
-    rows, totals = ranged(steps, ["queue", "order"], assembly.clamp_prefixes(steps, "queue", ["order", "put"], 50, True), f"queue int, range int, order long, put boolean, {assembly.CLAMP}", 12)
+    rows, totals = ranged(steps, ["queue", "order"], assembly.clamp_prefixes("queue", ["order", "put"], 50, True), f"queue int, range int, order long, put boolean, {assembly.CLAMP}", 12)
     sizes = [r["count"] for r in rows.groupBy("range").count().collect()]
     assert len(sizes) == totals.count() == 12 and max(sizes) < 3 * 30_000 / 12
 
