@@ -38,15 +38,14 @@ def time_axis(times: DataFrame, key: str, time: str, strict: bool = False, block
     that are beyond 1e6 dt or a hundredth of dt off, and indices beyond 1e8, are errors. value: a column whose sums over
     the rows of a time are carried along.
 
-    Series are cut into blocks of about as many rows each (with_blocks), so one long series is many tasks: windows run within blocks, and
-    what a block needs from those before it comes from a table with a row a block. Rows of one time meet in a partial
-    aggregate before the exchange.
+    Series are cut into blocks of about as many times each (with_blocks), so one long series is many tasks: windows run
+    within blocks, and what a block needs from those before it comes from a table with a row a block. Rows of one time meet
+    first, in partial aggregates.
     """
     carried = [value] if value else []
     axis = times.select(F.col(key), F.col(time).cast("double").alias("time"), *carried)
-    cut = with_blocks(axis, key, "time", blocks).groupBy(key, "block", "time")
-    df = cut.agg(F.sum(value).alias(value)) if value else cut.agg(F.lit(0).alias("_none")).drop("_none")
-    df = df.repartition(key, "block")  # one exchange serves the windows, the sums and one side of the joins below
+    single = axis.groupBy(key, "time").agg(F.sum(value).alias(value)) if value else axis.distinct()
+    df = with_blocks(single, key, "time", blocks).repartition(key, "block")  # one exchange serves the windows, the sums and one side of the joins below
     inside = Window.partitionBy(key, "block").orderBy("time")
     earlier = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("local", F.row_number().over(inside) - 1).withColumn("previous", F.lag("time").over(inside))

@@ -4,7 +4,8 @@ Reading: a task takes the leading items of each of its files, some hundred bytes
 pass the filters that Spark pushed down (``spark.sql.python.filterPushdown.enabled``) or the options `beams` and `fpga`.
 
 Writing, in two phases: tasks put files and links below a temporary folder; only if all have succeeded does the driver
-move them to their names. A job that fails, or a task that is run twice, leaves nothing under a file's own name.
+move them to their names. A job that fails, or a task that is run twice, leaves nothing under a file's own name; the
+temporary folder is deleted, but tasks that run on while a job is given up may still write to it, and readers pass it by.
 """
 
 from __future__ import annotations
