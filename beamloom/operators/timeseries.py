@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder, written
 from .ranges import indexed
 
 
@@ -20,10 +21,14 @@ def block_count(df: DataFrame) -> int:
 
 def with_blocks(df: DataFrame, key: str, order: str, blocks: int | None = None) -> DataFrame:
     """df with `block`, a number that rises with `order` within each key. Bounds are quantiles of the key's rows, so blocks
-    hold about as many each however the values lie; a value is in one block. The lookup is a binary search."""
+    hold about as many each however the values lie; a value is in one block. The lookup is a binary search.
+
+    Quantiles of long series are approximate and depend on the order in which tasks are merged, so bounds are written once:
+    every later step means the same blocks, also when tasks are run again."""
     blocks = blocks or block_count(df)
     shares = [i / blocks for i in range(1, blocks)]
     bounds = df.groupBy(F.col(key).alias("_k")).agg(F.percentile_approx(F.col(order).cast("double"), shares, 8 * blocks).alias("_bounds"))
+    bounds = written(bounds, new_folder(df.sparkSession, "bounds"))
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(blocks.bit_length()))])
     value = F.col(order).cast("double")
     beyond = lambda at: (at <= F.size("_bounds")) & (F.try_element_at("_bounds", at) < value)

@@ -105,6 +105,29 @@ def test_appends_over_blocks(spark, blocks):
     assert all(r.t0 is not None for r in got)
 
 
+def dealt_anew(spark, n, *columns):
+    """(id, *columns) of n rows which every run deals to tasks anew, and no step uses what another has read: as several
+    executors do when tasks end in another order or are run again."""
+
+    def deal(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rng = np.random.default_rng()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rng.integers(0, 1 << 30, b.num_rows))], ["id", "at"])
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.exchange.reuse", "false")
+    return session.range(n).mapInArrow(deal, "id long, at long").repartition(8, "at").selectExpr("'s' AS name", "id", *columns)
+
+
+def test_q42_appends_have_one_status_however_rows_are_dealt(spark):
+    df = dealt_anew(spark, 400_000, "id AS seq", "id * 4 AS ipos", "if(id % 1000 = 999, 5, 4) AS nt", "id * 4 + if(id % 90 = 1, 0.5D, 0D) AS t0")
+    got = {(r.status, r.wanted): r["count"] for r in timeseries.check_appends(df, "name", 1.0).withColumn("wanted", F.expr("if(id > 0 AND id % 1000 = 0, 'overlap', if(id % 90 = 1, 'drift', 'ok'))")).groupBy("status", "wanted").count().collect()}
+    assert got and all(a == b for a, b in got), got
+
+
 @pytest.mark.parametrize("blocks", [1, 5, 64])
 def test_send_times_over_blocks(spark, blocks):
     rng = random.Random(blocks)
