@@ -128,6 +128,13 @@ def test_q42_appends_have_one_status_however_rows_are_dealt(spark):
     assert got and all(a == b for a, b in got), got
 
 
+def test_q68_inferred_times_overlap_nowhere_however_rows_are_dealt(spark):
+    df = dealt_anew(spark, 400_000, "id AS seq", "id * 3 AS ipos", "1 AS nt", "if(id % 10 = 0, id * 1.5D + if(id % 90 = 0 AND id > 0, 0.4D, 0D), NULL) AS t0")
+    got = timeseries.check_appends(df, "name", 0.5).withColumn("wanted", F.expr("if(seq % 90 = 0 AND seq > 0, 'drift', 'ok')")).withColumn("late", F.col("t0") - F.col("seq") * 1.5)
+    counts = {(r.status, r.wanted, round(r.late, 6)): r["count"] for r in got.groupBy("status", "wanted", F.round("late", 6).alias("late")).count().collect()}
+    assert counts == {("ok", "ok", 0.0): 400_000 - 4_444, ("drift", "drift", 0.4): 4_444}
+
+
 @pytest.mark.parametrize("blocks", [1, 5, 64])
 def test_send_times_over_blocks(spark, blocks):
     rng = random.Random(blocks)
