@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from beamloom.functions import scalars
 from beamloom.operators import archive, monitor, packets, timeseries
 from beamloom.operators.ranges import indexed
-from beamloom.sources.intensity import acquisition, read_intensity
+from beamloom.sources.intensity import acquisition, checked_intensity, read_intensity
 
 
 def test_time_axis_with_gaps(spark):
@@ -135,6 +135,14 @@ def test_q68_inferred_times_overlap_nowhere_however_rows_are_dealt(spark):
     assert counts == {("ok", "ok", 0.0): 400_000 - 4_444, ("drift", "drift", 0.4): 4_444}
 
 
+def test_q78_places_on_the_axis_however_rows_are_dealt(spark):
+    n = 400_000
+    data = dealt_anew(spark, n, "int(id % 2) AS ifreq", "if(id % 2 = 0, 'XX', 'YY') AS pol", "id * 0.5D AS time", "1D AS weight").withColumnRenamed("name", "file")
+    freqs = data.sparkSession.createDataFrame([("s", 0, 8e8), ("s", 1, 6e8)], "file string, ifreq int, freq_hz double")
+    got = checked_intensity(data, freqs).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("it_logical") != F.col("id")).alias("wrong"), F.max("it_logical").alias("last")).first()
+    assert (got.n, got.wrong, got.last) == (n, 0, n - 1)
+
+
 @pytest.mark.parametrize("blocks", [1, 5, 64])
 def test_send_times_over_blocks(spark, blocks):
     rng = random.Random(blocks)
