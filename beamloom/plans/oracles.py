@@ -378,8 +378,11 @@ ORACLES: dict[str, str] = {
     "q67_wire_headers": f"""{_t(PAYLOADS)} SELECT arrival_seq, CAST(nbytes AS INTEGER) AS nbytes, CAST(version AS BIGINT) AS protocol_version, CASE WHEN n IS NULL THEN 0::BIGINT ELSE 128 END AS data_nbytes,
         CASE WHEN n IS NULL THEN 0::BIGINT ELSE 384 END AS fpga_counts_per_sample, CASE WHEN n IS NULL THEN 0::BIGINT ELSE n * 3072 END AS fpga_count, CASE WHEN n IS NULL THEN 0::BIGINT ELSE 2 END AS nbeams,
         CASE WHEN n IS NULL THEN 0::BIGINT ELSE 4 END AS nfreq_coarse, CASE WHEN n IS NULL THEN 0::BIGINT ELSE 2 END AS nupfreq, CASE WHEN n IS NULL THEN 0::BIGINT ELSE 8 END AS ntsamp FROM payloads""",
-    "q68_inferred_times": f"""{_t(TELEMETRY)}, a AS (SELECT beam_id, event_id AS seq, min(event_id) OVER (PARTITION BY beam_id) AS first FROM telemetry)
-        SELECT beam_id, seq, seq * 1.5e0 + CASE WHEN seq % 90 = 0 AND seq > first THEN 0.4e0 ELSE 0e0 END AS t0, CASE WHEN seq % 90 = 0 AND seq > first THEN 'drift' ELSE 'ok' END AS status FROM a""",
+    "q68_inferred_times": f"""{_t(TELEMETRY)}, a AS (SELECT beam_id, event_id AS seq, event_id * 3 AS ipos, min(event_id) OVER (PARTITION BY beam_id) AS first FROM telemetry),
+        given AS (SELECT *, CASE WHEN seq = first OR seq % 10 = 0 THEN ipos * 0.5e0 + CASE WHEN seq % 90 = 0 AND seq > first THEN 0.4e0 ELSE 0e0 END END AS t FROM a),
+        b AS (SELECT *, lag(ipos + 1) OVER w AS before, first_value(t) OVER w + (ipos - first_value(ipos) OVER w) * 0.5e0 AS expected FROM given WINDOW w AS (PARTITION BY beam_id ORDER BY seq)),
+        inferred AS (SELECT *, coalesce(t, expected) AS t0 FROM b)
+        SELECT beam_id, seq, t0, CASE WHEN ipos < before THEN 'overlap' WHEN abs(t0 - expected) > 0.01e0 * 0.5e0 THEN 'drift' ELSE 'ok' END AS status FROM inferred""",
     "q45_lexical_cast": None,
 }
 CASTS_SQL = r"""

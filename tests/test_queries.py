@@ -1,5 +1,7 @@
 """Every telemetry query beside its DuckDB SQL on the smallest tables."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -33,5 +35,21 @@ def test_query(spark, db, name):
         assert tiles and all(r.tiles == r.equal for r in tiles)
 
 
+def beside_sql(spark, folder, name, table, rows):
+    """Rows of a query over a table made of a SELECT, and of its SQL; columns in the query's order."""
+    db = duckdb.connect()
+    db.sql(f"COPY ({rows}) TO '{folder}/{table}.parquet' (FORMAT parquet)")
+    db.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
+    df = queries.queries()[name](spark, str(folder))
+    found = db.sql(SQL[name])
+    order = [found.columns.index(c) for c in df.columns]
+    return sorted((tuple(r) for r in df.collect()), key=repr), sorted((tuple(r[i] for i in order) for r in found.fetchall()), key=repr)
+
+
+def test_q68_sql_knows_appends_that_overlap(spark, tmp_path):
+    got, want = beside_sql(spark, tmp_path, "q68_inferred_times", "events", f"SELECT * FROM '{SF}/events.parquet' UNION ALL SELECT * FROM '{SF}/events.parquet' WHERE event_id % 3 = 0")
+    assert got == want and Counter(r[3] for r in got)["overlap"] == sum(r[1] % 3 == 0 for r in got) // 2 > 0
+
+
 def test_entries_agree():
     assert set(SQL) <= set(queries.queries())
