@@ -286,8 +286,13 @@ ORACLES: dict[str, str] = {
         FROM telemetry GROUP BY beam_id, tick // 4096, tick % 4096 // 256""",
     "q77_typed_copies": f"""{_t(TELEMETRY)} SELECT printf('%08d.h5', tick // 4096 * 4096 * 60) AS file_name, beam_id, count(*) AS n, CAST(sum(freq) AS BIGINT) AS freqs, round(sum(weight), 6) AS weight, CAST(tick // 4096 AS INTEGER) AS file_number
         FROM telemetry GROUP BY beam_id, tick // 4096""",
-    "q78_checked_intensity": f"""{_t(VECTORS)}, first AS (SELECT beam_id, min(isample) AS a FROM vectors GROUP BY beam_id)
-        SELECT printf('beam%d', beam_id) AS file, 2 * count(*) AS n, max(isample - a) AS last, CAST(2 * sum(isample - a) AS BIGINT) AS places, round(2 * sum(weight), 6) AS weight FROM vectors JOIN first USING (beam_id) GROUP BY beam_id""",
+    "q78_checked_intensity": f"""{_t(VECTORS)}, samples AS (SELECT beam_id, isample * 0.5e0 AS time, weight FROM vectors),
+        steps AS (SELECT *, time - lag(time) OVER (PARTITION BY beam_id ORDER BY time) AS step FROM (SELECT DISTINCT beam_id, time FROM samples)),
+        with_dt AS (SELECT *, min(step) OVER (PARTITION BY beam_id) AS dt FROM steps),
+        rounded AS (SELECT *, coalesce(CAST(floor(step / dt + 0.5e0) AS BIGINT), 0) AS nstep FROM with_dt),
+        placed AS (SELECT *, CAST(sum(nstep) OVER (PARTITION BY beam_id ORDER BY time) AS BIGINT) AS place FROM rounded),
+        axis AS (SELECT beam_id, time, CASE WHEN nstep > 1000000 OR abs(step - nstep * dt) > 0.01e0 * dt THEN error('uneven time axis') WHEN place > 100000000 THEN error('time axis too long') ELSE place END AS it_logical FROM placed)
+        SELECT printf('beam%d', beam_id) AS file, 2 * count(*) AS n, max(it_logical) AS last, CAST(2 * sum(it_logical) AS BIGINT) AS places, round(2 * sum(weight), 6) AS weight FROM samples JOIN axis USING (beam_id, time) GROUP BY beam_id""",
     "q44_bandwidth": f"""{_t(HEADERS)} SELECT nupfreq, CAST(sum(nbytes) AS BIGINT) AS nbytes, round(8e-3 * sum(nbytes) / (count(*) * 1000), 6) AS gbps,
         round(8e-9 * 8496 * (1024e0 / 4) / (6144 * 2.56e-6), 6) AS target_gbps FROM sized GROUP BY nupfreq""",
     "q46_json_frame0": """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(json_extract_string(props, '$.frame0_nano') AS BIGINT) AS frame0_nano FROM events""",

@@ -51,5 +51,21 @@ def test_q68_sql_knows_appends_that_overlap(spark, tmp_path):
     assert got == want and Counter(r[3] for r in got)["overlap"] == sum(r[1] % 3 == 0 for r in got) // 2 > 0
 
 
+def test_q78_sql_takes_the_axis_from_its_least_step(spark, tmp_path):
+    got, want = beside_sql(spark, tmp_path, "q78_checked_intensity", "embeddings", "SELECT k AS vec_id, [1::FLOAT] AS embedding FROM range(100) t(k) WHERE k % 7 <> 3")
+    assert got == want and got[0] == ("beam0", 34, 19, 326, 30.0)  # 20 places less 2, 9 and 16, in two channels
+
+
+@pytest.mark.parametrize("apart, n, what", [(100_000, 3, "uneven time axis"), (15_000, 120, "time axis too long")])
+def test_q78_sql_rejects_the_axes_that_the_query_rejects(spark, tmp_path, apart, n, what):
+    db = duckdb.connect()
+    db.sql(f"COPY (SELECT {apart} * k AS vec_id, [1::FLOAT, 2::FLOAT] AS embedding FROM range({n}) t(k)) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    with pytest.raises(Exception, match=what):
+        queries.q78_checked_intensity(spark, str(tmp_path)).collect()
+    with pytest.raises(duckdb.Error, match=what):
+        db.sql(SQL["q78_checked_intensity"]).fetchall()
+
+
 def test_entries_agree():
     assert set(SQL) <= set(queries.queries())
